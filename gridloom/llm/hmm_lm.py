@@ -121,6 +121,7 @@ class WordCodes(dict):
         self.stats, self.log = stats, {w: float(np.log10(n + 1)) for w, n in stats.common.items()}
         self.denominator = np.log10(stats.class_tokens + stats.class_types + 1).tolist()
         self.rows: list[tuple] = []
+        self.held: list[np.ndarray] = []
 
     def __missing__(self, word: bytes) -> int:
         symbol, log = self.stats.symbol.get(word), self.log.get(word)
@@ -130,11 +131,16 @@ class WordCodes(dict):
         else:
             inside = 0.0
         self.rows.append((symbol, log or 0.0, inside, log is None, word_hash(word) if log is None else 0))
-        at = self[word] = len(self.rows) - 1
+        at = self[word] = len(self)
         return at
 
     def columns(self) -> list[np.ndarray]:
-        return [np.array(c, t) for c, t in zip(zip(*self.rows), (np.uint16, float, float, bool, np.int64), strict=True)]
+        kinds = (np.uint16, float, float, bool, np.int64)
+        if self.rows:
+            new = [np.array(c, t) for c, t in zip(zip(*self.rows), kinds, strict=True)]
+            self.held = [np.concatenate(x) for x in zip(self.held, new, strict=True)] if self.held else new
+            self.rows = []
+        return self.held
 
 
 def tokenised(docs: DataFrame, stats: WordStats) -> DataFrame:
