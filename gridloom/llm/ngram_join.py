@@ -148,12 +148,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     copies and members of one node are not expanded into all pairs. Shingles are runs of five
     words (ASCII white space, A-Z lower-cased); a shorter text is one shingle; null, empty and
     wordless texts are copies of each other. A null doc_id is the least. Repeated rows are
-    copies. An empty table gives an empty result.
+    copies. An empty table gives an empty result. docs is read twice and must give its rows in the
+    same partitions both times, as a Parquet table does.
     """
     return joined(docs, threshold, recall).select(id_of().alias("doc_id"), id_of("class_key").alias("class_id"), id_of("text_key").alias("text_id"), "n_copies", "n_links")
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, keep: list[str] | None = None) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """As ngram_join, by keys, with the row numbers of the table that is read."""
     spark = docs.sparkSession
     least = least_depth(threshold, TREES, recall)
@@ -181,7 +182,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        sets = written(texts.join(need.hint("merge"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
+        sets = written(texts.join(written(need, "wanted"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
         one = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
         return written(two.filter(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
