@@ -205,3 +205,13 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     least_key = of_rep.groupBy("component").agg(F.min("text_key").alias("class_key"))
     of_rep = of_rep.join(least_key, "component").select("text_class", "rep", "class_key", "text_key", "n_copies", (F.coalesce("degree", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     return signed.select("row", "key", "text_class").join(of_rep, "text_class").drop("text_class")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of docs without near-duplicates: of each class the row with the least doc_id (of equal ones the first) stays, with all its columns."""
+    classes = joined(docs, threshold, recall)
+    first = F.row_number().over(Window.partitionBy("class_key").orderBy("key", "row"))
+    # Classes may be large; only members of classes of several rows are ranked, and only rows to drop are joined.
+    several = classes.filter("key > class_key OR n_links > 0")
+    drop = written(several.withColumn("rank", first).filter("rank > 1").select("row"), "dropped")
+    return docs.withColumn("row__", F.monotonically_increasing_id()).join(drop.withColumnRenamed("row", "row__"), "row__", "left_anti").select(*docs.columns)
