@@ -210,8 +210,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the least doc_id (of equal ones the first) stays, with all its columns."""
     classes = joined(docs, threshold, recall)
-    first = F.row_number().over(Window.partitionBy("class_key").orderBy("key", "row"))
-    # Classes may be large; only members of classes of several rows are ranked, and only rows to drop are joined.
-    several = classes.filter("key > class_key OR n_links > 0")
-    drop = written(several.withColumn("rank", first).filter("rank > 1").select("row"), "dropped")
+    # Only rows to drop are joined to the texts.
+    several = written(classes.filter("key > class_key OR n_links > 0").select("class_key", "key", "row"), "members")
+    first = several.groupBy("class_key").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    drop = written(several.join(first, "row", "left_anti").select("row"), "dropped")
     return docs.withColumn("row__", F.monotonically_increasing_id()).join(drop.withColumnRenamed("row", "row__"), "row__", "left_anti").select(*docs.columns)

@@ -27,8 +27,8 @@ from .common import id_of, key_of, written
 
 #: Bytes of a repeat, and of the grams that the windows choose from.
 LENGTH, GRAM = 50, 24
-#: Bytes of texts that are winnowed together, and of contexts in a shard.
-BLOCK, SHARD = 2_000_000, 200_000
+#: Bytes of texts that are winnowed together, of contexts in a shard, and of contexts merged at once (more where one gram has more).
+BLOCK, SHARD, MERGE = 2_000_000, 100_000, 600_000
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -91,55 +91,95 @@ def blocks(rows: list[tuple], texts_at: int) -> Iterator[list[tuple]]:
 
 
 def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's suffixes in order, by doubled ranks: for each its text, its place, and the symbol before it (byte + 1; 0 at a text's start). Every text ends with a mark of its own, less than all bytes; equal suffixes stand in text order."""
+    """A shard's suffixes in order, by doubled ranks: for each its text, its place, and the symbol before it (byte + 1; 0 at a text's start). Every text ends with a mark, less than all bytes; equal suffixes stand in text order."""
     n = len(texts)
     size = np.array([len(t) + 1 for t in texts])
     end = np.cumsum(size)
+    text = np.repeat(np.arange(n), size)
+    mark = np.repeat(end - 1, size)
+    at = np.arange(end[-1])
     symbol = np.zeros(end[-1], np.int64)
-    inside = np.ones(end[-1], bool)
-    inside[end - 1] = False
-    symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    rank = symbol + n
-    rank[end - 1] = np.arange(n)
-    width = 1
-    # Past a text's end the mark has already told suffixes apart, so what follows it is of no matter.
+    symbol[at != mark] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    rank, width = symbol, 4
+    for j in range(1, width):
+        rank = rank * 257 + symbol[np.minimum(at + j, mark)]
+    longest = int(size.max())
     while True:
-        key = rank * (int(rank.max()) + 2) + np.r_[rank[width:] + 1, np.zeros(min(width, len(rank)), np.int64)][: len(rank)]
-        found, rank = np.unique(key, return_inverse=True)
-        if len(found) == len(key):
+        found, rank = np.unique(rank, return_inverse=True)
+        if width >= longest or len(found) == len(rank):
             break
+        rank = rank * len(found) + rank[np.minimum(at + width, mark)]
         width *= 2
-    order = np.empty(len(rank), np.int64)
-    order[rank] = np.arange(len(rank))
-    text = np.repeat(np.arange(n), size)
+    order = np.argsort(rank * n + text)
     start = end - size
     before = np.where(order == start[text[order]], 0, symbol[order - 1])
     return text[order], order - start[text[order]], before.astype(np.uint16)
 
 
-def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the transforms of shards by interleave refinement, length passes. Returns the suffixes (numbered through all shards) in order of their first length symbols, and each one's block of equal prefixes; marks are all different."""
-    before = np.concatenate([s[2] for s in shards])
-    base = np.cumsum([0, *(len(s[2]) for s in shards)])
-    # Where a suffix with its symbol before it stands in its own shard.
-    step = np.empty(len(before), np.int64)
-    marks = []
-    for at, (_, place, sym) in zip(base, shards, strict=False):
-        to = np.argsort(sym, kind="stable")
-        step[at + to] = at + np.arange(len(sym))
-        marks.append(at + np.arange(int((sym == 0).sum())))
-    marks = np.concatenate(marks)
-    k = len(marks)
-    now = np.arange(len(before))
-    block = np.zeros(len(before), np.int64)
-    new = np.ones(len(before), bool)
-    for _ in range(length):
-        sym = before[now]
-        order = np.argsort(sym, kind="stable")[k:]
-        sym, old = sym[order], block[order]
-        now = np.concatenate([marks, step[now[order]]])
-        new[k + 1 :] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(new)
+#: Symbols that one pass of the refinement goes back.
+STRIDE = 3
+
+
+def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the transforms of shards by interleave refinement. Returns the suffixes (numbered through all shards, in each shard's order) in order of their first length symbols, and each one's block of equal prefixes.
+
+    A pass goes stride symbols back from every suffix at once, so it stands for as many passes
+    of one symbol. A suffix shorter than the stride follows from no other; such ones enter every
+    pass first, each as a block of its own, as if every text ended with marks of its own.
+    """
+    n_rows = [len(s[2]) for s in shards]
+    base = np.cumsum([0, *n_rows])
+    n_texts = [int(s[0].max()) + 1 for s in shards]
+    text = np.concatenate([s[0] for s in shards]) + np.repeat(np.cumsum([0, *n_texts[:-1]]), n_rows)
+    place = np.concatenate([s[1] for s in shards])
+    before = np.concatenate([s[2] for s in shards]).astype(np.int32)
+    # A step back of one symbol: the k-th suffix with a symbol before it leads to the k-th suffix that begins with that symbol.
+    back = np.empty(len(before), np.int32)
+    for at, (_, _, sym) in zip(base, shards, strict=False):
+        back[at + np.argsort(sym, kind="stable")] = at + np.arange(len(sym))
+    size = np.zeros(sum(n_texts), np.int64)
+    np.maximum.at(size, text, place)
+    now, block = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
+    done = 0
+    held: dict[int, tuple] = {}
+    while done < length:
+        w = min(stride, length - done)
+        if w not in held:
+            gram, to = np.zeros(len(before), np.int32), np.arange(len(before), dtype=np.int32)
+            for j in range(w):
+                gram += before[to] * 257**j
+                to = back[to]
+            # Short suffixes: their symbols, then marks.
+            short = np.nonzero(size[text] - place < w)[0]
+            short = short[np.lexsort((text[short], -(size[text[short]] - place[short])))]
+            row_at = np.full((sum(n_texts), w), -1)
+            row_at[text[short], (size[text] - place)[short]] = short
+            begins = np.zeros(len(short), np.int64)
+            left = (size[text] - place)[short]
+            for j in range(w):
+                # The symbol j places on is the one before the suffix that is j + 1 shorter.
+                on = left > j
+                begins[on] += before[row_at[text[short[on]], left[on] - j - 1]] * 257 ** (w - 1 - j)
+            can = place >= w
+            seen = np.zeros(257**w, bool)
+            seen[gram[can]] = True
+            seen[begins] = True
+            code = np.cumsum(seen, dtype=np.int32) - 1
+            kind = np.uint16 if code[-1] < 1 << 16 else np.int64
+            held[w] = code[gram].astype(kind), to, can, short, code[begins].astype(kind)
+        gram, to, can, short, begins = held[w]
+        use = can[now]
+        src = now[use]
+        sym = np.concatenate([begins, gram[src]])
+        old = np.concatenate([np.arange(len(short), dtype=np.int32), block[use] + np.int32(len(short))])
+        order = np.argsort(sym, kind="stable")
+        now = np.concatenate([short.astype(np.int32), to[src]])[order]
+        sym, old = sym[order], old[order]
+        new = np.empty(len(now), bool)
+        new[0] = False
+        new[1:] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
+        block = np.cumsum(new, dtype=np.int32)
+        done += w
     return now, block
 
 
@@ -254,7 +294,7 @@ def _covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < len(several):
         end, size = at, 0
-        while end < len(several) and (size < 20 * SHARD or several[end][0] == several[end - 1][0]):
+        while end < len(several) and (size < MERGE or several[end][0] == several[end - 1][0]):
             size += len(several[end][1])
             end += 1
         part = several[at:end]
@@ -265,11 +305,12 @@ def _covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if least[at] < key:
             out.append((row, first, first + windows + LENGTH - 1))
         elif at in lowest:
-            hit = np.nonzero(lowest[at] < key)[0]
-            if len(hit):
-                cut = np.nonzero(np.diff(hit) > 1)[0]
-                for a, z in zip(hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, len(hit) - 1]].tolist(), strict=True):
-                    out.append((row, first + a, first + z + LENGTH))
+            hit = lowest[at] < key
+            if hit.all():
+                out.append((row, first, first + windows + LENGTH - 1))
+            elif hit.any():
+                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
+                out += [(row, first + a, first + z - 1 + LENGTH) for a, z in zip(edge[::2], edge[1::2], strict=True)]
     for i in range(0, len(out), 50_000):
         a, f, e = zip(*out[i : i + 50_000], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(e, pa.int32())], schema)
