@@ -143,14 +143,19 @@ class _Graph:
 
     def run(self, pos: np.ndarray) -> tuple[np.ndarray, list[float]]:
         trace, k = [self.stress(pos)], 0
+        # Without constraints the least stress on the way is the result; with them the start may break them.
+        free = not (self.rules or self.spec.avoid_overlaps or np.isfinite(self.lock).any())
+        best = trace[0], pos
         while True:
             k += 1
             pos = self.iterate(pos)
             trace.append(self.stress(pos))
             old, new = trace[-2], trace[-1]
             used = k >= self.spec.max_iterations if k == 1 else k > self.spec.max_iterations
+            if new < best[0]:
+                best = new, pos
             if used or (k > 1 and (old - new) / (new + 1e-30) < self.spec.tolerance):
-                return pos, trace
+                return (best[1] if free else pos), trace
 
 
 def layout(nodes: DataFrame, edges: DataFrame, spec: LayoutSpec = LayoutSpec(), locks: DataFrame | None = None, desired: DataFrame | None = None, trace: bool = False) -> DataFrame:
@@ -183,7 +188,7 @@ def layout(nodes: DataFrame, edges: DataFrame, spec: LayoutSpec = LayoutSpec(),
             return pa.table({"graph_id": pa.array([graph] * len(said), pa.int64()), "iteration": pa.array(range(len(said)), pa.int64()), "stress": said})
         out = {a: pos[:, i] if i < dims else t.column(a) for i, a in enumerate(axes)}
         k = len(ids)
-        return pa.table({"graph_id": pa.array([graph] * k, pa.int64()), "node_id": t.column("node_id"), **out, "w": t.column("w"), "h": t.column("h"), "stress_before": [said[0]] * k, "stress_after": [said[-1]] * k, "iterations": pa.array([len(said) - 1] * k, pa.int64())})
+        return pa.table({"graph_id": pa.array([graph] * k, pa.int64()), "node_id": t.column("node_id"), **out, "w": t.column("w"), "h": t.column("h"), "stress_before": [said[0]] * k, "stress_after": [g.stress(pos)] * k, "iterations": pa.array([len(said) - 1] * k, pa.int64())})
 
     schema = "graph_id long, iteration long, stress double" if trace else "graph_id long, node_id long, x double, y double, z double, w double, h double, stress_before double, stress_after double, iterations long"
     return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInArrow(solve, schema)

@@ -58,10 +58,10 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10
     """Solve Ax = b for many symmetric positive definite systems, one to a group: m_id, i, v. Stops when the squared residual is at most tolerance squared."""
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, rhs = right.column("i").to_numpy(), right.column("v").to_numpy()
+        ids, rhs = right.column("b_i").to_numpy(), right.column("b_v").to_numpy()
         order = np.argsort(ids)
         ids, rhs = ids[order], rhs[order]
-        i, j, v = np.searchsorted(ids, left.column("i").to_numpy()), np.searchsorted(ids, left.column("j").to_numpy()), left.column("v").to_numpy()
+        i, j, v = np.searchsorted(ids, left.column("a_i").to_numpy()), np.searchsorted(ids, left.column("a_j").to_numpy()), left.column("a_v").to_numpy()
         x, r = np.zeros(len(ids)), rhs.copy()
         p, rr = r.copy(), float(r @ r)
         for _ in range(max_iterations):
@@ -76,5 +76,7 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10
             p, rr = r + new / rr * p, new
         return pa.table({"m_id": pa.array([right.column("m_id")[0].as_py()] * len(ids), pa.int64()), "i": pa.array(ids, pa.int64()), "v": x})
 
-    m = matrix.select(F.col("m_id").cast("long").alias("m_id"), "i", "j", F.col("v").cast("double").alias("v")).groupBy("m_id")
-    return m.cogroup(b.select(F.col("m_id").cast("long").alias("m_id"), "i", F.col("v").cast("double").alias("v")).groupBy("m_id")).applyInArrow(solve, "m_id long, i long, v double")
+    # New names on both sides: they may stem from one table.
+    own = lambda df, p, names: df.select(F.col("m_id").cast("long").alias("m_id"), *[F.col(c).cast(t).alias(p + c) for c, t in names])
+    m = own(matrix, "a_", (("i", "long"), ("j", "long"), ("v", "double"))).groupBy("m_id")
+    return m.cogroup(own(b, "b_", (("i", "long"), ("v", "double"))).groupBy("m_id")).applyInArrow(solve, "m_id long, i long, v double")

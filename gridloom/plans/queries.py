@@ -300,10 +300,10 @@ def nnz(spark, d):
     return L.rows_of(m).groupBy("m_id").agg(F.sum(F.size("columns")).alias("stored"), F.count("*").alias("row_count"))
 
 
-@query("SELECT l_orderkey % 64 AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey % 64 AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL")
 def sparse_upsert(spark, d):
     li = T.read(spark, d, "lineitem")
-    return L.last_set(li.select((F.col("l_orderkey") % 64).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j"), F.col("l_quantity").cast("double").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
+    return L.last_set(li.select((F.col("l_orderkey") % 64).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j"), F.col("l_quantity").cast("double").alias("v"), (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("seq")))
 
 
 def _diagonal(spark, d):
@@ -382,7 +382,7 @@ def qp_equality_pairs(spark, d):
     return Q.project(*_two(spark, d, True)).select("problem_id", "var_id", r("position").alias("position"))
 
 
-@query("SELECT o_custkey AS problem_id, o_orderkey % 3 AS block, round(sum(0.5 * (o_orderkey % 4)) , 6) AS ab, round(sum(CAST(o_orderkey % 11 AS DOUBLE)), 6) AS ad, CAST(count(*) AS DOUBLE) AS a2, round((sum(CAST(o_orderkey % 11 AS DOUBLE)) - sum(0.5 * (o_orderkey % 4))) / count(*), 6) + 0.0 AS position FROM orders GROUP BY ALL")
+@query("SELECT o_custkey AS problem_id, o_orderkey % 3 AS block, CAST(sum(0.5 * (o_orderkey % 4)) AS DOUBLE) AS ab, round(sum(CAST(o_orderkey % 11 AS DOUBLE)), 6) AS ad, CAST(count(*) AS DOUBLE) AS a2, round((sum(CAST(o_orderkey % 11 AS DOUBLE)) - CAST(sum(0.5 * (o_orderkey % 4)) AS DOUBLE)) / count(*), 6) + 0.0 AS position FROM orders GROUP BY ALL")
 def block_position_stats(spark, d):
     o = T.read(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), (F.col("o_orderkey") % 3).alias("block"), (F.col("o_orderkey") % 11).cast("double").alias("desired"), F.lit(1.0).alias("weight"), F.lit(2.0).alias("scale"), F.lit(2.0).alias("block_scale"), (F.col("o_orderkey") % 4).cast("double").alias("offset"))
     return Q.block_positions(o).select("problem_id", "block", r("ab").alias("ab"), r("ad").alias("ad"), r("a2").alias("a2"), r("position").alias("position"))
