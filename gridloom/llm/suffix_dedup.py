@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowkit import binary_list, mixed
 from .common import id_of, key_of, written
@@ -336,10 +337,11 @@ def cut_out(text: bytes, spans: list[dict] | None, copy: bool) -> tuple[bytes, i
 
 
 def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns of docs (text among them), with copy (a smaller doc_id has the same text) and spans (bytes that repeated windows cover)."""
+    """text, copy (a smaller doc_id has the same text), spans (bytes that repeated windows cover), key, and rest: the given columns of docs."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"), *[c for c in columns if c != "text"])
+    rest = F.struct(*columns) if columns else F.lit(0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
     texts = rows.select("row", "text")
     anchors = texts.mapInArrow(_anchors, "deal long, hash long, row long, many boolean, known boolean").repartition(n, "deal").drop("deal")
     wanted = anchors.mapInArrow(_repeated, "row long, hash long").groupBy("row").agg(F.collect_list("hash").alias("hashes"))
@@ -375,19 +377,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = with_spans(docs, ["text"]).select("key", "text", "copy", "spans").mapInArrow(measure, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = with_spans(docs, []).select("key", "text", "copy", "spans").mapInArrow(measure, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(id_of().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with what is left of their texts (a byte of a cut character is left out); a text that loses nothing stays as it is, null included. n_chars, where docs has it, follows."""
+    """The rows of docs with what is left of their texts (a byte of a cut character is left out); a null text becomes empty. n_chars, where docs has it, follows."""
     names = docs.columns
-    spanned = with_spans(docs, [c for c in names if c != "text"] + ["text"])
+    others = [c for c in names if c not in ("text", "n_chars")]
+    spanned = with_spans(docs, others).select("text", "copy", "spans", "rest")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             left = [cut_out(t, s, c)[0].decode(errors="ignore") for t, s, c in zip(binary_list(b.column("text")), b.column("spans").to_pylist(), b.column("copy").to_pylist(), strict=True)]
-            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(left, pa.string())).select(names)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), b.column("rest")], ["text", "rest"])
 
-    out = spanned.select(*names, "copy", "spans").mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = spanned.mapInArrow(cut, T.StructType([T.StructField("text", T.StringType()), spanned.schema["rest"]]))
+    of = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[(of[c] if c in of else F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in names])
