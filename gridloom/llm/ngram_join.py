@@ -23,8 +23,8 @@ from .common import id_of, key_of, written
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.999
-#: Signatures whose estimate is so far below the threshold (over 4 standard errors) are not verified in the second round.
-MARGIN = 0.15
+#: Members of a node in a block of the second round.
+NODE_BLOCK = 200
 SIGNED = "row long, key long, text_class binary, signature array<int>"
 
 
@@ -114,6 +114,43 @@ def _spanning(least: int):
     return span
 
 
+def _joining(threshold: float):
+    """Of two blocks of a node: links that join different components, a tree of them."""
+
+    def join(t: pa.Table) -> pa.Table:
+        rep, component = t.column("rep").to_numpy(), t.column("component").to_numpy()
+        sets = [np.asarray(x, np.int64) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        member = np.repeat(np.arange(len(sets)), size)
+        _, word = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        member, word = member[order], word[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(word[-1]) + 1, 4096):
+            a, b = np.searchsorted(word, (low, low + 4096))
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[member[a:b], word[a:b] - low] = 1
+            shared += held @ held.T
+        close = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(close & (component[:, None] != component[None, :]))), strict=True):
+            p, q = find(int(component[i])), find(int(component[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return join
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component of edges (a, b). Least labels spread to neighbours and jump to their own labels; a written table ends each round."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -128,11 +165,6 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def alike(x: Column, y: Column) -> Column:
-    """Share of equal places of two signatures: the estimated Jaccard similarity."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(x)
-
-
 def jaccard(x: Column, y: Column) -> Column:
     shared = F.size(F.array_intersect(x, y))
     return shared / (F.size(x) + F.size(y) - shared)
@@ -180,25 +212,32 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     tested = written(tested, "candidates")
     texts = rows.select("row", "text")
 
+    def shingled(need: DataFrame) -> DataFrame:
+        return written(texts.join(written(need, "wanted"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        sets = written(texts.join(written(need, "wanted"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
+        sets = shingled(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
         one = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
         return written(two.filter(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
 
     links = verified(tested)
     label = components(links)
-    # Second round: members of one node in different components, not tested yet.
-    placed = crowded.filter("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("node")
-    open_ = written(placed.join(mixed, "node").join(reps, "rep"), "open-nodes")
-    other = open_.select("node", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("signature").alias("signature_b"))
-    pairs = open_.join(other, (open_["node"] == other["node"]) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("component_b")) & (alike(F.col("signature"), F.col("signature_b")) >= threshold - MARGIN))
-    pairs = written(pairs.select(F.col("rep").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-    if not pairs.isEmpty():
-        links = written(links.unionByName(verified(pairs)), "links")
-        label = components(links)
+    # Second round: members of one node in different components. Large nodes are cut into blocks, every two of which meet in a task; only links that join components leave it.
+    placed = crowded.filter("n > 2").select("node", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("members")).filter("lo < hi")
+    mixed = mixed.groupBy("members").agg(F.min("node").alias("node")).select("node")  # trees often have the same members in a node
+    open_ = written(placed.join(mixed, "node"), "open-nodes")
+    if not open_.isEmpty():
+        sets = shingled(open_.select(F.col("rep").alias("row")).distinct())
+        blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
+        dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dealt = dealt.select("node", "rep", "component", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("pair"))
+        dealt = dealt.join(sets.withColumnRenamed("row", "rep"), "rep").select("node", "pair", "rep", "component", "shingles")
+        more = written(dealt.groupBy("node", "pair").applyInArrow(_joining(threshold), "a long, b long").distinct(), "links")
+        if not more.isEmpty():
+            links = written(links.unionByName(more).distinct(), "links")
+            label = components(links)
 
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("degree"))
     of_rep = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
