@@ -12,9 +12,11 @@ from ..functions import rectangles as R
 from ..operators import clusters as C
 from ..operators import graph as G
 from ..operators import linalg as L
+from ..operators import meshes as M
 from ..operators import overlap as O
 from ..operators import placement as P
 from ..operators import projection as Q
+from ..operators import quadratic as D
 from ..operators import stress as S
 from ..operators.layout import LayoutSpec, layout
 from ..sources import tables as T
@@ -178,6 +180,33 @@ def component_bbox(spark, d):
     return n.join(G.components(e, n), ["graph_id", "node_id"]).groupBy("graph_id", "component_id").agg(F.min(F.col("x") - F.col("w") / 2).alias("min_x"), F.max(F.col("x") + F.col("w") / 2).alias("max_x"), F.min(F.col("y") - F.col("h") / 2).alias("min_y"), F.max(F.col("y") + F.col("h") / 2).alias("max_y"))
 
 
+def _strip(spark, d):
+    """Triangles of three customers in a row."""
+    n = T.customer_nodes(spark, d)
+    at = lambda k, c: n.select("graph_id", (F.col("node_id") - k).alias("a"), F.col("node_id").alias(c))
+    return n.select("graph_id", F.col("node_id").alias("a")).join(at(1, "b"), ["graph_id", "a"]).join(at(2, "c"), ["graph_id", "a"]).withColumn("face_idx", F.col("a")), n
+
+
+_STRIP = ", face AS (SELECT a.graph_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM nodes a JOIN nodes b ON b.graph_id = a.graph_id AND b.node_id = a.node_id + 1 JOIN nodes c ON c.graph_id = a.graph_id AND c.node_id = a.node_id + 2)"
+
+
+@query(_STRIP + " SELECT graph_id, a AS src, b AS dst FROM face UNION SELECT graph_id, b, c FROM face UNION SELECT graph_id, a, c FROM face")
+def mesh_unique_edges(spark, d):
+    return M.face_edges(_strip(spark, d)[0])
+
+
+@query(_STRIP + """, n AS (SELECT graph_id, a AS face_idx, uy * vz - uz * vy AS x, uz * vx - ux * vz AS y, ux * vy - uy * vx AS z FROM face), s AS (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM n)
+SELECT graph_id, face_idx, round(CASE WHEN l > 0 THEN x / l ELSE 0 END, 6) + 0.0 AS nx, round(CASE WHEN l > 0 THEN y / l ELSE 0 END, 6) + 0.0 AS ny, round(CASE WHEN l > 0 THEN z / l ELSE 0 END, 6) + 0.0 AS nz FROM s""")
+def mesh_face_normals(spark, d):
+    return M.face_normals(*_strip(spark, d)).select("graph_id", "face_idx", r("nx").alias("nx"), r("ny").alias("ny"), r("nz").alias("nz"))
+
+
+@query("SELECT e.graph_id, round(avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 6) + 0.0 AS mean_length FROM clean e JOIN nodes a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN nodes b ON b.graph_id = e.graph_id AND b.node_id = e.dst GROUP BY 1")
+def mesh_mean_edge(spark, d):
+    e, n = _graph(spark, d)
+    return M.mean_edge_length(G.sanitised(e, n), n).select("graph_id", r("mean_length").alias("mean_length"))
+
+
 _TURN = lambda p, q, s: f"sign(({q}.x - {p}.x) * ({s}.y - {p}.y) - ({q}.y - {p}.y) * ({s}.x - {p}.x))"
 
 
@@ -327,6 +356,17 @@ def gp_alpha(spark, d):
     return L.steepest_step(m, b, b).select("m_id", r("alpha", 8).alias("alpha"))
 
 
+@query(""", v AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, CAST(p_partkey % 16 AS BIGINT) AS i, CAST(p_size + 1 AS DOUBLE) AS q, (p_partkey % 13) / CAST(p_size + 1 AS DOUBLE) AS x FROM part),
+pair AS (SELECT a.m_id, a.i, a.q, a.x, b.i AS i2, b.q AS q2, b.x AS x2, greatest(0, 3 - (b.x - a.x)) AS s FROM v a LEFT JOIN v b ON b.m_id = a.m_id AND b.i = a.i + 1 WHERE a.i % 2 = 0)
+SELECT m_id, i, round(CASE WHEN i2 IS NULL THEN x ELSE x - s * q2 / (q + q2) END, 5) + 0.0 AS v FROM pair UNION ALL SELECT m_id, i2, round(x2 + s * q / (q + q2), 5) + 0.0 FROM pair WHERE i2 IS NOT NULL
+UNION ALL SELECT m_id, i, round(x, 5) + 0.0 FROM v WHERE i % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v a WHERE a.m_id = v.m_id AND a.i = v.i - 1)""")
+def gp_separation(spark, d):
+    """Each even variable at least 3 below the next odd one."""
+    m, b = _diagonal(spark, d)
+    pairs = b.filter("i % 2 = 0").select("m_id", F.col("i").alias("left"), (F.col("i") + 1).alias("right"), F.lit(3.0).alias("gap"), F.lit(False).alias("equality"))
+    return D.gradient_projection(m, b, pairs).select("m_id", "i", r("v", 5).alias("v"))
+
+
 def _chain(spark, d, gap=2.0):
     v = T.order_chains(spark, d)
     last = v.groupBy("problem_id").agg(F.max("var_id").alias("last"))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from gridloom.operators.layout import LayoutSession
 from gridloom.operators.overlap import separated
 from gridloom.operators.projection import solve_separation
+from gridloom.operators.quadratic import gradient_projection, minimise
 
 
 def solve(desired, weight, rules):
@@ -62,3 +63,38 @@ def test_boxes_are_kept_apart_and_separations_hold(spark):
     r = s.run().orderBy("node_id").collect()
     assert r[2].x - r[0].x >= 50 - 1e-6
     assert all(abs(p.x - q.x) >= 30 - 1e-6 or abs(p.y - q.y) >= 30 - 1e-6 for i, p in enumerate(r) for q in r[:i])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_quadratic_optimum(seed):
+    """Every choice of binding separations is solved by its own linear system; the best feasible one is the optimum."""
+    from itertools import product
+
+    g = np.random.default_rng(seed)
+    n = 4
+    half = g.normal(size=(n, n))
+    q, b = half @ half.T + np.diag(10.0 ** g.integers(-1, 3, n)), g.normal(size=n) * 5
+    rules = [(i, i + 1, float(g.integers(0, 4)), bool(g.random() < 0.3)) for i in range(n - 1)]
+    left, right, gap, equal = (np.array(c) for c in zip(*rules))
+    x, _ = minimise(q, b, left, right, gap, equal, np.full(n, np.nan))
+    best = np.inf, None
+    for on in product((False, True), repeat=len(rules)):
+        on = np.array(on) | equal
+        a = np.eye(n)[right[on]] - np.eye(n)[left[on]]
+        k = int(on.sum())
+        y = np.linalg.solve(np.block([[2 * q, a.T], [a, np.zeros((k, k))]]), np.r_[2 * b, gap[on]])[:n]
+        if (y[right] - y[left] >= gap - 1e-9).all():
+            best = min(best, (y @ q @ y - 2 * b @ y, tuple(y)))
+    assert np.allclose(x, best[1], atol=1e-5)
+
+
+def test_quadratic_holds_fixed_variables(spark):
+    q = spark.createDataFrame([(1, 0, 0, 2.0), (1, 1, 1, 1.0), (1, 7, 7, 1.0)], "m_id long, i long, j long, v double")
+    b = spark.createDataFrame([(1, 0, 2.0), (1, 1, 0.0)], "m_id long, i long, v double")
+    more = spark.createDataFrame([(1, 0, 0, 1.0)], "m_id long, i long, j long, v double")
+    rule = spark.createDataFrame([(1, 0, 1, 4.0, False), (1, 1, 9, 1.0, True)], "m_id long, left long, right long, gap double, equality boolean")
+    held = spark.createDataFrame([(1, 0, 5.0)], "m_id long, i long, v double")
+    at = lambda df: [round(x.v, 5) for x in df.orderBy("i").collect()]
+    assert at(gradient_projection(q, b)) == [1.0, 0.0]
+    assert at(gradient_projection(q, b, sparse=more)) == [round(2 / 3, 5), 0.0]
+    assert at(gradient_projection(q, b, rule, held)) == [5.0, 9.0]
