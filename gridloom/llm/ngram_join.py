@@ -5,11 +5,14 @@ MinHash signature is dealt to several trees; in a tree, signatures sort into a p
 sorted pass links a signature to the node with which it shares its longest prefix and
 shortens prefixes down to the depth at which the trees together reach the target recall.
 Links are verified exactly on shingle sets. A second round tests the pairs within a node that
-the verified links left in different components, so that no link is lost inside a node.
+the verified links left in different components, so that no component is lost inside a node.
+Last, the texts of each component are compared in blocks, which gives every text its exact
+number of links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,10 @@ WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.999
 #: Members of a node in a block of the second round.
 NODE_BLOCK = 200
+#: Texts and shingles in a block of a component.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2000, 1 << 20
+#: A shingle is rare if so many times the pairs that hold it are fewer than all pairs of a task; columns and pairs handled at once.
+RARE, COLUMNS, PAIRS_AT_ONCE = 128, 2048, 1 << 21
 SIGNED = "row long, key long, text_class binary, signature array<int>"
 
 
@@ -114,24 +121,115 @@ def _spanning(least: int):
     return span
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many shingles each set of a shares with each of b (with each other of a, if b is None). Frequent shingles are columns of a matrix product, rare ones are paired off."""
+    left, right = len(a), len(a if b is None else b)
+    both = a if b is None else a + b
+    member = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, word = np.unique(np.concatenate(both), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    member, word = member[order], word[order]
+    n_words = int(word[-1]) + 1 if len(word) else 0
+    if b is None:
+        mem_a, word_a, mem_b, word_b = member, word, member, word
+    else:
+        own = member < left
+        mem_a, word_a, mem_b, word_b = member[own], word[own], member[~own] - left, word[~own]
+    in_a, in_b = np.bincount(word_a, minlength=n_words), np.bincount(word_b, minlength=n_words)
+    rare = in_a * in_b * RARE < left * right
+    shared = np.zeros((left, right), np.float32)
+    # Frequent shingles.
+    place = np.cumsum(~rare) - 1
+    keep_a, keep_b = ~rare[word_a], ~rare[word_b]
+    row_a, col_a, row_b, col_b = mem_a[keep_a], place[word_a[keep_a]], mem_b[keep_b], place[word_b[keep_b]]
+    for low in range(0, int((~rare).sum()), COLUMNS):
+        held = []
+        for n, r, c in ((left, row_a, col_a), (right, row_b, col_b)):
+            i, j = np.searchsorted(c, (low, low + COLUMNS))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[r[i:j], c[i:j] - low] = 1
+            held.append(m)
+        shared += held[0] @ held[1].T
+    # Rare shingles.
+    start_a, start_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    pairs = np.flatnonzero(rare & (in_a * in_b > 0))
+    ends = np.cumsum((in_a * in_b)[pairs])
+    at = 0
+    while at < len(pairs):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        w = pairs[at:end]
+        times = (in_a * in_b)[w]
+        k = np.repeat(w, times)
+        nth = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)
+        cell = mem_a[start_a[k] + nth // in_b[k]] * right + mem_b[start_b[k] + nth % in_b[k]]
+        shared += np.bincount(cell, minlength=left * right).reshape(left, right).astype(np.float32)
+        at = end
+    return shared
+
+
+def are_close(shared: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
+    return shared >= threshold * union - 1e-6
+
+
+def _sets_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64) for x in t.column("shingles").to_pylist()]
+
+
+def _counting(threshold: float):
+    """Of a pair of blocks of a component (side 1 is empty where a block meets itself): how many links each text has."""
+
+    def count(t: pa.Table) -> pa.Table:
+        rep, side, sets = t.column("rep").to_numpy(), t.column("side").to_numpy(), _sets_of(t)
+        a, b = [sets[i] for i in np.flatnonzero(side == 0)], [sets[i] for i in np.flatnonzero(side == 1)]
+        if b:
+            close = are_close(shared_counts(a, b), a, b, threshold) if a else np.zeros((0, len(b)), bool)
+            n = np.concatenate([close.sum(1), close.sum(0)])
+        else:
+            n = are_close(shared_counts(a), a, a, threshold).sum(1) - 1
+            if (t.column("low")[0].as_py(), t.column("i")[0].as_py()) != (t.column("high")[0].as_py(), t.column("j")[0].as_py()):
+                n[:] = 0  # The other block has no member.
+        order = np.concatenate([np.flatnonzero(side == 0), np.flatnonzero(side == 1)])
+        return pa.table({"rep": pa.array(rep[order], pa.int64()), "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0))
+
+    return count
+
+
+def link_counts(label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, degree): the exact number of texts of its component within the threshold of each text, for components of more than two texts (two have one link each).
+
+    label has (node, component), sets has (row, shingles). A component that fits a block is one
+    task. A larger one is cut by set size into classes, of which only neighbours can hold a pair
+    within the threshold, and these into blocks; every two blocks that can hold one meet in one
+    task, so that every pair is tested once.
+    """
+    size_class = F.floor(F.log("size") / F.lit(math.log(1 / threshold)) * 0.999)
+    member = written(label.join(sets.select(F.col("row").alias("node"), F.size("shingles").alias("size")), "node").select(F.col("node").alias("rep"), "component", "size", size_class.alias("own_class")), "members-sized")
+    classes = member.groupBy("component", "own_class").agg(F.count("*").alias("n"), F.sum("size").alias("load"))
+    total = Window.partitionBy("component")
+    near = total.orderBy("own_class")
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    whole = (F.sum("n").over(total) <= BLOCK_TEXTS) & (F.sum("load").over(total) <= BLOCK_SHINGLES)
+    classes = classes.withColumn("texts", F.sum("n").over(total)).withColumn("whole", whole).withColumn("parts", F.when(F.col("whole"), 1).otherwise(parts))
+    beside = lambda f, by: F.when(~F.col("whole") & (f("own_class").over(near) == F.col("own_class") + by), f("parts").over(near)).otherwise(0)
+    classes = classes.filter("texts > 2").select("component", "own_class", "whole", "parts", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    blocks = """flatten(array(
+        transform(sequence(0, parts - 1), k -> struct(c AS low, least(own, k) AS i, c AS high, greatest(own, k) AS j, int(own > k) AS side)),
+        IF(above > 0, transform(sequence(0, above - 1), k -> struct(c AS low, own AS i, c + 1 AS high, k AS j, 0 AS side)), array()),
+        IF(below > 0, transform(sequence(0, below - 1), k -> struct(c - 1 AS low, k AS i, c AS high, own AS j, 1 AS side)), array())))"""
+    placed = member.join(classes, ["component", "own_class"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("c", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("own_class")))
+    placed = written(placed.select("rep", "component", F.explode(F.expr(blocks)).alias("task")).select("rep", "component", "task.*"), "placed")
+    met = placed.join(sets.withColumnRenamed("row", "rep"), "rep")
+    counted = met.groupBy("component", "low", "i", "high", "j").applyInArrow(_counting(threshold), "rep long, n long")
+    return written(counted.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
+
+
 def _joining(threshold: float):
     """Of two blocks of a node: links that join different components, a tree of them."""
 
     def join(t: pa.Table) -> pa.Table:
-        rep, component = t.column("rep").to_numpy(), t.column("component").to_numpy()
-        sets = [np.asarray(x, np.int64) for x in t.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        member = np.repeat(np.arange(len(sets)), size)
-        _, word = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(word, kind="stable")
-        member, word = member[order], word[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(word[-1]) + 1, 4096):
-            a, b = np.searchsorted(word, (low, low + 4096))
-            held = np.zeros((len(sets), 4096), np.float32)
-            held[member[a:b], word[a:b] - low] = 1
-            shared += held @ held.T
-        close = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
+        rep, component, sets = t.column("rep").to_numpy(), t.column("component").to_numpy(), _sets_of(t)
+        close = are_close(shared_counts(sets), sets, sets, threshold)
         root = {c: c for c in component.tolist()}
 
         def find(c: int) -> int:
@@ -175,9 +273,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
     Columns: doc_id; class_id, the least doc_id of the documents that links of a Jaccard
     similarity of threshold or more connect; text_id, the least doc_id with the same words;
-    n_copies, rows with the same words; n_links, verified links of its text to other texts plus
-    its other copies. Links are those that the join tests: a tree of them spans every class,
-    copies and members of one node are not expanded into all pairs. Shingles are runs of five
+    n_copies, rows with the same words; n_links, the different texts within the threshold of its
+    text plus its other copies. All pairs of a class are counted, none is written. Shingles are runs of five
     words (ASCII white space, A-Z lower-cased); a shorter text is one shingle; null, empty and
     wordless texts are copies of each other. A null doc_id is the least. Repeated rows are
     copies. An empty table gives an empty result. docs is read twice and must give its rows in the
@@ -186,8 +283,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     return joined(docs, threshold, recall).select(id_of().alias("doc_id"), id_of("class_key").alias("class_id"), id_of("text_key").alias("text_id"), "n_copies", "n_links")
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """As ngram_join, by keys, with the row numbers of the table that is read."""
+def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True) -> DataFrame:
+    """As ngram_join, by keys, with the row numbers of the table that is read. Without count, n_links only tells if there are any (a tree of links spans a class)."""
     spark = docs.sparkSession
     least = least_depth(threshold, TREES, recall)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
@@ -215,13 +312,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     def shingled(need: DataFrame) -> DataFrame:
         return written(texts.join(written(need, "wanted"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sets = shingled(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
-        one = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-        two = one.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
-        return written(two.filter(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
-
-    links = verified(tested)
+    tested_sets = shingled(tested.select(F.col("a").alias("row")).unionByName(tested.select(F.col("b").alias("row"))).distinct())
+    one = tested.join(tested_sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    two = one.join(tested_sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
+    links = written(two.filter(jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
     label = components(links)
     # Second round: members of one node in different components. Large nodes are cut into blocks, every two of which meet in a task; only links that join components leave it.
     placed = crowded.filter("n > 2").select("node", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", "rep", F.coalesce("component", "rep").alias("component"))
@@ -239,16 +333,18 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
             links = written(links.unionByName(more).distinct(), "links")
             label = components(links)
 
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("degree"))
-    of_rep = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Every node row is in a tested pair, as the nodes of one text alone are left out.
+    degree = link_counts(label, tested_sets, threshold) if count else label.select(F.col("node").alias("rep"), F.lit(1).alias("degree"))
+    of_rep = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    of_rep = of_rep.withColumn("degree", F.coalesce("degree", F.col("component").isNotNull().cast("long"))).withColumn("component", F.coalesce("component", "rep"))
     least_key = of_rep.groupBy("component").agg(F.min("text_key").alias("class_key"))
-    of_rep = of_rep.join(least_key, "component").select("text_class", "rep", "class_key", "text_key", "n_copies", (F.coalesce("degree", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    of_rep = of_rep.join(least_key, "component").select("text_class", "rep", "class_key", "text_key", "n_copies", (F.col("degree") + F.col("n_copies") - 1).alias("n_links"))
     return signed.select("row", "key", "text_class").join(of_rep, "text_class").drop("text_class")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the least doc_id (of equal ones the first) stays, with all its columns."""
-    classes = joined(docs, threshold, recall)
+    classes = joined(docs, threshold, recall, count=False)
     # Only rows to drop are joined to the texts.
     several = written(classes.filter("key > class_key OR n_links > 0").select("class_key", "key", "row"), "members")
     first = several.groupBy("class_key").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias("row"))

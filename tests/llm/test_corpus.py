@@ -100,12 +100,24 @@ def test_quality_rules_and_training(spark, docs):
     assert len(got) == docs.count() and all(not r.kept for r in got if r.n_words < 20)
 
 
-def classes(by_id):
+def shingle_sets(by_id):
     sets = {}
     for k, t in by_id.items():
         w = low(t).encode().split()
         n = min(5, len(w))
         sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else {()}
+    return sets
+
+
+def links_of(by_id):
+    """Different texts within the threshold plus other copies."""
+    sets, words = shingle_sets(by_id), {k: tuple(low(t).encode().split()) for k, t in by_id.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return {a: len({words[b] for b in sets if words[b] != words[a] and near(a, b)}) + sum(words[b] == words[a] for b in sets) - 1 for a in sets}
+
+
+def classes(by_id):
+    sets = shingle_sets(by_id)
     root = {k: k for k in sets}
 
     def find(k):
@@ -125,12 +137,40 @@ def test_ngram_join(docs, by_id):
     got = {r.doc_id: r for r in ngram_join.ngram_join(docs).collect()}
     want = classes(by_id)
     assert {k: r.class_id for k, r in got.items()} == want
-    sizes = collections.Counter(want.values())
-    assert all((r.n_links > 0) == (sizes[want[k]] > 1) for k, r in got.items())
+    assert {k: r.n_links for k, r in got.items()} == links_of(by_id)
     kept = ngram_join.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
 
 
+def test_ngram_join_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 600)
+    r = random.Random(5)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    by_id = {}
+    for i in range(70):
+        words = base[: r.randint(85, 120)]
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = f"z{i}"
+        by_id[i] = " ".join(words)
+    spark.createDataFrame(list(by_id.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: r for r in ngram_join.ngram_join(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert {k: r.n_links for k, r in got.items()} == links_of(by_id)
+    assert {k: r.class_id for k, r in got.items()} == classes(by_id)
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, n, 60)) for n in (50, 90, 400, 400, 50) for _ in range(12)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    for rare in (0, 1, 128, 10**9):
+        monkeypatch.setattr(ngram_join, "RARE", rare)
+        monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 100)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 37)
+        assert (ngram_join.shared_counts(sets) == want).all()
+        assert (ngram_join.shared_counts(sets[:20], sets[20:]) == want[:20, 20:]).all()
+
+
 def test_fingerprints(docs, by_id):
     got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
     ids = sorted(by_id)
