@@ -9,27 +9,34 @@ different contexts, these are cut into shards, each shard gets its suffix order
 Burrows-Wheeler transform, and the transforms of all shards are merged by refining their
 interleave symbol by symbol: after h passes the suffixes of all shards stand in order of their
 first h bytes, without sorting them again, and blocks of equal prefixes are known. After 50
-passes the blocks are the repeated windows.
+passes the blocks are the repeated windows. A hot gram, one of very many contexts, does not meet
+in one task: its contexts are cut into their windows, and these meet by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowkit import binary_list, mixed
-from .common import id_of, key_of, written
+from .common import NULL_KEY, id_of, key_of, written
 
 #: Bytes of a repeat, and of the grams that the windows choose from.
 LENGTH, GRAM = 50, 24
-#: Bytes of texts that are winnowed together, of contexts in a shard, and of contexts merged at once (more where one gram has more).
+#: Bytes of texts that are winnowed together, of contexts in a shard, and of contexts merged at once (up to twice as many where a gram begins late).
 BLOCK, SHARD, MERGE = 2_000_000, 100_000, 600_000
+#: A gram of more contexts is hot: it goes to many tasks, by its windows. Hot grams are told by HOT_BITS bits of their hashes; a gram that shares them goes the same way.
+HOT, HOT_BITS = MERGE // (2 * LENGTH - GRAM), 22
+#: Entries of a task's memory of hot windows, which starts anew when full, and contexts that a task holds before it compares them.
+MEMO = HELD = 200_000
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -211,7 +218,7 @@ def _spread(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(deal, hash, row, many): of the texts of a block that chose a gram, one is dealt out by the gram; the others know already that it repeats and are dealt out evenly. many: there are others."""
+    """(deal, hash, row, n): of the texts of a block that chose a gram, one is dealt out by the gram; the others know already that it repeats and are dealt out evenly, with n = 0. n: the contexts that the gram has in the block, negative if all are in this text."""
     for b in it:
         for part in blocks(list(zip(b.column("row").to_pylist(), binary_list(b.column("text")), strict=True)), 1):
             t, h, _, _ = winnow([x[1] for x in part])
@@ -219,34 +226,100 @@ def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((row, h))
             h, row = h[order], row[order]
             keep = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+            begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+            n_contexts = np.diff(begins, append=len(h))
             h, row = h[keep], row[keep]
             one = np.r_[True, h[1:] != h[:-1]][: len(h)]
-            many = np.r_[~one[1:], False][: len(h)] | ~one
+            n = np.zeros(len(h), np.int32)
+            n[one] = np.where(np.diff(np.flatnonzero(one), append=len(h)) > 1, n_contexts, -n_contexts)
             deal = np.where(one, h, _spread(h, row))
-            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row), pa.array(many), pa.array(~one)], ["deal", "hash", "row", "many", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row), pa.array(n)], ["deal", "hash", "row", "n"])
+
+
+def _hot_bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - HOT_BITS)).astype(np.int64)
 
 
 def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition of anchors, those of grams that are met in more than one row."""
-    held = [[np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(4)] for b in it if b.num_rows]
+    """Of a partition of anchors, those of grams that are met in more than one row. Buckets of hot grams come as rows below 0."""
+    held = [[np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(3)] for b in it if b.num_rows]
     if not held:
         return
-    h, row, many, known = (np.concatenate(c) for c in zip(*held, strict=True))
+    h, row, n = (np.concatenate(c) for c in zip(*held, strict=True))
     del held
     order = np.argsort(h, kind="stable")
-    h, row, many, known = h[order], row[order], many[order], known[order]
+    h, row, n = h[order], row[order], n[order]
     same = h[1:] == h[:-1]
-    again = np.r_[False, same] | np.r_[same, False] | many | known
-    h, row = h[again], row[again]
+    again = np.r_[False, same] | np.r_[same, False] | (n >= 0)
+    h, row, n = h[again], row[again], n[again]
+    begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    if len(h):
+        bucket = np.unique(_hot_bucket(h[begins][np.add.reduceat(np.abs(n.astype(np.int64)), begins) > HOT].view(np.uint64)))
+        h, row = np.concatenate([h, bucket]), np.concatenate([row, -1 - bucket // 64])
     for i in range(0, len(h), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(row[i : i + 100_000]), pa.array(h[i : i + 100_000])], ["row", "hash"])
 
 
-CONTEXT = "deal long, hash long, row long, key long, first int, windows int, context binary"
+def hot_buckets(facts: DataFrame) -> np.ndarray:
+    """The buckets of hot grams as bits, of a size that no input changes."""
+    words = facts.filter("row < 0").select(F.explode("hashes").alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
+    out = np.zeros((1 << HOT_BITS) // 64, np.int64)
+    for r in words.collect():
+        out[r.word] = r.bits
+    return out
+
+
+CONTEXT = "deal long, hash long, row long, key long, first int, windows int, context binary, others binary"
+
+
+def _packed(places: list[tuple[int, int]]) -> bytes | None:
+    """(row, first) of the rows of a block that ask the same as one of them, with the same key; it travels for all."""
+    return np.array(places, np.int64).tobytes() if places else None
+
+
+def _cut(contexts: list[tuple[bytes, int, list[tuple[int, int]]]], told: dict[bytes, int]) -> list[tuple]:
+    """Contexts (bytes, key, places) of hot grams of a block as rows of CONTEXT: each window that no smaller key of this task has had is a context of its own, dealt out by its bytes; runs of the others are settled. told: the least key of each window so far."""
+    out: list[tuple] = []
+    mine: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+    for c, key, places in contexts:
+        n = len(c) - LENGTH + 1
+        gone = -1
+        for j in range(n + 1):
+            done = False
+            if j < n:
+                w = c[j : j + LENGTH]
+                k = told.get(w)
+                done = k is not None and k < key
+                if not done:
+                    if k is None and len(told) >= MEMO:
+                        told.clear()
+                    told[w] = key
+                    if w in mine and mine[w][0] == key:
+                        mine[w][1].extend((r, f + j) for r, f in places)
+                    elif k != NULL_KEY:
+                        # The least key of all has nothing to ask; it tells a window once.
+                        mine[w] = key, [(r, f + j) for r, f in places]
+                        out.append((w, key, mine[w][1]))
+            if done and gone < 0:
+                gone = j
+            elif not done and gone >= 0:
+                out += [(None, key, [(r, f + gone, j - gone)]) for r, f in places]
+                gone = -1
+    rows = []
+    for w, key, places in out:
+        if w is None:
+            row, first, windows = places[0]
+            rows.append((xxhash.xxh3_64_intdigest(b"%d %d" % (row, first)), 0, row, key, first, windows, None, None))
+        else:
+            h = xxhash.xxh3_64_intdigest(w)
+            rows.append((h, h, places[0][0], key, places[0][1], 1, w, _packed(places[1:] if key != NULL_KEY else [])))
+    return rows
 
 
-def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of repeated grams. One that a smaller key of the same block has too is settled: its bytes stay behind and it is dealt out evenly."""
+def _contexts(it: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Contexts of repeated grams. One that a smaller key of the same block has too is settled: its bytes stay behind and it is dealt out evenly. Equal ones of one key travel as one row. Those of hot grams are cut."""
+    told: dict[bytes, int] = {}
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
     for b in it:
         rows = sorted(zip(b.column("key").to_pylist(), b.column("row").to_pylist(), binary_list(b.column("text")), b.column("hashes").to_pylist(), strict=True), key=lambda r: r[:2])
         for part in blocks(rows, 2):
@@ -258,63 +331,91 @@ def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.isin(mixed(h + mixed(t.astype(np.uint64))), mixed(wanted + mixed(np.repeat(np.arange(len(part)), size).astype(np.uint64))))
             t, h, first, last = t[keep], h[keep], first[keep], last[keep]
             row, key = np.array([x[1] for x in part])[t], np.array([x[0] for x in part])[t]
-            seen: dict[bytes, int] = {}
-            out, settled = [], []
-            for i, a, z, k in zip(t.tolist(), first.tolist(), (last + LENGTH).tolist(), key.tolist(), strict=True):
-                c = texts[i][a:z]
-                done = seen.setdefault(c, k) < k
-                settled.append(done)
-                out.append(None if done else c)
-            deal = np.where(np.array(settled, bool), _spread(h, row + first), h)
-            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(last - first + 1, pa.int32()), pa.array(out, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
+            bucket = _hot_bucket(h)
+            is_hot = (hot[bucket // 64] >> (bucket % 64)) & 1 == 1
+            seen: dict[bytes, tuple[int, int]] = {}
+            out, settled, goes, places = [], [], [], {}
+            for i, (a, z, k) in enumerate(zip(first.tolist(), (last + LENGTH).tolist(), key.tolist(), strict=True)):
+                c = texts[t[i]][a:z]
+                least, at = seen.setdefault(c, (k, i))
+                settled.append(least < k)
+                goes.append(least < k or at == i)
+                out.append(c if at == i else None)
+                if least == k and at != i and k != NULL_KEY:
+                    places.setdefault(at, []).append((part[t[i]][1], a))
+            whole, keep = np.array(settled, bool), np.array(goes, bool)
+            cut = np.flatnonzero(is_hot & ~whole & keep).tolist()
+            if cut:
+                for some in batched(_cut([(out[i], int(key[i]), [(int(row[i]), int(first[i])), *places.get(i, ())]) for i in cut], told), 50_000):
+                    deals, hashes, *cols = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (deals, hashes)), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))], names)
+            keep &= whole | ~is_hot
+            at = np.flatnonzero(keep).tolist()
+            out, others = [out[i] for i in at], [_packed(places[i]) if i in places else None for i in at]
+            h, row, key, first, last, whole = h[keep], row[keep], key[keep], first[keep], last[keep], whole[keep]
+            deal = np.where(whole, _spread(h, row + first), h)
+            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(last - first + 1, pa.int32()), pa.array(out, pa.binary()), pa.array(others, pa.binary())], names)
+
+
+SPANS = ["row", "first", "end"]
 
 
 def _covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, first, end): bytes covered by repeated windows, from a partition of contexts."""
-    schema = ["row", "first", "end"]
+    """(row, first, end): bytes covered by repeated windows, from a partition of contexts in order of deal. Grams are compared as they come, about MERGE bytes of contexts at once."""
     kept: list[tuple] = []
     least: dict[tuple[int, bytes], int] = {}
+    size, own, n_own, last = 0, 0, 0, None
     for b in it:
-        h, row, key, first, windows, context = (b.column(i).to_pylist() for i in range(1, 7))
+        h, row, key, first, windows, context, others = (b.column(i).to_pylist() for i in range(1, 8))
         done = [i for i, c in enumerate(context) if c is None]
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([row[i] for i in done], pa.int64()), pa.array([first[i] for i in done], pa.int32()), pa.array([first[i] + windows[i] + LENGTH - 1 for i in done], pa.int32())], schema)
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for i in done], pa.int64()), pa.array([first[i] for i in done], pa.int32()), pa.array([first[i] + windows[i] + LENGTH - 1 for i in done], pa.int32())], SPANS)
         for i, c in enumerate(context):
             if c is not None:
-                at = (h[i], c)
+                if h[i] != last:
+                    # Only the contexts of a gram with several will be merged.
+                    size += own if n_own > 1 else 0
+                    own, n_own, last = 0, 0, h[i]
+                    if size >= MERGE or len(kept) >= HELD:
+                        yield from _compared(kept, least)
+                        kept, least, size = [], {}, 0
+                at = (last, c)
                 k = least.get(at)
+                if k is None:
+                    own += len(c)
+                    n_own += 1
                 if k is None or key[i] < k:
                     least[at] = key[i]
-                kept.append((at, row[i], key[i], first[i], windows[i]))
+                kept.append((at, row[i], key[i], first[i], windows[i], others[i]))
+    yield from _compared(kept, least)
+
+
+def _compared(kept: list[tuple], least: dict[tuple[int, bytes], int]) -> Iterator[pa.RecordBatch]:
+    """The same of whole grams: kept has ((gram, context), row, key, first, windows, others), least the least key of each context."""
     of_gram: dict[int, int] = {}
     for g, _ in least:
         of_gram[g] = of_gram.get(g, 0) + 1
     # Only grams with several different contexts need their suffixes compared. Those of a gram stay together.
     several = sorted((at for at in least if of_gram[at[0]] > 1), key=lambda at: at[0])
     lowest: dict[tuple[int, bytes], np.ndarray] = {}
-    at = 0
-    while at < len(several):
-        end, size = at, 0
-        while end < len(several) and (size < MERGE or several[end][0] == several[end - 1][0]):
-            size += len(several[end][1])
-            end += 1
-        part = several[at:end]
-        lowest.update(zip(part, least_windows([c for _, c in part], np.array([least[x] for x in part], np.int64)), strict=True))
-        at = end
+    if several:
+        lowest.update(zip(several, least_windows([c for _, c in several], np.array([least[x] for x in several], np.int64)), strict=True))
     out: list[tuple[int, int, int]] = []
-    for at, row, key, first, windows in kept:
+    for at, row, key, first, windows, others in kept:
+        runs: list[tuple[int, int]] = []
         if least[at] < key:
-            out.append((row, first, first + windows + LENGTH - 1))
+            runs = [(0, windows)]
         elif at in lowest:
             hit = lowest[at] < key
-            if hit.all():
-                out.append((row, first, first + windows + LENGTH - 1))
-            elif hit.any():
+            if hit.any():
                 edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                out += [(row, first + a, first + z - 1 + LENGTH) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+                runs = list(zip(edge[::2], edge[1::2], strict=True))
+        if runs:
+            for r, f in [(row, first), *(np.frombuffer(others, np.int64).reshape(-1, 2).tolist() if others else ())]:
+                out += [(r, f + a, f + z - 1 + LENGTH) for a, z in runs]
     for i in range(0, len(out), 50_000):
         a, f, e = zip(*out[i : i + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(e, pa.int32())], schema)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(e, pa.int32())], SPANS)
 
 
 def cut_out(text: bytes, spans: list[dict] | None, copy: bool) -> tuple[bytes, int, int]:
@@ -343,16 +444,18 @@ def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
     rest = F.struct(*columns) if columns else F.lit(0)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
     texts = rows.select("row", "text")
-    anchors = texts.mapInArrow(_anchors, "deal long, hash long, row long, many boolean, known boolean").repartition(n, "deal").drop("deal")
+    anchors = texts.mapInArrow(_anchors, "deal long, hash long, row long, n int").repartition(n, "deal").drop("deal")
     wanted = anchors.mapInArrow(_repeated, "row long, hash long").groupBy("row").agg(F.collect_list("hash").alias("hashes"))
     digests = rows.select("row", "key", F.md5("text").alias("digest"))
     least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
-    facts = digests.join(least, "digest", "left").select("row", "key", F.coalesce(F.col("least") < F.col("key"), F.lit(False)).alias("copy")).join(wanted, "row", "left")
+    facts = digests.join(least, "digest", "left").select("row", "key", F.coalesce(F.col("least") < F.col("key"), F.lit(False)).alias("copy")).join(wanted, "row", "full_outer")
     facts = written(facts, "passage-facts")
+    hot = hot_buckets(facts)
+    facts = facts.filter("row >= 0")
     # Both joins read one exchange of the texts.
     asked = facts.filter("NOT copy AND hashes IS NOT NULL").select(F.col("row").alias("r"), "hashes")
-    contexts = rows.join(asked.hint("merge"), F.col("row") == F.col("r")).select("row", "key", "text", "hashes").mapInArrow(_contexts, CONTEXT)
-    spans = contexts.repartition(n, "deal").mapInArrow(_covered, "row long, first int, end int").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    contexts = rows.join(asked.hint("merge"), F.col("row") == F.col("r")).select("row", "key", "text", "hashes").mapInArrow(lambda it: _contexts(it, hot), CONTEXT)
+    spans = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_covered, "row long, first int, end int").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     told = facts.select("row", "copy").join(spans, "row", "left").withColumnRenamed("row", "r")
     return rows.join(told.hint("merge"), F.col("row") == F.col("r")).drop("r", "row")
 

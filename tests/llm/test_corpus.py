@@ -285,6 +285,65 @@ def test_suffix_dedup(docs, by_id):
     assert suffix_dedup.remove_repeats(docs).columns == docs.columns
 
 
+def test_suffix_dedup_of_a_hot_gram(spark, tmp_path, monkeypatch):
+    """One phrase amid differing surroundings: no gram's contexts may meet whole in one task, and the result stays."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    phrases = ["the phrase that is met in every text", "the phrase that is met in every text and then goes on for long enough to repeat"]
+    made = {i: " ".join([*(word() for _ in range(r.randint(0, 12))), r.choice(phrases), r.choice("xy"), *(word() for _ in range(r.randint(0, 12)))] * r.randint(1, 2)) for i in range(-40, 260)}
+    rows = [(i, t) for i, t in made.items()]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    # Monkeypatched values do not reach the workers; what meets is looked at here.
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "MERGE", 1000)
+    import pyarrow as pa
+
+    texts = [(n, k, t.encode()) for n, (k, t) in enumerate(rows)]
+    blocks = [pa.RecordBatch.from_pylist([{"row": n, "key": k, "text": t} for n, k, t in texts[i : i + 30]]) for i in range(0, len(texts), 30)]
+    anchors = [b for block in blocks for b in suffix_dedup._anchors(iter([block.select(["row", "text"])]))]
+    wanted, hot = collections.defaultdict(list), np.zeros((1 << suffix_dedup.HOT_BITS) // 64, np.int64)
+    for b in suffix_dedup._repeated(iter([b.select(["hash", "row", "n"]) for b in anchors])):
+        for n, h in zip(b.column("row").to_pylist(), b.column("hash").to_pylist()):
+            if n < 0:
+                hot[h // 64] |= np.int64(np.uint64(1 << (h % 64)))
+            else:
+                wanted[n].append(h)
+    assert hot.any()
+    asked = [block.append_column("hashes", pa.array([wanted[n] for n in block.column("row").to_pylist()], pa.list_(pa.int64()))) for block in blocks]
+    met = [x for part in (asked[:5], asked[5:]) for b in suffix_dedup._contexts(iter(part), hot) for x in b.to_pylist()]
+    groups = collections.defaultdict(set)
+    for x in met:
+        if x["context"] is not None:
+            groups[x["deal"]].add(x["context"])
+    assert max(map(len, groups.values())) <= 20
+    # One row a task, and few more, asks for each window, though a text repeats its phrase.
+    assert max(collections.Counter(x["deal"] for x in met if x["context"] is not None and x["windows"] == 1).values()) <= 20
+    spans = collections.defaultdict(list)
+    dealt = sorted(met, key=lambda x: x["deal"])
+    schema = pa.schema([("deal", pa.int64()), ("hash", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("context", pa.binary()), ("others", pa.binary())])
+    for b in suffix_dedup._covered(iter([pa.RecordBatch.from_pylist(dealt, schema)])):
+        for x in b.to_pylist():
+            spans[x["row"]].append(x)
+    want = removed(made)
+    for n, k, t in texts:
+        left, gone, runs = suffix_dedup.cut_out(t, spans[n], False)
+        assert (len(t), gone, runs, hashlib.sha256(left).hexdigest()) == want[k]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == want
+
+
+def test_hot_grams_of_a_table(spark, tmp_path):
+    """With hot grams by the true bound, through Spark."""
+    r = random.Random(5)
+    made = {i: "".join(r.choice("abcdefgh") for _ in range(30)) + " the phrase that is met in every text, "[: 30 + i % 9] + "".join(r.choice("abc") for _ in range(3 + i % 40)) for i in range(suffix_dedup.HOT + 300)}
+    spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/d")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.suffix_dedup(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert got == removed(made)
+    assert sum(x[1] for x in got.values()) > 0
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_merged_transforms_find_all_repeats(seed):
     r = random.Random(seed)
