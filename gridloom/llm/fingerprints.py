@@ -78,38 +78,45 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS) -> Dat
     return made.select("doc_id", "sketch", distinct_shingles(F.col("sketch"), k).alias("n_shingles"))
 
 
-def previous_by_id(ids: DataFrame) -> DataFrame:
-    """(key, n_chars) -> (key, prev, prev_chars): each key with the row before it in ascending order; the first follows the last. Keys must be distinct."""
+#: Rows stand in this order; the row number tells rows of one doc_id and text apart.
+ORDER = ("key", "h", "row")
+
+
+def previous_rows(ids: DataFrame) -> DataFrame:
+    """(key, h, row, n_chars) -> (row, key, prev, prev_chars): each row with the one before it in ascending order of key, h and row; the first follows the last. Rows must be distinct, so no key is a hot group."""
     spark = ids.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + ids.count() // ORDER_ROWS)
-    dealt = written(ids.repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "id-order")
-    last = dealt.groupBy("part").agg(F.max(F.struct("key", "n_chars")).alias("last"))
+    dealt = written(ids.repartitionByRange(n, *ORDER).withColumn("part", F.spark_partition_id()), "id-order")
+    last = dealt.groupBy("part").agg(F.max(F.struct(*ORDER, "n_chars")).alias("last"))
     # A row for each partition, not for each document.
     carry = last.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("carry"))
-    within = F.lag(F.struct("key", "n_chars")).over(Window.partitionBy("part").orderBy("key"))
+    within = F.lag(F.struct(*ORDER, "n_chars")).over(Window.partitionBy("part").orderBy(*ORDER))
     joined = dealt.withColumn("before", within).join(F.broadcast(carry), "part")
     before = F.coalesce("before", "carry")
-    return joined.select("key", before["key"].alias("prev"), before["n_chars"].alias("prev_chars"))
+    return joined.select("row", "key", before["row"].alias("prev"), before["n_chars"].alias("prev_chars"))
 
 
-def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS, repeats: bool = False) -> DataFrame:
     """Fingerprint every text and its edited text: the last quarter of its code points replaced by as many first ones (or all) of the next document by ascending doc_id, after the last the first.
 
     docs: doc_id, text; other columns are ignored. Columns: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, n_shingles (estimated). A null text
-    counts as empty, a null doc_id as the smallest. Rows that repeat a doc_id count once, with
-    the text whose hash is the largest. A table of one document is its own next.
+    counts as empty, a null doc_id as the smallest. With repeats every row of docs is returned,
+    and rows of one doc_id follow each other by their texts' hashes; without, they count once,
+    with the text whose hash is the largest. A table of one document is its own next. docs is
+    read twice and must give its rows in the same partitions each time, as a Parquet table does.
     """
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(key_of().alias("key"), text.alias("text"), F.xxhash64(text).alias("h"))
-    lengths = docs.select(key_of().alias("key"), F.length(text).alias("n_chars"), F.xxhash64(text).alias("h"))
-    order = previous_by_id(lengths.groupBy("key").agg(F.max_by("n_chars", "h").alias("n_chars")))
-    later = F.lag(F.lit(True)).over(Window.partitionBy("key").orderBy(F.desc("h")))
-    texts = texts.withColumn("repeat", later).filter(F.col("repeat").isNull())
+    row = F.monotonically_increasing_id().alias("row")
+    texts = docs.select(row, text.alias("text"))
+    ids = docs.select(row, key_of().alias("key"), F.xxhash64(text).alias("h"), F.length(text).alias("n_chars"))
+    if not repeats:
+        ids = ids.groupBy("key").agg(F.max(F.struct("h", "row", "n_chars")).alias("last")).select("key", "last.*")
+    order = previous_rows(ids)
     # The texts are shuffled once; both uses below read the same exchange.
-    own = texts.join(order.hint("merge"), "key")
-    head = own.select(F.col("prev").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"))
-    pairs = own.select("key", "text").join(head.hint("merge"), "key")
+    own = texts.join(order.hint("merge"), "row")
+    head = own.select(F.col("prev").alias("row"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"))
+    pairs = own.select("row", "key", "text").join(head.hint("merge"), "row")
     n = F.length("text")
     pairs = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head")))
     pairs = pairs.select("key", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("a"), sketch(F.col("edited"), k, width).alias("b"), "next_sketch")

@@ -37,7 +37,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprint_edits(table(spark, sf_dir, "documents"), repeats=True)
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,24 @@ def test_fingerprints(docs, by_id):
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_fingerprints_of_every_row(spark, tmp_path):
+    """The query returns rows that share a doc_id or have none, each with a successor of its own."""
+    import xxhash
+
+    from gridloom.llm.queries import op4_fingerprints
+
+    rows = [(r, f"{'word ' * (i % 7)}text {i // 2 if r == 5 else i}") for i, r in enumerate([None] * 20 + [5] * 20 + list(range(20)))] + [(None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    order = sorted((-(2**63) if k is None else k, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t or "") for k, t in rows)
+    want = []
+    for (k, _, t), (_, _, after) in zip(order, order[1:] + order[:1]):
+        n = len(t) // 4
+        want.append((k, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    got = [(-(2**63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in op4_fingerprints(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(rows)
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
