@@ -9,6 +9,7 @@ likelihood by the scaled forward recursion.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,12 +23,18 @@ from pyspark.sql import functions as F
 from .arrowkit import TO_LOWER, batches, binary_list
 from .common import written
 
-STATES, ROUNDS = 4, 3
+STATES = 8
+#: Baum-Welch ends when a round raises the log-likelihood by less than this share, or after ROUNDS rounds.
+GAIN, ROUNDS = 1e-2, 8
 #: Words that are symbols of their own, and words whose counts are sent to every task: fixed bounds.
-SYMBOLS, COMMON = 2048, 32_768
-CLASSES = 16
-#: For training, documents are cut into runs of so many tokens.
-RUN = 128
+SYMBOLS, COMMON = 8192, 32_768
+#: Other words fall in classes by length and by the hash of their last two bytes.
+LENGTHS, ENDINGS = 4, 64
+CLASSES = LENGTHS * ENDINGS
+#: Bins of a doubling in the histogram of word counts.
+BINS = 64
+#: Steps of a sequence whose forward vectors are held at once; those of earlier steps are computed again from the carried ones.
+RUN = 4096
 #: The end token stands for itself; its bytes cannot be a word.
 END = b" "
 #: Distinct words that a task counts before it passes them on.
@@ -35,10 +42,8 @@ COUNT_WORDS = 400_000
 
 
 def shape(word: bytes) -> int:
-    """A class of 0 .. CLASSES - 1: by length in bytes and the kind of the last character."""
-    last = word[-1]
-    kind = 0 if 97 <= last <= 122 else 1 if last >= 128 else 2 if 48 <= last <= 57 else 3
-    return 4 * min(3, len(word) // 5) + kind
+    """A class of 0 .. CLASSES - 1: by length in bytes and the last two bytes, which tell languages and kinds of words apart."""
+    return ENDINGS * min(LENGTHS - 1, len(word) // 5) + zlib.crc32(word[-2:]) % ENDINGS
 
 
 def word_hash(word: bytes) -> int:
@@ -94,8 +99,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def word_stats(counts: DataFrame, common: int = COMMON, symbols: int = SYMBOLS) -> WordStats:
-    """counts: a written table. Only the common words and a row for each class come to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(common).collect()
+    """counts: a written table. Only the common words, those above the count that a histogram of bounded size gives, and a row for each class come to the driver."""
+    binned = counts.withColumn("bin", F.floor(F.log2("n") * BINS))
+    left, least = common, None
+    for r in binned.groupBy("bin").agg(F.count("*").alias("v")).orderBy(F.desc("bin")).collect():
+        left -= r.v
+        if left < 0:
+            break
+        least = r.bin
+    top = binned.filter(F.col("bin") >= least).collect() if least is not None else []
     top = sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
     symbol = {w: i for i, (w, _) in enumerate([x for x in top if x[0] != END][: symbols - 1], 1)} | {END: 0}
     ct, cv = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -173,87 +185,117 @@ def tokenised(docs: DataFrame, stats: WordStats) -> DataFrame:
 
 
 def first_model(stats: WordStats, states: int = STATES) -> Hmm:
-    """Shares of symbols in the corpus, moved apart a little and the same on every run."""
+    """Shares of symbols in the corpus, moved apart and the same on every run; states tend to stay."""
     rng = np.random.default_rng(10)
     share = np.zeros(len(stats.symbol) + CLASSES)
     for w, i in stats.symbol.items():
         share[i] = stats.common.get(w, 0)
     share[len(stats.symbol) :] = stats.class_tokens
-    emit = (share + 1) * rng.uniform(0.5, 1.5, (states, len(share)))
-    step = rng.uniform(0.5, 1.5, (states, states)) + np.eye(states)
-    return Hmm(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-
-def _runs(symbols: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents cut into runs: a matrix (runs, run) padded with 0, the runs' lengths, and which begin a document. Longest first."""
-    parts, first = [], []
-    for s in symbols:
-        for i in range(0, len(s), run):
-            parts.append(s[i : i + run])
-            first.append(i == 0)
-    size = np.array([len(p) for p in parts])
-    order = np.argsort(-size, kind="stable")
-    out = np.zeros((len(parts), run), np.int64)
-    for k, i in enumerate(order):
-        out[k, : size[i]] = parts[i]
-    return out, size[order], np.array(first)[order]
-
-
-def expected_counts(model: Hmm, symbols: list[np.ndarray], run: int = RUN) -> np.ndarray:
-    """Forward-backward over runs: expected starts, steps and emissions (flat, in this order), then the log-likelihood."""
+    emit = (share + 1) * rng.uniform(0.2, 1.8, (states, len(share)))
+    step = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    return Hmm(np.full(states, 1 / states), step, emit / emit.sum(1, keepdims=True))
+
+
+class Sequences:
+    """Symbol sequences side by side, longest first, step by step: symbols number t of those that have one stand at flat[at[t] : at[t + 1]]."""
+
+    def __init__(self, symbols: list[np.ndarray]):
+        size = np.array([len(x) for x in symbols])
+        self.order = np.argsort(-size, kind="stable")
+        size = size[self.order]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        narrow = step.astype(np.uint16) if size[0] <= 1 << 16 else step
+        self.flat = np.concatenate([symbols[i] for i in self.order])[np.argsort(narrow, kind="stable")].astype(np.int64)
+        self.at = np.r_[0, np.cumsum(np.bincount(step))].tolist()
+        self.longest = len(self.at) - 1
+
+
+class Segment:
+    """Scaled forward vectors (a), their scales (z) and emissions (e) of steps first .. end - 1, from the carried vectors of the step before."""
+
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, seqs: Sequences, carried: np.ndarray | None, first: int, end: int):
+        base = seqs.at[first]
+        self.symbols = seqs.flat[base : seqs.at[end]]
+        self.at = [x - base for x in seqs.at[first : end + 1]]
+        self.e = emit.take(self.symbols, axis=0)
+        self.a, self.z = np.empty_like(self.e), np.empty(len(self.e), self.e.dtype)
+        one = np.ones(len(start), self.e.dtype)
+        last = carried
+        for i, j in zip(self.at, self.at[1:]):
+            a = self.a[i:j]
+            if last is None:
+                a[:] = start
+            else:
+                np.matmul(last[: j - i], step, out=a)
+            a *= self.e[i:j]
+            z = np.matmul(a, one, out=self.z[i:j])
+            a /= z[:, None]
+            last = a
+        self.carried = last
+
+
+def expected_counts(model: Hmm, symbols: list[np.ndarray], run: int = RUN, kind=np.float32) -> np.ndarray:
+    """Forward-backward over whole sequences: expected starts, steps and emissions (flat, in this order), then the log-likelihood. Vectors of run steps are held at once; both directions carry theirs across, so no step is left out."""
     s, m = model.emit.shape
-    x, size, first = _runs(symbols, run)
-    live = [int((size > t).sum()) for t in range(size[0])]
-    e = model.emit.T
-    n = len(x)
-    alpha = np.empty((size[0], n, s))
-    scale = np.ones((size[0], n))
-    # A run inside a document starts from the states' long-run shares.
-    stay = np.full(s, 1 / s)
-    for _ in range(50):
-        stay = stay @ model.step
-    a = np.where(first[:, None], model.start, stay)
-    for t in range(size[0]):
-        k = live[t]
-        a = (a if t == 0 else a[:k] @ model.step)[:k] * e[x[:k, t]]
-        scale[t, :k] = a.sum(1)
-        a = a / scale[t, :k, None]
-        alpha[t, :k] = a
-    steps, emits = np.zeros((s, s)), np.zeros((m, s))
-    beta = np.ones((n, s))
-    for t in range(size[0] - 1, -1, -1):
-        k = live[t]
-        if t + 1 < size[0]:
-            j = live[t + 1]
-            back = e[x[:j, t + 1]] * beta[:j] / scale[t + 1, :j, None]
-            steps += model.step * (alpha[t, :j].T @ back)
-            beta[:j] = back @ model.step.T
-        gamma = alpha[t, :k] * beta[:k]
-        for i in range(s):
-            emits[:, i] += np.bincount(x[:k, t], gamma[:, i], m)
-    starts = (alpha[0] * beta)[first].sum(0)
-    return np.r_[starts, steps.ravel(), emits.T.ravel(), np.log10(scale).sum()]
-
-
-def baum_welch(tokens: DataFrame, model: Hmm, rounds: int = ROUNDS, run: int = RUN) -> tuple[Hmm, list[float]]:
-    """Re-estimate on all rows of tokens (symbols); also the log10 likelihood before each round. The sums have a fixed number of cells."""
+    seqs = Sequences(symbols)
+    start, step, emit = model.start.astype(kind), model.step.astype(kind), np.ascontiguousarray(model.emit.T, kind)
+    firsts = list(range(0, seqs.longest, run))
+    carried: list[np.ndarray | None] = [None]
+    said, held = 0.0, None
+    for first in firsts:
+        held = Segment(start, step, emit, seqs, carried[-1], first, min(seqs.longest, first + run))
+        said += float(np.log10(held.z, dtype=np.float64).sum())
+        carried.append(held.carried)
+    steps, emits = np.zeros((s, s)), np.zeros((s, m))
+    beta, after = np.ones((len(symbols), s), kind), None
+    back_step = np.ascontiguousarray(step.T)
+    for k in range(len(firsts) - 1, -1, -1):
+        seg = held or Segment(start, step, emit, seqs, carried[k], firsts[k], min(seqs.longest, firsts[k] + run))
+        held = None
+        gamma = np.empty_like(seg.a)
+        for i, j in zip(seg.at[-2::-1], seg.at[:0:-1]):
+            a = seg.a[i:j]
+            if after is not None:
+                n = len(after[1])
+                back = after[0] * beta[:n]
+                back /= after[1][:, None]
+                steps += a[:n].T @ back
+                np.matmul(back, back_step, out=beta[:n])
+            np.multiply(a, beta[: j - i], out=gamma[i:j])
+            after = seg.e[i:j], seg.z[i:j]
+        for q in range(s):
+            emits[q] += np.bincount(seg.symbols, gamma[:, q], m)
+        starts = gamma[: seg.at[1]].sum(0, dtype=np.float64)
+    return np.r_[starts, (model.step * steps).ravel(), emits.ravel(), said]
+
+
+def _added(model: Hmm, symbols: Iterator[bytes], at_once: int = 1_000_000) -> np.ndarray | None:
+    """The sum of expected counts, at_once bytes of sequences at a time."""
+    total, held, size = None, [], 0
+    for raw in [*symbols, None]:
+        if raw is not None:
+            held.append(np.frombuffer(raw, np.uint16))
+            size += len(raw)
+        if held and (raw is None or size > at_once):
+            got = expected_counts(model, held)
+            total = got if total is None else total + got
+            held, size = [], 0
+    return total
+
+
+def baum_welch(tokens: DataFrame, model: Hmm, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[Hmm, list[float]]:
+    """Re-estimate on all rows of tokens (symbols) until a round gains little; also the log10 likelihood before each round. The sums have a fixed number of cells."""
     s, m = model.emit.shape
-    said = []
+    said: list[float] = []
     for _ in range(rounds):
         now = model
 
         def gather(it: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = None
             for b in it:
-                held, size = [], 0
-                for raw in [*b.column("symbols").to_pylist(), None]:
-                    if raw is not None:
-                        held.append(np.frombuffer(raw, np.uint16))
-                        size += len(raw)
-                    if held and (raw is None or size > 1_000_000):
-                        got = expected_counts(now, held, run)
-                        total = got if total is None else total + got
-                        held, size = [], 0
+                got = _added(now, b.column("symbols").to_pylist())
+                if got is not None:
+                    total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "v"])
 
@@ -266,28 +308,24 @@ def baum_welch(tokens: DataFrame, model: Hmm, rounds: int = ROUNDS, run: int = R
         said.append(float(v[-1]))
         start, step, emit = v[:s] + 1, v[s : s + s * s].reshape(s, s) + 1, v[s + s * s : -1].reshape(s, m) + 0.01
         model = Hmm(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        if len(said) > 1 and said[-1] - said[-2] < gain * abs(said[-2]):
+            break
     return model, said
 
 
-def likelihoods(model: Hmm, symbols: list[np.ndarray]) -> np.ndarray:
+def likelihoods(model: Hmm, symbols: list[np.ndarray], run: int = RUN) -> np.ndarray:
     """log10 of each whole sequence's probability, by the scaled forward recursion over all sequences at once."""
-    size = np.array([len(x) for x in symbols])
-    order = np.argsort(-size, kind="stable")
-    size = size[order]
-    flat = np.concatenate([symbols[i] for i in order]).astype(np.int64)
-    start = np.cumsum(size) - size
-    # live[t]: sequences with a symbol number t.
-    live = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
-    out = np.zeros(len(size))
-    e = model.emit.T
-    a = np.tile(model.start, (len(size), 1))
-    for t, k in enumerate(live.tolist()):
-        a = (a if t == 0 else a[:k] @ model.step)[:k] * e[flat[start[:k] + t]]
-        z = a.sum(1)
-        a /= z[:, None]
-        out[:k] += np.log10(z)
+    seqs = Sequences(symbols)
+    out = np.zeros(len(symbols))
+    emit, carried = np.ascontiguousarray(model.emit.T), None
+    for first in range(0, seqs.longest, run):
+        seg = Segment(model.start, model.step, emit, seqs, carried, first, min(seqs.longest, first + run))
+        carried = seg.carried
+        log = np.log10(seg.z)
+        for i, j in zip(seg.at, seg.at[1:]):
+            out[: j - i] += log[i:j]
     back = np.empty_like(out)
-    back[order] = out
+    back[seqs.order] = out
     return back
 
 
@@ -295,12 +333,14 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, comm
     """Train on the training rows of docs (doc_id, text; other columns are ignored) and score every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability of the text).
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end token. base_score
-    is the add-one unigram sum. A null or empty text is the end token alone. Repeated rows and
+    is the add-one unigram sum. A null or empty text is the end token alone; very long texts are
+    whole sequences like all others. Ties between words go by their bytes. Repeated rows and
     ids are counted and scored each; an empty table gives an empty result.
     """
     counts = written(word_counts(docs.filter(is_training("doc_id"))), "word-counts")
     stats = word_stats(counts, common, symbols)
-    tokens = written(tokenised(docs, stats), "tokens")
+    # Sequences of like length stand together, which the recursions take side by side.
+    tokens = written(tokenised(docs, stats).sortWithinPartitions("n_tokens"), "tokens")
     model, _ = baum_welch(tokens.filter("training"), first_model(stats, states), rounds)
 
     # Words beyond the common ones meet their counts in a shuffle by word.
