@@ -4,13 +4,17 @@ Which 50-byte strings start in a document with a smaller id? Candidates are foun
 loss by winnowing: every 50-byte window chooses the least hash among its 24-byte grams, so
 equal windows choose equal grams, and only windows whose gram is met in another document go
 on. Around each such gram a document contributes its context, the union of the windows that
-chose it. Contexts meet by gram. Equal contexts settle at once; where a gram has several
-different contexts, these are cut into shards, each shard gets its suffix order and its
-Burrows-Wheeler transform, and the transforms of all shards are merged by refining their
-interleave symbol by symbol: after h passes the suffixes of all shards stand in order of their
-first h bytes, without sorting them again, and blocks of equal prefixes are known. After 50
-passes the blocks are the repeated windows. A hot gram, one of very many contexts, does not meet
-in one task: its contexts are cut into their windows, and these meet by their bytes.
+chose it. Contexts meet by gram. Equal contexts are one, with their least key; where a gram has
+several different contexts that can share a window (by the windows' hashes), these are cut into
+shards, each shard gets its suffix order and its Burrows-Wheeler transform, and the transforms of
+all shards are merged by refining their interleave symbol by symbol: after h passes the suffixes
+of all shards stand in order of their first h bytes, without sorting them again, and blocks of
+equal prefixes are known. After 50 passes the blocks are the repeated windows. A hot gram, one of
+very many contexts, does not meet in one task: its contexts are cut into their windows, and these
+meet by their bytes.
+
+Rows are known by the hash of their text and their doc_id, never by their place in the table, so
+a table whose files are split anew between two jobs gives the same result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,9 @@ BLOCK, SHARD, MERGE = 2_000_000, 100_000, 600_000
 #: A gram of more contexts is hot: it goes to many tasks, by its windows. Hot grams are told by HOT_BITS bits of their hashes; a gram that shares them goes the same way.
 HOT, HOT_BITS = MERGE // (2 * LENGTH - GRAM), 22
 #: Entries of a task's memory of hot windows, which starts anew when full, and contexts that a task holds before it compares them.
-MEMO = HELD = 200_000
+MEMO, HELD = 200_000, 60_000
+#: Bytes of text for each partition, at most: a task holds what its partition's grams need.
+PART_BYTES = 128 << 20
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -53,6 +59,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(held[16][: len(data) - GRAM + 1] * _MUL[4] + held[8][16 : 16 + len(data) - GRAM + 1])
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of LENGTH (32 + 16 + 2) bytes; len(data) >= LENGTH."""
+    h = _BYTES[data]
+    held = {}
+    width = 1
+    for m in _MUL:
+        h = h[:-width] * m + h[width:]
+        width *= 2
+        held[width] = h
+    n = len(data) - LENGTH + 1
+    return mixed((held[32][:n] * _MUL[4] + held[16][32 : 32 + n]) * _MUL[0] + held[2][48 : 48 + n])
+
+
 def winnow(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chosen grams of texts: text number, hash, first and last window (in the text) that chose it. Texts shorter than length have none."""
     size = np.array([len(t) for t in texts])
@@ -141,6 +160,11 @@ def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengt
     text = np.concatenate([s[0] for s in shards]) + np.repeat(np.cumsum([0, *n_texts[:-1]]), n_rows)
     place = np.concatenate([s[1] for s in shards])
     before = np.concatenate([s[2] for s in shards]).astype(np.int32)
+    # Only symbols that occur are numbered, in their order; the mark is 0.
+    occurs = np.bincount(before, minlength=1) > 0
+    occurs[0] = True
+    before = (np.cumsum(occurs, dtype=np.int32) - 1)[before]
+    base_of = int(occurs.sum())
     # A step back of one symbol: the k-th suffix with a symbol before it leads to the k-th suffix that begins with that symbol.
     back = np.empty(len(before), np.int32)
     for at, (_, _, sym) in zip(base, shards, strict=False):
@@ -155,7 +179,7 @@ def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengt
         if w not in held:
             gram, to = np.zeros(len(before), np.int32), np.arange(len(before), dtype=np.int32)
             for j in range(w):
-                gram += before[to] * 257**j
+                gram += before[to] * base_of**j
                 to = back[to]
             # Short suffixes: their symbols, then marks.
             short = np.nonzero(size[text] - place < w)[0]
@@ -167,9 +191,9 @@ def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengt
             for j in range(w):
                 # The symbol j places on is the one before the suffix that is j + 1 shorter.
                 on = left > j
-                begins[on] += before[row_at[text[short[on]], left[on] - j - 1]] * 257 ** (w - 1 - j)
+                begins[on] += before[row_at[text[short[on]], left[on] - j - 1]] * base_of ** (w - 1 - j)
             can = place >= w
-            seen = np.zeros(257**w, bool)
+            seen = np.zeros(base_of**w, bool)
             seen[gram[can]] = True
             seen[begins] = True
             code = np.cumsum(seen, dtype=np.int32) - 1
@@ -321,7 +345,9 @@ def _contexts(it: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Reco
     told: dict[bytes, int] = {}
     names = [x.split()[0] for x in CONTEXT.split(", ")]
     for b in it:
-        rows = sorted(zip(b.column("key").to_pylist(), b.column("row").to_pylist(), binary_list(b.column("text")), b.column("hashes").to_pylist(), strict=True), key=lambda r: r[:2])
+        # Equal rows of one doc_id have equal results, which are asked for once.
+        rows = list({r[:2]: r for r in zip(b.column("key").to_pylist(), b.column("row").to_pylist(), binary_list(b.column("text")), b.column("hashes").to_pylist(), strict=True)}.values())
+        rows.sort(key=lambda r: r[:2])
         for part in blocks(rows, 2):
             texts = [x[2] for x in part]
             t, h, first, last = winnow(texts)
@@ -349,7 +375,12 @@ def _contexts(it: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Reco
                 for some in batched(_cut([(out[i], int(key[i]), [(int(row[i]), int(first[i])), *places.get(i, ())]) for i in cut], told), 50_000):
                     deals, hashes, *cols = zip(*some, strict=True)
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (deals, hashes)), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))], names)
-            keep &= whole | ~is_hot
+            # Neighbouring contexts that are settled become one row.
+            joins = np.r_[False, whole[1:] & whole[:-1] & (t[1:] == t[:-1]) & (first[1:] == last[:-1] + 1)]
+            ends = np.flatnonzero(~np.r_[joins[1:], False])
+            begins = np.flatnonzero(~joins)
+            last[begins] = last[ends]
+            keep &= (whole | ~is_hot) & ~joins
             at = np.flatnonzero(keep).tolist()
             out, others = [out[i] for i in at], [_packed(places[i]) if i in places else None for i in at]
             h, row, key, first, last, whole = h[keep], row[keep], key[keep], first[keep], last[keep], whole[keep]
@@ -357,65 +388,109 @@ def _contexts(it: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(last - first + 1, pa.int32()), pa.array(out, pa.binary()), pa.array(others, pa.binary())], names)
 
 
-SPANS = ["row", "first", "end"]
+SPANS = ["row", "key", "first", "end"]
+
+
+def _spans(row, key, first, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], SPANS)
 
 
 def _covered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, first, end): bytes covered by repeated windows, from a partition of contexts in order of deal. Grams are compared as they come, about MERGE bytes of contexts at once."""
-    kept: list[tuple] = []
-    least: dict[tuple[int, bytes], int] = {}
-    size, own, n_own, last = 0, 0, 0, None
+    """(row, key, first, end): bytes covered by repeated windows, from a partition of contexts in order of deal. Whole grams are compared as they come, about HELD contexts at once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for b in it:
-        h, row, key, first, windows, context, others = (b.column(i).to_pylist() for i in range(1, 8))
-        done = [i for i, c in enumerate(context) if c is None]
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([row[i] for i in done], pa.int64()), pa.array([first[i] for i in done], pa.int32()), pa.array([first[i] + windows[i] + LENGTH - 1 for i in done], pa.int32())], SPANS)
-        for i, c in enumerate(context):
-            if c is not None:
-                if h[i] != last:
-                    # Only the contexts of a gram with several will be merged.
-                    size += own if n_own > 1 else 0
-                    own, n_own, last = 0, 0, h[i]
-                    if size >= MERGE or len(kept) >= HELD:
-                        yield from _compared(kept, least)
-                        kept, least, size = [], {}, 0
-                at = (last, c)
-                k = least.get(at)
-                if k is None:
-                    own += len(c)
-                    n_own += 1
-                if k is None or key[i] < k:
-                    least[at] = key[i]
-                kept.append((at, row[i], key[i], first[i], windows[i], others[i]))
-    yield from _compared(kept, least)
-
-
-def _compared(kept: list[tuple], least: dict[tuple[int, bytes], int]) -> Iterator[pa.RecordBatch]:
-    """The same of whole grams: kept has ((gram, context), row, key, first, windows, others), least the least key of each context."""
-    of_gram: dict[int, int] = {}
-    for g, _ in least:
-        of_gram[g] = of_gram.get(g, 0) + 1
-    # Only grams with several different contexts need their suffixes compared. Those of a gram stay together.
-    several = sorted((at for at in least if of_gram[at[0]] > 1), key=lambda at: at[0])
-    lowest: dict[tuple[int, bytes], np.ndarray] = {}
-    if several:
-        lowest.update(zip(several, least_windows([c for _, c in several], np.array([least[x] for x in several], np.int64)), strict=True))
-    out: list[tuple[int, int, int]] = []
-    for at, row, key, first, windows, others in kept:
-        runs: list[tuple[int, int]] = []
-        if least[at] < key:
-            runs = [(0, windows)]
-        elif at in lowest:
-            hit = lowest[at] < key
-            if hit.any():
-                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                runs = list(zip(edge[::2], edge[1::2], strict=True))
-        if runs:
-            for r, f in [(row, first), *(np.frombuffer(others, np.int64).reshape(-1, 2).tolist() if others else ())]:
-                out += [(r, f + a, f + z - 1 + LENGTH) for a, z in runs]
-    for i in range(0, len(out), 50_000):
-        a, f, e = zip(*out[i : i + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(e, pa.int32())], SPANS)
+        settled = b.filter(b.column("context").is_null())
+        if settled.num_rows:
+            first = settled.column("first").to_numpy()
+            yield _spans(settled.column("row"), settled.column("key"), first, first + settled.column("windows").to_numpy() + LENGTH - 1)
+        b = b.filter(b.column("context").is_valid())
+        held.append(b)
+        size += b.num_rows
+        if size >= HELD:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            h = whole.column("hash").to_numpy()
+            # The last gram may go on.
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield from _compared(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+            size = len(h) - cut
+    if size:
+        yield from _compared(pa.Table.from_batches(held).combine_chunks())
+
+
+def share_a_window(contexts: list[bytes], gram: np.ndarray) -> np.ndarray:
+    """Which contexts hold a window whose hash another place of a context of the same gram has; the others cannot repeat."""
+    size = np.array([len(c) for c in contexts])
+    n = np.maximum(size - LENGTH + 1, 0)
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    if len(data) < LENGTH:
+        return np.zeros(len(contexts), bool)
+    context = np.repeat(np.arange(len(contexts)), n)
+    place = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(size) - size, n)
+    h = window_hashes(data)[place] ^ mixed(gram.view(np.uint64))[context]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(contexts), bool)
+    out[context[order[1:][same]]] = True
+    out[context[order[:-1][same]]] = True
+    return out
+
+
+def _compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The same of whole grams, in order of their hashes."""
+    h, row, key, first, windows = (t.column(c).to_numpy() for c in ("hash", "row", "key", "first", "windows"))
+    context = t.column("context").to_pylist()
+    # Equal contexts of a gram are one: the first in order has the least key. Gram and context stand for their bytes by 64 bits each.
+    same = np.fromiter(map(xxhash.xxh3_64_intdigest, context), np.uint64, len(context))
+    order = np.lexsort((key, same, h))
+    new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (same[order[1:]] != same[order[:-1]])]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    one = order[new]
+    least, gram = key[one], h[one]
+    whole = least[group] < key
+    # Only contexts of grams with several can repeat in part. Those of a gram stay together.
+    begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    several = np.flatnonzero(np.repeat(np.diff(begins, append=len(gram)) > 1, np.diff(begins, append=len(gram))))
+    if len(several):
+        several = several[share_a_window([context[i] for i in one[several]], gram[several])]
+    lowest: list[np.ndarray] = []
+    at = 0
+    while at < len(several):
+        end, size = at, 0
+        while end < len(several) and (size < MERGE or gram[several[end]] == gram[several[end - 1]]):
+            size += len(context[one[several[end]]])
+            end += 1
+        some = several[at:end]
+        lowest += least_windows([context[i] for i in one[some]], least[some])
+        at = end
+    # Contexts that no smaller key has whole: runs of their windows that one has.
+    n_windows = np.zeros(len(one), np.int64)
+    n_windows[several] = [len(x) for x in lowest]
+    start = np.zeros(len(one), np.int64)
+    start[several] = np.cumsum(n_windows[several]) - n_windows[several]
+    part = np.flatnonzero(~whole & (n_windows[group] > 0))
+    n = n_windows[group[part]]
+    owner = np.repeat(np.arange(len(part)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.concatenate(lowest) if lowest else np.zeros(0, np.int64)
+    hit = low[start[group[part[owner]]] + place] < key[part[owner]]
+    edge = owner[1:] != owner[:-1]
+    opens = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | edge][: len(hit)])
+    closes = np.flatnonzero(hit & np.r_[~hit[1:] | edge, True][: len(hit)])
+    i = np.r_[np.flatnonzero(whole), part[owner[opens]]]
+    a = np.r_[np.zeros(int(whole.sum()), np.int64), place[opens]]
+    z = np.r_[windows[whole] - 1, place[closes]]
+    yield _spans(row[i], key[i], first[i] + a, first[i] + z + LENGTH)
+    # Places that ask the same as a row.
+    others = t.column("others")
+    if others.null_count < len(others):
+        said = {k: np.frombuffer(v, np.int64).reshape(-1, 2) for k, v in enumerate(others.to_pylist()) if v}
+        for k in np.flatnonzero(np.isin(i, list(said))).tolist():
+            r, f = said[i[k]].T
+            yield _spans(r, np.full(len(r), key[i[k]]), f + a[k], f + z[k] + LENGTH)
 
 
 def cut_out(text: bytes, spans: list[dict] | None, copy: bool) -> tuple[bytes, int, int]:
@@ -440,24 +515,27 @@ def cut_out(text: bytes, spans: list[dict] | None, copy: bool) -> tuple[bytes, i
 def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
     """text, copy (a smaller doc_id has the same text), spans (bytes that repeated windows cover), key, and rest: the given columns of docs."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = F.struct(*columns) if columns else F.lit(0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
-    texts = rows.select("row", "text")
-    anchors = texts.mapInArrow(_anchors, "deal long, hash long, row long, n int").repartition(n, "deal").drop("deal")
+    text = F.coalesce("text", F.lit(""))
+    # A row is known by row, 63 bits of a hash, together with its key. Equal rows have equal results.
+    rows = docs.select(key_of().alias("key"), text.alias("text"), rest.alias("rest")).withColumn("row", F.expr("xxhash64(text, key) & 9223372036854775807"))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    anchors = rows.select("row", "text").mapInArrow(_anchors, "deal long, hash long, row long, n int").repartition(n, "deal").drop("deal")
     wanted = anchors.mapInArrow(_repeated, "row long, hash long").groupBy("row").agg(F.collect_list("hash").alias("hashes"))
-    digests = rows.select("row", "key", F.md5("text").alias("digest"))
+    digests = rows.select("row", "key", F.md5("text").alias("digest")).groupBy("row", "key").agg(F.min("digest").alias("digest"))
     least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
     facts = digests.join(least, "digest", "left").select("row", "key", F.coalesce(F.col("least") < F.col("key"), F.lit(False)).alias("copy")).join(wanted, "row", "full_outer")
     facts = written(facts, "passage-facts")
     hot = hot_buckets(facts)
     facts = facts.filter("row >= 0")
     # Both joins read one exchange of the texts.
-    asked = facts.filter("NOT copy AND hashes IS NOT NULL").select(F.col("row").alias("r"), "hashes")
-    contexts = rows.join(asked.hint("merge"), F.col("row") == F.col("r")).select("row", "key", "text", "hashes").mapInArrow(lambda it: _contexts(it, hot), CONTEXT)
-    spans = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_covered, "row long, first int, end int").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    told = facts.select("row", "copy").join(spans, "row", "left").withColumnRenamed("row", "r")
-    return rows.join(told.hint("merge"), F.col("row") == F.col("r")).drop("r", "row")
+    same = (F.col("row") == F.col("r")) & (F.col("key") == F.col("k"))
+    asked = facts.filter("NOT copy AND hashes IS NOT NULL").select(F.col("row").alias("r"), F.col("key").alias("k"), "hashes")
+    contexts = rows.join(asked.hint("merge"), same).select("row", "key", "text", "hashes").mapInArrow(lambda it: _contexts(it, hot), CONTEXT)
+    spans = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_covered, "row long, key long, first int, end int").groupBy("row", "key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    told = facts.select("row", "key", "copy").join(spans, ["row", "key"], "left").withColumnRenamed("row", "r").withColumnRenamed("key", "k")
+    return rows.join(told.hint("merge"), same).drop("r", "k", "row")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -466,9 +544,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     Each byte covered by a 50-byte string that also starts in a document with a smaller doc_id
     is removed, as the input has it; matches never cross documents. Columns: doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256. A null text counts as empty, a null
-    doc_id as the smallest; rows that repeat a doc_id do not remove each other's bytes. An empty
-    table gives an empty result. docs is read several times and must give its rows in the same
-    partitions each time, as a Parquet table does.
+    doc_id as the smallest; rows that repeat a doc_id, whole rows too, do not remove each other's
+    bytes. Very long texts are taken whole. An empty table gives an empty result. docs is read
+    several times; its rows may come in other partitions each time.
     """
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +563,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with what is left of their texts (a byte of a cut character is left out); a null text becomes empty. n_chars, where docs has it, follows."""
+    """The rows of docs with what is left of their texts (a byte of a cut character is left out); a null text becomes empty. n_chars, where docs has it, follows. Null ids, repeated rows, very long texts and empty tables as in suffix_dedup; other columns, whatever their names, stay as they are."""
     names = docs.columns
     others = [c for c in names if c not in ("text", "n_chars")]
     spanned = with_spans(docs, others).select("text", "copy", "spans", "rest")
