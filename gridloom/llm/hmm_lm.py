@@ -269,17 +269,28 @@ def expected_counts(model: Hmm, symbols: list[np.ndarray], run: int = RUN, kind=
     return np.r_[starts, (model.step * steps).ravel(), emits.ravel(), said]
 
 
-def _added(model: Hmm, symbols: Iterator[bytes], at_once: int = 1_000_000) -> np.ndarray | None:
-    """The sum of expected counts, at_once bytes of sequences at a time."""
-    total, held, size = None, [], 0
-    for raw in [*symbols, None]:
-        if raw is not None:
-            held.append(np.frombuffer(raw, np.uint16))
-            size += len(raw)
-        if held and (raw is None or size > at_once):
-            got = expected_counts(model, held)
-            total = got if total is None else total + got
+#: Bytes of sequences that a recursion takes side by side (a longer one is taken alone).
+AT_ONCE = 1_000_000
+
+
+def _together(symbols: list[bytes], at_once: int) -> Iterator[list[np.ndarray]]:
+    held, size = [], 0
+    for raw in symbols:
+        held.append(np.frombuffer(raw, np.uint16))
+        size += len(raw)
+        if size > at_once:
+            yield held
             held, size = [], 0
+    if held:
+        yield held
+
+
+def _added(model: Hmm, symbols: list[bytes], at_once: int = AT_ONCE) -> np.ndarray | None:
+    """The sum of expected counts."""
+    total = None
+    for some in _together(symbols, at_once):
+        got = expected_counts(model, some)
+        total = got if total is None else total + got
     return total
 
 
@@ -354,7 +365,7 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, comm
 
     def forward(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out = likelihoods(model, [np.frombuffer(x, np.uint16) for x in b.column("symbols").to_pylist()]) if b.num_rows else []
+            out = [x for some in _together(b.column("symbols").to_pylist(), AT_ONCE // 2) for x in likelihoods(model, some).tolist()]
             names = [n for n in b.schema.names if n != "symbols"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "path"])
 
