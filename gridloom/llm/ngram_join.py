@@ -32,7 +32,7 @@ NODE_BLOCK = 200
 BLOCK_TEXTS, BLOCK_SHINGLES = 2000, 1 << 20
 #: A shingle is rare if so many times the pairs that hold it are fewer than all pairs of a task; columns and pairs handled at once.
 RARE, COLUMNS, PAIRS_AT_ONCE = 128, 2048, 1 << 21
-SIGNED = "row long, key long, text_class binary, signature array<int>"
+SIGNED = "row long, key long, h long, text_class binary, signature array<int>"
 
 
 def least_depth(threshold: float, trees: int, recall: float) -> int:
@@ -78,7 +78,7 @@ def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures([shingle_hashes(hash_words(w, memo), WIDTH) for w in words], TREES * DEPTH)
             same = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
             offsets = pa.array(np.arange(len(words) + 1) * sig.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int32)))], ["row", "key", "text_class", "signature"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "key", "h")), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int32)))], ["row", "key", "h", "text_class", "signature"])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +277,24 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     text plus its other copies. All pairs of a class are counted, none is written. Shingles are runs of five
     words (ASCII white space, A-Z lower-cased); a shorter text is one shingle; null, empty and
     wordless texts are copies of each other. A null doc_id is the least. Repeated rows are
-    copies. An empty table gives an empty result. docs is read twice and must give its rows in the
-    same partitions both times, as a Parquet table does.
+    copies. Very long texts are taken whole. An empty table gives an empty result. docs is read
+    several times; its rows may come in other partitions each time.
     """
     return joined(docs, threshold, recall).select(id_of().alias("doc_id"), id_of("class_key").alias("class_id"), id_of("text_key").alias("text_id"), "n_copies", "n_links")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key and h, by which a row and its equals are known in every reading."""
+    return docs.select(F.col("text").alias("text"), key_of().alias("key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+
+
 def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True) -> DataFrame:
-    """As ngram_join, by keys, with the row numbers of the table that is read. Without count, n_links only tells if there are any (a tree of links spans a class)."""
+    """As ngram_join, by keys, with the hash of the text (h). Without count, n_links only tells if there are any (a tree of links spans a class)."""
     spark = docs.sparkSession
     least = least_depth(threshold, TREES, recall)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key_of().alias("key"), F.col("text").cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_signed, SIGNED), "signatures")
+    rows = keyed(docs).select("key", "h", F.col("text").cast("string").alias("text"))
+    # Rows are numbered once, in this written table; texts are met again by key and hash.
+    signed = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_signed, SIGNED), "signatures")
     # The first row of each text class stands for it. Row numbers are those of the written table.
     classes = written(signed.groupBy("text_class").agg(F.min(F.struct("key", "row")).alias("least"), F.count("*").alias("n_copies")).select("text_class", F.col("least.row").alias("rep"), F.col("least.key").alias("text_key"), "n_copies"), "text-classes")
     reps = signed.join(classes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("rep"), "signature").filter("signature[0] <> 0 OR signature[1] <> 0")
@@ -307,10 +313,12 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     ends = spans.filter("NOT link").select(F.col("a").alias("b"), "node", F.lag("b").over(order).alias("a"), F.lag("last_node").over(order).alias("before")).filter("node = before")
     tested = spans.filter("link").select("a", "b").unionByName(ends.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = written(tested, "candidates")
-    texts = rows.select("row", "text")
 
     def shingled(need: DataFrame) -> DataFrame:
-        return written(texts.join(written(need, "wanted"), "row").mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
+        wanted = written(signed.join(need, "row").select("row", "key", "h"), "wanted")
+        # Equal rows of one doc_id meet a wanted row more than once.
+        texts = rows.join(wanted, ["key", "h"]).groupBy("row").agg(F.min("text").alias("text"))
+        return written(texts.mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
 
     tested_sets = shingled(tested.select(F.col("a").alias("row")).unionByName(tested.select(F.col("b").alias("row"))).distinct())
     one = tested.join(tested_sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
@@ -339,14 +347,23 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     of_rep = of_rep.withColumn("degree", F.coalesce("degree", F.col("component").isNotNull().cast("long"))).withColumn("component", F.coalesce("component", "rep"))
     least_key = of_rep.groupBy("component").agg(F.min("text_key").alias("class_key"))
     of_rep = of_rep.join(least_key, "component").select("text_class", "rep", "class_key", "text_key", "n_copies", (F.col("degree") + F.col("n_copies") - 1).alias("n_links"))
-    return signed.select("row", "key", "text_class").join(of_rep, "text_class").drop("text_class")
+    return signed.select("key", "h", "text_class").join(of_rep, "text_class").drop("text_class")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the row with the least doc_id (of equal ones the first) stays, with all its columns."""
+    """The rows of docs without near-duplicates: of each class the row with the least doc_id stays (a null one is the least; of equal ones that with the least text hash; of rows equal in both, that whose columns' hash is least), with all its columns, whatever their names. Null, empty and very long texts and empty tables as in ngram_join."""
     classes = joined(docs, threshold, recall, count=False)
-    # Only rows to drop are joined to the texts.
-    several = written(classes.filter("key > class_key OR n_links > 0").select("class_key", "key", "row"), "members")
-    first = several.groupBy("class_key").agg(F.min(F.struct("key", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    drop = written(several.join(first, "row", "left_anti").select("row"), "dropped")
-    return docs.withColumn("row__", F.monotonically_increasing_id()).join(drop.withColumnRenamed("row", "row__"), "row__", "left_anti").select(*docs.columns)
+    # Only classes of several rows meet the texts again.
+    several = classes.filter("key > class_key OR n_links > 0").groupBy("class_key", "key", "h").agg(F.count("*").alias("n"))
+    several = written(several, "members")
+    first = several.groupBy("class_key").agg(F.min(F.struct("key", "h")).alias("first"))
+    is_first = F.struct("key", "h") == F.col("first")
+    fate = written(several.join(first, "class_key").select("key", "h", is_first.alias("stays"), "n").filter("NOT stays OR n > 1"), "fates")
+    rows = docs.select(F.struct("*").alias("doc"))
+    rows = rows.select("doc", key_of(F.col("doc")["doc_id"]).alias("key"), F.xxhash64(F.coalesce(F.col("doc")["text"].cast("string"), F.lit(""))).alias("h"))
+    out = rows.join(fate, ["key", "h"], "left_anti").select("doc")
+    equal = fate.filter("stays")
+    if not equal.isEmpty():
+        again = rows.join(equal, ["key", "h"]).groupBy("key", "h").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+        out = out.unionByName(again.select("doc"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
