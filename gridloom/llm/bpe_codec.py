@@ -1,10 +1,11 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash cuts each text's bytes into chunks whose places depend on their content only,
-so documents that share a passage share its chunks. A worker encodes a chunk once and
-remembers the result for all documents. A cut may fall inside a word: the parts of words on
-both sides of a join are put together and encoded anew, up to the next white space on either
-side, where the chunks' own encoding agrees with that of the whole text exactly.
+A rolling hash cuts each text's bytes into chunks whose places depend on their content only, so
+documents that share a passage share its chunks. Chunks are counted over all documents by their
+digests; each one that occurs again is encoded once, wherever its places are, and its ids are
+joined back by digest. A cut may fall inside a word, so every join of two chunks is repaired: a
+window of text around it is encoded anew, and widened until the ids at both of its ends agree
+with those of the chunks.
 """
 
 from __future__ import annotations
@@ -16,16 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowkit import binary_list
+from .common import written
 from .joined_bpe import JoinedBpe
 
 #: A chunk has so many bytes on average (a power of two).
 CHUNK_BYTES = 512
-#: Entries of a worker's memory of chunks and of words; each starts anew when full.
-MEMO_CHUNKS, MEMO_WORDS = 20_000, 400_000
+#: Whole words at each end of a chunk that a window may take in.
+EDGE = 2
+#: A worker's memory of words starts anew when it holds so many; digests that a task counts before it passes them on; texts taken at once.
+MEMO_WORDS, MEMO_DIGESTS, TEXTS = 400_000, 400_000, 1000
+#: Chunks that occur again are told by so many bits of their digests; one that shares them with such a chunk goes the same way.
+SHARED_BITS = 22
 _SPACES = b" \t\n\x0b\x0c\r"
 # Fixed value: how the pre-tokenizer splits.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -45,25 +52,51 @@ def cuts(text: bytes, average: int = CHUNK_BYTES) -> list[int]:
     return ends
 
 
-class Chunk:
-    """The parts of words at a chunk's ends, and the whole words between."""
+def chunks_of(text: bytes, average: int) -> list[bytes]:
+    ends = cuts(text, average) if text else []
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
-    __slots__ = ("head", "tail", "whole", "words", "codes")
 
-    def __init__(self, data: bytes):
-        words = data.split()
-        self.codes = None
-        if len(words) == 1 and len(words[0]) == len(data):
-            self.head, self.words, self.tail, self.whole = data, [], b"", True
+def bucket_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:4], "big") >> (32 - SHARED_BITS)
+
+
+class Piece:
+    """An encoded chunk: the cut words at its ends (head, tail), EDGE whole words inside each (first, last), and the ids between. One of too few words is held as its text."""
+
+    __slots__ = ("text", "head", "first", "words", "ids", "last", "tail")
+
+    def __init__(self, data: bytes | None = None):
+        self.text = self.ids = None
+        if data is None:
             return
-        self.whole = False
+        words = data.split()
         self.head = words.pop(0) if words and data[0] not in _SPACES else b""
         self.tail = words.pop() if words and data[-1] not in _SPACES else b""
-        self.words = words
+        if len(words) < 2 * EDGE:
+            self.text = data
+        else:
+            self.first, self.words, self.last = words[:EDGE], words[EDGE:-EDGE], words[-EDGE:]
+
+    def packed(self) -> tuple[bytes | None, bytes | None, bytes]:
+        if self.text is not None:
+            return None, None, self.text
+        return b" ".join([self.head, *self.first]), b" ".join([*self.last, self.tail]), self.ids
+
+    @classmethod
+    def unpacked(cls, head: bytes | None, tail: bytes | None, ids: bytes) -> Piece:
+        p = cls()
+        if head is None:
+            p.text = ids
+        else:
+            p.head, *p.first = head.split(b" ")
+            *p.last, p.tail = tail.split(b" ")
+            p.ids = ids
+        return p
 
 
 class ChunkCodec:
-    """Encodes and decodes by a tokenizer under which words between white space are independent (it drops white space before it splits)."""
+    """Encodes and decodes by a tokenizer that drops white space before it splits."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,14 +107,19 @@ class ChunkCodec:
         t.no_padding()
         if t.decoder is not None:
             raise ValueError("the tokenizer's decoder is not a plain join")
-        self.token = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+        n = t.get_vocab_size(with_added_tokens=True)
+        if n > 1 << 16:
+            raise ValueError("ids are held in 16 bits")
+        self.token = [t.id_to_token(i) or "" for i in range(n)]
+        self.number = [str(i) for i in range(n)]
         self.joined = JoinedBpe(t)
-        self.chunks: dict[bytes, Chunk] = {}
-        self.parts: dict[str, tuple[str, str]] = {}
-        self.words: dict[bytes, tuple[str, str]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        #: Chunks that this worker has encoded, for tests.
+        self.n_encoded = 0
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode new words: ids and decoded tokens, each followed by a space."""
+        """Encode new words."""
         plain, rest = {}, []
         for w in words:
             text = w.decode()
@@ -90,56 +128,79 @@ class ChunkCodec:
                 plain[w] = _SPLIT.findall(text.lower())
             else:
                 rest.append((w, text))
-        parts = list({p for x in plain.values() for p in x if p not in self.parts})
         if len(self.parts) > MEMO_WORDS:
-            self.parts, parts = {}, list({p for x in plain.values() for p in x})
-        code = lambda ids: ("".join([f"{i} " for i in ids]), "".join([f"{self.token[i]} " for i in ids]))
-        self.parts.update(zip(parts, (code(memoryview(ids).cast("i")) for ids in self.joined.encode(parts, np.int32)), strict=True))
+            self.parts = {}
+        parts = list({p for x in plain.values() for p in x if p not in self.parts})
+        self.parts.update(zip(parts, self.joined.encode(parts, np.uint16), strict=True))
         for w, x in plain.items():
-            codes = [self.parts[p] for p in x]
-            self.words[w] = codes[0] if len(codes) == 1 else ("".join([c[0] for c in codes]), "".join([c[1] for c in codes]))
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False), strict=True):
-            self.words[w] = code(e.ids)
+            self.words[w] = self.parts[x[0]] if len(x) == 1 else b"".join([self.parts[p] for p in x])
+        self.words.update(zip([w for w, _ in rest], self.whole([x for _, x in rest]), strict=True))
 
-    def encode_texts(self, texts: list[bytes], average: int = CHUNK_BYTES) -> list[tuple[str, str]]:
-        """For each text the ids and the decoded text, each as one string with a space after every token."""
-        if len(self.chunks) > MEMO_CHUNKS:
-            self.chunks = {}
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[Piece]:
         if len(self.words) > MEMO_WORDS:
             self.words = {}
-        plans, fresh, need = [], [], set()
-        for text in texts:
-            plan, carry, at = [], b"", 0
-            for end in cuts(text, average) if text else ():
-                data = text[at:end]
-                at = end
-                chunk = self.chunks.get(data)
-                if chunk is None:
-                    chunk = self.chunks[data] = Chunk(data)
-                    fresh.append(chunk)
-                    need.update(chunk.words)
-                carry += chunk.head
-                if not chunk.whole:
-                    if carry:  # the repaired join
-                        plan.append(carry)
-                        need.add(carry)
-                    plan.append(chunk)
-                    carry = chunk.tail
-            if carry:
-                plan.append(carry)
-                need.add(carry)
+        pieces = [Piece(c) for c in chunks]
+        need: set[bytes] = set()
+        for p in pieces:
+            if p.text is None:
+                need.update(p.words)
+        self.learn(need.difference(self.words))
+        known = self.words.__getitem__
+        for p in pieces:
+            if p.text is None:
+                p.ids, p.words = b"".join(map(known, p.words)), None
+        self.n_encoded += len(chunks)
+        return pieces
+
+    def join(self, texts: list[list[Piece]]) -> list[np.ndarray]:
+        """The ids of texts from their chunks' pieces."""
+        windows: list[tuple[list[bytes], bytes, list[bytes]]] = []
+        plans: list[list] = []
+        for pieces in texts:
+            plan, left, held = [], [], b""
+            for p in pieces:
+                if p.text is not None:
+                    held += p.text
+                    continue
+                plan += [len(windows), p.ids]
+                windows.append((left, held + p.head, p.first))
+                left, held = p.last, p.tail
+            if left or held:
+                plan.append(len(windows))
+                windows.append((left, held, []))
             plans.append(plan)
-        self.learn({w for w in need if w not in self.words})
-        known = self.words
-        for chunk in fresh:
-            codes = [known[w] for w in chunk.words]
-            chunk.codes = "".join([c[0] for c in codes]), "".join([c[1] for c in codes])
-            chunk.words = None
-        out = []
-        for plan in plans:
-            codes = [known[x] if isinstance(x, bytes) else x.codes for x in plan]
-            out.append(("".join([c[0] for c in codes]), "".join([c[1] for c in codes])))
-        return out
+        self.learn({w for left, _, right in windows for w in (*left, *right) if w not in self.words})
+        known = self.words.__getitem__
+        repaired: list[bytes | None] = [None] * len(windows)
+        for width in range(1, EDGE + 1):
+            open_ = [i for i, r in enumerate(repaired) if r is None]
+            if not open_:
+                break
+            made = self.whole([b" ".join([*windows[i][0][-width:], windows[i][1], *windows[i][2][:width]]).decode() for i in open_])
+            for i, ids in zip(open_, made, strict=True):
+                left, _, right = windows[i]
+                # The word at each end of the window must have the ids that its chunk gave it.
+                a = known(left[-width]) if left else b""
+                z = known(right[width - 1]) if right else b""
+                if len(a) + len(z) <= len(ids) and ids.startswith(a) and ids.endswith(z):
+                    repaired[i] = b"".join([*map(known, left[:-width]), ids, *map(known, right[width:])])
+        if None in repaired:
+            raise ValueError("a join of chunks does not come to agree: this tokenizer's words depend on each other")
+        return [np.frombuffer(b"".join([repaired[x] if isinstance(x, int) else x for x in plan]), np.uint16) for plan in plans]
+
+    def encode_texts(self, texts: list[bytes], average: int = CHUNK_BYTES) -> list[tuple[str, str]]:
+        """For each text the ids and the decoded text, each as one string with a space after every token."""
+        cut = [chunks_of(t, average) for t in texts]
+        pieces = iter(self.encode_chunks([c for x in cut for c in x]))
+        return [tuple(s + " " if len(ids) else s for s in self.said(ids)) for ids in self.join([[next(pieces) for _ in x] for x in cut])]
+
+    def said(self, ids: np.ndarray) -> tuple[str, str]:
+        """Decimal ids and tokens, each joined by a space."""
+        held = ids.tolist()
+        return " ".join(map(self.number.__getitem__, held)), " ".join(map(self.token.__getitem__, held))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_texts([text.encode()])[0][0].split()]
@@ -158,27 +219,124 @@ def codec(path: str) -> ChunkCodec:
     return _codecs[path]
 
 
+def repeated_chunks(docs: DataFrame, average: int = CHUNK_BYTES) -> np.ndarray:
+    """The buckets of the digests of chunks that occur again in docs (text), as bits, of a size that no input changes."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+
+        def flush():
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([bucket_of(d) for d in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["digest", "bucket", "n"])
+
+        for b in it:
+            for text in binary_list(b.column("text")):
+                for c in chunks_of(text, average):
+                    d = xxhash.xxh3_128_digest(c)
+                    held[d] = held.get(d, 0) + 1
+                if len(held) > MEMO_DIGESTS:
+                    yield from flush()
+                    held.clear()
+        yield from flush()
+
+    counts = docs.select("text").mapInArrow(count, "digest binary, bucket int, n long").groupBy("digest", "bucket").agg(F.sum("n").alias("n")).filter("n > 1")
+    words = counts.groupBy(F.expr("bucket div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, bucket % 64))").alias("bits"))
+    out = np.zeros((1 << SHARED_BITS) // 64, np.int64)
+    for r in words.collect():
+        out[r.word] = r.bits
+    return out
+
+
+PIECES = "row long, doc_id long, pos int, digest binary, data binary, head binary, tail binary, ids binary, said struct<n_tokens:long,ids_sha256:string,decoded_sha256:string{more}>"
+
+
+def _said(c: ChunkCodec, ids: np.ndarray, with_text: bool) -> dict:
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    numbers, tokens = c.said(ids)
+    return {"n_tokens": len(ids), "ids_sha256": sha(numbers), "decoded_sha256": sha(tokens)} | ({"ids": ids.tolist(), "decoded": tokens} if with_text else {})
+
+
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, average: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256; with_text adds ids (array<int>) and decoded.
 
     docs: doc_id, text; other columns are ignored. A null or empty text has no tokens and an
-    empty decoded text. Repeated rows and ids each get their own row; an empty table gives an
-    empty result. The documents are not shuffled.
+    empty decoded text; very long texts are encoded whole. Repeated rows and ids each get their
+    own row; an empty table gives an empty result. Texts without a repeated chunk are not shuffled.
     """
-    more = ", ids array<int>, decoded string" if with_text else ""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = repeated_chunks(texts, average)
+    more = ",ids:array<int>,decoded:string" if with_text else ""
+    schema = PIECES.format(more=more)
+    said = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_text)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5, said]
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds, strict=True)], names)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a repeated chunk are done; of the others every chunk is a row, encoded unless it is a repeated one, whose bytes a task sends once."""
+        c = codec(tokenizer_path)
+        sent: set[bytes] = set()
         for whole in it:
-            for part in range(0, whole.num_rows, 2000):
-                b = whole.slice(part, 2000)
-                made = [(a[:-1], d[:-1]) for a, d in codec(tokenizer_path).encode_texts(binary_list(b.column("text")), average)]
-                cols = [b.column("doc_id"), pa.array([a.count(" ") + 1 if a else 0 for a, _ in made], pa.int64()), pa.array([sha(a) for a, _ in made], pa.string()), pa.array([sha(d) for _, d in made], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_text:
-                    cols += [pa.array([[int(i) for i in a.split()] for a, _ in made], pa.list_(pa.int32())), pa.array([d for _, d in made], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(code, schema)
+            for part in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(part, TEXTS)
+                held = [chunks_of(t, average) for t in binary_list(b.column("text"))]
+                digests = [[xxhash.xxh3_128_digest(x) for x in chunks] for chunks in held]
+                shared = [[bool(again[(k := bucket_of(d)) // 64] >> (k % 64) & 1) for d in ds] for ds in digests]
+                pieces = iter(c.encode_chunks([x for chunks, s in zip(held, shared, strict=True) for x, is_shared in zip(chunks, s, strict=True) if not is_shared]))
+                out, done = [], []
+                for row, doc_id, chunks, ds, s in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), held, digests, shared, strict=True):
+                    if not any(s):
+                        done.append((row, doc_id, [next(pieces) for _ in chunks]))
+                        continue
+                    for i, (x, d, is_shared) in enumerate(zip(chunks, ds, s, strict=True)):
+                        if is_shared:
+                            if len(sent) > MEMO_DIGESTS:
+                                sent.clear()
+                            out.append((row, doc_id, i, d, None if d in sent else x, None, None, None, None))
+                            sent.add(d)
+                        else:
+                            out.append((row, doc_id, i, None, None, *next(pieces).packed(), None))
+                out += [(row, doc_id, None, None, None, None, None, None, _said(c, ids, with_text)) for (row, doc_id, _), ids in zip(done, c.join([p for _, _, p in done]), strict=True)]
+                yield batch(out)
+
+    made = written(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, schema), "bpe-pieces")
+
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer_path)
+        for whole in it:
+            for part in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(part, TEXTS)
+                head, tail, ids = zip(*[p.packed() for p in c.encode_chunks(b.column("data").to_pylist())])
+                yield pa.RecordBatch.from_arrays([b.column("digest"), *(pa.array(x, pa.binary()) for x in (head, tail, ids))], ["digest", "head", "tail", "ids"])
+
+    # Each repeated chunk once.
+    asked = made.filter("digest IS NOT NULL")
+    codes = written(asked.groupBy("digest").agg(F.min("data").alias("data")).mapInArrow(encode, "digest binary, head binary, tail binary, ids binary"), "bpe-codes")
+    columns = ("row", "doc_id", "pos", "head", "tail", "ids")
+    pieces = asked.select("row", "doc_id", "pos", "digest").join(codes, "digest").select(*columns).unionByName(made.filter("digest IS NULL AND pos IS NOT NULL").select(*columns))
+
+    def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer_path)
+        held: list[tuple[int, list[Piece]]] = []
+        last = None
+
+        def told(docs: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
+            ids = c.join([p for _, p in docs])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs], pa.int64()), pa.array([_said(c, x, with_text) for x in ids], said)], ["doc_id", "said"])
+
+        for b in it:
+            for row, doc_id, head, tail, ids in zip(*(b.column(x).to_pylist() for x in ("row", "doc_id", "head", "tail", "ids")), strict=True):
+                if row != last:
+                    if len(held) >= TEXTS:
+                        yield told(held)
+                        held = []
+                    held.append((doc_id, []))
+                    last = row
+                held[-1][1].append(Piece.unpacked(head, tail, ids))
+        if held:
+            yield told(held)
+
+    joined = pieces.repartition(n, "row").sortWithinPartitions("row", "pos").mapInArrow(assemble, f"doc_id long, said {schema.split(', ')[-1].split(' ', 1)[1]}")
+    return made.filter("said IS NOT NULL").select("doc_id", "said").unionByName(joined).select("doc_id", "said.*")
