@@ -1,10 +1,11 @@
 """License scan over a positional index of rare words.
 
 Templates are licence notices. Each template's words (common function words left out) are
-posted with their positions. The scan looks up, for every file, the places of the licence
-words with the highest inverse document frequency in the corpus, intersects their postings
-by relative position (file position minus template position) and keeps an alignment if it
-covers enough of the template and holds the template's mandatory key phrase.
+posted with their positions. For every file the licence words with the highest inverse document
+frequency in the corpus are looked up in the index; they name the candidate templates, whose full
+postings are then intersected by relative position (file position minus template position). An
+alignment is kept if it covers enough of the template and holds the template's mandatory key
+phrase. Base phrases, of which no place may be missed, are candidates of every file.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ STOP_WORDS = ("a", "and", "any", "are", "in", "into", "is", "of", "or", "the", "
 
 #: Share of a template's IDF weight that an alignment covers at least.
 MIN_COVERAGE = 0.7
+#: So many of a file's licence words, the rarest of the corpus, are looked up.
+LOOKUP = 8
 #: So many of a template's words, the rarest of the corpus, are its anchors.
 ANCHORS = 2
 
@@ -61,8 +64,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, min
     Columns: doc_id, n_words, n_base (places of base phrases), first_word, last_word (null
     without a place), base_labels, labels (sorted, comma-joined; empty without one), score (the
     best alignment's share of IDF weight, 1 for a base phrase, 0 without a match), n_aligned
-    (alignments kept). A null or empty text has no words and no match; repeated rows and
-    repeated ids each get their own row; an empty table gives an empty result.
+    (alignments kept). A null or empty text has no words and no match; very long texts are read
+    whole; ties in IDF go by the word; repeated rows and repeated ids each get their own row; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     posted = postings(templates, phrases)
@@ -84,10 +88,17 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, min
     whole = Window.partitionBy("template").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     post = post.withColumn("anchor", (rank <= ANCHORS) | F.col("exact")).withColumn("weight", F.sum("idf").over(whole)).withColumn("n_key", F.sum(F.col("is_key").cast("int")).over(whole))
 
-    # Intersect postings by relative position.
-    hits = files.filter(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.pos", "p.word")
+    # Each file's rarest licence words name its candidates. The one row beside the files has an entry for each licence word.
+    index = post.groupBy("word").agg(F.max("idf").alias("idf"), F.collect_set(F.when(~F.col("exact"), F.col("template"))).alias("templates"))
+    index = index.agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("idf_of"), F.map_from_entries(F.collect_list(F.struct("word", "templates"))).alias("templates_of"))
+    some = files.filter(F.size("places") > 0).crossJoin(F.broadcast(index))
+    rare = F.slice(F.array_sort(F.transform(F.array_distinct("places.word"), lambda w: F.struct((-F.col("idf_of")[w]).alias("least"), w.alias("word")))), 1, LOOKUP)
+    some = some.select("row", "places", F.array_distinct(F.flatten(F.transform(rare, lambda x: F.col("templates_of")[x["word"]]))).alias("candidates"))
+    # Intersect the candidates' postings by relative position.
+    hits = some.select("row", "candidates", F.explode("places").alias("p")).select("row", "candidates", "p.pos", "p.word")
     aligned = (
         hits.join(F.broadcast(post), "word")
+        .filter(F.col("exact") | F.array_contains("candidates", F.col("template")))
         .groupBy("row", "template", "label", "exact", "weight", "n_key", (F.col("pos") - F.col("t_pos")).alias("start"))
         .agg(F.sum("idf").alias("got"), F.sum(F.col("is_key").cast("int")).alias("keys"), F.max("anchor").alias("anchored"))
         .filter("anchored AND keys = n_key")

@@ -89,7 +89,10 @@ hits AS (SELECT * FROM w WHERE word IN (SELECT word FROM posted)),
 df AS (SELECT word, count(DISTINCT rid) AS df FROM hits GROUP BY word),
 ranked AS (SELECT p.*, round(ln(((SELECT count(*) FROM docs) + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS idf FROM posted p LEFT JOIN df USING (word)),
 post AS (SELECT *, (row_number() OVER (PARTITION BY template ORDER BY idf DESC, word, t_pos) <= {licenses.ANCHORS}) OR exact AS anchor, sum(idf) OVER (PARTITION BY template) AS weight, sum(is_key::INT) OVER (PARTITION BY template) AS n_key FROM ranked),
+rare AS (SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT rid, word FROM hits) JOIN (SELECT DISTINCT word, idf FROM ranked) USING (word)) WHERE k <= {licenses.LOOKUP}),
+candidates AS (SELECT DISTINCT rid, template FROM rare JOIN posted USING (word) WHERE NOT exact),
 aligned AS (SELECT rid, template, label, exact, pos - t_pos AS start, least(1.0, round(sum(idf) / any_value(weight), 6)) AS share FROM hits JOIN post USING (word)
+  WHERE exact OR (rid, template) IN (SELECT (rid, template) FROM candidates)
   GROUP BY rid, template, label, exact, pos - t_pos HAVING bool_or(anchor) AND sum(is_key::INT) = any_value(n_key)),
 found AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(*) AS n_aligned
