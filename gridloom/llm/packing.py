@@ -69,8 +69,9 @@ def packing(docs: DataFrame, n_tokens: Column | None = None, buckets: int = BUCK
 
     n_tokens: the length of a document, by default its words and an end token; a null text
     counts as empty. A batch holds budget div bucket_tokens sequences, one at least; only a
-    bucket's last batch is not full. Ties are ordered by doc_id and text hash. Repeated rows and
-    ids each get their own place; an empty table gives an empty result.
+    bucket's last batch is not full. Ties are ordered by doc_id and text hash, a null doc_id
+    first. Repeated rows and ids each get their own place; a text longer than the budget has a
+    batch of its own; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_tokens(F.col("text")) if n_tokens is None else n_tokens).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("h"))
     rows = written(rows, "lengths")
@@ -81,14 +82,15 @@ def packing(docs: DataFrame, n_tokens: Column | None = None, buckets: int = BUCK
     for t in tops[:-1]:
         bucket = bucket + (F.col("n_tokens") > t).cast("int")
     top = F.element_at(F.array(*map(F.lit, tops or [0])), F.col("bucket") + 1).cast("long")
-    # A bucket may hold most rows: it is ranked in shards, whose sizes give each shard's first rank.
+    # A bucket may hold most rows: it is ranked in shards, whose sizes give each shard's first rank. Equal rows are ranked as one.
     total = sum(r.n for r in seen)
     shards = max(1, -(-total // SHARD_ROWS))
-    rows = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod("h", F.lit(shards)))
-    sizes = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
+    rows = rows.groupBy("doc_id", "n_tokens", "h").agg(F.count("*").alias("n")).withColumn("bucket", bucket).withColumn("shard", F.pmod("h", F.lit(shards)))
+    sizes = rows.groupBy("bucket", "shard").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "h")) - 1
-    placed = rows.withColumn("rank", rank).join(firsts, ["bucket", "shard"]).withColumn("bucket_tokens", top).withColumn("rank", F.col("rank") + F.col("first"))
+    rank = F.coalesce(F.sum("n").over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("rank", rank).join(firsts, ["bucket", "shard"]).withColumn("bucket_tokens", top)
+    placed = placed.withColumn("nth", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("rank", F.col("rank") + F.col("first") + F.col("nth"))
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens")))
     return placed.select("doc_id", "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("rank") / size).alias("batch"), (F.col("rank") % size).cast("int").alias("slot"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"))
