@@ -98,13 +98,60 @@ def prefixed(df: DataFrame, prefix: str, keep: str = "group_id") -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == keep else prefix + c) for c in df.columns])
 
 
-def overlap_pairs(rects: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Pairs of a group that overlap on both axes: an equi-join on grid cells, each pair kept in the one cell that holds the low corner of its intersection, so a pair needs no deduplication."""
-    cells = lambda dim: F.sequence(F.floor(low(dim) / cell), F.floor(high(dim) / cell))
-    r = rects.withColumn("gx", F.explode(cells(X))).withColumn("gy", F.explode(cells(Y)))
-    a = r.select("group_id", "gx", "gy", *[F.col(c).alias("a_" + c) for c in ("rect_id", *_NAMES)])
-    b = r.select("group_id", "gx", "gy", *[F.col(c).alias("b_" + c) for c in ("rect_id", *_NAMES)])
-    hit = (F.col("a_rect_id") < F.col("b_rect_id")) & (low(X, "a_") < high(X, "b_")) & (low(X, "b_") < high(X, "a_")) & (low(Y, "a_") < high(Y, "b_")) & (low(Y, "b_") < high(Y, "a_"))
-    own = (F.floor(F.greatest(low(X, "a_"), low(X, "b_")) / cell) == F.col("gx")) & (F.floor(F.greatest(low(Y, "a_"), low(Y, "b_")) / cell) == F.col("gy"))
-    out = a.join(b, ["group_id", "gx", "gy"]).filter(hit & own)
-    return out.select("group_id", F.col("a_rect_id").alias("a"), F.col("b_rect_id").alias("b"), overlap(X, "a_", "b_").alias("overlap_x"), overlap(Y, "a_", "b_").alias("overlap_y"))
+def meeting_boxes(a: DataFrame, b: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes of a and b (group_id, id, lo_x, hi_x, lo_y, hi_y) of one group that meet, borders included: group_id, a_id, b_id and the carried columns with the prefixes a_ and b_.
+
+    A box lies in few cells of the grid whose cells are as large as itself (a power of two). A
+    pair is met once: on the grid of the larger box, in the cell that holds the low corner of
+    their intersection. So a huge box does not fall into many small cells.
+    """
+    size = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"), F.lit(1.0))
+    level = lambda df: df.withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    a, b = level(a), level(b)
+    levels = a.select("group_id", "level").unionByName(b.select("group_id", "level")).distinct().groupBy("group_id").agg(F.collect_set("level").alias("levels"))
+
+    def gridded(df: DataFrame, prefix: str) -> DataFrame:
+        # One row for each grid of the same or a larger size that occurs in the group.
+        up = df.join(levels, "group_id").withColumn("at", F.explode(F.expr("filter(levels, k -> k >= level)"))).withColumn("edge", F.pow(F.lit(2.0), F.col("at")))
+        cells = lambda d: F.explode(F.sequence(F.floor(F.col(f"lo_{d}") / F.col("edge")), F.floor(F.col(f"hi_{d}") / F.col("edge"))))
+        up = up.withColumn("gx", cells("x")).withColumn("gy", cells("y"))
+        return up.select("group_id", "at", "gx", "gy", *[F.col(c).alias(prefix + c) for c in ("id", "level", "lo_x", "hi_x", "lo_y", "hi_y", *carry)], *(["edge"] if prefix == "a_" else []))
+
+    met = gridded(a, "a_").join(gridded(b, "b_"), ["group_id", "at", "gx", "gy"]).filter(F.col("at") == F.greatest("a_level", "b_level"))
+    touch = [(F.col(f"a_lo_{d}") <= F.col(f"b_hi_{d}")) & (F.col(f"b_lo_{d}") <= F.col(f"a_hi_{d}")) & (F.floor(F.greatest(f"a_lo_{d}", f"b_lo_{d}") / F.col("edge")) == F.col(f"g{d}")) for d in ("x", "y")]
+    return met.filter(touch[0] & touch[1]).select("group_id", "a_id", "b_id", *[p + c for p in ("a_", "b_") for c in carry])
+
+
+def boxes(rects: DataFrame, carry: tuple[str, ...] = _NAMES) -> DataFrame:
+    """Rectangles with their borders as boxes for meeting_boxes."""
+    return rects.select("group_id", F.col("rect_id").alias("id"), low(X).alias("lo_x"), high(X).alias("hi_x"), low(Y).alias("lo_y"), high(Y).alias("hi_y"), *carry)
+
+
+def overlap_pairs(rects: DataFrame) -> DataFrame:
+    """Pairs of a group that overlap on both axes, by meeting_boxes."""
+    b = boxes(rects)
+    hit = (F.col("a_id") < F.col("b_id")) & (low(X, "a_") < high(X, "b_")) & (low(X, "b_") < high(X, "a_")) & (low(Y, "a_") < high(Y, "b_")) & (low(Y, "b_") < high(Y, "a_"))
+    return meeting_boxes(b, b, _NAMES).filter(hit).select("group_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"), overlap(X, "a_", "b_").alias("overlap_x"), overlap(Y, "a_", "b_").alias("overlap_y"))
+
+
+def points_inside(points: DataFrame, rects: DataFrame) -> DataFrame:
+    """group_id, point_id, rect_id: points (group_id, point_id, x, y) strictly inside rectangles of their group."""
+    p = points.select("group_id", F.col("point_id").alias("id"), F.col("x").alias("lo_x"), F.col("x").alias("hi_x"), F.col("y").alias("lo_y"), F.col("y").alias("hi_y"), *[F.lit(0.0).alias(c) for c in _NAMES], "x", "y")
+    r = boxes(rects).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    return meeting_boxes(p, r, (*_NAMES, "x", "y")).filter(holds_point(F.col("a_x"), F.col("a_y"), "b_")).select("group_id", F.col("a_id").alias("point_id"), F.col("b_id").alias("rect_id"))
+
+
+def short_text(p: str = "") -> Column:
+    """Raw bounds with two decimals, such as "Rect(0.00, 1.00, 2.00, 3.00)"."""
+    return F.format_string("Rect(%.2f, %.2f, %.2f, %.2f)", *[_c(n, p) for n in _NAMES[:4]])
+
+
+def text(p: str = "") -> Column:
+    """Corners with borders, such as "Rectangle[(0,2),(1,3.5)]"; whole numbers have no decimals."""
+    plain = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    return F.concat(F.lit("Rectangle[("), plain(low(X, p)), F.lit(","), plain(low(Y, p)), F.lit("),("), plain(high(X, p)), F.lit(","), plain(high(Y, p)), F.lit(")]"))
+
+
+def from_corner(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    """The bounds of a rectangle whose low corner and extents are given, as a resize does."""
+    return [x.alias("min_x"), (x + w).alias("max_x"), y.alias("min_y"), (y + h).alias("max_y")]

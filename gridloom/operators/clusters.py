@@ -5,45 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import written
+from ..plans.cut import numbered, written
 
 #: Fixed value: weight of a cluster's boundary variables.
 BOUNDARY_WEIGHT = 1e-7
+SIDES = ("min_x", "max_x", "min_y", "max_y")
 
 
 def closure(clusters: DataFrame) -> DataFrame:
-    """ancestor, cluster_id for every cluster and itself, level by level down the tree."""
-    level = clusters.select(F.col("cluster_id").alias("ancestor"), "cluster_id")
+    """ancestor, cluster_id, n for every cluster and itself (n = 1) and all below it (n - 1 levels down), level by level. A cluster that is its own ancestor raises ValueError."""
+    level = clusters.select(F.col("cluster_id").alias("ancestor"), "cluster_id", F.lit(1).alias("n"))
     out = level
     child = clusters.select(F.col("parent_id").alias("cluster_id"), F.col("cluster_id").alias("child"))
     while True:
-        level = written(level.join(child, "cluster_id").select("ancestor", F.col("child").alias("cluster_id")), "levels")
+        level = written(level.join(child, "cluster_id").select("ancestor", F.col("child").alias("cluster_id"), (F.col("n") + 1).alias("n")), "levels")
         if level.isEmpty():
             return out
+        if not level.filter("ancestor = cluster_id").isEmpty():
+            raise ValueError("the clusters are no tree: one is below itself")
         out = out.unionByName(level)
 
 
 def areas(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster_id, area: extents of the nodes of a cluster and all below it; a node in two clusters counts twice. members: cluster_id, min_x, max_x, min_y, max_y."""
-    own = members.groupBy("cluster_id").agg(F.sum((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))).alias("own"))
+    """cluster_id, area: extents of the nodes of a cluster and all below it; a node given twice to a cluster counts once, one in two clusters twice. members: cluster_id, node_id, min_x, max_x, min_y, max_y."""
+    own = members.dropDuplicates(["cluster_id", "node_id"]).groupBy("cluster_id").agg(F.sum((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))).alias("own"))
     total = closure(clusters).join(own, "cluster_id").groupBy(F.col("ancestor").alias("cluster_id")).agg(F.sum("own").alias("area"))
     return clusters.select("cluster_id").join(total, "cluster_id", "left").select("cluster_id", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
-def bounds(clusters: DataFrame, members: DataFrame, padding: float = 0.0) -> DataFrame:
-    """Bounding rectangles, with padding once for each level: a node below n levels is wrapped n times. Null for a cluster without nodes below it."""
-    up = clusters.select("cluster_id", "parent_id")
-    # Levels between an ancestor and the cluster that has the node.
-    far = clusters.select(F.col("cluster_id").alias("ancestor"), "cluster_id").withColumn("n", F.lit(1))
-    out, level = far, far
-    for _ in range(64):
-        level = written(level.join(up.select(F.col("cluster_id").alias("ancestor"), "parent_id"), "ancestor").filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), "cluster_id", (F.col("n") + 1).alias("n")), "levels")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+def bounds(clusters: DataFrame, members: DataFrame, padding: float = 0.0, fixed: DataFrame | None = None) -> DataFrame:
+    """Bounding rectangles, with padding once for each level: a node below n levels is wrapped n times. Null for a cluster without nodes below it. fixed: cluster_id, min_x, max_x, min_y, max_y of clusters that are a given rectangle."""
     pad = F.col("n") * max(0.0, padding)
-    got = out.join(members, "cluster_id").groupBy(F.col("ancestor").alias("cluster_id")).agg(F.min(F.col("min_x") - pad).alias("min_x"), F.max(F.col("max_x") + pad).alias("max_x"), F.min(F.col("min_y") - pad).alias("min_y"), F.max(F.col("max_y") + pad).alias("max_y"))
-    return clusters.select("cluster_id").join(got, "cluster_id", "left")
+    got = closure(clusters).join(members, "cluster_id").groupBy(F.col("ancestor").alias("cluster_id")).agg(F.min(F.col("min_x") - pad).alias("min_x"), F.max(F.col("max_x") + pad).alias("max_x"), F.min(F.col("min_y") - pad).alias("min_y"), F.max(F.col("max_y") + pad).alias("max_y"))
+    out = clusters.select("cluster_id").join(got, "cluster_id", "left")
+    if fixed is None:
+        return out
+    return out.join(fixed.select("cluster_id", *[F.col(c).alias("own_" + c) for c in SIDES]), "cluster_id", "left").select("cluster_id", *[F.coalesce("own_" + c, c).alias(c) for c in SIDES])
+
+
+def bounds_of_variables(variables: DataFrame) -> DataFrame:
+    """cluster_id, min_x, max_x, min_y, max_y read back from boundary variables (cluster_id, dim, side, position)."""
+    at = lambda d, s: F.max(F.when((F.col("dim") == d) & (F.col("side") == s), F.col("position")))
+    return variables.groupBy("cluster_id").agg(*[at(d, s).alias(c) for c, d, s in (("min_x", 0, 0), ("max_x", 0, 1), ("min_y", 1, 0), ("max_y", 1, 1))])
 
 
 def boundary(rects: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -60,11 +63,12 @@ def corner_points(members: DataFrame) -> DataFrame:
     return members.select("cluster_id", "node_id", corner).select(F.col("cluster_id").alias("set_id"), (F.col("node_id") * 4 + F.col("k")).alias("idx"), "p.x", "p.y")
 
 
-def boundary_variables(rects: DataFrame, order: str, first_id: int) -> DataFrame:
-    """Two variables for each cluster and dimension (low, high), numbered by the column order: cluster_id, dim, side, var_id, desired, weight."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    r = rects.filter("min_x IS NOT NULL").withColumn("rank", rank)
+def boundary_variables(rects: DataFrame, order: str, first_id: int, desired: DataFrame | None = None, weight: float = BOUNDARY_WEIGHT) -> DataFrame:
+    """Two variables for each cluster and dimension (low, high), numbered by the column order: cluster_id, dim, side, var_id, desired, weight. desired: cluster_id, min_x, max_x, min_y, max_y, weight of clusters that have bounds to aim for."""
+    r = numbered(rects.filter("min_x IS NOT NULL"), order)
+    if desired is not None:
+        r = r.join(desired.select("cluster_id", *[F.col(c).alias("own_" + c) for c in (*SIDES, "weight")]), "cluster_id", "left").withColumns({c: F.coalesce("own_" + c, c) for c in SIDES}).withColumn("weight", F.coalesce("own_weight", F.lit(weight)))
+    else:
+        r = r.withColumn("weight", F.lit(weight))
     four = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(s).alias("side"), F.col(c).alias("desired")) for d, s, c in ((0, 0, "min_x"), (0, 1, "max_x"), (1, 0, "min_y"), (1, 1, "max_y"))])).alias("v")
-    return r.select("cluster_id", "rank", four).select("cluster_id", "v.dim", "v.side", (2 * F.col("rank") + F.col("v.side") + first_id).cast("long").alias("var_id"), "v.desired", F.lit(BOUNDARY_WEIGHT).alias("weight"))
+    return r.select("cluster_id", "rank", "weight", four).select("cluster_id", "v.dim", "v.side", (2 * F.col("rank") + F.col("v.side") + first_id).cast("long").alias("var_id"), "v.desired", "weight")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rectangles import meeting_boxes
 from ..plans.cut import written
 
 PAIRS = "graph_id long, u long, v long, d double"
@@ -115,17 +114,17 @@ def component_edges(edges: DataFrame, nodes: DataFrame, labels: DataFrame) -> Da
 
 
 def edge_crossings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """graph_id, crossings: pairs of edges without a common end that properly cross, from one join of edges within a graph."""
+    """graph_id, crossings: pairs of edges without a common end that properly cross. Edges meet by their bounding boxes (meeting_boxes)."""
     p = nodes.select("graph_id", "node_id", "x", "y")
     e = sanitised(edges, nodes)
     for end in ("src", "dst"):
         e = e.join(p.select("graph_id", F.col("node_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y")), ["graph_id", end])
-    a = e.select("graph_id", *[F.col(c).alias("a_" + c) for c in e.columns if c != "graph_id"])
-    b = e.select("graph_id", *[F.col(c).alias("b_" + c) for c in e.columns if c != "graph_id"])
+    ends = ("src", "dst", "src_x", "src_y", "dst_x", "dst_y")
+    box = e.select(F.col("graph_id").alias("group_id"), F.col("edge_idx").alias("id"), *[f(f"src_{d}", f"dst_{d}").alias(f"{n}_{d}") for d in ("x", "y") for n, f in (("lo", F.least), ("hi", F.greatest))], *ends)
     turn = lambda p, q, r: F.signum((F.col(q + "_x") - F.col(p + "_x")) * (F.col(r + "_y") - F.col(p + "_y")) - (F.col(q + "_y") - F.col(p + "_y")) * (F.col(r + "_x") - F.col(p + "_x")))
     apart = (F.col("a_src") != F.col("b_src")) & (F.col("a_src") != F.col("b_dst")) & (F.col("a_dst") != F.col("b_src")) & (F.col("a_dst") != F.col("b_dst"))
     cross = (turn("a_src", "a_dst", "b_src") * turn("a_src", "a_dst", "b_dst") < 0) & (turn("b_src", "b_dst", "a_src") * turn("b_src", "b_dst", "a_dst") < 0)
-    hits = a.join(b, "graph_id").filter((F.col("a_edge_idx") < F.col("b_edge_idx")) & apart & cross).groupBy("graph_id").agg(F.count("*").alias("crossings"))
+    hits = meeting_boxes(box, box, ends).filter((F.col("a_id") < F.col("b_id")) & apart & cross).groupBy(F.col("group_id").alias("graph_id")).agg(F.count("*").alias("crossings"))
     return nodes.select("graph_id").distinct().join(hits, "graph_id", "left").select("graph_id", F.coalesce("crossings", F.lit(0)).alias("crossings"))
 
 
@@ -152,8 +151,12 @@ def _hull(t: pa.Table) -> pa.Table:
     return pa.table({"set_id": pa.array([s] * len(ring), pa.int64()), "ord": pa.array(range(len(ring)), pa.int64()), "idx": pa.array(i[ring], pa.int64()), "x": x[ring], "y": y[ring]})
 
 
-def convex_hulls(points: DataFrame) -> DataFrame:
-    """set_id, ord, idx, x, y: each set's hull counter-clockwise from the lowest, then leftmost point; points inside edges are left out, of equal points the least idx counts."""
-    return points.select(F.col("set_id").cast("long").alias("set_id"), F.col("idx").cast("long").alias("idx"), "x", "y").groupBy("set_id").applyInArrow(_hull, "set_id long, ord long, idx long, x double, y double")
+HULL = "set_id long, ord long, idx long, x double, y double"
 
 
+def convex_hulls(points: DataFrame, parts: int = 1) -> DataFrame:
+    """set_id, ord, idx, x, y: each set's hull counter-clockwise from the lowest, then leftmost point; points inside edges are left out, of equal points the least idx counts. With parts, a set is dealt out and only the hulls of its parts meet in one task."""
+    p = points.select(F.col("set_id").cast("long").alias("set_id"), F.col("idx").cast("long").alias("idx"), "x", "y")
+    if parts > 1:
+        p = p.withColumn("part", F.pmod(F.xxhash64("idx"), F.lit(parts))).groupBy("set_id", "part").applyInArrow(lambda t: _hull(t.drop_columns(["part"])), HULL).drop("ord")
+    return p.groupBy("set_id").applyInArrow(_hull, HULL)

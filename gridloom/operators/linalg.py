@@ -13,6 +13,11 @@ def last_set(entries: DataFrame) -> DataFrame:
     return entries.groupBy("m_id", "i", "j").agg(F.max_by("v", "seq").alias("v"))
 
 
+def cells(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
+    """m_id, i, j, v of the wanted cells (m_id, i, j); 0 where none is stored."""
+    return wanted.select("m_id", "i", "j").join(matrix, ["m_id", "i", "j"], "left").select("m_id", "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 def rows_of(matrix: DataFrame) -> DataFrame:
     """Compressed rows: m_id, i, columns and values in column order."""
     r = matrix.groupBy("m_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r"))

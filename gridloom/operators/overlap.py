@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rectangles import X, Y, centre, extent, high, low
+from ..functions.rectangles import _NAMES, X, Y, centre, extent, high, low, meeting_boxes, overlap
 from .projection import solve_separation
 
 #: Extra gap, and weights of fixed and other rectangles.
@@ -15,11 +15,16 @@ EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
 
 
 def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
-    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together."""
+    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together.
+
+    A rectangle is open at a point of the sweep: points meet rectangles by cells of the sweep's
+    axis (meeting_boxes), not every rectangle every other one of its group.
+    """
     other = Y if dim == X else X
     r = rects.select("group_id", F.col("rect_id").alias("id"), low(other).alias("lo"), high(other).alias("hi"), centre(dim).alias("c"), extent(dim).alias("size"))
-    o = r.select("group_id", *[F.col(c).alias("o_" + c) for c in ("id", "lo", "hi", "c", "size")])
-    open_ = r.join(o, "group_id").filter("id <> o_id AND o_lo <= hi AND (o_hi > hi OR (o_hi = hi AND o_id > id))")
+    flat = lambda lo: r.select("group_id", "id", lo.alias("lo_x"), F.col("hi").alias("hi_x"), F.lit(0.0).alias("lo_y"), F.lit(0.0).alias("hi_y"), "lo", "hi", "c", "size")
+    open_ = meeting_boxes(flat(F.col("hi")), flat(F.col("lo")), ("lo", "hi", "c", "size")).filter("a_id <> b_id AND b_lo <= a_hi AND (b_hi > a_hi OR (b_hi = a_hi AND b_id > a_id))")
+    open_ = open_.select("group_id", F.col("a_id").alias("id"), F.col("a_c").alias("c"), F.col("a_size").alias("size"), F.col("b_id").alias("o_id"), F.col("b_c").alias("o_c"), F.col("b_size").alias("o_size"))
     under = "o_c < c OR (o_c = c AND o_id < id)"
     pick = lambda side, agg: open_.filter(side).groupBy("group_id", "id", "size").agg(agg(F.struct("o_c", "o_id", "o_size")).alias("o"))
     a, b = pick(under, F.max), pick(f"NOT ({under})", F.min)
@@ -27,8 +32,25 @@ def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
     return a.select("group_id", F.col("o.o_id").alias("left"), F.col("id").alias("right"), gap).unionByName(b.select("group_id", F.col("id").alias("left"), F.col("o.o_id").alias("right"), gap))
 
 
+def neighbour_constraints(rects: DataFrame) -> DataFrame:
+    """group_id, left, right, gap along x from neighbour lists: of the rectangles that share a part of the y axis with one, the nearest on either side that does not overlap it in x, and before that those whose overlap in x is at most that in y."""
+    cols = ("c", "cy", "size", *_NAMES)
+    r = rects.select("group_id", F.col("rect_id").alias("id"), low(X).alias("lo_x"), high(X).alias("hi_x"), low(Y).alias("lo_y"), high(Y).alias("hi_y"), centre(X).alias("c"), centre(Y).alias("cy"), extent(X).alias("size"), *_NAMES)
+    # Only the y axis decides which meet.
+    line = r.withColumns({"lo_x": F.col("lo_y"), "hi_x": F.col("hi_y"), "lo_y": F.lit(0.0), "hi_y": F.lit(0.0)})
+    met = meeting_boxes(line, line, cols).filter("a_c < b_c OR (a_c = b_c AND a_id < b_id)")
+    met = met.select("group_id", F.col("a_id").alias("left"), F.col("b_id").alias("right"), F.col("b_c").alias("c_right"), F.col("a_c").alias("c_left"), ((F.col("a_size") + F.col("b_size")) / 2).alias("gap"), overlap(X, "a_", "b_").alias("ox"), overlap(Y, "a_", "b_").alias("oy"))
+    # Of those apart in x the nearest counts, seen from either end; nearer ones count by their overlaps.
+    apart = F.when(F.col("ox") <= 0, F.struct("c_right", "right"))
+    apart_back = F.when(F.col("ox") <= 0, F.struct("c_left", "left"))
+    met = met.withColumn("stop", F.min(apart).over(Window.partitionBy("group_id", "left"))).withColumn("stop_back", F.max(apart_back).over(Window.partitionBy("group_id", "right")))
+    ahead = F.col("stop").isNull() | (F.struct("c_right", "right") <= F.col("stop"))
+    behind = F.col("stop_back").isNull() | (F.struct("c_left", "left") >= F.col("stop_back"))
+    return met.filter(((F.col("ox") <= 0) | (F.col("ox") <= F.col("oy"))) & ahead & behind).select("group_id", "left", "right", "gap")
+
+
 def sweep(lo: np.ndarray, hi: np.ndarray, c: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same constraints for one group in memory."""
+    """The constraints of sweep_constraints for one group in memory."""
     n = len(c)
     if n < 2:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
@@ -39,35 +61,54 @@ def sweep(lo: np.ndarray, hi: np.ndarray, c: np.ndarray, size: np.ndarray) -> tu
     later[np.lexsort((np.arange(n), hi))] = np.arange(n)
     left, right = [], []
     for v in range(n):
-        free = (lo <= hi[v]) & (later > later[v])
-        at = np.sort(place[free])
-        k = np.searchsorted(at, place[v])
-        if k > 0:
-            left.append(order[at[k - 1]])
+        at = place[(lo <= hi[v]) & (later > later[v])]
+        under, over = at[at < place[v]], at[at > place[v]]
+        if len(under):
+            left.append(order[under.max()])
             right.append(v)
-        if k < len(at):
+        if len(over):
             left.append(v)
-            right.append(order[at[k]])
+            right.append(order[over.min()])
     left, right = np.array(left, int), np.array(right, int)
     return left, right, (size[left] + size[right]) / 2
 
 
-def separated(box: np.ndarray, weight: np.ndarray, extra: float = EXTRA_GAP) -> np.ndarray:
-    """Centres after passes over y and x; box: min_x, max_x, min_y, max_y in columns. The y pass parts every overlap that is left."""
-    box = box.copy()
-    start = box.copy()
-    for axis in (1, 0):
-        o = 1 - axis
-        lo, hi = box[:, 2 * axis], box[:, 2 * axis + 1]
-        size, c = hi - lo + extra, (start[:, 2 * axis] + start[:, 2 * axis + 1]) / 2
-        left, right, gap = sweep(box[:, 2 * o], box[:, 2 * o + 1], c, size)
-        x, _, _ = solve_separation(c, weight, np.ones(len(c)), left, right, gap, np.zeros(len(gap), bool))
-        half = (hi - lo) / 2
+def listed(box: np.ndarray, c: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The constraints of neighbour_constraints for one group in memory; other: centres on the y axis."""
+    n = len(c)
+    rank = np.empty(n, int)
+    rank[np.lexsort((np.arange(n), c))] = np.arange(n)
+    open_ = (box[:, None, 2] <= box[None, :, 3]) & (box[None, :, 2] <= box[:, None, 3])
+    ahead = open_ & (rank[:, None] < rank[None, :])
+    half, high_y = size / 2, (box[:, 3] - box[:, 2]) / 2
+    ox = np.maximum(0.0, half[:, None] + half[None, :] - (c[None, :] - c[:, None]))
+    oy = np.maximum(0.0, high_y[:, None] + high_y[None, :] - np.abs(other[None, :] - other[:, None]))
+    apart = ahead & (ox <= 0)
+    stop = np.where(apart, rank[None, :], n).min(1)
+    stop_back = np.where(apart, rank[:, None], -1).max(0)
+    left, right = np.nonzero(ahead & ((ox <= 0) | (ox <= oy)) & (rank[None, :] <= stop[:, None]) & (rank[:, None] >= stop_back[None, :]))
+    return left, right, (size[left] + size[right]) / 2
+
+
+def separated(box: np.ndarray, weight: np.ndarray, extra: float = EXTRA_GAP, third_pass: bool = True) -> np.ndarray:
+    """Boxes (min_x, max_x, min_y, max_y in columns) after a pass over x, which parts what overlaps less there than in y, and one over y, which parts every overlap that is left. The third pass takes x anew from where it began, for the final y, so that no rectangle stays where only the first pass needed it."""
+    start, box = box, box.copy()
+    mid = lambda b, axis: (b[:, 2 * axis] + b[:, 2 * axis + 1]) / 2
+
+    def along(axis: int, desired: np.ndarray, rules: tuple) -> None:
+        x, _, _ = solve_separation(desired, weight, np.ones(len(weight)), *rules, np.zeros(len(rules[2]), bool))
+        half = (start[:, 2 * axis + 1] - start[:, 2 * axis]) / 2
         box[:, 2 * axis], box[:, 2 * axis + 1] = x - half, x + half
+
+    width, height = start[:, 1] - start[:, 0] + extra, start[:, 3] - start[:, 2] + extra
+    along(0, mid(start, 0), listed(box, mid(box, 0), width, mid(box, 1)))
+    along(1, mid(start, 1), sweep(box[:, 0], box[:, 1], mid(box, 1), height))
+    if third_pass:
+        along(0, mid(start, 0), sweep(box[:, 2], box[:, 3], mid(box, 0), width))
     return box
 
 
-def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass: bool = True) -> DataFrame:
     """Rectangles of each group moved apart, sizes kept, fixed ones (group_id, rect_id) hardly moved. One group to a task; groups must fit one."""
     f = F.lit(False) if fixed is None else F.coalesce("fixed", F.lit(False))
     r = rects if fixed is None else rects.join(fixed.select("group_id", "rect_id", F.lit(True).alias("fixed")), ["group_id", "rect_id"], "left")
@@ -75,7 +116,7 @@ def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None) -> DataFra
 
     def apart(t: pa.Table) -> pa.Table:
         t = t.sort_by("rect_id")
-        box = separated(np.stack([t.column(c).to_numpy() for c in ("min_x", "max_x", "min_y", "max_y")], 1), t.column("weight").to_numpy())
+        box = separated(np.stack([t.column(c).to_numpy() for c in ("min_x", "max_x", "min_y", "max_y")], 1), t.column("weight").to_numpy(), third_pass=third_pass)
         return pa.table({"group_id": t.column("group_id"), "rect_id": t.column("rect_id"), **{c: box[:, i] for i, c in enumerate(("min_x", "max_x", "min_y", "max_y"))}})
 
     return r.groupBy("group_id").applyInArrow(apart, "group_id long, rect_id long, min_x double, max_x double, min_y double, max_y double")

@@ -1,13 +1,17 @@
 """Separation projections: minimise sum w (x - d)^2 subject to s_r x_r - s_l x_l >= gap or = gap.
 
-Strictly convex, so any exact method finds the one optimum. Each problem goes to a task as a
-group and is solved by a dual active-set method (Goldfarb and Idnani, 1983): constraints
-enter one by one, equalities first in their order, then the most violated; one that no step can
-meet is reported as unsatisfiable and left out.
+Strictly convex, so any exact method finds the one optimum. A problem goes to a task as a group
+and falls apart there into the parts that its constraints connect. A part that is a path of
+unscaled variables is an isotonic regression, found by pooling neighbours in linear time. Any
+other goes through a dual active-set method (Goldfarb and Idnani, 1983): constraints enter one by
+one, equalities first in their order, then the most violated; one that no step can meet is
+reported as unsatisfiable and left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,10 +19,94 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a slack below this is a violation.
 VIOLATED = -1e-10
+#: Variables of a chain that are pooled together at first.
+SEGMENT = 50_000
+
+
+def pooled(value: np.ndarray, weight: np.ndarray, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression by pooling neighbours: the pools' means and how many values each holds. joined[i]: i and i + 1 are equal whatever their values."""
+    mean: list[float] = []
+    mass: list[float] = []
+    count: list[int] = []
+    tied = [False] * len(value) if joined is None else [False, *joined.tolist()]
+    for v, w, tie in zip(value.tolist(), weight.tolist(), tied):
+        n = 1
+        while mean and (tie or mean[-1] > v):
+            m = mass.pop()
+            v, w, n, tie = (mean.pop() * m + v * w) / (m + w), w + m, n + count.pop(), False
+        mean.append(v)
+        mass.append(w)
+        count.append(n)
+    return np.array(mean), np.array(count, np.int64)
+
+
+def _paths(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """The constraint that leaves each variable (-1 without one) if all constraints form paths, else None."""
+    if len(left) and (np.bincount(left, minlength=n).max() > 1 or np.bincount(right, minlength=n).max() > 1):
+        return None
+    out = np.full(n, -1)
+    out[left] = np.arange(len(left))
+    return out
+
+
+def _along_paths(desired, weight, left, right, gap, equal, leaves) -> np.ndarray | None:
+    """The optimum on paths; None if a cycle is among them."""
+    n = len(desired)
+    heads = np.setdiff1d(np.arange(n), right, assume_unique=False)
+    order, steps, starts = [], [], []
+    for h in heads.tolist():
+        starts.append(len(order))
+        order.append(h)
+        steps.append(-1)
+        c = leaves[h]
+        while c >= 0:
+            order.append(int(right[c]))
+            steps.append(int(c))
+            c = leaves[right[c]]
+    if len(order) < n:
+        return None
+    x = np.empty(n)
+    order, steps = np.array(order), np.array(steps)
+    for i, j in zip(starts, [*starts[1:], n]):
+        o, c = order[i:j], steps[i + 1 : j]
+        offset = np.r_[0.0, np.cumsum(gap[c])]
+        mean, count = pooled(desired[o] - offset, weight[o], equal[c])
+        x[o] = np.repeat(mean, count) + offset
+    return x
+
+
+def _parts(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The part of each variable: the least variable that constraints connect it to."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
 
 def solve_separation(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, which constraints are active, which are unsatisfiable."""
+    desired = np.asarray(desired, float)
+    leaves = _paths(len(desired), left, right) if (scale == 1).all() else None
+    x = None if leaves is None else _along_paths(desired, weight, left, right, gap, equal, leaves)
+    if x is not None:
+        return x, np.abs(x[right] - x[left] - gap) <= 1e-9, np.zeros(len(gap), bool)
+    x, on, dead = desired.copy(), np.zeros(len(gap), bool), np.zeros(len(gap), bool)
+    part = _parts(len(x), left, right)
+    for k in np.unique(part[left]):
+        v, c = np.flatnonzero(part == k), np.flatnonzero(part[left] == k)
+        x[v], on[c], dead[c] = active_set(desired[v], weight[v], scale[v], np.searchsorted(v, left[c]), np.searchsorted(v, right[c]), gap[c], equal[c])
+    return x, on, dead
+
+
+def active_set(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one part, with a dense matrix of its constraints. Raises if the steps run out before the optimum."""
     x, w = desired.astype(float).copy(), 2.0 * weight
     n = len(gap)
     a = np.zeros((n, len(x)))
@@ -45,7 +133,11 @@ def solve_separation(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray,
             short = sign * gap[c] - normal @ x
             if len(active):
                 m = a[active] * np.array(side)[:, None]
-                r = np.linalg.lstsq((m / w) @ m.T, (m / w) @ normal, rcond=1e-12)[0]
+                # Active constraints are independent of each other, so the system has one solution.
+                try:
+                    r = np.linalg.solve((m / w) @ m.T, (m / w) @ normal)
+                except np.linalg.LinAlgError:
+                    r = np.linalg.lstsq((m / w) @ m.T, (m / w) @ normal, rcond=1e-12)[0]
                 z = (normal - r @ m) / w
             else:
                 r, z = np.zeros(0), normal / w
@@ -71,22 +163,39 @@ def solve_separation(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray,
                 break
             del active[drop], side[drop]
             u = np.delete(u, drop)
+    else:
+        raise ArithmeticError("the separation problem was not solved within its steps")
     on = np.zeros(n, bool)
     on[active] = True
     return x, on, dead
 
 
-def _project(variables: pa.Table, constraints: pa.Table) -> pa.Table:
+def _solved(variables: pa.Table, constraints: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, np.ndarray]:
+    """Variable ids in order, positions, the constraints between known variables in order of c_id, and which are unsatisfiable."""
     ids = variables.column("var_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     col = lambda c: variables.column(c).to_numpy()[order]
     k = constraints.sort_by("c_id") if constraints.num_rows else constraints
-    known = np.isin(k.column("left").to_numpy(), ids) & np.isin(k.column("right").to_numpy(), ids)
-    k = k.filter(pa.array(known))
+    k = k.filter(pa.array(np.isin(k.column("left").to_numpy(), ids) & np.isin(k.column("right").to_numpy(), ids)))
     place = lambda c: np.searchsorted(ids, k.column(c).to_numpy())
     x, _, dead = solve_separation(col("desired"), col("weight"), col("scale"), place("left"), place("right"), k.column("gap").to_numpy(), np.asarray(k.column("equality").to_pylist(), bool))
-    return pa.table({"problem_id": variables.column("problem_id").take(pa.array(order)), "var_id": pa.array(ids, pa.int64()), "position": x, "unsatisfied": pa.array([int(dead.sum())] * len(ids), pa.int64())})
+    return ids, x, k, dead
+
+
+def _of(variables: pa.Table, n: int) -> pa.Array:
+    return pa.array([variables.column("problem_id")[0].as_py()] * n if n else [], pa.int64())
+
+
+def _project(variables: pa.Table, constraints: pa.Table) -> pa.Table:
+    ids, x, _, dead = _solved(variables, constraints)
+    return pa.table({"problem_id": _of(variables, len(ids)), "var_id": pa.array(ids, pa.int64()), "position": x, "unsatisfied": pa.array([int(dead.sum())] * len(ids), pa.int64())})
+
+
+def _failed(variables: pa.Table, constraints: pa.Table) -> pa.Table:
+    _, _, k, dead = _solved(variables, constraints)
+    k = k.filter(pa.array(dead))
+    return pa.table({"problem_id": _of(variables, k.num_rows), **{c: k.column(c) for c in ("c_id", "left", "right", "gap", "equality")}})
 
 
 def constraint_components(variables: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -98,32 +207,85 @@ def constraint_components(variables: DataFrame, constraints: DataFrame) -> DataF
     return components(edges, nodes).select(F.col("graph_id").alias("problem_id"), F.col("node_id").alias("var_id"), F.col("component_id").alias("block"))
 
 
+def _cogrouped(variables: DataFrame, constraints: DataFrame, run: Callable, schema: str) -> DataFrame:
+    v = variables.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("var_id").cast("long").alias("var_id"), *[F.col(c).cast("double").alias(c) for c in ("desired", "weight", "scale")]).groupBy("problem_id")
+    c = constraints.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("c_id").cast("long").alias("c_id"), F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.col("gap").cast("double").alias("gap"), F.col("equality").cast("boolean").alias("equality")).groupBy("problem_id")
+    # A problem without variables has nothing to place.
+    return v.cogroup(c).applyInArrow(lambda left, right: run(left, right) if left.num_rows else run(left, right.slice(0, 0)), schema)
+
+
 def project(variables: DataFrame, constraints: DataFrame) -> DataFrame:
     """problem_id, var_id, position, unsatisfied (constraints of the problem left out as contradictory).
 
     variables: problem_id, var_id, desired, weight, scale; constraints: problem_id, c_id, left,
-    right, gap, equality. Constraints on unknown variables are left out. Problems that are
-    large but fall apart are first split with constraint_components.
+    right, gap, equality. Constraints on unknown variables are left out. Memory is linear in a
+    problem whose parts are paths; chain_projection takes chains of any length, and
+    split_problems cuts a problem too large for a task.
     """
-    v = variables.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("var_id").cast("long").alias("var_id"), "desired", "weight", "scale").groupBy("problem_id")
-    c = constraints.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("c_id").cast("long").alias("c_id"), F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.col("gap").cast("double").alias("gap"), F.col("equality").cast("boolean").alias("equality")).groupBy("problem_id")
+    return _cogrouped(variables, constraints, _project, "problem_id long, var_id long, position double, unsatisfied long")
+
+
+def split_problems(variables: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same variables and constraints with problem_id replaced by a number for each part that constraints connect; variables also keep (problem, part)."""
+    block = constraint_components(variables, constraints)
+    number = F.xxhash64("problem_id", "block")
+    v = variables.join(block, ["problem_id", "var_id"]).withColumn("problem", F.col("problem_id")).withColumn("part", F.col("block"))
+    c = constraints.join(block.withColumnRenamed("var_id", "left"), ["problem_id", "left"])
+    return v.withColumn("problem_id", number).drop("block"), c.withColumn("problem_id", number).drop("block")
+
+
+def project_parts(variables: DataFrame, constraints: DataFrame) -> DataFrame:
+    """problem_id, var_id, position: as project, with every connected part of a problem a group of its own."""
+    v, c = split_problems(variables, constraints)
+    got = project(v, c).select(F.col("problem_id").alias("p"), "var_id", "position")
+    return v.select(F.col("problem_id").alias("p"), "problem", "var_id").join(got, ["p", "var_id"]).select(F.col("problem").alias("problem_id"), "var_id", "position")
+
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _project(left, right)
+def unsatisfiable(variables: DataFrame, constraints: DataFrame) -> DataFrame:
+    """problem_id, c_id, left, right, gap, equality: the constraints that project leaves out because those before them contradict them."""
+    return _cogrouped(variables, constraints, _failed, "problem_id long, c_id long, left long, right long, gap double, equality boolean")
 
-    return v.cogroup(c).applyInArrow(run, "problem_id long, var_id long, position double, unsatisfied long")
 
+def described(constraints: DataFrame) -> DataFrame:
+    """Constraints with their text, such as "v1 + 2.0 <= v2"."""
+    sign = F.when(F.col("equality"), F.lit(" == ")).otherwise(F.lit(" <= "))
+    return constraints.withColumn("text", F.concat(F.lit("v"), F.col("left").cast("string"), F.lit(" + "), F.col("gap").cast("string"), sign, F.lit("v"), F.col("right").cast("string")))
+
+
+def with_added(variables: DataFrame, solved: DataFrame, constraints: DataFrame, added: DataFrame) -> DataFrame:
+    """Add constraints to a solved problem: the problems that an added one concerns are solved anew, the others keep their solution. solved: rows of project."""
+    touched = added.select("problem_id").distinct()
+    again = project(variables.join(touched, "problem_id", "left_semi"), constraints.unionByName(added).join(touched, "problem_id", "left_semi"))
+    return solved.join(touched, "problem_id", "left_anti").unionByName(again)
+
+
+def pulls(positions: DataFrame) -> DataFrame:
+    """problem_id, var_id, pull: the derivative 2 w (x - d) of the cost by each position."""
+    return positions.select("problem_id", "var_id", (2 * F.col("weight") * (F.col("position") - F.col("desired"))).alias("pull"))
+
+
+def chain_projection(variables: DataFrame, gap: float, segment: int = SEGMENT) -> DataFrame:
+    """Positions of chains x_(i+1) - x_i >= gap (variables: problem_id, var_id 0, 1, ..., desired, weight): problem_id, var_id, position.
+
+    Pools of a chain's segments are pooled again over the chain, which gives the pools of the
+    whole chain; so a chain of any length is first pooled in many tasks.
+    """
+    z = variables.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("var_id").cast("long").alias("var_id"), F.expr(f"var_id div {segment}").alias("part"), (F.col("desired") - gap * F.col("var_id")).alias("z"), F.col("weight").cast("double").alias("weight"))
+
+    def pools(t: pa.Table) -> pa.Table:
+        t = t.sort_by("first")
+        mass, size = t.column("mass").to_numpy(), t.column("size").to_numpy()
+        mean, count = pooled(t.column("mean").to_numpy(), mass)
+        at = np.cumsum(count) - count
+        many = pa.array([t.column("problem_id")[0].as_py()] * len(mean), pa.int64())
+        return pa.table({"problem_id": many, "first": t.column("first").to_numpy()[at], "size": np.add.reduceat(size, at), "mass": np.add.reduceat(mass, at), "mean": mean})
 
-def chain_projection(variables: DataFrame, gap: float) -> DataFrame:
-    """Positions of unit-weight chains x_(i+1) - x_i >= gap by the min-max formula, with window sums only: problem_id, var_id, position. Chains are short against the table; a chain's windows are joined with each other."""
-    by = Window.partitionBy("problem_id").orderBy("var_id")
-    z = variables.select("problem_id", "var_id", (F.col("desired") - gap * F.col("var_id")).alias("z")).withColumn("c", F.sum("z").over(by))
-    a = z.select("problem_id", F.col("var_id").alias("a"), (F.col("c") - F.col("z")).alias("before"))
-    b = z.select("problem_id", F.col("var_id").alias("b"), F.col("c").alias("upto"))
-    mean = a.join(b, "problem_id").filter("a <= b").select("problem_id", "a", "b", ((F.col("upto") - F.col("before")) / (F.col("b") - F.col("a") + 1)).alias("mean"))
-    low = F.min("mean").over(Window.partitionBy("problem_id", "a").orderBy("b").rowsBetween(0, Window.unboundedFollowing))
-    best = mean.withColumn("low", low).withColumn("best", F.max("low").over(Window.partitionBy("problem_id", "b").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)))
-    return best.filter("a = b").select("problem_id", F.col("a").alias("var_id"), (F.col("best") + gap * F.col("a")).alias("position"))
+    pool = "problem_id long, first long, size long, mass double, mean double"
+    ones = z.select("problem_id", "part", F.col("var_id").alias("first"), F.lit(1).cast("long").alias("size"), F.col("weight").alias("mass"), F.col("z").alias("mean"))
+    parts = ones.groupBy("problem_id", "part").applyInArrow(lambda t: pools(t.drop_columns(["part"])), pool)
+    whole = parts.groupBy("problem_id").applyInArrow(pools, pool)
+    placed = whole.select("problem_id", "mean", F.explode(F.expr("sequence(first, first + size - 1)")).alias("var_id"))
+    return placed.select("problem_id", "var_id", (F.col("mean") + gap * F.col("var_id")).alias("position"))
 
 
 def slacks(positions: DataFrame, constraints: DataFrame) -> DataFrame:

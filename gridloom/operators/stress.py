@@ -40,18 +40,39 @@ def stress(p: DataFrame, nodes: DataFrame, locks: DataFrame | None = None, desir
     return nodes.select("graph_id").distinct().join(total, "graph_id", "left").select("graph_id", F.coalesce("stress", F.lit(0.0)).alias("stress"))
 
 
+def with_desired(grad: DataFrame, nodes: DataFrame, desired: DataFrame, axis: str) -> DataFrame:
+    """A gradient with the pull of desired positions (graph_id, node_id, axis, weight): weight times how far a node is beyond its own."""
+    own = desired.select("graph_id", F.col("node_id").alias("u"), F.col(axis).alias("to"), "weight").join(nodes.select("graph_id", F.col("node_id").alias("u"), F.col(axis).alias("at")), ["graph_id", "u"])
+    pull = own.select("graph_id", "u", (F.col("weight") * (F.col("at") - F.col("to"))).alias("grad"))
+    return grad.unionByName(pull).groupBy("graph_id", "u").agg(F.sum("grad").alias("grad"))
+
+
+def largest(grad: DataFrame) -> DataFrame:
+    """graph_id, largest: the largest absolute entry."""
+    return grad.groupBy("graph_id").agg(F.max(F.abs("grad")).alias("largest"))
+
+
+def reduction(trace: DataFrame) -> DataFrame:
+    """graph_id, percent: how far the stress of the last iteration is below that of the first, in percent; null for one iteration or no stress at first. trace: graph_id, iteration, stress."""
+    ends = trace.groupBy("graph_id").agg(F.min_by("stress", "iteration").alias("first"), F.max_by("stress", "iteration").alias("last"), F.count("*").alias("n"))
+    return ends.select("graph_id", F.when((F.col("n") > 1) & (F.col("first") > 0), (F.col("first") - F.col("last")) / F.col("first") * 100).alias("percent"))
+
+
 def gradient(p: DataFrame, axis: str) -> DataFrame:
     """graph_id, u, g along an axis; coincident pairs give nothing."""
     each = F.when(F.col("l") > 0, F.col(f"d{axis}") * (F.col("l") - F.col("d")) / (F.col("d") * F.col("d") * F.col("l"))).otherwise(F.lit(0.0))
     return p.groupBy("graph_id", "u").agg(F.sum(each).alias("grad"))
 
 
-def hessian(p: DataFrame, axis: str) -> DataFrame:
-    """graph_id, i, j, v: the pairs' entries and the diagonal, which is minus a row's sum."""
+def hessian(p: DataFrame, axis: str, desired: DataFrame | None = None) -> DataFrame:
+    """graph_id, i, j, v: the pairs' entries and the diagonal, which is minus a row's sum plus the weight of a desired position (graph_id, node_id, weight)."""
     l, d, a = F.col("l"), F.col("d"), F.col(f"d{axis}")
     h = F.when(l > 0, (d * (l * l - a * a) / (l * l * l) - 1) / (d * d)).otherwise(F.lit(0.0))
     off = p.select("graph_id", F.col("u").alias("i"), F.col("v").alias("j"), h.alias("v"))
-    return off.unionByName(off.groupBy("graph_id", "i").agg((-F.sum("v")).alias("v")).select("graph_id", "i", F.col("i").alias("j"), "v"))
+    diagonal = off.select("graph_id", "i", (-F.col("v")).alias("v"))
+    if desired is not None:
+        diagonal = diagonal.unionByName(desired.select("graph_id", F.col("node_id").alias("i"), F.col("weight").alias("v")))
+    return off.unionByName(diagonal.groupBy("graph_id", "i").agg(F.sum("v").alias("v")).select("graph_id", "i", F.col("i").alias("j"), "v"))
 
 
 def step_size(grad: DataFrame, hess: DataFrame, way: DataFrame | None = None) -> DataFrame:

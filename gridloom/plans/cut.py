@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -19,3 +20,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{place.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with rank (from 0) by a column of distinct values: rows are dealt by ranges of it, ranked in each range, and the ranges' sizes give each range's first rank."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "ranges")
+    # A row for each range.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.withColumn("rank", rank).join(first, "part").withColumn("rank", F.col("rank") + F.col("first")).drop("part", "first")

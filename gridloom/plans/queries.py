@@ -20,6 +20,7 @@ from ..operators import quadratic as D
 from ..operators import stress as S
 from ..operators.layout import LayoutSpec, layout
 from ..sources import tables as T
+from .table_functions import register
 
 IDEAL = 10.0
 QUERIES: dict[str, Callable] = {}
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {}
 WITH = f"""
 WITH RECURSIVE rects0 AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST((p_partkey * 37) % 500 AS DOUBLE) AS cx, CAST((p_partkey * 91) % 500 AS DOUBLE) AS cy, CAST(p_size AS DOUBLE) AS w, CAST(p_size % 10 + 1 AS DOUBLE) AS h FROM part),
 rects AS (SELECT CAST(floor(k / {T.CANVAS}) AS BIGINT) AS group_id, k AS rect_id, cx, cy, w, h, cx - w / 2 AS min_x, cx + w / 2 AS max_x, cy - h / 2 AS min_y, cy + h / 2 AS max_y FROM rects0),
+wide AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 + p_partkey % 7 END::BIGINT AS group_id, k AS rect_id, w, h, cx + 500 * floor(k / 2500) AS cx, cy, cx + 500 * floor(k / 2500) - w / 2 AS min_x, cx + 500 * floor(k / 2500) + w / 2 AS max_x, cy - h / 2 AS min_y, cy + h / 2 AS max_y FROM rects0 JOIN part ON p_partkey = k),
 nodes AS (SELECT CAST(floor(c_custkey / {T.GRAPH}) AS BIGINT) AS graph_id, CAST(c_custkey % {T.GRAPH} AS BIGINT) AS node_id, CAST((c_custkey * 37) % 101 AS DOUBLE) AS x, CAST((c_custkey * 91) % 103 AS DOUBLE) AS y, CAST((c_custkey * 53) % 97 AS DOUBLE) AS z, 12.0::DOUBLE AS w, 8.0::DOUBLE AS h FROM customer),
 edges0 AS (SELECT graph_id, node_id * 2 AS edge_idx, node_id AS src, node_id + 1 AS dst, CAST(node_id % 3 + 1 AS DOUBLE) AS length FROM nodes WHERE node_id % 7 <> 6 AND node_id < {T.GRAPH - 1}
   UNION ALL SELECT graph_id, node_id * 2 + 1, node_id, (node_id * 3) % 7, CASE WHEN node_id % 8 = 1 THEN 2.0 END FROM nodes WHERE node_id % 4 = 1),
@@ -113,11 +115,29 @@ def rect_no_overlaps_flag(spark, d):
     return rects.select("group_id").distinct().join(hit, "group_id", "left").select("group_id", F.col("hit").isNull().alias("no_overlaps"))
 
 
-@query("SELECT q.group_id, q.rect_id AS point_id, s.rect_id FROM rects q JOIN rects s ON q.group_id = s.group_id AND q.rect_id <> s.rect_id AND q.cx > s.min_x AND q.cx < s.max_x AND q.cy > s.min_y AND q.cy < s.max_y")
+@query(_PAIRS.replace("rects", "wide") + " SELECT group_id, a, b, CASE WHEN ax <= bx AND b0 < a1 THEN a1 - b0 WHEN bx <= ax AND a0 < b1 THEN b1 - a0 ELSE 0 END AS overlap_x, CASE WHEN ay <= by_ AND b2 < a3 THEN a3 - b2 WHEN by_ <= ay AND a2 < b3 THEN b3 - a2 ELSE 0 END AS overlap_y FROM hit")
+def rect_overlap_pairs_wide(spark, d):
+    """Few large groups, one with a third of all rows."""
+    return R.overlap_pairs(T.wide_rects(spark, d))
+
+
+@query("SELECT q.group_id, q.rect_id AS point_id, s.rect_id FROM wide q JOIN wide s ON q.group_id = s.group_id AND q.min_x + 1 > s.min_x AND q.min_x + 1 < s.max_x AND q.cy > s.min_y AND q.cy < s.max_y")
 def rect_point_inside(spark, d):
-    rects = T.part_rects(spark, d)
-    points = rects.select("group_id", F.col("rect_id").alias("point_id"), R.centre(0).alias("px"), R.centre(1).alias("py"))
-    return points.join(rects, "group_id").filter((F.col("point_id") != F.col("rect_id")) & R.holds_point(F.col("px"), F.col("py"))).select("group_id", "point_id", "rect_id")
+    """Points right of the low edges, in their own and other rectangles."""
+    rects = T.wide_rects(spark, d)
+    points = rects.select("group_id", F.col("rect_id").alias("point_id"), (F.col("min_x") + 1).alias("x"), R.centre(1).alias("y"))
+    return R.points_inside(points, rects)
+
+
+@query("SELECT rect_id, printf('Rect(%.2f, %.2f, %.2f, %.2f)', min_x, max_x, min_y, max_y) AS short, 'Rectangle[(' || regexp_replace((min_x - 1)::VARCHAR, '\\.0$', '') || ',' || regexp_replace((min_y - 0.5)::VARCHAR, '\\.0$', '') || '),(' || regexp_replace((max_x + 1)::VARCHAR, '\\.0$', '') || ',' || regexp_replace((max_y + 0.5)::VARCHAR, '\\.0$', '') || ')]' AS long FROM rects")
+def rect_text(spark, d):
+    return bordered(spark, d).select("rect_id", R.short_text().alias("short"), R.text().alias("long"))
+
+
+@query("SELECT rect_id, cx AS min_x, cx + w AS max_x, cy AS min_y, cy + 2 * h AS max_y FROM rects")
+def rect_resize_target(spark, d):
+    """Targets of a resize: the old centre is the new low corner, the height doubles."""
+    return T.part_rects(spark, d).select("rect_id", *R.from_corner(R.centre(0), R.centre(1), R.extent(0), 2 * R.extent(1)))
 
 
 def _graph(spark, d):
@@ -207,6 +227,38 @@ def mesh_mean_edge(spark, d):
     return M.mean_edge_length(G.sanitised(e, n), n).select("graph_id", r("mean_length").alias("mean_length"))
 
 
+@query("SELECT graph_id, node_id AS idx, dense_rank() OVER (PARTITION BY graph_id ORDER BY first) - 1 AS vertex FROM (SELECT graph_id, node_id, min(node_id) OVER (PARTITION BY graph_id, floor(x / 25), floor(y / 25), floor(z / 50)) AS first FROM nodes)")
+def mesh_merged_vertices(spark, d):
+    """Coordinates in cells, moved apart by less than the precision."""
+    n = T.customer_nodes(spark, d)
+    near = (F.col("node_id") % 3) * 1e-8
+    return M.merged_vertices(n.select("graph_id", F.col("node_id").alias("idx"), (F.floor(F.col("x") / 25) + near).alias("x"), (F.floor(F.col("y") / 25) - near).alias("y"), F.floor(F.col("z") / 50).alias("z")))
+
+
+@query(_STRIP + """, n AS (SELECT graph_id, a AS face_idx, uy * vz - uz * vy AS x, uz * vx - ux * vz AS y, ux * vy - uy * vx AS z FROM face), s AS (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM n), t AS (SELECT graph_id, face_idx, (CASE WHEN l > 0 THEN y / l ELSE 0 END) * 0.5 + 0.5 AS t FROM s)
+SELECT graph_id, face_idx, round(0.2 * (1 - t) + 0.9 * t, 6) + 0.0 AS red, round(0.4 * (1 - t) + 0.5 * t, 6) + 0.0 AS green, round(0.8 * (1 - t) + 0.1 * t, 6) + 0.0 AS blue FROM t""")
+def mesh_face_colours(spark, d):
+    c = M.face_colours(M.face_normals(*_strip(spark, d)), (0.2, 0.4, 0.8), (0.9, 0.5, 0.1))
+    return c.select("graph_id", "face_idx", r("red").alias("red"), r("green").alias("green"), r("blue").alias("blue"))
+
+
+@query("SELECT graph_id, node_id, unnest([2.0, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 0, x, y, z, 1, 0.5, 0.25, 0.75, 1]::DOUBLE[]) AS v, generate_subscripts([2.0, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 0, x, y, z, 1, 0.5, 0.25, 0.75, 1]::DOUBLE[], 1)::INT - 1 AS pos FROM nodes")
+def mesh_node_instances(spark, d):
+    return M.node_instances(T.customer_nodes(spark, d), 2.0, (0.5, 0.25, 0.75, 1.0)).select("graph_id", "node_id", F.posexplode("data").alias("pos", "v"))
+
+
+@query(""", ends AS (SELECT e.graph_id, e.edge_idx, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM clean e JOIN nodes a ON a.graph_id = e.graph_id AND a.node_id = e.src JOIN nodes b ON b.graph_id = e.graph_id AND b.node_id = e.dst),
+len AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM ends), u AS (SELECT *, dx / l AS yx, dy / l AS yy, dz / l AS yz FROM len), f AS (SELECT *, CASE WHEN abs(yy) < 0.99 THEN yz ELSE 0 END AS px, CASE WHEN abs(yy) < 0.99 THEN 0 ELSE -yz END AS py, CASE WHEN abs(yy) < 0.99 THEN -yx ELSE yy END AS pz FROM u),
+g AS (SELECT *, px / sqrt(px * px + py * py + pz * pz) AS xx, py / sqrt(px * px + py * py + pz * pz) AS xy, pz / sqrt(px * px + py * py + pz * pz) AS xz FROM f)
+SELECT graph_id, edge_idx, round(xx + 2 * xy + 3 * xz, 5) + 0.0 AS across, round(dx + 2 * dy + 3 * dz, 5) + 0.0 AS along, round((xy * yz - xz * yy) + 2 * (xz * yx - xx * yz) + 3 * (xx * yy - xy * yx), 5) + 0.0 AS third, ax + 2 * ay + 3 * az AS origin FROM g""")
+def mesh_edge_instances(spark, d):
+    """The four columns of each matrix, each as one weighted sum; the rod has a radius of 1."""
+    e, n = _graph(spark, d)
+    data = F.col("data")
+    column = lambda k: data[4 * k] + 2 * data[4 * k + 1] + 3 * data[4 * k + 2]
+    return M.edge_instances(G.sanitised(e, n), n, 1.0, (0.0, 0.0, 0.0, 1.0)).select("graph_id", "edge_idx", r(column(0), 5).alias("across"), r(column(1), 5).alias("along"), r(column(2), 5).alias("third"), column(3).alias("origin"))
+
+
 _TURN = lambda p, q, s: f"sign(({q}.x - {p}.x) * ({s}.y - {p}.y) - ({q}.y - {p}.y) * ({s}.x - {p}.x))"
 
 
@@ -262,6 +314,30 @@ def forces_gradient_x(spark, d):
     return S.gradient(S.counted(p), "x").select("graph_id", "u", r("grad", 8).alias("grad"))
 
 
+_ALONG = "SELECT graph_id, u, round(sum(CASE WHEN l > 0 THEN dy * (l - d) / (d * d * l) ELSE 0 END), 8) + 0.0 AS grad FROM used GROUP BY ALL"
+
+
+@query(_ALONG)
+def forces_gradient_y(spark, d):
+    p, _ = _placed(spark, d)
+    return S.gradient(S.counted(p), "y").select("graph_id", "u", r("grad", 8).alias("grad"))
+
+
+@query(", g AS (" + _ALONG + ") SELECT graph_id, max(abs(grad)) AS largest FROM g GROUP BY 1")
+def largest_force(spark, d):
+    return S.largest(forces_gradient_y(spark, d))
+
+
+def _wish(n):
+    return n.filter("node_id % 5 = 1").select("graph_id", "node_id", (F.col("x") + 3).alias("x"), F.lit(0.25).alias("weight"))
+
+
+@query(", g AS (SELECT graph_id, u, sum(CASE WHEN l > 0 THEN dx * (l - d) / (d * d * l) ELSE 0 END) AS g FROM used GROUP BY ALL UNION ALL SELECT graph_id, node_id, -0.75 FROM nodes WHERE node_id % 5 = 1) SELECT graph_id, u, round(sum(g), 8) + 0.0 AS grad FROM g GROUP BY ALL")
+def forces_desired_x(spark, d):
+    p, n = _placed(spark, d)
+    return S.with_desired(S.gradient(S.counted(p), "x"), n, _wish(n), "x").select("graph_id", "u", r("grad", 8).alias("grad"))
+
+
 @query("SELECT graph_id, u, round(sum(CASE WHEN l3 > 0 THEN dz * (l3 - d) / (d * d * l3) ELSE 0 END), 8) + 0.0 AS grad FROM pos2 GROUP BY ALL")
 def forces_gradient_z(spark, d):
     p, _ = _placed(spark, d, S.AXES)
@@ -274,6 +350,27 @@ def hessian_x(spark, d):
     return S.hessian(S.counted(p), "x").select("graph_id", "i", "j", r("v", 8).alias("v"))
 
 
+@query(f", {_GRAD}, more AS (SELECT * FROM hess UNION ALL SELECT graph_id, node_id, node_id, 0.25 FROM nodes WHERE node_id % 5 = 1) SELECT graph_id, i, j, round(sum(v), 8) + 0.0 AS v FROM more GROUP BY ALL")
+def hessian_desired_x(spark, d):
+    p, n = _placed(spark, d)
+    return S.hessian(S.counted(p), "x", _wish(n)).select("graph_id", "i", "j", r("v", 8).alias("v"))
+
+
+_HESS = ", off AS (SELECT graph_id, u AS i, v AS j, CASE WHEN {l} > 0 THEN (d * ({l} * {l} - {a} * {a}) / ({l} * {l} * {l}) - 1) / (d * d) ELSE 0 END AS v FROM {t}) SELECT graph_id, i, j, round(v, 8) + 0.0 AS v FROM off UNION ALL SELECT graph_id, i, i, round(-sum(v), 8) + 0.0 FROM off GROUP BY ALL"
+
+
+@query(_HESS.format(l="l", a="dy", t="used"))
+def hessian_y(spark, d):
+    p, _ = _placed(spark, d)
+    return S.hessian(S.counted(p), "y").select("graph_id", "i", "j", r("v", 8).alias("v"))
+
+
+@query(_HESS.format(l="l3", a="dz", t="pos2"))
+def hessian_z(spark, d):
+    p, _ = _placed(spark, d, S.AXES)
+    return S.hessian(p, "z").select("graph_id", "i", "j", r("v", 8).alias("v"))
+
+
 @query(f", {_GRAD}, num AS (SELECT graph_id, sum(grad * grad) AS num FROM grad GROUP BY 1), den AS (SELECT h.graph_id, sum(h.v * a.grad * b.grad) AS den FROM hess h JOIN grad a ON a.graph_id = h.graph_id AND a.u = h.i JOIN grad b ON b.graph_id = h.graph_id AND b.u = h.j GROUP BY 1) SELECT graph_id, round(CASE WHEN abs(den) < 1e-30 THEN 0 ELSE num / den END, 3) + 0.0 AS step FROM num JOIN den USING (graph_id)")
 def step_size(spark, d):
     p, _ = _placed(spark, d)
@@ -291,6 +388,12 @@ def convergence_trace(spark, d):
     return S.converged(t, max_iterations=5)
 
 
+@query("SELECT o_custkey AS graph_id, CASE WHEN count(*) > 1 AND arg_min(o_totalprice, o_orderkey) > 0 THEN round(CAST((arg_min(o_totalprice, o_orderkey) - arg_max(o_totalprice, o_orderkey)) AS DOUBLE) / CAST(arg_min(o_totalprice, o_orderkey) AS DOUBLE) * 100, 6) + 0.0 END AS percent FROM orders GROUP BY 1")
+def stress_reduction(spark, d):
+    o = T.read(spark, d, "orders").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").cast("double").alias("stress"))
+    return S.reduction(o).select("graph_id", r("percent").alias("percent"))
+
+
 @query("SELECT graph_id, node_id, round((x + 2 * y + 2 * z + w) / 6, 6) + 0.0 AS x FROM nodes")
 def rk4_combine(spark, d):
     return T.customer_nodes(spark, d).select("graph_id", "node_id", r(S.runge_kutta(F.col("x"), F.col("y"), F.col("z"), F.col("w"))).alias("x"))
@@ -345,9 +448,52 @@ def cg_diagonal(spark, d):
     return L.conjugate_gradient(*_diagonal(spark, d)).select("m_id", "i", r("v", 5).alias("v"))
 
 
-@query("SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, p_partkey % 16 AS i, p_partkey % 16 AS j, 1.0::DOUBLE AS v FROM part")
+@query(", x AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, p_partkey % 16 AS i, CAST(p_size + 1 AS DOUBLE) AS q FROM part) SELECT m_id, i, i AS j, 1.0::DOUBLE AS v FROM x UNION ALL SELECT a.m_id, a.i, b.i, round(0.5 / sqrt(a.q * b.q), 6) + 0.0 FROM x a JOIN x b ON a.m_id = b.m_id AND abs(a.i - b.i) = 1")
 def effective_q_scaled(spark, d):
-    return L.scaled(_diagonal(spark, d)[0]).select("m_id", "i", "j", r("v", 6).alias("v"))
+    """A diagonal matrix, to which a sparse one of neighbours is added before scaling."""
+    q = _diagonal(spark, d)[0]
+    n = q.select("m_id", "i")
+    near = n.join(n.withColumnRenamed("i", "j"), "m_id").filter("abs(i - j) = 1").withColumn("v", F.lit(0.5))
+    return L.scaled(q, near).select("m_id", "i", "j", r("v", 6).alias("v"))
+
+
+def _coupled(spark, d):
+    """Systems of two variables: [[q + 2, 1], [1, 3]]."""
+    p = T.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("m_id"), (F.col("p_size") + 2).cast("double").alias("q"), (F.col("p_partkey") % 13).cast("double").alias("b"))
+    cell = lambda i, j, v: F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("v"))
+    m = p.select("m_id", F.explode(F.array(cell(0, 0, F.col("q")), cell(0, 1, F.lit(1.0)), cell(1, 0, F.lit(1.0)), cell(1, 1, F.lit(3.0)))).alias("c")).select("m_id", "c.i", "c.j", "c.v")
+    return m, p.select("m_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("b").alias("v")), F.struct(F.lit(1).cast("long").alias("i"), F.lit(2.0).alias("v")))).alias("c")).select("m_id", "c.i", "c.v")
+
+
+_COUPLED = ", s AS (SELECT CAST(p_partkey AS BIGINT) AS m_id, CAST(p_size + 2 AS DOUBLE) AS q, CAST(p_partkey % 13 AS DOUBLE) AS b, 3 * CAST(p_size + 2 AS DOUBLE) - 1 AS det FROM part), x AS (SELECT *, (3 * b - 2) / det AS x0, (2 * q - b) / det AS x1, -4 / det AS p0, (1 + q) / det AS p1 FROM s) "
+#: Added before rounding, so that no exact value lies between two rounded ones.
+OFF_TIE = 3.7e-6
+
+
+@query(_COUPLED + f"SELECT m_id, 0::BIGINT AS i, round(x0 + {OFF_TIE}, 5) + 0.0 AS v FROM x UNION ALL SELECT m_id, 1, round(x1 + {OFF_TIE}, 5) + 0.0 FROM x")
+def cg_coupled(spark, d):
+    return L.conjugate_gradient(*_coupled(spark, d)).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
+
+
+@query(_COUPLED + f", y AS (SELECT m_id, x0, x1, p0, p1, greatest(0, 1 - (x1 - x0)) / (p1 - p0) AS k FROM x) SELECT m_id, 0::BIGINT AS i, round(x0 + k * p0 + {OFF_TIE}, 5) + 0.0 AS v FROM y UNION ALL SELECT m_id, 1, round(x1 + k * p1 + {OFF_TIE}, 5) + 0.0 FROM y")
+def gp_coupled(spark, d):
+    """Coupled variables, the second at least 1 beyond the first."""
+    m, b = _coupled(spark, d)
+    apart = b.filter("i = 0").select("m_id", F.lit(0).alias("left"), F.lit(1).alias("right"), F.lit(1.0).alias("gap"), F.lit(False).alias("equality"))
+    return D.gradient_projection(m, b, apart).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
+
+
+@query(_COUPLED + f"SELECT m_id, 0::BIGINT AS i, round((b - 4) / q + {OFF_TIE}, 5) + 0.0 AS v FROM x UNION ALL SELECT m_id, 1, 4.0 FROM x")
+def gp_fixed(spark, d):
+    """Coupled variables, the second held at 4."""
+    m, b = _coupled(spark, d)
+    return D.gradient_projection(m, b, fixed=b.filter("i = 1").withColumn("v", F.lit(4.0))).select("m_id", "i", F.when(F.col("i") == 1, F.round("v", 4)).otherwise(r(F.col("v") + OFF_TIE, 5)).alias("v"))
+
+
+@query("SELECT w.m_id, w.i, w.j, coalesce(v, 0) AS v FROM (SELECT m_id, i, (i * 5 + 1) % 32 AS j FROM vec) w LEFT JOIN mat USING (m_id, i, j)")
+def matrix_cells(spark, d):
+    m, x = _matrix(spark, d)
+    return L.cells(m, x.select("m_id", "i", ((F.col("i") * 5 + 1) % 32).alias("j")))
 
 
 @query(", g AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, CAST(p_partkey % 13 AS DOUBLE) - (p_size + 1) * CAST(p_partkey % 13 AS DOUBLE) AS g, CAST(p_size + 1 AS DOUBLE) AS q FROM part) SELECT m_id, round(CASE WHEN sum(g * g) < 1e-30 THEN 0 ELSE sum(g * g) / (2 * sum(g * g * q)) END, 8) + 0.0 AS alpha FROM g GROUP BY 1")
@@ -358,13 +504,13 @@ def gp_alpha(spark, d):
 
 @query(""", v AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, CAST(p_partkey % 16 AS BIGINT) AS i, CAST(p_size + 1 AS DOUBLE) AS q, (p_partkey % 13) / CAST(p_size + 1 AS DOUBLE) AS x FROM part),
 pair AS (SELECT a.m_id, a.i, a.q, a.x, b.i AS i2, b.q AS q2, b.x AS x2, greatest(0, 3 - (b.x - a.x)) AS s FROM v a LEFT JOIN v b ON b.m_id = a.m_id AND b.i = a.i + 1 WHERE a.i % 2 = 0)
-SELECT m_id, i, round(CASE WHEN i2 IS NULL THEN x ELSE x - s * q2 / (q + q2) END, 5) + 0.0 AS v FROM pair UNION ALL SELECT m_id, i2, round(x2 + s * q / (q + q2), 5) + 0.0 FROM pair WHERE i2 IS NOT NULL
-UNION ALL SELECT m_id, i, round(x, 5) + 0.0 FROM v WHERE i % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v a WHERE a.m_id = v.m_id AND a.i = v.i - 1)""")
+SELECT m_id, i, round(CASE WHEN i2 IS NULL THEN x ELSE x - s * q2 / (q + q2) END + 3.7e-6, 5) + 0.0 AS v FROM pair UNION ALL SELECT m_id, i2, round(x2 + s * q / (q + q2) + 3.7e-6, 5) + 0.0 FROM pair WHERE i2 IS NOT NULL
+UNION ALL SELECT m_id, i, round(x + 3.7e-6, 5) + 0.0 FROM v WHERE i % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v a WHERE a.m_id = v.m_id AND a.i = v.i - 1)""")
 def gp_separation(spark, d):
     """Each even variable at least 3 below the next odd one."""
     m, b = _diagonal(spark, d)
     pairs = b.filter("i % 2 = 0").select("m_id", F.col("i").alias("left"), (F.col("i") + 1).alias("right"), F.lit(3.0).alias("gap"), F.lit(False).alias("equality"))
-    return D.gradient_projection(m, b, pairs).select("m_id", "i", r("v", 5).alias("v"))
+    return D.gradient_projection(m, b, pairs).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
 
 
 def _chain(spark, d, gap=2.0):
@@ -402,6 +548,51 @@ def constraint_slack(spark, d):
     return Q.slacks(v.withColumnRenamed("desired", "position"), c).select("problem_id", "c_id", r("slack").alias("slack"))
 
 
+def _contradicted(spark, d):
+    """Chains whose first two variables are also told to be 5 apart exactly, after they are 2 apart exactly."""
+    v, c = _chain(spark, d)
+    first = c.filter("c_id = 0").withColumn("equality", F.lit(True))
+    more = first.withColumns({"c_id": F.lit(1000000).cast("long"), "gap": F.lit(5.0)})
+    return v, c.filter("c_id > 0").unionByName(first).unionByName(more)
+
+
+@query('SELECT problem_id, 1000000::BIGINT AS c_id, 0::BIGINT AS "left", 1::BIGINT AS "right", 5.0::DOUBLE AS gap, true AS equality, \'v0 + 5.0 == v1\' AS text FROM chain WHERE var_id = 1')
+def unsatisfiable_rules(spark, d):
+    return Q.described(Q.unsatisfiable(*_contradicted(spark, d)))
+
+
+@query(", p AS (SELECT a.problem_id, a.desired AS x, b.desired AS y FROM chain a JOIN chain b ON a.problem_id = b.problem_id AND a.var_id = 0 AND b.var_id = 1) SELECT problem_id, 0::BIGINT AS var_id, (x + y - s) / 2 AS position FROM (SELECT *, CASE WHEN problem_id % 2 = 0 THEN greatest(30.0, y - x) ELSE greatest(2.0, y - x) END AS s FROM p) UNION ALL SELECT problem_id, 1, (x + y + s) / 2 FROM (SELECT *, CASE WHEN problem_id % 2 = 0 THEN greatest(30.0, y - x) ELSE greatest(2.0, y - x) END AS s FROM p)")
+def qp_added_constraint(spark, d):
+    """Pairs that are solved; then those of even problems get a wider gap."""
+    v, c = _chain(spark, d)
+    v, c = v.filter("var_id < 2").join(c.select("problem_id").distinct(), "problem_id", "left_semi"), c.filter("c_id = 0")
+    added = c.filter("problem_id % 2 = 0").withColumns({"c_id": F.lit(9).cast("long"), "gap": F.lit(30.0)})
+    return Q.with_added(v, Q.project(v, c), c, added).select("problem_id", "var_id", F.col("position"))
+
+
+@query(_CHAIN + " SELECT problem_id, var_id, round(2 * (position - desired), 5) + 0.0 AS pull FROM px JOIN chain USING (problem_id, var_id)")
+def qp_pulls(spark, d):
+    v, _ = _chain(spark, d)
+    return Q.pulls(Q.chain_projection(v, 2.0).join(v, ["problem_id", "var_id"])).select("problem_id", "var_id", r("pull", 5).alias("pull"))
+
+
+@query(_CHAIN + " SELECT problem_id, var_id, round(position, 5) + 0.0 AS position FROM px")
+def sql_separated_chain(spark, d):
+    """The chain projection as a table function of SQL."""
+    register(spark)
+    T.order_chains(spark, d).withColumn("gap", F.lit(2.0)).createOrReplaceTempView("gridloom_chains")
+    out = spark.sql("SELECT * FROM separated_chain(TABLE(SELECT problem_id, var_id, desired, weight, gap FROM gridloom_chains) PARTITION BY problem_id ORDER BY var_id)")
+    return out.select("problem_id", "var_id", r("position", 5).alias("position"))
+
+
+@query(""", lone AS (SELECT problem_id, var_id, desired, (var_id - var_id % 2) AS head FROM chain), pr AS (SELECT problem_id, head, max(desired) FILTER (var_id % 2 = 0) AS a, max(desired) FILTER (var_id % 2 = 1) AS b FROM lone GROUP BY ALL), s AS (SELECT *, greatest(0, 2 - (b - a)) / 2 AS s FROM pr)
+SELECT problem_id, head AS var_id, round(coalesce(a - s, a), 5) + 0.0 AS position FROM s UNION ALL SELECT problem_id, head + 1, round(b + s, 5) + 0.0 FROM s WHERE b IS NOT NULL""")
+def qp_parts(spark, d):
+    """Chains with every second link, so that they fall apart; each part is a problem of its own."""
+    v, c = _chain(spark, d)
+    return Q.project_parts(v, c.filter("c_id % 2 = 0")).select("problem_id", "var_id", r("position", 5).alias("position"))
+
+
 def _two(spark, d, equality):
     p = T.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("problem_id"), (F.col("p_size") % 7).cast("double").alias("a"), (F.col("p_partkey") % 5).cast("double").alias("b"), (F.col("p_size") % 3 + 1).cast("double").alias("w"))
     v = p.select("problem_id", F.lit(0).alias("var_id"), F.col("a").alias("desired"), F.col("w").alias("weight"), F.lit(1.0).alias("scale")).unionByName(p.select("problem_id", F.lit(1).alias("var_id"), F.col("b").alias("desired"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("scale")))
@@ -454,14 +645,49 @@ def scanline_y(spark, d):
     return O.sweep_constraints(T.part_rects(spark, d), R.Y)
 
 
-@query("SELECT DISTINCT group_id, true AS no_overlaps, true AS sizes_kept FROM (SELECT CAST(floor(k / 25) AS BIGINT) AS group_id FROM rects0)")
+@query(_sweep_sql("x", "y", "w").replace("rects", "wide"))
+def scanline_x_wide(spark, d):
+    """Few large groups, one with a third of all rows."""
+    return O.sweep_constraints(T.wide_rects(spark, d), R.X)
+
+
+@query("""SELECT group_id, a AS "left", b AS "right", (wa + wb) / 2 AS gap FROM (SELECT *, min(CASE WHEN ox <= 0 THEN {'c': cb, 'id': b} END) OVER (PARTITION BY group_id, a) AS stop, max(CASE WHEN ox <= 0 THEN {'c': ca, 'id': a} END) OVER (PARTITION BY group_id, b) AS back FROM
+(SELECT p.group_id, p.rect_id AS a, q.rect_id AS b, p.w AS wa, q.w AS wb, p.cx AS ca, q.cx AS cb, CASE WHEN q.min_x < p.max_x THEN p.max_x - q.min_x ELSE 0 END AS ox, CASE WHEN p.cy <= q.cy AND q.min_y < p.max_y THEN p.max_y - q.min_y WHEN q.cy <= p.cy AND p.min_y < q.max_y THEN q.max_y - p.min_y ELSE 0 END AS oy
+FROM rects p JOIN rects q ON p.group_id = q.group_id AND (p.cx < q.cx OR (p.cx = q.cx AND p.rect_id < q.rect_id)) AND p.min_y <= q.max_y AND q.min_y <= p.max_y)) WHERE (ox <= 0 OR ox <= oy) AND (stop IS NULL OR cb < stop.c OR (cb = stop.c AND b <= stop.id)) AND (back IS NULL OR ca > back.c OR (ca = back.c AND a >= back.id))""")
+def neighbour_lists_x(spark, d):
+    return O.neighbour_constraints(T.part_rects(spark, d))
+
+
+#: Two rectangles of a group: the passes of overlap removal in closed form; every fifth rectangle is fixed.
+_APART = """, r0 AS (SELECT CAST(floor(k / 2) AS BIGINT) AS g, k, CAST(k * 7 % 20 AS DOUBLE) AS cx, CAST(k * 3 % 10 AS DOUBLE) AS cy, w, h, CASE WHEN k % 5 = 0 THEN 10000.0 ELSE 1.0 END AS wt FROM rects0),
+p AS (SELECT a.g, a.k AS ka, b.k AS kb, a.cx AS ax, b.cx AS bx, a.cy AS ay, b.cy AS by_, a.w AS aw, b.w AS bw, a.h AS ah, b.h AS bh, b.wt / (a.wt + b.wt) AS fa, a.wt / (a.wt + b.wt) AS fb FROM r0 a JOIN r0 b ON a.g = b.g AND a.k < b.k),
+q AS (SELECT *, abs(bx - ax) AS dx, abs(by_ - ay) AS dy, (aw + bw) / 2 AS sx, (ah + bh) / 2 AS sy, CASE WHEN ax <= bx THEN 1 ELSE -1 END AS ux, CASE WHEN ay <= by_ THEN 1 ELSE -1 END AS uy FROM p),
+m1 AS (SELECT *, dy <= sy AND dx < sx + 0.001 AND sx + 0.001 - dx <= greatest(0, sy - dy) AS first FROM q),
+m2 AS (SELECT *, CASE WHEN NOT first AND dx <= sx AND dy < sy + 0.001 THEN sy + 0.001 - dy ELSE 0 END AS my FROM m1),
+m3 AS (SELECT *, CASE WHEN dy + my <= sy AND dx < sx + 0.001 THEN sx + 0.001 - dx ELSE 0 END AS mx FROM m2)
+SELECT g AS group_id, ka AS rect_id, round(ax - ux * mx * fa, 6) + 0.0 AS x, round(ay - uy * my * fa, 6) + 0.0 AS y FROM m3 UNION ALL SELECT g, kb, round(bx + ux * mx * fb, 6) + 0.0, round(by_ + uy * my * fb, 6) + 0.0 FROM m3
+UNION ALL SELECT g, k, cx, cy FROM r0 WHERE (SELECT count(*) FROM r0 o WHERE o.g = r0.g) = 1"""
+
+
+@query(_APART)
+def remove_overlaps_pairs(spark, d):
+    k = F.col("p_partkey").cast("long")
+    at = lambda c, half: [(c - half).cast("double"), (c + half).cast("double")]
+    (x0, x1), (y0, y1) = at(k * 7 % 20, F.col("p_size") / 2), at(k * 3 % 10, (F.col("p_size") % 10 + 1) / 2)
+    rects = T.read(spark, d, "part").select(F.floor(k / 2).alias("group_id"), k.alias("rect_id"), x0.alias("min_x"), x1.alias("max_x"), y0.alias("min_y"), y1.alias("max_y"), F.lit(0.0).alias("x_border"), F.lit(0.0).alias("y_border"))
+    out = O.remove_overlaps(rects, rects.filter("rect_id % 5 = 0"))
+    return out.select("group_id", "rect_id", r((F.col("min_x") + F.col("max_x")) / 2).alias("x"), r((F.col("min_y") + F.col("max_y")) / 2).alias("y"))
+
+
+@query("SELECT DISTINCT group_id, true AS no_overlaps, true AS sizes_kept, true AS near FROM rects")
 def remove_overlaps_flag(spark, d):
-    rects = T.part_rects(spark, d).withColumn("group_id", F.floor(F.col("rect_id") / 25))
+    """Whole canvases: nothing overlaps afterwards, sizes stay, and no rectangle moves by more than the extents of all together."""
+    rects = T.part_rects(spark, d)
     out = O.remove_overlaps(rects)
     tight = out.select("group_id", "rect_id", (F.col("min_x") + 1e-6).alias("min_x"), (F.col("max_x") - 1e-6).alias("max_x"), (F.col("min_y") + 1e-6).alias("min_y"), (F.col("max_y") - 1e-6).alias("max_y"), F.lit(0.0).alias("x_border"), F.lit(0.0).alias("y_border"))
     hit = R.overlap_pairs(tight).select("group_id").distinct().withColumn("hit", F.lit(True))
-    kept = out.join(rects.select("rect_id", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h")), "rect_id").groupBy("group_id").agg(F.every((F.abs(F.col("max_x") - F.col("min_x") - F.col("w")) < 1e-4) & (F.abs(F.col("max_y") - F.col("min_y") - F.col("h")) < 1e-4)).alias("sizes_kept"))
-    return kept.join(hit, "group_id", "left").select("group_id", F.col("hit").isNull().alias("no_overlaps"), "sizes_kept")
+    kept = out.join(rects.select("rect_id", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h"), F.col("min_x").alias("x0"), F.col("min_y").alias("y0")), "rect_id").groupBy("group_id").agg(F.every((F.abs(F.col("max_x") - F.col("min_x") - F.col("w")) < 1e-4) & (F.abs(F.col("max_y") - F.col("min_y") - F.col("h")) < 1e-4)).alias("sizes_kept"), (F.max(F.abs(F.col("min_x") - F.col("x0")) + F.abs(F.col("min_y") - F.col("y0"))) <= F.sum(F.col("w") + F.col("h"))).alias("near"))
+    return kept.join(hit, "group_id", "left").select("group_id", F.col("hit").isNull().alias("no_overlaps"), "sizes_kept", "near")
 
 
 @query("SELECT DISTINCT graph_id, true AS apart FROM nodes")
@@ -534,6 +760,52 @@ def cc_fixed_relative(spark, d):
     return P.fixed_relative(s.filter("node % 3 = 0"), s.select("problem_id", "node", "x", "y"))
 
 
+@query("SELECT graph_id AS problem_id, nth, max(id) FILTER (pos % 2 = 0) AS \"left\", max(id) FILTER (pos % 2 = 1) AS \"right\" FROM (SELECT graph_id, node_id AS id, row_number() OVER w - 1 AS pos, CAST(floor((row_number() OVER w - 1) / 2) AS BIGINT) AS nth FROM nodes WHERE node_id % 3 < 2 WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)) GROUP BY ALL HAVING count(*) = 2")
+def cc_flat_pairs(spark, d):
+    n = T.customer_nodes(spark, d).filter("node_id % 3 < 2").groupBy(F.col("graph_id").alias("problem_id")).agg(F.sort_array(F.collect_list("node_id")).alias("ids"))
+    return P.pairs_of(n).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(_SHAPES + "SELECT " + _RULE.format(l="1000", r="node", g="o", e="true") + ", 'alignment' AS kind FROM s UNION ALL SELECT graph_id, 0, src, dst, length * 3, edge_idx % 2 = 1, 'separation' FROM clean UNION ALL SELECT graph_id, 0, src, dst, 15.0, true, 'distribution' FROM clean")
+def cc_mixed_kinds(spark, d):
+    return P.rules_of({"alignment": _shapes(spark, d), "separation": _edge_pairs(spark, d), "distribution": _multi(spark, d)})
+
+
+@query("SELECT DISTINCT graph_id AS problem_id, dim, 2000 + k AS var_id, CASE k WHEN 0 THEN -10.0 ELSE 150.0 END::DOUBLE AS desired, 1.0::DOUBLE AS weight, false AS fixed FROM nodes, (VALUES (0), (1)) a(dim), (VALUES (0::BIGINT), (1)) b(k)")
+def cc_page_guides(spark, d):
+    pages = T.customer_nodes(spark, d).select(F.col("graph_id").alias("problem_id")).distinct().withColumn("dim", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({"low": F.lit(-10.0), "high": F.lit(150.0)})
+    return P.page_guides(pages, 2000)
+
+
+@query(_SHAPES + ", g AS (SELECT problem_id, sum(x - o) AS s, count(*) AS n FROM s WHERE node % 4 = 0 GROUP BY 1), p AS (SELECT problem_id, (s + 1e-4 * 50) / (n + 1e-4) AS line FROM g) SELECT problem_id, node AS var_id, round(CASE WHEN node % 4 = 0 THEN line + o ELSE x END, 6) + 0.0 AS position, 0 AS error_level FROM s LEFT JOIN p USING (problem_id) UNION ALL SELECT DISTINCT problem_id, 1000, round(coalesce(line, 50), 6) + 0.0, 0 FROM s LEFT JOIN p USING (problem_id)")
+def project_onto_guides(spark, d):
+    """Every fourth node level with a guide line that is free to move."""
+    s = _shapes(spark, d)
+    guides = P.guide_variables(s.select("problem_id", "dim", "guide", F.lit(50.0).alias("position")).distinct())
+    return P.project_onto(T.customer_nodes(spark, d), P.alignment(s.filter("node % 4 = 0")), 0, guides).select("problem_id", "var_id", r("position").alias("position"), "error_level")
+
+
+def _prioritised(spark, d):
+    """Node 1 is 30 right of node 0, exactly (priority 2), and 50 (priority 1); node 2 is level with node 1."""
+    n = T.customer_nodes(spark, d).select(F.col("graph_id").alias("problem_id")).distinct()
+    rule = lambda dim, i, j, gap, pr, cc: F.struct(F.lit(dim).alias("dim"), F.lit(i).cast("long").alias("left"), F.lit(j).cast("long").alias("right"), F.lit(gap).alias("gap"), F.lit(True).alias("equality"), F.lit(pr).alias("priority"), F.lit(cc).alias("cc_id"))
+    return n.select("problem_id", F.explode(F.array(rule(0, 0, 1, 30.0, 2, 1), rule(0, 0, 1, 50.0, 1, 2), rule(1, 1, 2, 0.0, None, 3))).alias("r")).select("problem_id", "r.*")
+
+
+_FEASIBLE = ", f AS (SELECT graph_id, max(x) FILTER (node_id = 0) AS x0, max(x) FILTER (node_id = 1) AS x1, max(y) FILTER (node_id = 1) AS y1, max(y) FILTER (node_id = 2) AS y2 FROM nodes GROUP BY 1) "
+
+
+@query(_FEASIBLE + "SELECT n.graph_id, node_id, CASE WHEN node_id = 0 AND x1 IS NOT NULL THEN (x0 + x1 - 50) / 2 WHEN node_id = 1 AND x0 IS NOT NULL THEN (x0 + x1 + 50) / 2 ELSE x END AS x, CASE WHEN node_id IN (1, 2) AND y1 IS NOT NULL AND y2 IS NOT NULL THEN (y1 + y2) / 2 ELSE y END AS y, w, h FROM nodes n JOIN f USING (graph_id)")
+def feasible_positions(spark, d):
+    return P.make_feasible(T.customer_nodes(spark, d), _prioritised(spark, d))
+
+
+@query(_FEASIBLE + 'SELECT graph_id AS problem_id, 0 AS dim, 0::BIGINT AS "left", 1::BIGINT AS "right", 30.0::DOUBLE AS gap, true AS equality FROM f WHERE x0 IS NOT NULL AND x1 IS NOT NULL')
+def feasible_failures(spark, d):
+    """The rule of a larger priority number that a smaller one contradicts."""
+    return P.unsatisfied_rules(T.customer_nodes(spark, d), _prioritised(spark, d), 0)
+
+
 @query("SELECT graph_id AS problem_id, node_id AS var_id, 1e5::DOUBLE AS weight FROM nodes WHERE node_id % 3 = 0")
 def cc_var_modifications(spark, d):
     return P.fixed_members(_shapes(spark, d).filter("node % 3 = 0"))
@@ -549,12 +821,25 @@ def variable_id_map(spark, d):
     return P.mapped_ids(T.read(spark, d, "customer").select(F.col("c_custkey").alias("id")), T.read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("from"), F.col("o_orderkey").alias("to")))
 
 
-@query(""", pt AS (SELECT graph_id, x, y, min(node_id) AS id FROM nodes GROUP BY ALL)
-SELECT graph_id AS set_id, id AS idx, x, y FROM pt p WHERE (SELECT count(*) FROM pt q WHERE q.graph_id = p.graph_id) = 1 OR EXISTS (SELECT 1 FROM pt q WHERE q.graph_id = p.graph_id AND q.id <> p.id AND NOT EXISTS (SELECT 1 FROM pt r WHERE r.graph_id = p.graph_id AND r.id <> p.id AND r.id <> q.id
-  AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))))""")
+#: The hull of points pt (set_id, id, x, y), in order around its lowest, then leftmost point.
+_HULL = """, hull AS (SELECT set_id, id AS idx, x, y FROM pt p WHERE (SELECT count(*) FROM pt q WHERE q.set_id = p.set_id) = 1 OR EXISTS (SELECT 1 FROM pt q WHERE q.set_id = p.set_id AND q.id <> p.id AND NOT EXISTS (SELECT 1 FROM pt r WHERE r.set_id = p.set_id AND r.id <> p.id AND r.id <> q.id
+  AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))))),
+low AS (SELECT set_id, min({'y': y, 'x': x}) AS p FROM hull GROUP BY 1)
+SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY CASE WHEN hull.x = p.x AND hull.y = p.y THEN -1 ELSE atan2(hull.y - p.y, hull.x - p.x) END) - 1 AS ord, idx, hull.x, hull.y FROM hull JOIN low USING (set_id)"""
+
+
+@query(", pt AS (SELECT graph_id AS set_id, x, y, min(node_id) AS id FROM nodes GROUP BY ALL)" + _HULL)
 def convex_hull_vertices(spark, d):
     n = T.customer_nodes(spark, d)
-    return G.convex_hulls(n.select(F.col("graph_id").alias("set_id"), F.col("node_id").alias("idx"), "x", "y")).select("set_id", "idx", "x", "y")
+    return G.convex_hulls(n.select(F.col("graph_id").alias("set_id"), F.col("node_id").alias("idx"), "x", "y"))
+
+
+@query(", pt AS (SELECT graph_id AS set_id, x, y, min(node_id) AS id FROM nodes GROUP BY ALL)" + _HULL)
+def sql_convex_hull(spark, d):
+    """The hull as a table function of SQL."""
+    register(spark)
+    T.customer_nodes(spark, d).createOrReplaceTempView("gridloom_points")
+    return spark.sql("SELECT * FROM convex_hull(TABLE(SELECT graph_id AS set_id, node_id AS idx, x, y FROM gridloom_points) PARTITION BY set_id)")
 
 
 def _tree(spark, d):
@@ -585,16 +870,40 @@ def cluster_boundary_hull(spark, d):
     return C.boundary(C.bounds(*_tree(spark, d), padding=3), margin=5)
 
 
-@query(_TREE + _BOUNDS + "SELECT cluster_id, dim, side, (2 * (row_number() OVER (PARTITION BY dim, side ORDER BY cluster_id) - 1) + side + 1000)::BIGINT AS var_id, CASE WHEN dim = 0 AND side = 0 THEN min_x WHEN dim = 0 THEN max_x WHEN side = 0 THEN min_y ELSE max_y END AS desired, 1e-7::DOUBLE AS weight FROM bnd, (VALUES (0), (1)) a(dim), (VALUES (0), (1)) b(side) WHERE min_x IS NOT NULL")
+_VARS = ", vars AS (SELECT cluster_id, dim, side, (2 * (row_number() OVER (PARTITION BY dim, side ORDER BY cluster_id) - 1) + side + 1000)::BIGINT AS var_id, CASE WHEN dim = 0 AND side = 0 THEN min_x WHEN dim = 0 THEN max_x WHEN side = 0 THEN min_y ELSE max_y END AS desired, 1e-7::DOUBLE AS weight FROM bnd, (VALUES (0), (1)) a(dim), (VALUES (0), (1)) b(side) WHERE min_x IS NOT NULL) "
+
+
+@query(_TREE + _BOUNDS + _VARS + "SELECT * FROM vars")
 def cluster_vars(spark, d):
     return C.boundary_variables(C.bounds(*_tree(spark, d), padding=3), "cluster_id", 1000)
 
 
-def cluster_convex_hulls(spark, d):
-    return G.convex_hulls(C.corner_points(_tree(spark, d)[1]))
+@query(_TREE + _BOUNDS + _VARS + "SELECT cluster_id, dim, side, var_id, CASE WHEN cluster_id % 2 = 1 THEN dim * 100 + side * 10 ELSE desired END AS desired, CASE WHEN cluster_id % 2 = 1 THEN 2.5 ELSE weight END AS weight FROM vars")
+def cluster_vars_desired(spark, d):
+    """Odd clusters aim for bounds of their own."""
+    b = C.bounds(*_tree(spark, d), padding=3)
+    own = b.filter("cluster_id % 2 = 1").select("cluster_id", F.lit(0.0).alias("min_x"), F.lit(10.0).alias("max_x"), F.lit(100.0).alias("min_y"), F.lit(110.0).alias("max_y"), F.lit(2.5).alias("weight"))
+    return C.boundary_variables(b, "cluster_id", 1000, own)
+
+
+@query(_TREE + _BOUNDS + "SELECT cluster_id, min_x + 1 AS min_x, max_x + 1 AS max_x, min_y + 1 AS min_y, max_y + 1 AS max_y FROM bnd WHERE min_x IS NOT NULL")
+def cluster_bounds_update(spark, d):
+    """Bounds read back from boundary variables that have all moved by 1."""
+    return C.bounds_of_variables(cluster_vars(spark, d).withColumn("position", F.col("desired") + 1))
 
 
-QUERIES["cluster_convex_hulls"] = cluster_convex_hulls
+@query(_TREE + _BOUNDS + "SELECT cluster_id, CASE WHEN cluster_id % 4 = 1 THEN cluster_id * 10 ELSE min_x END AS min_x, CASE WHEN cluster_id % 4 = 1 THEN cluster_id * 10 + 5 ELSE max_x END AS max_x, CASE WHEN cluster_id % 4 = 1 THEN 0 ELSE min_y END AS min_y, CASE WHEN cluster_id % 4 = 1 THEN 7 ELSE max_y END AS max_y FROM bnd")
+def cluster_bounds_fixed(spark, d):
+    """Some clusters are given rectangles."""
+    t, m = _tree(spark, d)
+    own = t.filter("cluster_id % 4 = 1").select("cluster_id", (F.col("cluster_id") * 10.0).alias("min_x"), (F.col("cluster_id") * 10.0 + 5).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(7.0).alias("max_y"))
+    return C.bounds(t, m, 3, own)
+
+
+@query(_TREE + ", corner AS (SELECT c_nationkey + 100 AS set_id, c_custkey * 4 + k AS id, (c_custkey * 37) % 101 + CASE WHEN k < 2 THEN 12 ELSE 0 END AS x, (c_custkey * 91) % 103 + CASE WHEN k IN (1, 2) THEN 8 ELSE 0 END AS y FROM customer, (VALUES (0), (1), (2), (3)) t(k)), edge AS (SELECT set_id, x, min(y) AS lo, max(y) AS hi FROM corner GROUP BY ALL), pt AS (SELECT CAST(set_id AS BIGINT) AS set_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(min(id) AS BIGINT) AS id FROM corner JOIN edge USING (set_id, x) WHERE y = lo OR y = hi GROUP BY ALL)" + _HULL)
+def cluster_convex_hulls(spark, d):
+    """Hulls of hulls: a cluster's points are dealt out first."""
+    return G.convex_hulls(C.corner_points(_tree(spark, d)[1]), parts=8)
 
 
 @query(", lcg AS (SELECT CAST(c_custkey AS BIGINT) AS node_id, 1 AS k, (c_custkey::BIGINT * 214013 + 2531011) % 2147483648 AS s FROM customer UNION ALL SELECT node_id, k + 1, (s * 214013 + 2531011) % 2147483648 FROM lcg WHERE k < 5) SELECT node_id, k AS pos, round((s >> 16) / 32767.0, 8) AS u FROM lcg")

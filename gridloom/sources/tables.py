@@ -26,6 +26,16 @@ def part_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("group_id", "rect_id", (F.col("cx") - F.col("w") / 2).alias("min_x"), (F.col("cx") + F.col("w") / 2).alias("max_x"), (F.col("cy") - F.col("h") / 2).alias("min_y"), (F.col("cy") + F.col("h") / 2).alias("max_y"), F.lit(0.0).alias("x_border"), F.lit(0.0).alias("y_border"))
 
 
+def wide_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of part_rects in few large groups, of which group 0 has a third of all rows: a group is a strip of tiles of 500 by 500 that grows with the table."""
+    k = F.col("p_partkey").cast("long")
+    cx, cy = (k * 37 % 500 + 500 * F.floor(k / 2500)).cast("double"), (k * 91 % 500).cast("double")
+    w, h = F.col("p_size").cast("double"), (F.col("p_size") % 10 + 1).cast("double")
+    group = F.when(k % 3 == 0, F.lit(0)).otherwise(1 + k % 7).cast("long")
+    p = read(spark, sf_dir, "part").select(group.alias("group_id"), k.alias("rect_id"), cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"))
+    return p.select("group_id", "rect_id", (F.col("cx") - F.col("w") / 2).alias("min_x"), (F.col("cx") + F.col("w") / 2).alias("max_x"), (F.col("cy") - F.col("h") / 2).alias("min_y"), (F.col("cy") + F.col("h") / 2).alias("max_y"), F.lit(0.0).alias("x_border"), F.lit(0.0).alias("y_border"))
+
+
 def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """graph_id, node_id (0 to GRAPH - 1), x, y, z, w, h."""
     k = F.col("c_custkey").cast("long")
