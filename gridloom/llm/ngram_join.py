@@ -315,11 +315,12 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     tested = written(tested, "candidates")
 
     def shingled(need: DataFrame) -> DataFrame:
-        wanted = written(signed.join(need, "row").select("row", "key", "h"), "wanted")
-        # Equal rows of one doc_id meet a wanted row more than once.
-        texts = rows.join(wanted, ["key", "h"]).groupBy("row").agg(F.min("text").alias("text"))
+        wanted = written(signed.select("row", "key", "h").join(need, "row"), "wanted")
+        # Equal rows of one doc_id meet a wanted row more than once. A merge join at every size: what is wanted grows with the texts.
+        texts = rows.join(wanted.hint("merge"), ["key", "h"]).groupBy("row").agg(F.min("text").alias("text"))
         return written(texts.mapInArrow(_sets, "row long, shingles array<bigint>"), "shingles")
 
+    # Every row of a node of several texts is in a tested pair, so these sets serve all that follows.
     tested_sets = shingled(tested.select(F.col("a").alias("row")).unionByName(tested.select(F.col("b").alias("row"))).distinct())
     one = tested.join(tested_sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     two = one.join(tested_sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
@@ -331,17 +332,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     mixed = mixed.groupBy("members").agg(F.min("node").alias("node")).select("node")  # trees often have the same members in a node
     open_ = written(placed.join(mixed, "node"), "open-nodes")
     if not open_.isEmpty():
-        sets = shingled(open_.select(F.col("rep").alias("row")).distinct())
         blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
         dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.select("node", "rep", "component", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("pair"))
-        dealt = dealt.join(sets.withColumnRenamed("row", "rep"), "rep").select("node", "pair", "rep", "component", "shingles")
+        dealt = dealt.join(tested_sets.withColumnRenamed("row", "rep"), "rep").select("node", "pair", "rep", "component", "shingles")
         more = written(dealt.groupBy("node", "pair").applyInArrow(_joining(threshold), "a long, b long").distinct(), "links")
         if not more.isEmpty():
             links = written(links.unionByName(more).distinct(), "links")
             label = components(links)
 
-    # Every node row is in a tested pair, as the nodes of one text alone are left out.
     degree = link_counts(label, tested_sets, threshold) if count else label.select(F.col("node").alias("rep"), F.lit(1).alias("degree"))
     of_rep = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     of_rep = of_rep.withColumn("degree", F.coalesce("degree", F.col("component").isNotNull().cast("long"))).withColumn("component", F.coalesce("component", "rep"))
