@@ -38,7 +38,7 @@ RUN = 4096
 #: The end token stands for itself; its bytes cannot be a word.
 END = b" "
 #: Distinct words that a task counts before it passes them on.
-COUNT_WORDS = 400_000
+COUNT_WORDS = 300_000
 
 
 def shape(word: bytes) -> int:
@@ -270,7 +270,7 @@ def expected_counts(model: Hmm, symbols: list[np.ndarray], run: int = RUN, kind=
 
 
 #: Bytes of sequences that a recursion takes side by side (a longer one is taken alone).
-AT_ONCE = 1_000_000
+AT_ONCE = 600_000
 
 
 def _together(symbols: list[bytes], at_once: int) -> Iterator[list[np.ndarray]]:
