@@ -81,7 +81,7 @@ def packing(docs: DataFrame, n_tokens: Column | None = None, buckets: int = BUCK
     bucket = F.lit(0)
     for t in tops[:-1]:
         bucket = bucket + (F.col("n_tokens") > t).cast("int")
-    top = F.element_at(F.array(*map(F.lit, tops or [0])), F.col("bucket") + 1).cast("long")
+    top = F.element_at(F.array(*map(F.lit, tops or [1])), F.col("bucket") + 1).cast("long")
     # A bucket may hold most rows: it is ranked in shards, whose sizes give each shard's first rank. Equal rows are ranked as one.
     total = sum(r.n for r in seen)
     shards = max(1, -(-total // SHARD_ROWS))
