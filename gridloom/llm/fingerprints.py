@@ -78,12 +78,14 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS) -> Dat
     return made.select("doc_id", "sketch", distinct_shingles(F.col("sketch"), k).alias("n_shingles"))
 
 
-#: Rows stand in this order; the row number tells rows of one doc_id and text apart.
-ORDER = ("key", "h", "row")
+#: Rows stand in this order; rows that are equal in both have equal texts.
+ORDER = ("key", "h")
+#: Equal rows that one task makes at once.
+COPIES = 1000
 
 
 def previous_rows(ids: DataFrame) -> DataFrame:
-    """(key, h, row, n_chars) -> (row, key, prev, prev_chars): each row with the one before it in ascending order of key, h and row; the first follows the last. Rows must be distinct, so no key is a hot group."""
+    """(key, h, n_chars) -> (key, h, prev_key, prev_h, prev_chars): each row with the one before it in ascending order; the first follows the last. Rows must be distinct, so no key is a hot group."""
     spark = ids.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + ids.count() // ORDER_ROWS)
     dealt = written(ids.repartitionByRange(n, *ORDER).withColumn("part", F.spark_partition_id()), "id-order")
@@ -93,7 +95,7 @@ def previous_rows(ids: DataFrame) -> DataFrame:
     within = F.lag(F.struct(*ORDER, "n_chars")).over(Window.partitionBy("part").orderBy(*ORDER))
     joined = dealt.withColumn("before", within).join(F.broadcast(carry), "part")
     before = F.coalesce("before", "carry")
-    return joined.select("row", "key", before["row"].alias("prev"), before["n_chars"].alias("prev_chars"))
+    return joined.select("key", "h", before["key"].alias("prev_key"), before["h"].alias("prev_h"), before["n_chars"].alias("prev_chars"))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS, repeats: bool = False) -> DataFrame:
@@ -102,25 +104,39 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = SHINGLE_WORDS, r
     docs: doc_id, text; other columns are ignored. Columns: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, n_shingles (estimated). A null text
     counts as empty, a null doc_id as the smallest. With repeats every row of docs is returned,
-    and rows of one doc_id follow each other by their texts' hashes; without, they count once,
-    with the text whose hash is the largest. A table of one document is its own next. docs is
-    read twice and must give its rows in the same partitions each time, as a Parquet table does.
+    and rows of one doc_id follow each other by their texts' hashes; rows that are equal follow
+    each other, so all but the last are edited with their own text. Without, a doc_id counts once,
+    with the text whose hash is the largest. A table of one document is its own next. Very long
+    texts are taken whole; an empty table gives an empty result. Rows are known by doc_id and text
+    hash, so docs may come in other partitions each time it is read.
     """
     text = F.coalesce("text", F.lit(""))
-    row = F.monotonically_increasing_id().alias("row")
-    texts = docs.select(row, text.alias("text"))
-    ids = docs.select(row, key_of().alias("key"), F.xxhash64(text).alias("h"), F.length(text).alias("n_chars"))
+    rows = docs.select(key_of().alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
+    ids = rows.select("key", "h", F.length("text").alias("n_chars")).distinct()
     if not repeats:
-        ids = ids.groupBy("key").agg(F.max(F.struct("h", "row", "n_chars")).alias("last")).select("key", "last.*")
+        ids = ids.groupBy("key").agg(F.max(F.struct("h", "n_chars")).alias("last")).select("key", "last.*")
     order = previous_rows(ids)
     # The texts are shuffled once; both uses below read the same exchange.
-    own = texts.join(order.hint("merge"), "row")
-    head = own.select(F.col("prev").alias("row"), F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"))
-    pairs = own.select("row", "key", "text").join(head.hint("merge"), "row")
-    n = F.length("text")
-    pairs = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head")))
-    pairs = pairs.select("key", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("a"), sketch(F.col("edited"), k, width).alias("b"), "next_sketch")
-    return pairs.select(
-        id_of().alias("doc_id"), "n_chars", "edited_sha256", encoded(F.col("a")).alias("fingerprint"), encoded(F.col("b")).alias("edited_fingerprint"),
-        resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("next_sketch"), k).alias("near_next"), distinct_shingles(F.col("a"), k).alias("n_shingles"),
-    )
+    own = rows.groupBy(*ORDER).agg(F.min("text").alias("text"), F.count("*").alias("n")).join(order.hint("merge"), list(ORDER))
+    first = lambda t, n: F.substring(t, F.lit(1), F.floor(n / 4).cast("int"))
+    head = own.select(F.col("prev_key").alias("key"), F.col("prev_h").alias("h"), first("text", F.col("prev_chars")).alias("head"), sketch(F.col("text"), k, width).alias("next_sketch"))
+    pairs = own.select("key", "h", "text", "n").join(head.hint("merge"), list(ORDER))
+
+    def told(df: DataFrame, n: str) -> DataFrame:
+        size = F.length("text")
+        df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - F.floor(size / 4).cast("int")), F.col("head")))
+        df = df.select("key", n, size.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("a"), sketch(F.col("edited"), k, width).alias("b"), "next_sketch")
+        return df.select(
+            id_of().alias("doc_id"), "n_chars", "edited_sha256", encoded(F.col("a")).alias("fingerprint"), encoded(F.col("b")).alias("edited_fingerprint"),
+            resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.coalesce("next_sketch", "a"), k).alias("near_next"), distinct_shingles(F.col("a"), k).alias("n_shingles"), n,
+        )
+
+    out = told(pairs, "n")
+    many = written(rows.groupBy(*ORDER).agg(F.count("*").alias("n")).filter("n > 1"), "equal-rows") if repeats else None
+    if many is not None and not many.isEmpty():
+        # Equal rows but the last are their own next. They are made once, then dealt out.
+        equal = rows.join(many, list(ORDER)).groupBy(*ORDER, "n").agg(F.min("text").alias("text"))
+        again = told(equal.select("key", "n", "text", first("text", F.length("text")).alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch")), "n")
+        parts = again.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 2) div {COPIES})"))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        out = out.unionByName(parts.withColumn("nth", F.explode(F.expr(f"sequence(1L, least({COPIES}L, n - 1 - part * {COPIES}))"))).drop("part", "nth"))
+    return out.drop("n")
