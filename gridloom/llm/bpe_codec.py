@@ -3,9 +3,10 @@
 A rolling hash cuts each text's bytes into chunks whose places depend on their content only, so
 documents that share a passage share its chunks. Chunks are counted over all documents by their
 digests; each one that occurs again is encoded once, wherever its places are, and its ids are
-joined back by digest. A cut may fall inside a word, so every join of two chunks is repaired: a
-window of text around it is encoded anew, and widened until the ids at both of its ends agree
-with those of the chunks.
+joined back by digest (of the most frequent ones, a bounded number, every task encodes its own,
+once). A cut may fall inside a word, so every join of two chunks is repaired: a window of text
+around it is encoded anew, and widened until the ids at both of its ends agree with those of the
+chunks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ EDGE = 2
 #: A worker's memory of words starts anew when it holds so many; digests that a task counts before it passes them on; texts taken at once.
 MEMO_WORDS, MEMO_DIGESTS, TEXTS = 400_000, 400_000, 1000
 #: Chunks that occur again are told by so many bits of their digests; one that shares them with such a chunk goes the same way.
-SHARED_BITS = 22
+SHARED_BITS = 26
+#: The most frequent chunks, so many at most, are known to every task, which encodes each of them once itself; texts that repeat no other chunk are then not shuffled.
+POPULAR, BINS = 16_384, 64
 _SPACES = b" \t\n\x0b\x0c\r"
 # Fixed value: how the pre-tokenizer splits.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -155,23 +158,8 @@ class ChunkCodec:
         self.n_encoded += len(chunks)
         return pieces
 
-    def join(self, texts: list[list[Piece]]) -> list[np.ndarray]:
-        """The ids of texts from their chunks' pieces."""
-        windows: list[tuple[list[bytes], bytes, list[bytes]]] = []
-        plans: list[list] = []
-        for pieces in texts:
-            plan, left, held = [], [], b""
-            for p in pieces:
-                if p.text is not None:
-                    held += p.text
-                    continue
-                plan += [len(windows), p.ids]
-                windows.append((left, held + p.head, p.first))
-                left, held = p.last, p.tail
-            if left or held:
-                plan.append(len(windows))
-                windows.append((left, held, []))
-            plans.append(plan)
+    def repair(self, windows: list[tuple[list[bytes], bytes, list[bytes]]]) -> list[bytes]:
+        """The ids of windows: whole words of the chunk before, the bytes between, whole words of the chunk after."""
         self.learn({w for left, _, right in windows for w in (*left, *right) if w not in self.words})
         known = self.words.__getitem__
         repaired: list[bytes | None] = [None] * len(windows)
@@ -189,8 +177,54 @@ class ChunkCodec:
                     repaired[i] = b"".join([*map(known, left[:-width]), ids, *map(known, right[width:])])
         if None in repaired:
             raise ValueError("a join of chunks does not come to agree: this tokenizer's words depend on each other")
+        return repaired
+
+    def join(self, texts: list[list[Piece]]) -> list[np.ndarray]:
+        """The ids of texts from their chunks' pieces."""
+        windows: list[tuple[list[bytes], bytes, list[bytes]]] = []
+        plans: list[list] = []
+        for pieces in texts:
+            plan, left, held = [], [], b""
+            for p in pieces:
+                if p.text is not None:
+                    held += p.text
+                    continue
+                plan += [len(windows), p.ids]
+                windows.append((left, held + p.head, p.first))
+                left, held = p.last, p.tail
+            if left or held:
+                plan.append(len(windows))
+                windows.append((left, held, []))
+            plans.append(plan)
+        repaired = self.repair(windows)
         return [np.frombuffer(b"".join([repaired[x] if isinstance(x, int) else x for x in plan]), np.uint16) for plan in plans]
 
+    def fuse(self, runs: list[list[Piece]]) -> list[list[Piece]]:
+        """Each run of neighbouring pieces as few pieces: those between its first and last one of enough words become one."""
+        windows: list[tuple[list[bytes], bytes, list[bytes]]] = []
+        plans = []
+        for run in runs:
+            at = [i for i, p in enumerate(run) if p.text is None]
+            if len(at) < 2:
+                plans.append((run, [], None))
+                continue
+            one, plan, held = Piece(), [run[at[0]].ids], b""
+            one.head, one.first, one.last, one.tail = run[at[0]].head, run[at[0]].first, run[at[-1]].last, run[at[-1]].tail
+            left = run[at[0]]
+            for p in run[at[0] + 1 : at[-1] + 1]:
+                if p.text is not None:
+                    held += p.text
+                    continue
+                plan += [len(windows), p.ids]
+                windows.append((left.last, left.tail + held + p.head, p.first))
+                left, held = p, b""
+            plans.append(([*run[: at[0]], one, *run[at[-1] + 1 :]], plan, one))
+        repaired = self.repair(windows)
+        for _, plan, one in plans:
+            if one is not None:
+                one.ids = b"".join([repaired[x] if isinstance(x, int) else x for x in plan])
+        return [run for run, _, _ in plans]
+
     def encode_texts(self, texts: list[bytes], average: int = CHUNK_BYTES) -> list[tuple[str, str]]:
         """For each text the ids and the decoded text, each as one string with a space after every token."""
         cut = [chunks_of(t, average) for t in texts]
@@ -219,8 +253,8 @@ def codec(path: str) -> ChunkCodec:
     return _codecs[path]
 
 
-def repeated_chunks(docs: DataFrame, average: int = CHUNK_BYTES) -> np.ndarray:
-    """The buckets of the digests of chunks that occur again in docs (text), as bits, of a size that no input changes."""
+def repeated_chunks(docs: DataFrame, average: int = CHUNK_BYTES, popular: int = POPULAR) -> tuple[np.ndarray, set[bytes]]:
+    """Of chunks that occur again in docs (text): the buckets of their digests as bits, of a size that no input changes, and the digests of the most frequent ones, popular at most."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
@@ -239,11 +273,32 @@ def repeated_chunks(docs: DataFrame, average: int = CHUNK_BYTES) -> np.ndarray:
         yield from flush()
 
     counts = docs.select("text").mapInArrow(count, "digest binary, bucket int, n long").groupBy("digest", "bucket").agg(F.sum("n").alias("n")).filter("n > 1")
-    words = counts.groupBy(F.expr("bucket div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, bucket % 64))").alias("bits"))
-    out = np.zeros((1 << SHARED_BITS) // 64, np.int64)
-    for r in words.collect():
-        out[r.word] = r.bits
-    return out
+    counts = written(counts, "bpe-repeated")
+    binned = counts.withColumn("bin", F.floor(F.log2("n") * BINS))
+    left, least = popular, None
+    for r in binned.groupBy("bin").agg(F.count("*").alias("v")).orderBy(F.desc("bin")).collect():
+        left -= r.v
+        if left < 0:
+            break
+        least = r.bin
+    often = {bytes(r.digest) for r in binned.filter(F.col("bin") >= least).select("digest").collect()} if least is not None else set()
+    # Bits in words of 4 KB, so that few rows come to the driver.
+    block = 1 << 15
+
+    def bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            bucket = np.sort(b.column("bucket").to_numpy())
+            for k in np.unique(bucket // block).tolist():
+                w = np.zeros(block, np.uint8)
+                w[bucket[bucket // block == k] % block] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(w, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << SHARED_BITS) // 8, np.uint8)
+    # Dealt by block, a partition gives a row for each of its blocks and batches.
+    for r in counts.select("bucket").repartition(F.expr(f"bucket div {block}")).sortWithinPartitions("bucket").mapInArrow(bits, "block int, bits binary").collect():
+        at = slice(r.block * block // 8, (r.block + 1) * block // 8)
+        out[at] |= np.frombuffer(r.bits, np.uint8)
+    return out, often
 
 
 PIECES = "row long, doc_id long, pos int, digest binary, data binary, head binary, tail binary, ids binary, said struct<n_tokens:long,ids_sha256:string,decoded_sha256:string{more}>"
@@ -264,7 +319,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, average: int = CHUNK_BY
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    again = repeated_chunks(texts, average)
+    again, often = repeated_chunks(texts, average)
     more = ",ids:array<int>,decoded:string" if with_text else ""
     schema = PIECES.format(more=more)
     said = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_text)
@@ -275,33 +330,46 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, average: int = CHUNK_BY
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds, strict=True)], names)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a repeated chunk are done; of the others every chunk is a row, encoded unless it is a repeated one, whose bytes a task sends once."""
+        """Texts without a repeated chunk are done; of the others every repeated chunk is a row, whose bytes a task sends once, and what lies between is encoded."""
         c = codec(tokenizer_path)
         sent: set[bytes] = set()
+        popular: dict[bytes, Piece] = {}
         for whole in it:
             for part in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(part, TEXTS)
                 held = [chunks_of(t, average) for t in binary_list(b.column("text"))]
                 digests = [[xxhash.xxh3_128_digest(x) for x in chunks] for chunks in held]
-                shared = [[bool(again[(k := bucket_of(d)) // 64] >> (k % 64) & 1) for d in ds] for ds in digests]
-                pieces = iter(c.encode_chunks([x for chunks, s in zip(held, shared, strict=True) for x, is_shared in zip(chunks, s, strict=True) if not is_shared]))
-                out, done = [], []
-                for row, doc_id, chunks, ds, s in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), held, digests, shared, strict=True):
+                shared = [[d not in often and bool(again[(k := bucket_of(d)) // 8] >> (k % 8) & 1) for d in ds] for ds in digests]
+                # A task encodes each popular chunk at its first place.
+                here = [[(x, d) for x, d, s in zip(*y, strict=True) if not s] for y in zip(held, digests, shared, strict=True)]
+                new = {d: x for y in here for x, d in y if d in often and d not in popular}
+                popular.update(zip(new, c.encode_chunks(list(new.values())), strict=True))
+                pieces = iter(c.encode_chunks([x for y in here for x, d in y if d not in popular]))
+                found = [iter([popular[d] if d in popular else next(pieces) for _, d in y]) for y in here]
+                out, done, runs, of_run = [], [], [], []
+                for row, doc_id, chunks, ds, s, local in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), held, digests, shared, found, strict=True):
                     if not any(s):
-                        done.append((row, doc_id, [next(pieces) for _ in chunks]))
+                        done.append((row, doc_id, list(local)))
                         continue
+                    run: list[Piece] = []
                     for i, (x, d, is_shared) in enumerate(zip(chunks, ds, s, strict=True)):
+                        if not is_shared:
+                            run.append(next(local))
+                        if run and (is_shared or i == len(chunks) - 1):
+                            runs.append(run)
+                            of_run.append((row, doc_id, i - len(run) + (not is_shared)))
+                            run = []
                         if is_shared:
                             if len(sent) > MEMO_DIGESTS:
                                 sent.clear()
                             out.append((row, doc_id, i, d, None if d in sent else x, None, None, None, None))
                             sent.add(d)
-                        else:
-                            out.append((row, doc_id, i, None, None, *next(pieces).packed(), None))
+                for (row, doc_id, at), fused in zip(of_run, c.fuse(runs), strict=True):
+                    out += [(row, doc_id, at + i, None, None, *p.packed(), None) for i, p in enumerate(fused)]
                 out += [(row, doc_id, None, None, None, None, None, None, _said(c, ids, with_text)) for (row, doc_id, _), ids in zip(done, c.join([p for _, _, p in done]), strict=True)]
                 yield batch(out)
 
-    made = written(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, schema), "bpe-pieces")
+    made = written(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, schema), "bpe-pieces", "zstd")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
