@@ -155,3 +155,25 @@ def text(p: str = "") -> Column:
 def from_corner(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
     """The bounds of a rectangle whose low corner and extents are given, as a resize does."""
     return [x.alias("min_x"), (x + w).alias("max_x"), y.alias("min_y"), (y + h).alias("max_y")]
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """The same rows; one whose low edge lies beyond its high edge ends the job with an error."""
+    ok = (F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y"))
+    return df.filter(F.assert_true(ok, F.lit("a rectangle's low edge lies beyond its high edge")).isNull())
+
+
+def uniform_box(size: Column) -> Column:
+    """Margins or padding of a box, the same on all four sides; negative ones count as 0."""
+    side = F.greatest(size.cast("double"), F.lit(0.0))
+    return F.struct(*[side.alias(n) for n in _NAMES[:4]])
+
+
+def box_side(box: Column, dim: Column, high_side: bool) -> Column:
+    """The side of a box along a dim; depth has none."""
+    x, y = ("max_x", "max_y") if high_side else ("min_x", "min_y")
+    return F.when(dim == X, box[x]).when(dim == Y, box[y]).otherwise(F.lit(0.0))
+
+
+def box_is_empty(box: Column) -> Column:
+    return (box["min_x"] == 0) & (box["max_x"] == 0) & (box["min_y"] == 0) & (box["max_y"] == 0)

@@ -61,6 +61,12 @@ def all_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return full.select("graph_id", "src", "dst", "length").groupBy("graph_id").applyInArrow(_floyd_warshall, PAIRS)
 
 
+def all_pairs_by_frontier(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As all_pairs for graphs of any size: every node is a source of single_source, so no graph meets in one task."""
+    sources = nodes.select("graph_id", F.col("node_id").alias("source"))
+    return single_source(edges, nodes, sources).select("graph_id", F.col("source").alias("u"), F.col("node_id").alias("v"), "d")
+
+
 def single_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """graph_id, source, node_id, d from each row of sources (graph_id, source), for graphs of any size: a frontier of improved nodes meets the edges until none improves."""
     step = both_ways(sanitised(edges, nodes)).select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to"), "length")

@@ -40,6 +40,11 @@ def stress(p: DataFrame, nodes: DataFrame, locks: DataFrame | None = None, desir
     return nodes.select("graph_id").distinct().join(total, "graph_id", "left").select("graph_id", F.coalesce("stress", F.lit(0.0)).alias("stress"))
 
 
+def lock_position(dim: Column) -> Column:
+    """A lock's coordinate along a dim (columns x, y, z)."""
+    return F.when(dim == 0, F.col("x")).when(dim == 1, F.col("y")).otherwise(F.col("z"))
+
+
 def with_desired(grad: DataFrame, nodes: DataFrame, desired: DataFrame, axis: str) -> DataFrame:
     """A gradient with the pull of desired positions (graph_id, node_id, axis, weight): weight times how far a node is beyond its own."""
     own = desired.select("graph_id", F.col("node_id").alias("u"), F.col(axis).alias("to"), "weight").join(nodes.select("graph_id", F.col("node_id").alias("u"), F.col(axis).alias("at")), ["graph_id", "u"])

@@ -99,6 +99,13 @@ def rect_union_box(spark, d):
     return R.expanded(T.part_rects(spark, d).groupBy("group_id").agg(*R.union_bounds()), 5, -3, 2, 1)
 
 
+@query("SELECT rect_id, dim, CASE dim WHEN 0 THEN m WHEN 1 THEN m ELSE 0 END::DOUBLE AS low_side, CASE dim WHEN 0 THEN m WHEN 1 THEN m ELSE 0 END::DOUBLE AS high_side, m = 0 AS empty FROM (SELECT rect_id, greatest(0, rect_id % 5 - 2) AS m FROM rects), (VALUES (0), (1), (2)) t(dim)")
+def rect_boxes(spark, d):
+    rects = R.checked(T.part_rects(spark, d)).withColumn("dim", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("box", R.uniform_box(F.col("rect_id") % 5 - 2))
+    side = lambda high: R.box_side(F.col("box"), F.col("dim"), high)
+    return rects.select("rect_id", "dim", side(False).alias("low_side"), side(True).alias("high_side"), R.box_is_empty(F.col("box")).alias("empty"))
+
+
 _PAIRS = """, hit AS (SELECT a.group_id, a.rect_id AS a, b.rect_id AS b, a.cx AS ax, b.cx AS bx, a.cy AS ay, b.cy AS by_, a.min_x AS a0, a.max_x AS a1, b.min_x AS b0, b.max_x AS b1, a.min_y AS a2, a.max_y AS a3, b.min_y AS b2, b.max_y AS b3
   FROM rects a JOIN rects b ON a.group_id = b.group_id AND a.rect_id < b.rect_id AND a.min_x < b.max_x AND b.min_x < a.max_x AND a.min_y < b.max_y AND b.min_y < a.max_y)"""
 
@@ -166,6 +173,11 @@ def apsp_weighted(spark, d):
     return G.all_pairs(*_graph(spark, d))
 
 
+@query("SELECT graph_id, u, v, d FROM apsp")
+def apsp_frontier(spark, d):
+    return G.all_pairs_by_frontier(*_graph(spark, d))
+
+
 @query("SELECT graph_id, u AS source, v AS node_id, d FROM apsp WHERE u = 1")
 def sssp_frontier(spark, d):
     e, n = _graph(spark, d)
@@ -426,6 +438,12 @@ def quadratic_cost(spark, d):
     return L.quadratic_cost(m, x, x).select("m_id", r("v", 3).alias("v"))
 
 
+@query("SELECT m_id, i, row_number() OVER (PARTITION BY m_id, i ORDER BY j) - 1 AS pos, j, v FROM mat")
+def matrix_rows(spark, d):
+    rows = L.rows_of(_matrix(spark, d)[0])
+    return rows.select("m_id", "i", F.posexplode(F.arrays_zip("columns", "values")).alias("pos", "e")).select("m_id", "i", F.col("pos").cast("long").alias("pos"), F.col("e.columns").alias("j"), F.col("e.values").alias("v"))
+
+
 @query("SELECT m_id, count(*) AS stored, count(DISTINCT i) AS row_count FROM mat GROUP BY 1")
 def nnz(spark, d):
     m, _ = _matrix(spark, d)
@@ -608,6 +626,14 @@ def qp_two_var_weighted(spark, d):
     return Q.project(*_two(spark, d, False)).select("problem_id", "var_id", r("position").alias("position"))
 
 
+@query(_TWO.format(v="2 - (b - a)"))
+def qp_unknown_variables(spark, d):
+    """Constraints on variables that are not there are left out."""
+    v, c = _two(spark, d, True)
+    more = c.withColumns({"c_id": F.lit(1), "right": F.lit(7), "gap": F.lit(500.0)})
+    return Q.project(v, c.unionByName(more)).select("problem_id", "var_id", r("position").alias("position"))
+
+
 @query(_TWO.format(v="2 - (b - a)"))
 def qp_equality_pairs(spark, d):
     return Q.project(*_two(spark, d, True)).select("problem_id", "var_id", r("position").alias("position"))
@@ -690,6 +716,15 @@ def remove_overlaps_flag(spark, d):
     return kept.join(hit, "group_id", "left").select("group_id", F.col("hit").isNull().alias("no_overlaps"), "sizes_kept", "near")
 
 
+@query("SELECT DISTINCT graph_id, component_id, true AS whole FROM comp")
+def separate_components_whole(spark, d):
+    """All nodes of a component move by the same."""
+    e, n = _graph(spark, d)
+    out = O.separate_components(n, G.components(e, n)).join(n.select("graph_id", "node_id", F.col("x").alias("x0"), F.col("y").alias("y0")), ["graph_id", "node_id"])
+    spread = lambda a: F.max(F.col(a) - F.col(a + "0")) - F.min(F.col(a) - F.col(a + "0")) < 1e-9
+    return out.groupBy("graph_id", "component_id").agg((spread("x") & spread("y")).alias("whole"))
+
+
 @query("SELECT DISTINCT graph_id, true AS apart FROM nodes")
 def separate_components_flag(spark, d):
     e, n = _graph(spark, d)
@@ -792,6 +827,11 @@ def _prioritised(spark, d):
     return n.select("problem_id", F.explode(F.array(rule(0, 0, 1, 30.0, 2, 1), rule(0, 0, 1, 50.0, 1, 2), rule(1, 1, 2, 0.0, None, 3))).alias("r")).select("problem_id", "r.*")
 
 
+@query("SELECT DISTINCT graph_id AS problem_id, cc_id, CASE cc_id WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS rank FROM nodes, (VALUES (1), (2), (3)) t(cc_id)")
+def cc_by_priority(spark, d):
+    return P.by_priority(_prioritised(spark, d)).select("problem_id", "cc_id", "rank")
+
+
 _FEASIBLE = ", f AS (SELECT graph_id, max(x) FILTER (node_id = 0) AS x0, max(x) FILTER (node_id = 1) AS x1, max(y) FILTER (node_id = 1) AS y1, max(y) FILTER (node_id = 2) AS y2 FROM nodes GROUP BY 1) "
 
 
@@ -857,7 +897,9 @@ _BOUNDS = ", bnd AS (SELECT t.cluster_id, min(x - 3 * n) AS min_x, max(x + 12 +
 
 @query(_TREE + "SELECT t.cluster_id, coalesce(sum(CASE WHEN m.cluster_id IS NOT NULL THEN 96.0 END), 0)::DOUBLE AS area FROM tree t LEFT JOIN clo c ON c.anc = t.cluster_id LEFT JOIN mem m ON m.cluster_id = c.cluster_id GROUP BY 1")
 def cluster_area(spark, d):
-    return C.areas(*_tree(spark, d))
+    """Every node is given twice to its cluster and counts once."""
+    t, m = _tree(spark, d)
+    return C.areas(t, m.unionByName(m))
 
 
 @query(_TREE + _BOUNDS + "SELECT * FROM bnd")
@@ -912,6 +954,18 @@ def lcg_sequence(spark, d):
     return c.select("node_id", F.posexplode(prng.draws(F.col("node_id"), 5)).alias("pos", "u")).select("node_id", (F.col("pos") + 1).alias("pos"), F.round("u", 8).alias("u"))
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS node_id, round(5 + 4 * ((((c_custkey::BIGINT * 214013 + 2531011) % 2147483648) >> 16) / 32767.0), 7) AS u FROM customer")
+def lcg_between(spark, d):
+    c = T.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("node_id"))
+    return c.select("node_id", F.round(prng.between(prng.draws(F.col("node_id"), 1)[0], F.lit(5.0), F.lit(9.0)), 7).alias("u"))
+
+
+@query("SELECT graph_id, node_id, dim, CASE dim WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS position FROM nodes, (VALUES (0), (1), (2)) t(dim) WHERE node_id % 4 = 0")
+def lock_positions(spark, d):
+    n = T.customer_nodes(spark, d).filter("node_id % 4 = 0").withColumn("dim", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    return n.select("graph_id", "node_id", "dim", S.lock_position(F.col("dim")).alias("position"))
+
+
 SPEC = LayoutSpec(ideal_length=40.0, max_iterations=30)
 
 
