@@ -1,4 +1,10 @@
-"""A training-data pipeline over documents: quality rules, near-duplicates, repeated passages, packing. Each stage is written as Parquet and read again as the next one's documents."""
+"""A training-data pipeline over documents: quality rules, near-duplicates, repeated passages, packing.
+
+Each stage is written as Parquet and read again as the next one's documents. All but the last keep
+the columns of documents, whatever further ones there are. A null text counts as empty (the quality
+rules reject it), a null doc_id as the smallest; of repeated rows one stays; very long texts are
+taken whole; ties go by doc_id, then text hash; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +40,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents: doc_id, n_tokens, bucket, bucket_tokens, batch, slot, padding of every document that stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
