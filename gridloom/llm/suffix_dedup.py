@@ -242,7 +242,7 @@ def _spread(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(deal, hash, row, n): of the texts of a block that chose a gram, one is dealt out by the gram; the others know already that it repeats and are dealt out evenly, with n = 0. n: the contexts that the gram has in the block, negative if all are in this text."""
+    """(hash, row, n): of the texts of a block that chose a gram, one is dealt out by the gram; the others know already that it repeats and are dealt out evenly, with n = 0. n: the contexts that the gram has in the block, negative if all are in this text."""
     for b in it:
         for part in blocks(list(zip(b.column("row").to_pylist(), binary_list(b.column("text")), strict=True)), 1):
             t, h, _, _ = winnow([x[1] for x in part])
@@ -256,8 +256,7 @@ def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = np.r_[True, h[1:] != h[:-1]][: len(h)]
             n = np.zeros(len(h), np.int32)
             n[one] = np.where(np.diff(np.flatnonzero(one), append=len(h)) > 1, n_contexts, -n_contexts)
-            deal = np.where(one, h, _spread(h, row))
-            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(row), pa.array(n)], ["deal", "hash", "row", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(row), pa.array(n)], ["hash", "row", "n"])
 
 
 def _hot_bucket(h: np.ndarray) -> np.ndarray:
@@ -521,7 +520,8 @@ def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = docs.select(key_of().alias("key"), text.alias("text"), rest.alias("rest")).withColumn("row", F.expr("xxhash64(text, key) & 9223372036854775807"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    anchors = rows.select("row", "text").mapInArrow(_anchors, "deal long, hash long, row long, n int").repartition(n, "deal").drop("deal")
+    deal = F.when(F.col("n") != 0, F.col("hash")).otherwise(F.xxhash64("hash", "row"))
+    anchors = rows.select("row", "text").mapInArrow(_anchors, "hash long, row long, n int").repartition(n, deal)
     wanted = anchors.mapInArrow(_repeated, "row long, hash long").groupBy("row").agg(F.collect_list("hash").alias("hashes"))
     digests = rows.select("row", "key", F.md5("text").alias("digest")).groupBy("row", "key").agg(F.min("digest").alias("digest"))
     least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
