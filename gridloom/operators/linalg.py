@@ -60,7 +60,7 @@ def scaled(matrix: DataFrame, sparse: DataFrame | None = None) -> DataFrame:
 
 
 def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10, max_iterations: int = 1000) -> DataFrame:
-    """Solve Ax = b for many symmetric positive definite systems, one to a group: m_id, i, v. Stops when the squared residual is at most tolerance squared."""
+    """Solve Ax = b for many symmetric positive definite systems, one to a group: m_id, i, v. Stops when the squared residual is at most tolerance squared, and raises if it is not within max_iterations."""
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, rhs = right.column("b_i").to_numpy(), right.column("b_v").to_numpy()
@@ -79,6 +79,8 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, tolerance: float = 1e-10
             x, r = x + rr / den * p, r - rr / den * ap
             new = float(r @ r)
             p, rr = r + new / rr * p, new
+        else:
+            raise ArithmeticError("the system was not solved within its iterations")
         return pa.table({"m_id": pa.array([right.column("m_id")[0].as_py()] * len(ids), pa.int64()), "i": pa.array(ids, pa.int64()), "v": x})
 
     # New names on both sides: they may stem from one table.

@@ -20,7 +20,7 @@ PARTS = "m_id long, part string, i long, j long, v double, equality boolean"
 
 
 def minimise(q: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray, fixed: np.ndarray, tolerance: float = 1e-18, max_iterations: int = 2000) -> tuple[np.ndarray, int]:
-    """The optimum for a positive semidefinite q, and the rounds taken. fixed: positions, NaN for free variables. A round whose squared move is at most tolerance is the last."""
+    """The optimum for a positive semidefinite q, and the rounds taken. fixed: positions, NaN for free variables. A round whose squared move is at most tolerance is the last; raises if none is within max_iterations."""
     metric = np.abs(q).sum(1)  # dominates q: every row of metric - q is diagonally dominant
     metric[metric == 0] = 1.0
     held = np.isfinite(fixed)
@@ -43,7 +43,7 @@ def minimise(q: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray,
             more = (1 + np.sqrt(1 + 4 * t * t)) / 2
             ahead, t = new + (t - 1) / more * move, more
         x = new
-    return x, max_iterations
+    raise ArithmeticError("the quadratic programme was not solved within its rounds")
 
 
 def _solve(t: pa.Table) -> pa.Table:
