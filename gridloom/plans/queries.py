@@ -49,7 +49,7 @@ pairs AS (SELECT p.graph_id, p.u, p.v, p.d * {IDEAL} AS d, CASE WHEN EXISTS (SEL
 pos3 AS (SELECT p.*, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM pairs p JOIN nodes a ON a.graph_id = p.graph_id AND a.node_id = p.u JOIN nodes b ON b.graph_id = p.graph_id AND b.node_id = p.v),
 pos2 AS (SELECT *, sqrt(dx * dx + dy * dy) AS l, sqrt(dx * dx + dy * dy + dz * dz) AS l3 FROM pos3),
 used AS (SELECT * FROM pos2 WHERE NOT (g = 2 AND l > d)),
-mat AS (SELECT l_orderkey % 64 AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL),
+mat AS (SELECT CAST(floor(l_orderkey / 256) AS BIGINT) AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL),
 vec AS (SELECT m_id, i, CAST((m_id * 7 + i * 3) % 11 AS DOUBLE) AS v FROM (SELECT DISTINCT m_id, i FROM mat UNION SELECT DISTINCT m_id, j FROM mat)),
 chain AS (SELECT CAST(o_custkey AS BIGINT) AS problem_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS var_id, CAST((o_orderkey * 37) % 50 AS DOUBLE) AS desired FROM orders)
 """
@@ -412,8 +412,9 @@ def rk4_combine(spark, d):
 
 
 def _matrix(spark, d):
+    """A sparse matrix of 32 rows and columns for every 256 order keys, so that matrices grow in number with the table."""
     li = T.read(spark, d, "lineitem")
-    m = li.groupBy((F.col("l_orderkey") % 64).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    m = li.groupBy(F.floor(F.col("l_orderkey") / 256).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j")).agg(F.sum("l_quantity").cast("double").alias("v"))
     ids = m.select("m_id", "i").union(m.select("m_id", "j")).distinct()
     return m, ids.select("m_id", "i", ((F.col("m_id") * 7 + F.col("i") * 3) % 11).cast("double").alias("v"))
 
@@ -450,10 +451,10 @@ def nnz(spark, d):
     return L.rows_of(m).groupBy("m_id").agg(F.sum(F.size("columns")).alias("stored"), F.count("*").alias("row_count"))
 
 
-@query("SELECT l_orderkey % 64 AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL")
+@query("SELECT CAST(floor(l_orderkey / 256) AS BIGINT) AS m_id, l_partkey % 32 AS i, l_suppkey % 32 AS j, arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL")
 def sparse_upsert(spark, d):
     li = T.read(spark, d, "lineitem")
-    return L.last_set(li.select((F.col("l_orderkey") % 64).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j"), F.col("l_quantity").cast("double").alias("v"), (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("seq")))
+    return L.last_set(li.select(F.floor(F.col("l_orderkey") / 256).alias("m_id"), (F.col("l_partkey") % 32).alias("i"), (F.col("l_suppkey") % 32).alias("j"), F.col("l_quantity").cast("double").alias("v"), (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("seq")))
 
 
 def _diagonal(spark, d):
