@@ -173,6 +173,18 @@ def apsp_weighted(spark, d):
     return G.all_pairs(*_graph(spark, d))
 
 
+_HOPS = ", h1 AS (SELECT graph_id, src AS u, dst AS v, min(d) AS d FROM (SELECT graph_id, src, dst, 1.0::DOUBLE AS d FROM both_ways UNION ALL SELECT graph_id, node_id, node_id, 0.0 FROM nodes) GROUP BY ALL)" + "".join(
+    f", h{2 * k} AS (SELECT a.graph_id, a.u, b.v, min(a.d + b.d) AS d FROM h{k} a JOIN h{k} b ON a.graph_id = b.graph_id AND a.v = b.u GROUP BY ALL)" for k in (1, 2, 4, 8, 16)
+)
+
+
+@query(_HOPS + " SELECT graph_id, u, v, d FROM h32")
+def apsp_hops(spark, d):
+    """Edges counted, not measured."""
+    e, n = _graph(spark, d)
+    return G.all_pairs(e.withColumn("length", F.lit(1.0)), n)
+
+
 @query("SELECT graph_id, u, v, d FROM apsp")
 def apsp_frontier(spark, d):
     return G.all_pairs_by_frontier(*_graph(spark, d))
@@ -502,6 +514,11 @@ def gp_coupled(spark, d):
     return D.gradient_projection(m, b, apart).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
 
 
+@query(f"SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS m_id, p_partkey % 16 AS i, round(CAST(p_partkey % 13 AS DOUBLE) / (p_size + 1) + {OFF_TIE}, 5) + 0.0 AS v FROM part")
+def gp_diag_unconstrained(spark, d):
+    return D.gradient_projection(*_diagonal(spark, d)).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
+
+
 @query(_COUPLED + f"SELECT m_id, 0::BIGINT AS i, round((b - 4) / q + {OFF_TIE}, 5) + 0.0 AS v FROM x UNION ALL SELECT m_id, 1, 4.0 FROM x")
 def gp_fixed(spark, d):
     """Coupled variables, the second held at 4."""
@@ -567,6 +584,17 @@ def constraint_slack(spark, d):
     return Q.slacks(v.withColumnRenamed("desired", "position"), c).select("problem_id", "c_id", r("slack").alias("slack"))
 
 
+@query(f""", leaf AS (SELECT problem_id, var_id, desired - 3.0 AS t FROM chain WHERE var_id > 0), hub AS (SELECT problem_id, desired AS h FROM chain WHERE var_id = 0),
+run AS (SELECT problem_id, (h + sum(t) OVER w) / (1 + count(*) OVER w) AS mean FROM leaf JOIN hub USING (problem_id) WINDOW w AS (PARTITION BY problem_id ORDER BY t, var_id ROWS UNBOUNDED PRECEDING)),
+top AS (SELECT problem_id, least(h, coalesce((SELECT min(mean) FROM run WHERE run.problem_id = hub.problem_id), h)) AS x FROM hub)
+SELECT problem_id, var_id, round(CASE WHEN var_id = 0 THEN x ELSE greatest(desired, x + 3) END + {OFF_TIE}, 5) + 0.0 AS position FROM chain JOIN top USING (problem_id)""")
+def qp_star_fanout(spark, d):
+    """The first variable of a problem at least 3 below each of the others."""
+    v = T.order_chains(spark, d)
+    c = v.filter("var_id > 0").select("problem_id", F.col("var_id").alias("c_id"), F.lit(0).alias("left"), F.col("var_id").alias("right"), F.lit(3.0).alias("gap"), F.lit(False).alias("equality"))
+    return Q.project(v, c).select("problem_id", "var_id", r(F.col("position") + OFF_TIE, 5).alias("position"))
+
+
 def _contradicted(spark, d):
     """Chains whose first two variables are also told to be 5 apart exactly, after they are 2 apart exactly."""
     v, c = _chain(spark, d)
