@@ -21,7 +21,7 @@ def hostile():
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(1, 8)))
     prose = lambda n: " ".join(word() for _ in range(n)) + "."
-    long = " ".join(f"w{r.randrange(40)}" if i % 3 else word() for i in range(30_000)) + "\nmit license\n" + "x" * 5000
+    long = " ".join(f"w{r.randrange(40)}" if i % 3 else word() for i in range(15_000)) + "\nmit license\n" + "x" * 5000
     once = prose(60)
     texts = [None, "", " \n\t ", "#", long, once, once, once, prose(25), "MIT license " * 30, "!!! " * 40, "\n".join(["same line here"] * 12)]
     rows = [(None if i % 4 == 3 else i, t) for i, t in enumerate(texts)] + [(5, once), (5, once), (7, "other text " + once), (None, None), (8, long + " end")]
