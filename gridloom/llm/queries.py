@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan as licenses
 from . import url_filters as urls
 from .bpe_codec import bpe_round_trip
+from .collocations import LEAST, LONGEST, SHARE, TOP, collocations
 from .common import LOWER, UPPER, table
 from .fingerprints import fingerprint_edits
 from .hmm_lm import hmm_scores
 from .ngram_join import ngram_join
 from .packing import packing
+from .piece_codec import piece_round_trip
 from .quality_rules import quality_rules, train
+from .source_audit import MIN_DOCS, TERM, TOP_TERMS, UNIT, source_audit
 from .suffix_dedup import suffix_dedup
 from .token_records import token_records
 
@@ -64,6 +67,18 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_license_scan, op2_quality_rules, op3_ngram_join, op4_fingerprints, op5_token_records, op6_url_filters, op7_bpe_codec, op8_suffix_dedup, op9_packing, op10_hmm_lm, pipeline)
+    own = (op1_license_scan, op2_quality_rules, op3_ngram_join, op4_fingerprints, op5_token_records, op6_url_filters, op7_bpe_codec, op8_suffix_dedup, op9_packing, op10_hmm_lm, op11_source_audit, op12_piece_codec, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -111,5 +126,42 @@ fits AS (SELECT rid, max({{'n': length(r.host || r.path), 'h': length(r.host), '
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, '{urls.DEFAULT_VERDICT}') AS verdict FROM u LEFT JOIN fits USING (rid)"""
 
 
+def audit_sql() -> str:
+    p = "1 + ({unit}::HUGEINT * ({n} + 2)) // ({total} + 2 * v)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+w AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= {MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+whole AS (SELECT lang, term, {p.format(unit=UNIT, n="n", total="total")} AS q FROM kept JOIN langs USING (lang)),
+groups AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT lang, source, term, count(*) AS n FROM w JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, {p.format(unit=UNIT, n="coalesce(u.n, 0)", total="coalesce(t.total, 0)")} AS p
+  FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
+
+
+def collocation_sql() -> str:
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+runs AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM starts, range(1, {LONGEST + 1}) t(k) WHERE i + k - 1 <= len(w)),
+totals AS (SELECT lang, count(*) AS n FROM runs WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, k, count(*) AS a, string_split(phrase, ' ') AS w FROM runs GROUP BY lang, phrase, k HAVING count(*) >= {LEAST}),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+scored AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score, row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a), cut) AS nth
+  FROM cuts c JOIN totals USING (lang) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[: cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 :], ' ')),
+inner_runs AS (SELECT lang, a, w, k AS whole, unnest(range(1, k)) AS i FROM f WHERE k > 2),
+around AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS around FROM inner_runs, range(2, {LONGEST}) t(m) WHERE m < whole AND i + m - 1 <= whole GROUP BY ALL),
+ranked AS (SELECT s.lang, s.phrase, a, l, r, n, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase WHERE nth = 1 AND (around IS NULL OR 100 * around < {SHARE} * a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op6_url_filters": url_sql()}
+    return {"op1_license_scan": license_sql(), "op6_url_filters": url_sql(), "op11_source_audit": audit_sql(), "op13_collocations": collocation_sql()}
