@@ -13,10 +13,11 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch_path, written
+from .common import LOWER, UPPER, scratch_path, written
 
-#: Letters of ASCII and all characters beyond it.
+#: Terms are of ASCII letters and all characters beyond ASCII; OTHERS stand between them.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OTHERS = "".join(map(chr, (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 #: Documents of a language that a term must be in, ranks of the terms' part, one as a probability.
 MIN_DOCS, TOP_TERMS, UNIT = 10, 10, 1_000_000_000
 #: The largest integer: no limit to a vocabulary.
@@ -42,20 +43,22 @@ def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, model_terms: int = M
     """(vectors, vocabulary). vectors: lang, source, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term. Null lang, source and text count as ''."""
     spark = docs.sparkSession
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    lists = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
-    rows = lists.select("lang", "source", F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(END), t)).alias("terms"))
+    own = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.translate(blank("text"), UPPER + OTHERS, LOWER + " " * len(OTHERS)).alias("text"))
+    # Every term gets its language by one replacement in the text; spaces in a row give empty terms, which no vocabulary keeps.
+    tag = F.concat(F.hex("lang"), F.lit(END))
+    rows = own.select("lang", "source", F.split(F.concat(tag, F.replace("text", F.lit(" "), F.concat(F.lit(" "), tag))), " ").alias("terms"))
     seen = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0]
     models = 1 + int(1.2 * seen) // model_terms
     # A term that every vocabulary has, so that none is empty.
-    own = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(END)).alias("terms"))
+    base = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(END)).alias("terms"))
     vectors, vocabulary = None, None
     for k in range(models):
         part = rows if models == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
-        model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=MAX_VOCAB).fit(part.unionByName(own))
+        model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=MAX_VOCAB).fit(part.unionByName(base))
         path = scratch_path(spark, "vocabulary")
         model.save(path)
-        key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(F.col("key") != END)
-        words = key.select(F.lit(k).alias("model"), "i", F.expr("substr(key, 1, length(key) - length(substring_index(key, '\\0', -1)) - 1)").alias("lang"), F.substring_index("key", END, -1).alias("term"))
+        key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(~F.endswith("key", F.lit(END)))
+        words = key.select(F.lit(k).alias("model"), "i", F.decode(F.unhex(F.substring_index("key", END, 1)), "utf-8").alias("lang"), F.substring_index("key", END, -1).alias("term"))
         vecs = model.transform(part).select("lang", "source", F.lit(k).alias("model"), "counts")
         vectors = vecs if vectors is None else vectors.unionByName(vecs)
         vocabulary = words if vocabulary is None else vocabulary.unionByName(words)
@@ -81,7 +84,7 @@ def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS
     vectors, vocabulary = term_vectors(docs, min_docs, model_terms)
     vocabulary = written(vocabulary, "terms")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    sums = written(group_sums(vectors), "sums")
+    sums = written(group_sums(vectors).join(vocabulary, ["model", "i"], "left_semi"), "sums")
     totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")).withColumn("p0", probability("0", "total", "terms"))
