@@ -27,7 +27,7 @@ LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bits of a bitmap of frequent fingerprints: 16 for each one, within these powers of two.
 MIN_BITS, MAX_BITS = 16, 28
 #: Text that a task holds as words at once, words whose runs are hashed together, fingerprints that are counted together, words that a task numbers.
-CHUNK_BYTES, BLOCK_WORDS, HELD, MEMO_WORDS = 1 << 23, 1 << 19, 1 << 21, 1_000_000
+CHUNK_BYTES, BLOCK_WORDS, HELD, MEMO_WORDS = 1 << 21, 1 << 19, 1 << 20, 300_000
 #: Ends of a piece and of a text; no UTF-8 text has these bytes.
 END, DOC = b"\xff", b"\xfe"
 TO_WORDS = bytes.maketrans(UPPER + b".,;:!?\n\x0b\x0c\r\t", LOWER + END * 10 + b" ")
