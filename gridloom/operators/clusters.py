@@ -12,11 +12,13 @@ BOUNDARY_WEIGHT = 1e-7
 SIDES = ("min_x", "max_x", "min_y", "max_y")
 
 
-def closure(clusters: DataFrame) -> DataFrame:
-    """ancestor, cluster_id, n for every cluster and itself (n = 1) and all below it (n - 1 levels down), level by level. A cluster that is its own ancestor raises ValueError."""
+def closure(clusters: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
+    """ancestor, cluster_id, n for every cluster and itself (n = 1) and all below it (n - 1 levels down), level by level. Nothing is below a barrier (cluster_id). A cluster that is its own ancestor raises ValueError."""
     level = clusters.select(F.col("cluster_id").alias("ancestor"), "cluster_id", F.lit(1).alias("n"))
     out = level
     child = clusters.select(F.col("parent_id").alias("cluster_id"), F.col("cluster_id").alias("child"))
+    if barriers is not None:
+        child = child.join(barriers.select("cluster_id"), "cluster_id", "left_anti")
     while True:
         level = written(level.join(child, "cluster_id").select("ancestor", F.col("child").alias("cluster_id"), (F.col("n") + 1).alias("n")), "levels")
         if level.isEmpty():
@@ -34,13 +36,52 @@ def areas(clusters: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def bounds(clusters: DataFrame, members: DataFrame, padding: float = 0.0, fixed: DataFrame | None = None) -> DataFrame:
-    """Bounding rectangles, with padding once for each level: a node below n levels is wrapped n times. Null for a cluster without nodes below it. fixed: cluster_id, min_x, max_x, min_y, max_y of clusters that are a given rectangle."""
+    """Bounding rectangles, with padding once for each level: a node below n levels is wrapped n times. Null for a cluster without nodes below it. fixed: cluster_id, min_x, max_x, min_y, max_y of clusters that are a given rectangle: it counts for the clusters above in place of all below it, without padding of its own."""
     pad = F.col("n") * max(0.0, padding)
-    got = closure(clusters).join(members, "cluster_id").groupBy(F.col("ancestor").alias("cluster_id")).agg(F.min(F.col("min_x") - pad).alias("min_x"), F.max(F.col("max_x") + pad).alias("max_x"), F.min(F.col("min_y") - pad).alias("min_y"), F.max(F.col("max_y") + pad).alias("max_y"))
-    out = clusters.select("cluster_id").join(got, "cluster_id", "left")
-    if fixed is None:
-        return out
-    return out.join(fixed.select("cluster_id", *[F.col(c).alias("own_" + c) for c in SIDES]), "cluster_id", "left").select("cluster_id", *[F.coalesce("own_" + c, c).alias(c) for c in SIDES])
+    sides = [f(F.col(c) + sign * pad).alias(c) for c, f, sign in zip(SIDES, (F.min, F.max, F.min, F.max), (-1, 1, -1, 1))]
+    inside = members.select("cluster_id", *SIDES, F.lit(0).alias("less"))
+    if fixed is not None:
+        own = fixed.select("cluster_id", *SIDES)
+        inside = inside.join(own, "cluster_id", "left_anti").unionByName(own.withColumn("less", F.lit(1)))
+    got = closure(clusters, fixed).join(inside, "cluster_id").withColumn("n", F.col("n") - F.col("less")).groupBy(F.col("ancestor").alias("cluster_id")).agg(*sides)
+    return clusters.select("cluster_id").join(got, "cluster_id", "left")
+
+
+def post_order(clusters: DataFrame) -> DataFrame:
+    """cluster_id, post (from 0): clusters numbered children first, siblings and roots by cluster_id.
+
+    Every cluster has its successor (the first leaf below its next sibling, or its parent), and
+    pointers over 1, 2, 4, ... successors rank the list, so no tree meets in one task. A cluster that
+    is its own ancestor raises ValueError.
+    """
+    c = clusters.select(F.col("cluster_id").alias("id"), F.col("parent_id").alias("up"))
+    placed = written(numbered(c.withColumn("family", F.struct(F.col("up").isNull().alias("root"), F.coalesce("up", F.lit(0)).alias("up"), "id")), "family").drop("family"), "family")
+    nxt = placed.select((F.col("rank") - 1).alias("rank"), F.col("id").alias("sibling"), F.col("up").alias("sibling_up"))
+    tree = placed.join(nxt, "rank", "left").select("id", "up", F.when(F.col("sibling_up").eqNullSafe(F.col("up")), F.col("sibling")).alias("sibling"))
+    tree = written(tree, "siblings")
+    rounds = tree.count().bit_length() + 1
+    # The first leaf below each cluster, by first children of first children.
+    eldest = tree.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.min("id").alias("to"))
+    down = written(tree.select("id").join(eldest, "id", "left").select("id", F.coalesce("to", "id").alias("to")), "down")
+    for _ in range(rounds):
+        two = written(down.join(down.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "down", instead_of=down)
+        down = two.select("id", "to")
+        down.written_to = two.written_to
+        if two.filter("moved").isEmpty():
+            break
+    else:
+        raise ValueError("the clusters are no tree: one is below itself")
+    after = tree.join(down.select(F.col("id").alias("sibling"), "to"), "sibling", "left").select("id", F.coalesce("to", "up").alias("to"), F.lit(1).cast("long").alias("n"))
+    rank = written(after, "ranks")
+    for _ in range(rounds):
+        far = rank.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
+        rank = written(rank.join(far, "to", "left").select("id", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "ranks", instead_of=rank)
+        if rank.filter("to IS NOT NULL").isEmpty():
+            break
+    else:
+        raise ValueError("the clusters are no tree: one is below itself")
+    total = rank.agg(F.max("n").alias("total"))
+    return rank.join(F.broadcast(total)).select(F.col("id").alias("cluster_id"), (F.col("total") - F.col("n")).alias("post"))
 
 
 def bounds_of_variables(variables: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 Strictly convex, so any exact method finds the one optimum. A problem goes to a task as a group
 and falls apart there into the parts that its constraints connect. A part that is a path of
 unscaled variables is an isotonic regression, found by pooling neighbours in linear time. Any
-other goes through a dual active-set method (Goldfarb and Idnani, 1983): constraints enter one by
-one, equalities first in their order, then the most violated; one that no step can meet is
-reported as unsatisfiable and left out.
+other goes through a dual active-set method (Goldfarb and Idnani, 1983) whose active constraints
+are kept as a forest (forest.py): constraints enter one by one, equalities first in their order,
+then the most violated; one that no step can meet is reported as unsatisfiable and left out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import written
+from .forest import forest_set
+
 #: Fixed value: a slack below this is a violation.
 VIOLATED = -1e-10
 #: Variables of a chain that are pooled together at first.
@@ -99,14 +102,18 @@ def solve_separation(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray,
         return x, np.abs(x[right] - x[left] - gap) <= 1e-9, np.zeros(len(gap), bool)
     x, on, dead = desired.copy(), np.zeros(len(gap), bool), np.zeros(len(gap), bool)
     part = _parts(len(x), left, right)
-    for k in np.unique(part[left]):
-        v, c = np.flatnonzero(part == k), np.flatnonzero(part[left] == k)
-        x[v], on[c], dead[c] = active_set(desired[v], weight[v], scale[v], np.searchsorted(v, left[c]), np.searchsorted(v, right[c]), gap[c], equal[c])
+    # Variables and constraints by part, each sorted once.
+    v_order, c_order = np.argsort(part, kind="stable"), np.argsort(part[left], kind="stable")
+    v_part, c_part = part[v_order], part[left][c_order]
+    for k in np.unique(c_part):
+        v = v_order[np.searchsorted(v_part, k) : np.searchsorted(v_part, k, "right")]
+        c = np.sort(c_order[np.searchsorted(c_part, k) : np.searchsorted(c_part, k, "right")])
+        x[v], on[c], dead[c] = forest_set(desired[v], weight[v], scale[v], np.searchsorted(v, left[c]), np.searchsorted(v, right[c]), gap[c], equal[c])
     return x, on, dead
 
 
 def active_set(desired: np.ndarray, weight: np.ndarray, scale: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for one part, with a dense matrix of its constraints. Raises if the steps run out before the optimum."""
+    """As forest.forest_set, with a dense matrix of the constraints; for small problems, and to hold the forest against. Raises if the steps run out before the optimum."""
     x, w = desired.astype(float).copy(), 2.0 * weight
     n = len(gap)
     a = np.zeros((n, len(x)))
@@ -246,6 +253,50 @@ def unsatisfiable(variables: DataFrame, constraints: DataFrame) -> DataFrame:
     return _cogrouped(variables, constraints, _failed, "problem_id long, c_id long, left long, right long, gap double, equality boolean")
 
 
+def unsatisfiable_paths(variables: DataFrame, constraints: DataFrame) -> DataFrame:
+    """problem_id, failed, step, c_id: for each constraint that project leaves out (failed), the constraints that contradict it, in order.
+
+    The path leads from the failed constraint's right to its left variable along the constraints
+    that stay (equalities both ways) and sums to the largest distance that they demand; of several
+    it is the one of the fewest steps, then of the least c_id at each step back from its end. An
+    equality that is missed from above has the path from its left to its right. No path: no rows.
+    """
+    failed = written(unsatisfiable(variables, constraints), "failed")
+    known = variables.select("problem_id", "var_id")
+    stay = constraints.join(failed.select("problem_id", "c_id"), ["problem_id", "c_id"], "left_anti").join(known.withColumnRenamed("var_id", "left"), ["problem_id", "left"], "left_semi").join(known.withColumnRenamed("var_id", "right"), ["problem_id", "right"], "left_semi")
+    step = stay.select("problem_id", "c_id", F.col("left").alias("at"), F.col("right").alias("to"), F.col("gap").alias("w"))
+    back = stay.filter("equality").select("problem_id", "c_id", F.col("right").alias("at"), F.col("left").alias("to"), (-F.col("gap")).alias("w"))
+    step = written(step.unionByName(back).join(failed.select("problem_id").distinct(), "problem_id", "left_semi"), "steps")
+    ends = lambda way, a, b, gap: F.struct(F.lit(way).alias("way"), F.col(a).alias("start"), F.col(b).alias("goal"), gap.alias("gap"))
+    ways = F.explode(F.when(F.col("equality"), F.array(ends(0, "right", "left", F.col("gap")), ends(1, "left", "right", -F.col("gap")))).otherwise(F.array(ends(0, "right", "left", F.col("gap")))))
+    source = written(failed.select("problem_id", F.col("c_id").alias("failed"), ways.alias("e")).select("problem_id", "failed", "e.*"), "sources")
+    keys = ["problem_id", "failed", "way", "at"]
+    # The farthest distance, then the fewest steps, as a frontier; constraints that stay have no cycle that grows.
+    table = written(source.select("problem_id", "failed", "way", F.col("start").alias("at"), F.lit(0.0).alias("far"), F.lit(0).cast("long").alias("few"), F.lit(True).alias("better")), "reach")
+    while not table.filter("better").isEmpty():
+        told = table.filter("better").join(step, ["problem_id", "at"]).groupBy("problem_id", "failed", "way", F.col("to").alias("at")).agg(F.max(F.struct((F.col("far") + F.col("w")).alias("far"), (F.col("few") - 1).alias("few"))).alias("new"))
+        old = F.when(F.col("far").isNotNull(), F.struct("far", "few"))
+        gain = old.isNull() | (F.col("new.far") > F.col("far") + 1e-9) | ((F.col("new.far") >= F.col("far") - 1e-9) & (F.col("new.few") > F.col("few")))
+        gain = F.coalesce(F.col("new").isNotNull() & gain, F.lit(False))
+        best = F.when(gain, F.col("new")).otherwise(old)
+        table = written(table.drop("better").join(told, keys, "full").select(*keys, gain.alias("better"), best.alias("b")).select(*keys, "b.far", "b.few", "better"), "reach", instead_of=table)
+    reach = table.drop("better")
+    # Who told whom: the least constraint that gives a variable its distance.
+    told = reach.join(step, ["problem_id", "at"]).select("problem_id", "failed", "way", F.col("to").alias("at"), F.col("at").alias("prev"), "c_id", (F.col("far") + F.col("w")).alias("f"), (F.col("few") - 1).alias("s"))
+    link = told.join(reach, keys).filter((F.abs(F.col("f") - F.col("far")) <= 1e-9) & (F.col("s") == F.col("few"))).groupBy(*keys).agg(F.min(F.struct("c_id", "prev")).alias("m")).select(*keys, "m.c_id", "m.prev")
+    link = written(link, "links")
+    on = source.join(reach.withColumnRenamed("at", "goal"), ["problem_id", "failed", "way", "goal"]).filter(F.col("far") + F.col("gap") > 1e-9).select("problem_id", "failed", "way", F.col("goal").alias("at"), (-F.col("few")).alias("step"))
+    longest = on.agg(F.max("step")).first()[0] or 0
+    # The path's variables by jumps of 1, 2, 4, ... links back; the longest jumps are taken first.
+    jumps = [link.select(*keys, F.col("prev").alias("jump"))]
+    while 2 ** len(jumps) <= longest:
+        one = jumps[-1]
+        jumps.append(written(one.join(one.select("problem_id", "failed", "way", F.col("at").alias("jump"), F.col("jump").alias("further")), ["problem_id", "failed", "way", "jump"]).select(*keys, F.col("further").alias("jump")), "jumps"))
+    for k in range(len(jumps) - 1, -1, -1):
+        on = written(on.unionByName(on.join(jumps[k], keys).select("problem_id", "failed", "way", F.col("jump").alias("at"), (F.col("step") - 2**k).alias("step"))), "path")
+    return on.filter("step > 0").join(link, keys).select("problem_id", "failed", "step", "c_id")
+
+
 def described(constraints: DataFrame) -> DataFrame:
     """Constraints with their text, such as "v1 + 2.0 <= v2"."""
     sign = F.when(F.col("equality"), F.lit(" == ")).otherwise(F.lit(" <= "))

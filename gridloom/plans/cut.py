@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a range, about.
+PART_ROWS = 1_000_000
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+
+def written(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a written table. instead_of: an earlier result of written that nothing needs from now on; its files are deleted."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
@@ -19,7 +23,46 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.written_to)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
+
+
+def dealt(df: DataFrame, *order: str, rows: int = PART_ROWS) -> DataFrame:
+    """df as a written table in ranges of the order columns, with part, the number of a row's range; about rows to a range."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows)
+    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def counts_before(ranges: DataFrame, keys: list[str], order: list[str], counted: Column) -> DataFrame:
+    """ranges (of dealt, in the order of keys, then order) with before: how many rows of the same keys that are counted come earlier."""
+    ones = F.sum(counted.cast("long"))
+    inside = F.coalesce(ones.over(Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each range of a key.
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.groupBy(*keys, "part").agg(ones.alias("n")).select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return ranges.withColumn("before", inside).join(first, [*keys, "part"]).withColumn("before", F.col("before") + F.col("first")).drop("first")
+
+
+def neighbours(ranges: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """ranges (of dealt, in the order of keys, then order) with prev and next: the nearest value of the same keys that is not null, before and after a row.
+
+    A key may reach over many ranges, so none has to fit a task: what a range lacks at its ends comes from the ends of the others, a row each.
+    """
+    at = Window.partitionBy("part", *keys).orderBy(*order)
+    out = ranges.withColumn("prev", F.last(value, True).over(at.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first(value, True).over(at.rowsBetween(1, Window.unboundedFollowing)))
+    key = F.struct(*keys)
+    ends = ranges.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    edge = ranges.join(F.broadcast(ends), "part").filter(key.eqNullSafe(F.col("low")) | key.eqNullSafe(F.col("high")))
+    has = F.when(F.col(value).isNotNull(), F.struct(*order, value))
+    edge = edge.groupBy(*keys, "part").agg(F.min(has)[value].alias("first"), F.max(has)[value].alias("last"))
+    by = Window.partitionBy(*keys).orderBy("part")
+    carried = edge.select(*keys, "part", F.last("last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("from_low"), F.first("first", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("from_high"))
+    out = out.join(carried, [*keys, "part"], "left")
+    return out.withColumn("prev", F.coalesce("prev", "from_low")).withColumn("next", F.coalesce("next", "from_high")).drop("from_low", "from_high")
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:

@@ -608,6 +608,25 @@ def unsatisfiable_rules(spark, d):
     return Q.described(Q.unsatisfiable(*_contradicted(spark, d)))
 
 
+def _too_short(spark, d):
+    """Chains of fixed gaps with links over two variables, and for each even problem one that its last variable stay below its first."""
+    v, c = _chain(spark, d, 3.0)
+    last = v.groupBy("problem_id").agg(F.max("var_id").alias("last"))
+    two = c.join(last, "problem_id").filter("left % 3 = 0 AND left + 2 <= last").select("problem_id", (F.col("c_id") + 1000).alias("c_id"), "left", (F.col("left") + 2).alias("right"), F.lit(6.0).alias("gap"), F.lit(False).alias("equality"))
+    limit = last.filter("problem_id % 2 = 0 AND last > 0").select("problem_id", F.lit(5000).cast("long").alias("c_id"), F.col("last").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0.0).alias("gap"), F.lit(False).alias("equality"))
+    return v, c.withColumn("equality", F.lit(True)).unionByName(two).unionByName(limit)
+
+
+@query(""", ends AS (SELECT problem_id, max(var_id) AS last FROM chain GROUP BY 1 HAVING problem_id % 2 = 0 AND max(var_id) > 0),
+way AS (SELECT problem_id, last, 0::BIGINT AS v, 0::BIGINT AS steps, []::BIGINT[] AS path FROM ends
+  UNION ALL SELECT problem_id, last, v + hop, steps + 1, list_append(path, CASE hop WHEN 1 THEN v ELSE v + 1000 END) FROM way, (VALUES (1::BIGINT), (2)) h(hop) WHERE v + hop <= last AND (hop = 1 OR v % 3 = 0)),
+best AS (SELECT problem_id, path, row_number() OVER (PARTITION BY problem_id ORDER BY steps, list_reverse(path)) AS k FROM way WHERE v = last)
+SELECT problem_id, 5000::BIGINT AS failed, generate_subscripts(path, 1)::BIGINT AS step, unnest(path) AS c_id FROM best WHERE k = 1""")
+def unsatisfiable_paths(spark, d):
+    """The constraints that prove a contradiction: of the equally long paths through a chain the one of the fewest steps."""
+    return Q.unsatisfiable_paths(*_too_short(spark, d))
+
+
 @query(", p AS (SELECT a.problem_id, a.desired AS x, b.desired AS y FROM chain a JOIN chain b ON a.problem_id = b.problem_id AND a.var_id = 0 AND b.var_id = 1) SELECT problem_id, 0::BIGINT AS var_id, (x + y - s) / 2 AS position FROM (SELECT *, CASE WHEN problem_id % 2 = 0 THEN greatest(30.0, y - x) ELSE greatest(2.0, y - x) END AS s FROM p) UNION ALL SELECT problem_id, 1, (x + y + s) / 2 FROM (SELECT *, CASE WHEN problem_id % 2 = 0 THEN greatest(30.0, y - x) ELSE greatest(2.0, y - x) END AS s FROM p)")
 def qp_added_constraint(spark, d):
     """Pairs that are solved; then those of even problems get a wider gap."""
@@ -941,20 +960,23 @@ def cluster_boundary_hull(spark, d):
     return C.boundary(C.bounds(*_tree(spark, d), padding=3), margin=5)
 
 
-_VARS = ", vars AS (SELECT cluster_id, dim, side, (2 * (row_number() OVER (PARTITION BY dim, side ORDER BY cluster_id) - 1) + side + 1000)::BIGINT AS var_id, CASE WHEN dim = 0 AND side = 0 THEN min_x WHEN dim = 0 THEN max_x WHEN side = 0 THEN min_y ELSE max_y END AS desired, 1e-7::DOUBLE AS weight FROM bnd, (VALUES (0), (1)) a(dim), (VALUES (0), (1)) b(side) WHERE min_x IS NOT NULL) "
+#: Clusters by their paths from the root, each path ended so that it sorts after those below it: children first.
+_VARS = ", paths AS (SELECT cluster_id AS id, [cluster_id] AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.cluster_id, list_append(p.path, t.cluster_id) FROM paths p JOIN tree t ON t.parent_id = p.id), vars AS (SELECT cluster_id, dim, side, (2 * (row_number() OVER (PARTITION BY dim, side ORDER BY path) - 1) + side + 1000)::BIGINT AS var_id, CASE WHEN dim = 0 AND side = 0 THEN min_x WHEN dim = 0 THEN max_x WHEN side = 0 THEN min_y ELSE max_y END AS desired, 1e-7::DOUBLE AS weight FROM (SELECT bnd.*, list_append(path, 9223372036854775807) AS path FROM bnd JOIN paths ON id = cluster_id), (VALUES (0), (1)) a(dim), (VALUES (0), (1)) b(side) WHERE min_x IS NOT NULL) "
 
 
 @query(_TREE + _BOUNDS + _VARS + "SELECT * FROM vars")
 def cluster_vars(spark, d):
-    return C.boundary_variables(C.bounds(*_tree(spark, d), padding=3), "cluster_id", 1000)
+    t, m = _tree(spark, d)
+    return C.boundary_variables(C.bounds(t, m, padding=3).join(C.post_order(t), "cluster_id"), "post", 1000)
 
 
 @query(_TREE + _BOUNDS + _VARS + "SELECT cluster_id, dim, side, var_id, CASE WHEN cluster_id % 2 = 1 THEN dim * 100 + side * 10 ELSE desired END AS desired, CASE WHEN cluster_id % 2 = 1 THEN 2.5 ELSE weight END AS weight FROM vars")
 def cluster_vars_desired(spark, d):
     """Odd clusters aim for bounds of their own."""
-    b = C.bounds(*_tree(spark, d), padding=3)
+    t, m = _tree(spark, d)
+    b = C.bounds(t, m, padding=3).join(C.post_order(t), "cluster_id")
     own = b.filter("cluster_id % 2 = 1").select("cluster_id", F.lit(0.0).alias("min_x"), F.lit(10.0).alias("max_x"), F.lit(100.0).alias("min_y"), F.lit(110.0).alias("max_y"), F.lit(2.5).alias("weight"))
-    return C.boundary_variables(b, "cluster_id", 1000, own)
+    return C.boundary_variables(b, "post", 1000, own)
 
 
 @query(_TREE + _BOUNDS + "SELECT cluster_id, min_x + 1 AS min_x, max_x + 1 AS max_x, min_y + 1 AS min_y, max_y + 1 AS max_y FROM bnd WHERE min_x IS NOT NULL")
@@ -963,9 +985,20 @@ def cluster_bounds_update(spark, d):
     return C.bounds_of_variables(cluster_vars(spark, d).withColumn("position", F.col("desired") + 1))
 
 
-@query(_TREE + _BOUNDS + "SELECT cluster_id, CASE WHEN cluster_id % 4 = 1 THEN cluster_id * 10 ELSE min_x END AS min_x, CASE WHEN cluster_id % 4 = 1 THEN cluster_id * 10 + 5 ELSE max_x END AS max_x, CASE WHEN cluster_id % 4 = 1 THEN 0 ELSE min_y END AS min_y, CASE WHEN cluster_id % 4 = 1 THEN 7 ELSE max_y END AS max_y FROM bnd")
+#: Bottom-up, a level at a time: a given cluster is its rectangle; any other unites its nodes and the bounds of its children and pads them.
+_GIVEN = """, given AS (SELECT cluster_id, cluster_id * 10.0 AS min_x, cluster_id * 10.0 + 5 AS max_x, 0.0 AS min_y, 7.0 AS max_y FROM tree WHERE cluster_id % 4 = 1),
+own AS (SELECT cluster_id, min(x) - 3 AS min_x, max(x) + 15 AS max_x, min(y) - 3 AS min_y, max(y) + 11 AS max_y FROM mem GROUP BY 1),
+low AS (SELECT t.cluster_id, parent_id, CASE WHEN g.cluster_id IS NULL THEN o.min_x ELSE g.min_x END AS min_x, CASE WHEN g.cluster_id IS NULL THEN o.max_x ELSE g.max_x END AS max_x, CASE WHEN g.cluster_id IS NULL THEN o.min_y ELSE g.min_y END AS min_y, CASE WHEN g.cluster_id IS NULL THEN o.max_y ELSE g.max_y END AS max_y
+  FROM tree t LEFT JOIN own o USING (cluster_id) LEFT JOIN given g ON g.cluster_id = t.cluster_id WHERE t.cluster_id >= 100),
+over_ AS (SELECT parent_id AS cluster_id, min(min_x) - 3 AS min_x, max(max_x) + 3 AS max_x, min(min_y) - 3 AS min_y, max(max_y) + 3 AS max_y FROM low GROUP BY 1),
+mid AS (SELECT t.cluster_id, CASE WHEN g.cluster_id IS NULL THEN o.min_x ELSE g.min_x END AS min_x, CASE WHEN g.cluster_id IS NULL THEN o.max_x ELSE g.max_x END AS max_x, CASE WHEN g.cluster_id IS NULL THEN o.min_y ELSE g.min_y END AS min_y, CASE WHEN g.cluster_id IS NULL THEN o.max_y ELSE g.max_y END AS max_y
+  FROM tree t LEFT JOIN over_ o USING (cluster_id) LEFT JOIN given g ON g.cluster_id = t.cluster_id WHERE t.cluster_id BETWEEN 0 AND 99)
+SELECT cluster_id, min_x::DOUBLE AS min_x, max_x::DOUBLE AS max_x, min_y::DOUBLE AS min_y, max_y::DOUBLE AS max_y FROM (SELECT cluster_id, min_x, max_x, min_y, max_y FROM low UNION ALL SELECT * FROM mid UNION ALL SELECT -1, min(min_x) - 3, max(max_x) + 3, min(min_y) - 3, max(max_y) + 3 FROM mid)"""
+
+
+@query(_TREE + _GIVEN)
 def cluster_bounds_fixed(spark, d):
-    """Some clusters are given rectangles."""
+    """Some clusters are given rectangles, which count for the clusters above them."""
     t, m = _tree(spark, d)
     own = t.filter("cluster_id % 4 = 1").select("cluster_id", (F.col("cluster_id") * 10.0).alias("min_x"), (F.col("cluster_id") * 10.0 + 5).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(7.0).alias("max_y"))
     return C.bounds(t, m, 3, own)
