@@ -105,9 +105,15 @@ def meeting_boxes(a: DataFrame, b: DataFrame, carry: tuple[str, ...] = ()) -> Da
     pair is met once: on the grid of the larger box, in the cell that holds the low corner of
     their intersection. So a huge box does not fall into many small cells.
     """
-    size = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"), F.lit(1.0))
-    level = lambda df: df.withColumn("level", F.ceil(F.log2(size)).cast("int"))
-    a, b = level(a), level(b)
+    size = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
+    level = F.when(size > 0, F.ceil(F.log2(size)))
+    # Boxes without extent take the smallest size of the group, or its mean spacing; no cell is so small that its number is no exact double.
+    sides = [F.abs(F.col(c)) for c in ("lo_x", "hi_x", "lo_y", "hi_y")]
+    own = a.select("group_id", "lo_x", "hi_x", "lo_y", "hi_y").unionByName(b.select("group_id", "lo_x", "hi_x", "lo_y", "hi_y"))
+    stat = own.groupBy("group_id").agg(F.min(level).alias("least"), F.max(F.greatest(*sides)).alias("far"), F.greatest(F.max("hi_x") - F.min("lo_x"), F.max("hi_y") - F.min("lo_y")).alias("span"), F.count("*").alias("n"))
+    stat = stat.select("group_id", F.coalesce("least", F.when(F.col("span") > 0, F.ceil(F.log2(F.col("span") / F.col("n")))), F.lit(0)).alias("least"), F.when(F.col("far") > 0, F.ceil(F.log2("far")) - 48).otherwise(F.lit(-1000)).alias("floor"))
+    levelled = lambda df: df.join(stat, "group_id").withColumn("level", F.greatest(F.coalesce(level, "least"), "floor").cast("int")).drop("least", "floor")
+    a, b = levelled(a), levelled(b)
     levels = a.select("group_id", "level").unionByName(b.select("group_id", "level")).distinct().groupBy("group_id").agg(F.collect_set("level").alias("levels"))
 
     def gridded(df: DataFrame, prefix: str) -> DataFrame:

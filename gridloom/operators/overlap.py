@@ -4,49 +4,133 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rectangles import _NAMES, X, Y, centre, extent, high, low, meeting_boxes, overlap
-from .projection import solve_separation
+from ..functions.rectangles import X, Y, centre, extent, high, low, meeting_boxes
+from ..plans.cut import counts_before, dealt, neighbours, written
+from .projection import project_parts, solve_separation
 
 #: Extra gap, and weights of fixed and other rectangles.
 EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
+#: Rectangles of a group that is solved whole in a task, in arrays of their square.
+SMALL = 1000
 
 
-def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
-    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together.
+def on_ranks(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """spans (keys, id, lo, hi) with t0 and t1, the ranks of their ends among all ends of the same keys. Of equal values those of low ends come first, so spans that touch share a rank in between; then smaller ids."""
+    end = F.explode(F.array(F.struct(F.col("lo").alias("v"), F.lit(0).alias("kind")), F.struct(F.col("hi").alias("v"), F.lit(1).alias("kind")))).alias("e")
+    ends = dealt(spans.select(*keys, "id", end).select(*keys, "e.v", "e.kind", "id"), *keys, "v", "kind", "id")
+    ranked = counts_before(ends, keys, ["v", "kind", "id"], F.lit(1)).groupBy(*keys, "id").agg(F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("t0"), F.max(F.when(F.col("kind") == 1, F.col("before"))).alias("t1"))
+    return spans.join(ranked, [*keys, "id"])
+
+
+def nodes_of(first: Column, end: Column) -> Column:
+    """The nodes (level, place) of the binary tree over ranks that make up first, ..., end - 1: two to a level at most."""
+    # At level k the ranks that no lower node has covered begin at ceil(first / 2^k) and end at floor(end / 2^k).
+    k_range = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(end, F.lit(1)) + 1)).cast("int"))
+
+    def level(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k).cast("long")
+        a, b = F.ceil(first / size), F.floor(end / size)
+        node = lambda ok, at: F.when(ok, F.struct(k.alias("level"), at.alias("place")))
+        return F.array(node((a < b) & (a % 2 == 1), a), node((a < b) & (b % 2 == 1) & ((a % 2 == 0) | (a + 1 < b)), b - 1))
+
+    return F.array_compact(F.flatten(F.transform(k_range, level)))
+
 
-    A rectangle is open at a point of the sweep: points meet rectangles by cells of the sweep's
-    axis (meeting_boxes), not every rectangle every other one of its group.
+def nodes_above(at: Column, ranks: Column) -> Column:
+    """The nodes (level, place) that hold the rank at, of a tree over so many ranks."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.log2(ranks + 1)).cast("int")), lambda k: F.struct(k.alias("level"), F.floor(at / F.pow(F.lit(2.0), k)).alias("place")))
+
+
+def nearest_stabbed(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, under, over: for each point (keys, id, at, c, o) the nearest of the spans that hold it, on either side of (c, o).
+
+    spans: keys, first, end (ranks first, ..., end - 1), c, o, and value, a struct that begins with
+    c and o. A span falls into O(log n) nodes of a binary tree over the ranks and a point looks into
+    its O(log n) ancestors; in each node one pass in the order of (c, o) gives the nearest. So work
+    grows as n log n, whatever overlaps.
     """
+    ranks = spans.groupBy(*keys).agg(F.max("end").alias("ranks"))
+    into = spans.filter("first < end").withColumn("node", F.explode(nodes_of(F.col("first"), F.col("end"))))
+    return _nearest(into, points.join(ranks, keys).filter("at < ranks").withColumn("node", F.explode(nodes_above(F.col("at"), F.col("ranks")))), keys)
+
+
+def nearest_within(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, under, over: as nearest_stabbed, for each span (keys, id, first, end, c, o) the nearest of the points (keys, at, c, o, value) that it holds."""
+    ranks = spans.groupBy(*keys).agg(F.max("end").alias("ranks"))
+    ask = spans.filter("first < end").withColumn("node", F.explode(nodes_of(F.col("first"), F.col("end"))))
+    return _nearest(points.join(ranks, keys).filter("at < ranks").withColumn("node", F.explode(nodes_above(F.col("at"), F.col("ranks")))), ask, keys)
+
+
+def _nearest(into: DataFrame, ask: DataFrame, keys: list[str]) -> DataFrame:
+    into = into.select(*keys, "node.level", "node.place", "c", "o", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "value")
+    ask = ask.select(*keys, "node.level", "node.place", "c", "o", F.lit(1).alias("kind"), "id", F.lit(None).cast(into.schema["value"].dataType).alias("value"))
+    tree = dealt(into.unionByName(ask), *keys, "level", "place", "c", "o", "kind", "id")
+    near = neighbours(tree, [*keys, "level", "place"], ["c", "o", "kind", "id"], "value").filter("kind = 1")
+    return near.groupBy(*keys, "id").agg(F.max("prev").alias("under"), F.min("next").alias("over"))
+
+
+def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
+    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together. A group may be of any size (see nearest_stabbed)."""
     other = Y if dim == X else X
     r = rects.select("group_id", F.col("rect_id").alias("id"), low(other).alias("lo"), high(other).alias("hi"), centre(dim).alias("c"), extent(dim).alias("size"))
-    flat = lambda lo: r.select("group_id", "id", lo.alias("lo_x"), F.col("hi").alias("hi_x"), F.lit(0.0).alias("lo_y"), F.lit(0.0).alias("hi_y"), "lo", "hi", "c", "size")
-    open_ = meeting_boxes(flat(F.col("hi")), flat(F.col("lo")), ("lo", "hi", "c", "size")).filter("a_id <> b_id AND b_lo <= a_hi AND (b_hi > a_hi OR (b_hi = a_hi AND b_id > a_id))")
-    open_ = open_.select("group_id", F.col("a_id").alias("id"), F.col("a_c").alias("c"), F.col("a_size").alias("size"), F.col("b_id").alias("o_id"), F.col("b_c").alias("o_c"), F.col("b_size").alias("o_size"))
-    under = "o_c < c OR (o_c = c AND o_id < id)"
-    pick = lambda side, agg: open_.filter(side).groupBy("group_id", "id", "size").agg(agg(F.struct("o_c", "o_id", "o_size")).alias("o"))
-    a, b = pick(under, F.max), pick(f"NOT ({under})", F.min)
-    gap = ((F.col("size") + F.col("o.o_size")) / 2).alias("gap")
-    return a.select("group_id", F.col("o.o_id").alias("left"), F.col("id").alias("right"), gap).unionByName(b.select("group_id", F.col("id").alias("left"), F.col("o.o_id").alias("right"), gap))
+    r = written(on_ranks(r, ["group_id"]), "open")
+    # Open from the low end on, without its own closing.
+    spans = r.select("group_id", F.col("t0").alias("first"), F.col("t1").alias("end"), "c", F.col("id").alias("o"), F.struct("c", F.col("id").alias("o"), "size").alias("value"))
+    near = nearest_stabbed(spans, r.select("group_id", "id", F.col("t1").alias("at"), "c", F.col("id").alias("o")), ["group_id"])
+    near = near.join(r.select("group_id", "id", "size"), ["group_id", "id"])
+    side = lambda s, left, right: near.filter(F.col(s).isNotNull()).select("group_id", left.alias("left"), right.alias("right"), ((F.col("size") + F.col(s)["size"]) / 2).alias("gap"))
+    return side("under", F.col("under.o"), F.col("id")).unionByName(side("over", F.col("id"), F.col("over.o")))
 
 
 def neighbour_constraints(rects: DataFrame) -> DataFrame:
-    """group_id, left, right, gap along x from neighbour lists: of the rectangles that share a part of the y axis with one, the nearest on either side that does not overlap it in x, and before that those whose overlap in x is at most that in y."""
-    cols = ("c", "cy", "size", *_NAMES)
-    r = rects.select("group_id", F.col("rect_id").alias("id"), low(X).alias("lo_x"), high(X).alias("hi_x"), low(Y).alias("lo_y"), high(Y).alias("hi_y"), centre(X).alias("c"), centre(Y).alias("cy"), extent(X).alias("size"), *_NAMES)
-    # Only the y axis decides which meet.
-    line = r.withColumns({"lo_x": F.col("lo_y"), "hi_x": F.col("hi_y"), "lo_y": F.lit(0.0), "hi_y": F.lit(0.0)})
-    met = meeting_boxes(line, line, cols).filter("a_c < b_c OR (a_c = b_c AND a_id < b_id)")
-    met = met.select("group_id", F.col("a_id").alias("left"), F.col("b_id").alias("right"), F.col("b_c").alias("c_right"), F.col("a_c").alias("c_left"), ((F.col("a_size") + F.col("b_size")) / 2).alias("gap"), overlap(X, "a_", "b_").alias("ox"), overlap(Y, "a_", "b_").alias("oy"))
+    """group_id, left, right, gap along x from neighbour lists: of the rectangles that share a part of the y axis with one, the nearest on either side that does not overlap it in x, and before that those whose overlap in x is at most that in y.
+
+    Rectangles are sized in powers of two. Within reach, the sum of a rectangle's half width and
+    that of a size, rectangles of that size meet it on a grid; beyond it all are apart, and the
+    nearest is found as in a sweep. So the pairs that meet are those that overlap, or nearly do.
+    """
+    r = rects.select("group_id", F.col("rect_id").alias("id"), low(Y).alias("lo"), high(Y).alias("hi"), centre(X).alias("c"), extent(X).alias("size"), low(X).alias("x0"), high(X).alias("x1"))
+    r = r.withColumn("class", F.when(F.col("size") > 0, F.ceil(F.log2("size"))).otherwise(F.lit(-1074)).cast("int"))
+    r = written(on_ranks(r, ["group_id"]), "lines")
+    classes = r.select("group_id", F.col("class").alias("of")).distinct()
+    asks = r.join(classes, "group_id").withColumn("reach", (F.col("size") + F.pow(F.lit(2.0), F.col("of"))) / 2)
+    # Beyond reach: those whose line holds a rectangle's low end, and those whose low end its line holds.
+    far = None
+    keys = ["group_id", "of"]
+    value = F.struct("c", F.col("id").alias("o"))
+    for sign in (1, -1):
+        place = (F.col("c") + sign * F.col("reach")).alias("c")
+        # Without a reach, equal centres go by their ids.
+        o = F.when(F.col("reach") > 0, F.lit(-(2**63) if sign > 0 else 2**63 - 1)).otherwise(F.col("id")).alias("o")
+        held = nearest_stabbed(r.select("group_id", F.col("class").alias("of"), (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), "c", F.col("id").alias("o"), value.alias("value")), asks.select(*keys, "id", F.col("t0").alias("at"), place, o), keys)
+        holds = nearest_within(r.select("group_id", F.col("class").alias("of"), F.col("t0").alias("at"), "c", F.col("id").alias("o"), value.alias("value")), asks.select(*keys, "id", (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), place, o), keys)
+        both = held.unionByName(holds).groupBy("group_id", "id").agg((F.min("over") if sign > 0 else F.max("under")).alias("stop")).filter("stop IS NOT NULL")
+        one = both.select("group_id", *([F.col("id").alias("left"), F.col("stop.o").alias("right")] if sign > 0 else [F.col("stop.o").alias("left"), F.col("id").alias("right")]))
+        far = one if far is None else far.unionByName(one)
+    # Within reach: boxes from the centre as far as the reach, against centres.
+    mine = asks.select(F.struct("group_id", "of").alias("group_id"), "id", (F.col("c") - F.col("reach")).alias("lo_x"), (F.col("c") + F.col("reach")).alias("hi_x"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "c")
+    theirs = r.select(F.struct("group_id", F.col("class").alias("of")).alias("group_id"), "id", F.col("c").alias("lo_x"), F.col("c").alias("hi_x"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "c")
+    met = meeting_boxes(mine, theirs, ("c",)).filter("a_id <> b_id")
+    ahead = F.expr("a_c < b_c OR (a_c = b_c AND a_id < b_id)")
+    near = met.select("group_id.group_id", F.when(ahead, F.col("a_id")).otherwise(F.col("b_id")).alias("left"), F.when(ahead, F.col("b_id")).otherwise(F.col("a_id")).alias("right"))
+    own = lambda end: r.select("group_id", F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("c", "size", "x0", "x1", "lo", "hi")])
+    pairs = far.unionByName(near).distinct().join(own("left"), ["group_id", "left"]).join(own("right"), ["group_id", "right"])
+    ox = F.greatest(F.lit(0.0), F.col("left_x1") - F.col("right_x0"))
+    mid = lambda e: F.col(f"{e}_lo") + F.col(f"{e}_hi")
+    oy = F.greatest(F.lit(0.0), F.when(mid("left") <= mid("right"), F.col("left_hi") - F.col("right_lo")).otherwise(F.col("right_hi") - F.col("left_lo")))
+    met = pairs.select("group_id", "left", "right", F.col("right_c").alias("c_right"), F.col("left_c").alias("c_left"), ((F.col("left_size") + F.col("right_size")) / 2).alias("gap"), ox.alias("ox"), oy.alias("oy"))
     # Of those apart in x the nearest counts, seen from either end; nearer ones count by their overlaps.
-    apart = F.when(F.col("ox") <= 0, F.struct("c_right", "right"))
-    apart_back = F.when(F.col("ox") <= 0, F.struct("c_left", "left"))
-    met = met.withColumn("stop", F.min(apart).over(Window.partitionBy("group_id", "left"))).withColumn("stop_back", F.max(apart_back).over(Window.partitionBy("group_id", "right")))
+    apart = F.col("ox") <= 0
+    met = written(met, "near")
+    stop = met.filter(apart).groupBy("group_id", "left").agg(F.min(F.struct("c_right", "right")).alias("stop"))
+    back = met.filter(apart).groupBy("group_id", "right").agg(F.max(F.struct("c_left", "left")).alias("back"))
+    met = met.join(stop, ["group_id", "left"], "left").join(back, ["group_id", "right"], "left")
     ahead = F.col("stop").isNull() | (F.struct("c_right", "right") <= F.col("stop"))
-    behind = F.col("stop_back").isNull() | (F.struct("c_left", "left") >= F.col("stop_back"))
-    return met.filter(((F.col("ox") <= 0) | (F.col("ox") <= F.col("oy"))) & ahead & behind).select("group_id", "left", "right", "gap")
+    behind = F.col("back").isNull() | (F.struct("c_left", "left") >= F.col("back"))
+    return met.filter((apart | (F.col("ox") <= F.col("oy"))) & ahead & behind).select("group_id", "left", "right", "gap")
 
 
 def sweep(lo: np.ndarray, hi: np.ndarray, c: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,8 +192,34 @@ def separated(box: np.ndarray, weight: np.ndarray, extra: float = EXTRA_GAP, thi
     return box
 
 
-def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass: bool = True) -> DataFrame:
-    """Rectangles of each group moved apart, sizes kept, fixed ones (group_id, rect_id) hardly moved. One group to a task; groups must fit one."""
+def along_axis(rects: DataFrame, start: DataFrame, rules: DataFrame, dim: int) -> DataFrame:
+    """rects with their positions on an axis as near to those of start as the rules (group_id, left, right, gap) allow. Each set of rectangles that rules connect is a problem of its own; memory is linear in the largest."""
+    lo, hi = ("min_x", "max_x") if dim == X else ("min_y", "max_y")
+    rules = written(rules, "rules")
+    bound = rules.select("group_id", F.explode(F.array("left", "right")).alias("rect_id")).distinct()
+    v = start.join(bound, ["group_id", "rect_id"], "left_semi").select(F.col("group_id").alias("problem_id"), F.col("rect_id").alias("var_id"), ((F.col(lo) + F.col(hi)) / 2).alias("desired"), "weight", F.lit(1.0).alias("scale"))
+    c = rules.select(F.col("group_id").alias("problem_id"), F.xxhash64("left", "right", "gap").alias("c_id"), "left", "right", "gap", F.lit(False).alias("equality"))
+    at = project_parts(v, c).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("rect_id"), "position")
+    here = start.select("group_id", "rect_id", ((F.col(lo) + F.col(hi)) / 2).alias("wish"), ((F.col(hi) - F.col(lo)) / 2).alias("half")).join(at, ["group_id", "rect_id"], "left")
+    here = here.select("group_id", "rect_id", F.coalesce("position", "wish").alias("x"), "half")
+    return written(rects.join(here, ["group_id", "rect_id"]).withColumns({lo: F.col("x") - F.col("half"), hi: F.col("x") + F.col("half")}).select(*rects.columns), "moved")
+
+
+def separated_by_passes(rects: DataFrame, extra: float = EXTRA_GAP, third_pass: bool = True) -> DataFrame:
+    """The rows of rects (group_id, rect_id, min_x, max_x, min_y, max_y, weight) moved as separated moves them, for groups of any size: a pass is a sweep, the components of its constraints and a projection of each."""
+    start = written(rects, "rects")
+
+    def wide(df: DataFrame, dim: int) -> DataFrame:
+        border = [F.lit(extra / 2 if dim == d else 0.0) for d in (X, Y)]
+        return df.withColumns({"x_border": border[0], "y_border": border[1]})
+
+    box = along_axis(start, start, neighbour_constraints(wide(start, X)), X)
+    box = along_axis(box, start, sweep_constraints(wide(box, Y), Y), Y)
+    return along_axis(box, start, sweep_constraints(wide(box, X), X), X) if third_pass else box
+
+
+def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass: bool = True, small: int = SMALL) -> DataFrame:
+    """Rectangles of each group moved apart, sizes kept, fixed ones (group_id, rect_id) hardly moved. Groups of at most small rectangles are solved whole, each in a task; larger ones by passes over tables (separated_by_passes), with the same result."""
     f = F.lit(False) if fixed is None else F.coalesce("fixed", F.lit(False))
     r = rects if fixed is None else rects.join(fixed.select("group_id", "rect_id", F.lit(True).alias("fixed")), ["group_id", "rect_id"], "left")
     r = r.select(F.col("group_id").cast("long").alias("group_id"), F.col("rect_id").cast("long").alias("rect_id"), low(X).alias("min_x"), high(X).alias("max_x"), low(Y).alias("min_y"), high(Y).alias("max_y"), F.when(f, FIXED_WEIGHT).otherwise(1.0).alias("weight"))
@@ -119,7 +229,11 @@ def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass
         box = separated(np.stack([t.column(c).to_numpy() for c in ("min_x", "max_x", "min_y", "max_y")], 1), t.column("weight").to_numpy(), third_pass=third_pass)
         return pa.table({"group_id": t.column("group_id"), "rect_id": t.column("rect_id"), **{c: box[:, i] for i, c in enumerate(("min_x", "max_x", "min_y", "max_y"))}})
 
-    return r.groupBy("group_id").applyInArrow(apart, "group_id long, rect_id long, min_x double, max_x double, min_y double, max_y double")
+    many = written(r.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("group_id"), "large")
+    whole = r.join(many, "group_id", "left_anti").groupBy("group_id").applyInArrow(apart, "group_id long, rect_id long, min_x double, max_x double, min_y double, max_y double")
+    if many.isEmpty():
+        return whole
+    return whole.unionByName(separated_by_passes(r.join(many, "group_id", "left_semi"), third_pass=third_pass).drop("weight"))
 
 
 def separate_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -732,8 +732,9 @@ def neighbour_lists_x(spark, d):
     return O.neighbour_constraints(T.part_rects(spark, d))
 
 
-#: Two rectangles of a group: the passes of overlap removal in closed form; every fifth rectangle is fixed.
-_APART = """, r0 AS (SELECT CAST(floor(k / 2) AS BIGINT) AS g, k, CAST(k * 7 % 20 AS DOUBLE) AS cx, CAST(k * 3 % 10 AS DOUBLE) AS cy, w, h, CASE WHEN k % 5 = 0 THEN 10000.0 ELSE 1.0 END AS wt FROM rects0),
+#: Two rectangles of a group, of which every fifth is fixed; and the passes of overlap removal in closed form.
+_PAIR_RECTS = """, r0 AS (SELECT CAST(floor(k / 2) AS BIGINT) AS g, k, CAST(k * 7 % 20 AS DOUBLE) AS cx, CAST(k * 3 % 10 AS DOUBLE) AS cy, w, h, CASE WHEN k % 5 = 0 THEN 10000.0 ELSE 1.0 END AS wt FROM rects0)"""
+_APART = """,
 p AS (SELECT a.g, a.k AS ka, b.k AS kb, a.cx AS ax, b.cx AS bx, a.cy AS ay, b.cy AS by_, a.w AS aw, b.w AS bw, a.h AS ah, b.h AS bh, b.wt / (a.wt + b.wt) AS fa, a.wt / (a.wt + b.wt) AS fb FROM r0 a JOIN r0 b ON a.g = b.g AND a.k < b.k),
 q AS (SELECT *, abs(bx - ax) AS dx, abs(by_ - ay) AS dy, (aw + bw) / 2 AS sx, (ah + bh) / 2 AS sy, CASE WHEN ax <= bx THEN 1 ELSE -1 END AS ux, CASE WHEN ay <= by_ THEN 1 ELSE -1 END AS uy FROM p),
 m1 AS (SELECT *, dy <= sy AND dx < sx + 0.001 AND sx + 0.001 - dx <= greatest(0, sy - dy) AS first FROM q),
@@ -743,7 +744,7 @@ SELECT g AS group_id, ka AS rect_id, round(ax - ux * mx * fa, 6) + 0.0 AS x, rou
 UNION ALL SELECT g, k, cx, cy FROM r0 WHERE (SELECT count(*) FROM r0 o WHERE o.g = r0.g) = 1"""
 
 
-@query(_APART)
+@query(_PAIR_RECTS + _APART)
 def remove_overlaps_pairs(spark, d):
     k = F.col("p_partkey").cast("long")
     at = lambda c, half: [(c - half).cast("double"), (c + half).cast("double")]
@@ -764,6 +765,47 @@ def remove_overlaps_flag(spark, d):
     return kept.join(hit, "group_id", "left").select("group_id", F.col("hit").isNull().alias("no_overlaps"), "sizes_kept", "near")
 
 
+#: Rectangles that all share the y axis: chains along x in the order of their centres, as an isotonic regression of the centres less the gaps before them.
+_LINED = """, r0 AS (SELECT k % 7 AS g, k, CAST(k * 37 % 500 AS DOUBLE) AS c, w FROM rects0), o AS (SELECT *, row_number() OVER s AS i, coalesce(sum(w) OVER (s ROWS UNBOUNDED PRECEDING), 0) AS ws, first_value(w) OVER s AS w0 FROM r0 WINDOW s AS (PARTITION BY g ORDER BY c, k)),
+z AS (SELECT *, ws - w / 2 - w0 / 2 + 0.001 * (i - 1) AS off_, c - (ws - w / 2 - w0 / 2 + 0.001 * (i - 1)) AS z, sum(c - (ws - w / 2 - w0 / 2 + 0.001 * (i - 1))) OVER (PARTITION BY g ORDER BY i) AS run FROM o),
+m AS (SELECT a.g, a.i AS a, b.i AS b, (b.run - a.run + a.z) / (b.i - a.i + 1) AS mean FROM z a JOIN z b ON a.g = b.g AND a.i <= b.i),
+lo AS (SELECT *, min(mean) OVER (PARTITION BY g, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM m), px AS (SELECT g, b AS i, max(low) AS x FROM lo GROUP BY ALL)
+SELECT g AS group_id, k AS rect_id, round(x + off_, 5) + 0.0 AS x, 50.0::DOUBLE AS y FROM px JOIN z USING (g, i)"""
+
+
+@query(_LINED)
+def remove_overlaps_rows(spark, d):
+    """Large groups by passes over tables: every rectangle crosses the same line, so they end up side by side."""
+    k = F.col("p_partkey").cast("long")
+    c, w, h = (k * 37 % 500).cast("double"), F.col("p_size").cast("double"), (2000 + k % 11 * 2).cast("double")
+    rects = T.read(spark, d, "part").select((k % 7).alias("group_id"), k.alias("rect_id"), (c - w / 2).alias("min_x"), (c + w / 2).alias("max_x"), (50 - h / 2).alias("min_y"), (50 + h / 2).alias("max_y"), F.lit(0.0).alias("x_border"), F.lit(0.0).alias("y_border"))
+    out = O.remove_overlaps(rects, small=0)
+    return out.select("group_id", "rect_id", r((F.col("min_x") + F.col("max_x")) / 2, 5).alias("x"), r((F.col("min_y") + F.col("max_y")) / 2, 5).alias("y"))
+
+
+def remove_overlaps_wide(spark, d):
+    """Few large groups, one with a third of all rows, by passes over tables; tests hold it against the solution in memory."""
+    out = O.remove_overlaps(T.wide_rects(spark, d), small=0)
+    return out.select("group_id", "rect_id", *[r(c, 5).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+QUERIES["remove_overlaps_wide"] = remove_overlaps_wide
+
+
+#: Components of nodes 0 to 6 and 7 to 13 as rectangles, and where their nodes go.
+_TWO_BOXES = """, own AS (SELECT graph_id, node_id, x, y, CASE WHEN node_id < 7 THEN 0 ELSE 7 END AS c FROM nodes WHERE node_id < 14),
+r0 AS (SELECT graph_id AS g, c AS k, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, max(x) - min(x) + 12 AS w, max(y) - min(y) + 8 AS h, 1.0 AS wt FROM own GROUP BY ALL)"""
+
+
+@query(_TWO_BOXES + _APART.replace("SELECT g AS group_id, ka", ", gone AS (SELECT g AS group_id, ka", 1) + """)
+SELECT graph_id, node_id, c::BIGINT AS component_id, round(own.x + gone.x - cx, 5) + 0.0 AS x, round(own.y + gone.y - cy, 5) + 0.0 AS y FROM own JOIN r0 ON r0.g = graph_id AND r0.k = c JOIN gone ON gone.group_id = graph_id AND rect_id = c""")
+def separate_components_rows(spark, d):
+    """Graphs of two components: where each node goes."""
+    n = T.customer_nodes(spark, d).filter("node_id < 14")
+    nxt = n.filter("node_id % 7 <> 6").select("graph_id", F.col("node_id").alias("edge_idx"), F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"), F.lit(1.0).alias("length"))
+    return O.separate_components(n, G.components(nxt, n)).select("graph_id", "node_id", "component_id", r("x", 5).alias("x"), r("y", 5).alias("y"))
+
+
 @query("SELECT DISTINCT graph_id, component_id, true AS whole FROM comp")
 def separate_components_whole(spark, d):
     """All nodes of a component move by the same."""
