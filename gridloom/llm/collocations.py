@@ -11,7 +11,7 @@ itself, with the first place. Only these phrases ever become text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,39 +162,41 @@ def bitmap_of(hashes: DataFrame) -> bytes:
     return out.astype("<i8").tobytes()
 
 
+def opened_batches(batches: Iterable[pa.RecordBatch], maps: dict[int, bytes], longest: int) -> Iterator[pa.RecordBatch]:
+    """The frequent phrases of the batches (lang, doc_id, text), counted by their words, with the first place of each, and a row for the words of each chunk."""
+    memo, powers = Words(), Powers(BLOCK_WORDS + LONGEST)
+    for batch in batches:
+        for lang, docs, some in language_chunks(batch):
+            words, ids = word_numbers(some, memo)
+            w = memo.hashes[ids]
+            rows: list[tuple] = [("", int((w != 0).sum()), None, None)]
+            ends = np.flatnonzero(ids == memo[DOC])
+            starts = np.r_[0, ends + 1]
+            before = np.r_[0, np.cumsum(w != 0)]
+            for a, b in blocks(len(w), longest):
+                for k, at, h in fingerprints(w[a:b], _seed(lang), tuple(maps), powers):
+                    keep = (at < BLOCK_WORDS) & passes(maps[k], h)
+                    at, h = at[keep] + a, h[keep]
+                    while len(at):
+                        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+                        # A place counts if its words are those of its fingerprint's first place; the rest go another round.
+                        same = np.ones(len(at), bool)
+                        for j in range(k):
+                            same &= ids[at + j] == ids[at[first][of] + j]
+                        n = np.bincount(of[same], minlength=len(first))
+                        place = at[first]
+                        doc = np.searchsorted(ends, place)
+                        for p, c, d, s in zip(place.tolist(), n.tolist(), doc.tolist(), (before[place] - before[starts[doc]]).tolist()):
+                            rows.append((b" ".join(words[p : p + k]).decode(), c, docs[d], s))
+                        at, h = at[~same], h[~same]
+            phrase, n, doc, at = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], schema=PHRASE)
+
+
 def opened(texts: DataFrame, maps: dict[int, bytes], least: int, longest: int) -> DataFrame:
     """lang, phrase, n, doc_id, at of the phrases that occur least times: where each first occurs (the smallest doc_id, null first, and the words before it there). A row with an empty phrase has the words of a language."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, powers = Words(), Powers(BLOCK_WORDS + LONGEST)
-        for batch in batches:
-            for lang, docs, some in language_chunks(batch):
-                words, ids = word_numbers(some, memo)
-                w = memo.hashes[ids]
-                rows: list[tuple] = [("", int((w != 0).sum()), None, None)]
-                ends = np.flatnonzero(ids == memo[DOC])
-                starts = np.r_[0, ends + 1]
-                before = np.r_[0, np.cumsum(w != 0)]
-                for a, b in blocks(len(w), longest):
-                    for k, at, h in fingerprints(w[a:b], _seed(lang), tuple(maps), powers):
-                        keep = (at < BLOCK_WORDS) & passes(maps[k], h)
-                        at, h = at[keep] + a, h[keep]
-                        while len(at):
-                            _, first, of = np.unique(h, return_index=True, return_inverse=True)
-                            # A place counts if its words are those of its fingerprint's first place; the rest go another round.
-                            same = np.ones(len(at), bool)
-                            for j in range(k):
-                                same &= ids[at + j] == ids[at[first][of] + j]
-                            n = np.bincount(of[same], minlength=len(first))
-                            place = at[first]
-                            doc = np.searchsorted(ends, place)
-                            for p, c, d, s in zip(place.tolist(), n.tolist(), doc.tolist(), (before[place] - before[starts[doc]]).tolist()):
-                                rows.append((b" ".join(words[p : p + k]).decode(), c, docs[d], s))
-                            at, h = at[~same], h[~same]
-                phrase, n, doc, at = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], schema=PHRASE)
-
-    got = texts.mapInArrow(run, "lang string, phrase string, n long, doc_id long, at long")
+    got = texts.mapInArrow(lambda batches: opened_batches(batches, maps, longest), "lang string, phrase string, n long, doc_id long, at long")
     got = got.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
     return written(got.filter((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n", "first.doc_id", "first.at"), "phrases")
 

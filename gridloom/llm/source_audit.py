@@ -9,21 +9,28 @@ all terms that neither has give the same value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, scratch_path, written
+from .arrowkit import LOWER, UPPER, binary_list
+from .common import scratch_path, written
 
-#: Terms are of ASCII letters and all characters beyond ASCII; OTHERS stand between them.
+#: Letters of ASCII and all characters beyond it; what else ASCII has stands between terms.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-OTHERS = "".join(map(chr, (*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
+OTHERS = bytes((*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
+TO_TERMS = bytes.maketrans(UPPER + OTHERS, LOWER + b" " * len(OTHERS))
 #: Documents of a language that a term must be in, ranks of the terms' part, one as a probability.
 MIN_DOCS, TOP_TERMS, UNIT = 10, 10, 1_000_000_000
 #: The largest integer: no limit to a vocabulary.
 MAX_VOCAB = 2**31 - 1
-#: Different terms, kept or not, that one model may meet (about). More are dealt to several models by their hashes, so that no vocabulary outgrows a task or the driver.
-MODEL_TERMS = 1 << 23
+#: Different terms, kept or not, that one model may meet (about), and the smallest hashes that estimate how many there are. More terms are dealt to several models by their hashes, so that no vocabulary outgrows a task or the driver.
+MODEL_TERMS, SMALLEST = 1 << 23, 1024
 #: Between a language and a term; no term has it.
 END = "\0"
 
@@ -39,37 +46,70 @@ def probability(count: str, total: str, terms: str) -> Column:
     return F.when(F.expr(f"{terms} > 0"), 1 + F.expr(f"CAST({UNIT} AS DECIMAL(10, 0)) * ({wide(count)} + 2) div nullif({wide(total)} + 2 * {wide(terms)}, 0)"))
 
 
-def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, model_terms: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary). vectors: lang, source, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term. Null lang, source and text count as ''."""
-    spark = docs.sparkSession
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    own = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.translate(blank("text"), UPPER + OTHERS, LOWER + " " * len(OTHERS)).alias("text"))
-    # Every term gets its language by one replacement in the text; spaces in a row give empty terms, which no vocabulary keeps.
-    tag = F.concat(F.hex("lang"), F.lit(END))
-    rows = own.select("lang", "source", F.split(F.concat(tag, F.replace("text", F.lit(" "), F.concat(F.lit(" "), tag))), " ").alias("terms"))
-    seen = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct(F.xxhash64("t"))).first()[0]
-    models = 1 + int(1.2 * seen) // model_terms
+def term_texts(docs: DataFrame) -> DataFrame:
+    """The terms of docs (g, lang, text) as texts: g, terms (each with its language, joined by spaces), least (the smallest hashes of the terms of some rows, null for most)."""
+    fields = pa.schema([("g", pa.int64()), ("terms", pa.string()), ("least", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, lang, texts = batch.column(0), batch.column(1).to_pylist(), binary_list(batch.column(2))
+            for at in range(0, len(texts), 500):
+                out, seen = [], {}
+                for own, text in zip(lang[at : at + 500], texts[at : at + 500]):
+                    tag = own.encode().hex().encode() + END.encode()
+                    words = text.translate(TO_TERMS).split()
+                    seen.setdefault(tag, set()).update(words)
+                    out.append(tag + (b" " + tag).join(words) if words else None)
+                few = np.sort(np.array([xxhash.xxh3_64_intdigest(tag + w) for tag, words in seen.items() for w in words], np.uint64))[:SMALLEST].view(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([g.slice(at, 500), pa.array(out, pa.binary()).cast(pa.string()), pa.array([few, *[None] * (len(out) - 1)], fields.field(2).type)], schema=fields)
+
+    return docs.select("g", "lang", "text").mapInArrow(run, "g long, terms string, least array<long>")
+
+
+def different_terms(texts: DataFrame) -> int:
+    """About how many different terms the languages have together, from the smallest of their hashes."""
+    # Unsigned order; at most SMALLEST rows reach the driver.
+    h = F.col("h").bitwiseXOR(F.lit(-(2**63)))
+    few = [r.h for r in texts.select(F.explode("least").alias("h")).distinct().orderBy(h).limit(SMALLEST).collect()]
+    return len(few) if len(few) < SMALLEST else int((SMALLEST - 1) * 2**64 / (few[-1] % 2**64 + 1))
+
+
+def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(vectors, vocabulary) of term_texts. vectors: g, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term."""
+    spark = texts.sparkSession
+    rows = texts.filter("terms IS NOT NULL").select("g", F.split("terms", " ").alias("terms"))
+    models = 1 + int(1.2 * different_terms(texts)) // model_terms
     # A term that every vocabulary has, so that none is empty.
-    base = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(END)).alias("terms"))
+    base = spark.range(min_docs).select(F.lit(0).cast("long").alias("g"), F.array(F.lit(END)).alias("terms"))
     vectors, vocabulary = None, None
     for k in range(models):
         part = rows if models == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
         model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=MAX_VOCAB).fit(part.unionByName(base))
         path = scratch_path(spark, "vocabulary")
         model.save(path)
-        key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(~F.endswith("key", F.lit(END)))
+        key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(F.col("key") != END)
         words = key.select(F.lit(k).alias("model"), "i", F.decode(F.unhex(F.substring_index("key", END, 1)), "utf-8").alias("lang"), F.substring_index("key", END, -1).alias("term"))
-        vecs = model.transform(part).select("lang", "source", F.lit(k).alias("model"), "counts")
+        vecs = model.transform(part).select("g", F.lit(k).alias("model"), "counts")
         vectors = vecs if vectors is None else vectors.unionByName(vecs)
         vocabulary = words if vocabulary is None else vocabulary.unionByName(words)
     return vectors, vocabulary
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """lang, source, model, i, n: the sums of sparse vectors by group, of the entries that they have."""
+    """g, model, i, n: the sums of sparse vectors by group, of the entries that they have."""
     v = F.unwrap_udt("counts")
-    cells = vectors.select("lang", "source", "model", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("v"))).alias("c"))
-    return cells.groupBy("lang", "source", "model", F.col("c.i").alias("i")).agg(F.sum(F.col("c.v").cast("long")).alias("n"))
+    cells = vectors.select("g", "model", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("v"))).alias("c"))
+    return cells.groupBy("g", "model", F.col("c.i").alias("i")).agg(F.sum(F.col("c.v").cast("long")).alias("n"))
+
+
+def numbered_groups(groups: DataFrame) -> DataFrame:
+    """groups (lang, source) with g, a number of their own: a hash, with another seed if two groups shared one."""
+    n = groups.count()
+    for seed in range(64):
+        out = groups.withColumn("g", F.xxhash64("lang", "source", F.lit(seed)))
+        if out.select("g").distinct().count() == n:
+            return out
+    raise ArithmeticError("groups share their hashes")
 
 
 def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, model_terms: int = MODEL_TERMS) -> DataFrame:
@@ -81,33 +121,38 @@ def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS
     other columns are ignored. A language without kept terms has the value 0 for all its pairs and
     no terms; repeated rows count each; texts are read whole; an empty table gives an empty result.
     """
-    vectors, vocabulary = term_vectors(docs, min_docs, model_terms)
-    vocabulary = written(vocabulary, "terms")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    docs = docs.select(blank("lang"), blank("source"), "text")
+    named = numbered_groups(written(docs.select("lang", "source").distinct(), "groups"))
+    texts = written(term_texts(docs.join(named, ["lang", "source"])), "terms")
+    vectors, vocabulary = term_vectors(texts, min_docs, model_terms)
+    vocabulary = written(vocabulary, "vocabulary")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    sums = written(group_sums(vectors).join(vocabulary, ["model", "i"], "left_semi"), "sums")
-    totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")).withColumn("p0", probability("0", "total", "terms"))
-    groups = written(groups, "groups")
-    cells = written(sums.join(groups, ["lang", "source"]).select("lang", "source", "model", "i", "n", probability("n", "total", "terms").alias("p"), "p0"), "cells")
-
-    whole = sums.groupBy("lang", "model", "i").agg(F.sum("n").alias("n"))
-    whole = whole.join(sums.groupBy("lang").agg(F.sum("n").alias("total")), "lang").join(vocabulary, ["lang", "model", "i"]).join(sizes, "lang").select("lang", "model", "i", "term", probability("n", "total", "terms").alias("q"))
-    terms = cells.join(whole, ["lang", "model", "i"]).filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence("p", "q").alias("value"))
-    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    terms = terms.withColumn("rank", place).filter(F.col("rank") <= top)
-
-    one = groups.select("lang", F.col("source").alias("a"), F.col("p0").alias("a0"), "terms")
-    two = groups.select("lang", F.col("source").alias("b"), F.col("p0").alias("b0"))
+    sums = written(group_sums(vectors), "sums").filter(F.col("n") > 0)
+    # The term of every vocabulary is in no vector, as no row has it.
+    totals = sums.groupBy("g").agg(F.sum("n").alias("total"))
+    groups = named.join(totals, "g", "left").join(sizes, "lang", "left").select("g", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    groups = written(groups.withColumn("p0", probability("0", "total", "terms")), "numbers")
+    cells = written(sums.join(groups, "g").select("lang", "g", "model", "i", probability("n", "total", "terms").alias("p"), "p0"), "cells")
+
+    whole = sums.groupBy("model", "i").agg(F.sum("n").alias("n")).join(vocabulary, ["model", "i"])
+    whole = whole.join(groups.groupBy("lang").agg(F.sum("total").alias("total")), "lang").join(sizes, "lang").select("model", "i", "term", probability("n", "total", "terms").alias("q"))
+    terms = cells.join(whole, ["model", "i"]).filter("p > q").select("g", F.col("term").alias("item"), divergence("p", "q").alias("value"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "item"))
+    names = groups.select("g", "lang", "source")
+    terms = terms.withColumn("rank", place("g")).filter(F.col("rank") <= top).join(names, "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+
+    one = groups.select("lang", F.col("g").alias("a"), F.col("source"), F.col("p0").alias("a0"), "terms")
+    two = groups.select("lang", F.col("g").alias("b"), F.col("source").alias("item"), F.col("p0").alias("b0"))
     pairs = one.join(two, "lang").filter("a <> b").withColumn("none", divergence("a0", "b0"))
     # Terms of one source count as if the other had none of them; the terms of both are put right.
-    steps = cells.groupBy("lang", F.col("source").alias("a"), "p").agg(F.count("*").alias("m"))
-    alone = steps.join(pairs, ["lang", "a"]).groupBy("lang", "a", "b").agg(F.sum(F.col("m") * (divergence("p", "b0") - F.col("none"))).alias("v"))
-    of = lambda s: cells.select("lang", "model", "i", F.col("source").alias(s), F.col("p").alias(f"{s}p"), F.col("p0").alias(f"{s}0"))
-    both = of("a").join(of("b"), ["lang", "model", "i"]).filter("a < b")
-    both = both.groupBy("lang", "a", "b").agg(F.sum(divergence("ap", "bp") - divergence("ap", "b0") - divergence("a0", "bp") + divergence("a0", "b0")).alias("v"))
-    turned = lambda df: df.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "v")
-    base = pairs.select("lang", "a", "b", F.coalesce(F.col("terms") * F.col("none"), F.lit(0)).alias("v"))
-    value = base.unionByName(alone).unionByName(turned(alone)).unionByName(both).unionByName(turned(both)).groupBy("lang", F.col("a").alias("source"), F.col("b").alias("item")).agg(F.sum("v").alias("value"))
-    pair = value.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", place)
-    return pair.unionByName(terms)
+    steps = cells.groupBy(F.col("g").alias("a"), "p").agg(F.count("*").alias("m"))
+    alone = steps.join(pairs, "a").groupBy("a", "b").agg(F.sum(F.col("m") * (divergence("p", "b0") - F.col("none"))).alias("v"))
+    of = lambda s: cells.select("model", "i", F.col("g").alias(s), F.col("p").alias(f"{s}p"), F.col("p0").alias(f"{s}0"))
+    both = of("a").join(of("b"), ["model", "i"]).filter("a < b")
+    both = both.groupBy("a", "b").agg(F.sum(divergence("ap", "bp") - divergence("ap", "b0") - divergence("a0", "bp") + divergence("a0", "b0")).alias("v"))
+    turned = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"), "v")
+    base = pairs.select("a", "b", F.coalesce(F.col("terms") * F.col("none"), F.lit(0)).alias("v"))
+    value = base.unionByName(alone).unionByName(turned(alone)).unionByName(both).unionByName(turned(both)).groupBy("a", "b").agg(F.sum("v").alias("value"))
+    pair = value.join(pairs.select("a", "b", "lang", "source", "item"), ["a", "b"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    return pair.withColumn("rank", place("lang", "source")).unionByName(terms)
