@@ -9,6 +9,7 @@ all terms that neither has give the same value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ MAX_VOCAB = 2**31 - 1
 MODEL_TERMS, SMALLEST = 1 << 23, 1024
 #: Between a language and a term; no term has it.
 END = "\0"
+#: Bytes of a language that its terms carry as %XX.
+ESCAPED = re.compile(rb"[\x00-\x20%+]")
 
 
 def divergence(p: str, q: str) -> Column:
@@ -56,7 +59,7 @@ def term_texts(docs: DataFrame) -> DataFrame:
             for at in range(0, len(texts), 500):
                 out, seen = [], {}
                 for own, text in zip(lang[at : at + 500], texts[at : at + 500]):
-                    tag = own.encode().hex().encode() + END.encode()
+                    tag = ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], own.encode()) + END.encode()
                     words = text.translate(TO_TERMS).split()
                     seen.setdefault(tag, set()).update(words)
                     out.append(tag + (b" " + tag).join(words) if words else None)
@@ -88,7 +91,7 @@ def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int =
         path = scratch_path(spark, "vocabulary")
         model.save(path)
         key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(F.col("key") != END)
-        words = key.select(F.lit(k).alias("model"), "i", F.decode(F.unhex(F.substring_index("key", END, 1)), "utf-8").alias("lang"), F.substring_index("key", END, -1).alias("term"))
+        words = key.select(F.lit(k).alias("model"), "i", F.url_decode(F.substring_index("key", END, 1)).alias("lang"), F.substring_index("key", END, -1).alias("term"))
         vecs = model.transform(part).select("g", F.lit(k).alias("model"), "counts")
         vectors = vecs if vectors is None else vectors.unionByName(vecs)
         vocabulary = words if vocabulary is None else vocabulary.unionByName(words)
@@ -97,9 +100,8 @@ def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int =
 
 def group_sums(vectors: DataFrame) -> DataFrame:
     """g, model, i, n: the sums of sparse vectors by group, of the entries that they have."""
-    v = F.unwrap_udt("counts")
-    cells = vectors.select("g", "model", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("v"))).alias("c"))
-    return cells.groupBy("g", "model", F.col("c.i").alias("i")).agg(F.sum(F.col("c.v").cast("long")).alias("n"))
+    v = vectors.select("g", "model", F.unwrap_udt("counts").alias("v")).select("g", "model", F.col("v.values").alias("values"), F.posexplode("v.indices").alias("at", "i"))
+    return v.select("g", "model", "i", F.expr("CAST(values[at] AS LONG)").alias("n")).groupBy("g", "model", "i").agg(F.sum("n").alias("n"))
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
