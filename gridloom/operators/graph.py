@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,9 +162,40 @@ def _hull(t: pa.Table) -> pa.Table:
 HULL = "set_id long, ord long, idx long, x double, y double"
 
 
-def convex_hulls(points: DataFrame, parts: int = 1) -> DataFrame:
-    """set_id, ord, idx, x, y: each set's hull counter-clockwise from the lowest, then leftmost point; points inside edges are left out, of equal points the least idx counts. With parts, a set is dealt out and only the hulls of its parts meet in one task."""
+def _part_hull(t: pa.Table) -> pa.Table:
+    out = _hull(t)
+    return out.append_column("part", pa.array([t.column("part")[0].as_py()] * out.num_rows, pa.int64()))
+
+
+def outside_extremes(points: DataFrame) -> DataFrame:
+    """points (set_id, idx, x, y) without those well inside the polygon of their set's extremes in 16 directions, which cannot be on the hull. Expressions only; of a set that fills its hull few points stay."""
+    turns = [2 * math.pi * k / 16 for k in range(16)]
+    far = [F.max_by(F.struct("x", "y"), F.col("x") * math.cos(t) + F.col("y") * math.sin(t)).alias(f"e{k}") for k, t in enumerate(turns)]
+    span = (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("span")
+    edges = points.groupBy("set_id").agg(*far, span)
+    at = lambda k, c: F.col(f"e{k % 16}.{c}")
+    some = [(at(k, "x") != at(k + 1, "x")) | (at(k, "y") != at(k + 1, "y")) for k in range(16)]
+    cross = [(at(k + 1, "x") - at(k, "x")) * (F.col("y") - at(k, "y")) - (at(k + 1, "y") - at(k, "y")) * (F.col("x") - at(k, "x")) > 1e-9 * F.col("span") * F.col("span") for k in range(16)]
+    inside = sum((s.cast("int") for s in some), F.lit(0)) >= 3
+    for s, c in zip(some, cross):
+        inside = inside & (~s | c)
+    return points.join(edges, "set_id").filter(~F.coalesce(inside, F.lit(False))).select(*points.columns)
+
+
+def convex_hulls(points: DataFrame, part_points: int = 100_000) -> DataFrame:
+    """set_id, ord, idx, x, y: each set's hull counter-clockwise from the lowest, then leftmost point; points inside edges are left out, of equal points the least idx counts.
+
+    Points inside the extremes go first (outside_extremes). What is left of a set is dealt to parts of
+    about part_points; the hulls of parts are dealt again, eight parts to one, until one is left,
+    so only hull points of parts meet in one task.
+    """
     p = points.select(F.col("set_id").cast("long").alias("set_id"), F.col("idx").cast("long").alias("idx"), "x", "y")
-    if parts > 1:
-        p = p.withColumn("part", F.pmod(F.xxhash64("idx"), F.lit(parts))).groupBy("set_id", "part").applyInArrow(lambda t: _hull(t.drop_columns(["part"])), HULL).drop("ord")
-    return p.groupBy("set_id").applyInArrow(_hull, HULL)
+    p = written(outside_extremes(p), "outside")
+    parts = p.groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", F.ceil(F.col("n") / part_points).alias("parts"))
+    dealt = p.join(parts, "set_id").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    while most > 1:
+        hull = dealt.groupBy("set_id", "part").applyInArrow(_part_hull, HULL + ", part long")
+        dealt = written(hull.drop("ord").withColumn("part", F.floor(F.col("part") / 8)), "hulls")
+        most = -(-most // 8)
+    return dealt.select("set_id", "idx", "x", "y").groupBy("set_id").applyInArrow(_hull, HULL)

@@ -95,8 +95,8 @@ def by_priority(specs: DataFrame) -> DataFrame:
 
 
 def rules_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """The rules of compound constraints of mixed kinds in one table, with their kind: parts maps a kind to its input."""
-    make = {"boundary": boundary, "alignment": alignment, "separation": separation, "orthogonal": orthogonal_edges, "multi_separation": multi_separation, "distribution": distribution, "page_boundary": page_boundary}
+    """The rules of compound constraints of mixed kinds in one table, with their kind: parts maps a kind to its input. fixed_relative has members with their places: problem_id, node, x, y."""
+    make = {"boundary": boundary, "alignment": alignment, "separation": separation, "orthogonal": orthogonal_edges, "multi_separation": multi_separation, "distribution": distribution, "page_boundary": page_boundary, "fixed_relative": lambda df: fixed_relative(df, df.select("problem_id", "node", "x", "y").distinct())}
     out = [make[kind](df).select(*RULE).withColumn("kind", F.lit(kind)) for kind, df in parts.items()]
     total = out[0]
     for more in out[1:]:

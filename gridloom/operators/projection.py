@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.cut import written
+from ..plans.cut import counts_before, dealt, neighbours, written
 from .forest import forest_set
 
 #: Fixed value: a slack below this is a violation.
@@ -318,8 +318,9 @@ def pulls(positions: DataFrame) -> DataFrame:
 def chain_projection(variables: DataFrame, gap: float, segment: int = SEGMENT) -> DataFrame:
     """Positions of chains x_(i+1) - x_i >= gap (variables: problem_id, var_id 0, 1, ..., desired, weight): problem_id, var_id, position.
 
-    Pools of a chain's segments are pooled again over the chain, which gives the pools of the
-    whole chain; so a chain of any length is first pooled in many tasks.
+    A chain is pooled in segments. Pools of a longer chain are then dealt anew in runs of at most
+    segment pools, whose borders lie elsewhere in every round, until no pool is above the next one;
+    so no chain has to fit a task, whether it keeps few pools or all.
     """
     z = variables.select(F.col("problem_id").cast("long").alias("problem_id"), F.col("var_id").cast("long").alias("var_id"), F.expr(f"var_id div {segment}").alias("part"), (F.col("desired") - gap * F.col("var_id")).alias("z"), F.col("weight").cast("double").alias("weight"))
 
@@ -333,9 +334,25 @@ def chain_projection(variables: DataFrame, gap: float, segment: int = SEGMENT) -
 
     pool = "problem_id long, first long, size long, mass double, mean double"
     ones = z.select("problem_id", "part", F.col("var_id").alias("first"), F.lit(1).cast("long").alias("size"), F.col("weight").alias("mass"), F.col("z").alias("mean"))
-    parts = ones.groupBy("problem_id", "part").applyInArrow(lambda t: pools(t.drop_columns(["part"])), pool)
-    whole = parts.groupBy("problem_id").applyInArrow(pools, pool)
-    placed = whole.select("problem_id", "mean", F.explode(F.expr("sequence(first, first + size - 1)")).alias("var_id"))
+    whole = written(ones.groupBy("problem_id", "part").applyInArrow(lambda t: pools(t.drop_columns(["part"])), pool), "pools")
+    long = written(z.groupBy("problem_id").agg(F.max("part").alias("last")).filter("last > 0").select("problem_id"), "long")
+    done = [whole.join(long, "problem_id", "left_anti")]
+    open_, turn = whole.join(long, "problem_id", "left_semi"), 0
+    while not long.isEmpty():
+        ranges = dealt(open_, "problem_id", "first")
+        above = neighbours(ranges, ["problem_id"], ["first"], "mean").filter(F.col("mean") > F.col("next")).select("problem_id").distinct()
+        above = written(above, "above")
+        done.append(ranges.join(above, "problem_id", "left_anti").drop("part"))
+        if above.isEmpty():
+            break
+        turn += 1
+        rank = counts_before(ranges.join(above, "problem_id", "left_semi"), ["problem_id"], ["first"], F.lit(1))
+        run = rank.withColumn("run", F.floor((F.col("before") + (turn % 2) * (segment // 2)) / segment)).drop("part", "before")
+        open_ = written(run.groupBy("problem_id", "run").applyInArrow(lambda t: pools(t.drop_columns(["run"])), pool), "pools")
+    total = done[0]
+    for more in done[1:]:
+        total = total.unionByName(more)
+    placed = total.select("problem_id", "mean", F.explode(F.expr("sequence(first, first + size - 1)")).alias("var_id"))
     return placed.select("problem_id", "var_id", (F.col("mean") + gap * F.col("var_id")).alias("position"))
 
 

@@ -43,8 +43,8 @@ def counts_before(ranges: DataFrame, keys: list[str], order: list[str], counted:
     inside = F.coalesce(ones.over(Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A row for each range of a key.
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranges.groupBy(*keys, "part").agg(ones.alias("n")).select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    return ranges.withColumn("before", inside).join(first, [*keys, "part"]).withColumn("before", F.col("before") + F.col("first")).drop("first")
+    earlier_rows = ranges.groupBy(*keys, "part").agg(ones.alias("n")).select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before_part"))
+    return ranges.withColumn("before", inside).join(earlier_rows, [*keys, "part"]).withColumn("before", F.col("before") + F.col("rows_before_part")).drop("rows_before_part")
 
 
 def neighbours(ranges: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -52,15 +52,17 @@ def neighbours(ranges: DataFrame, keys: list[str], order: list[str], value: str)
 
     A key may reach over many ranges, so none has to fit a task: what a range lacks at its ends comes from the ends of the others, a row each.
     """
-    at = Window.partitionBy("part", *keys).orderBy(*order)
-    out = ranges.withColumn("prev", F.last(value, True).over(at.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first(value, True).over(at.rowsBetween(1, Window.unboundedFollowing)))
+    # Frames that end at the last row are computed anew for each row; so what comes next is what came before in the reverse order.
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    at = Window.partitionBy("part", *keys)
+    out = ranges.withColumn("prev", F.last(value, True).over(before(at.orderBy(*order)))).withColumn("next", F.last(value, True).over(before(at.orderBy(*[F.desc(c) for c in order]))))
     key = F.struct(*keys)
     ends = ranges.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     edge = ranges.join(F.broadcast(ends), "part").filter(key.eqNullSafe(F.col("low")) | key.eqNullSafe(F.col("high")))
     has = F.when(F.col(value).isNotNull(), F.struct(*order, value))
     edge = edge.groupBy(*keys, "part").agg(F.min(has)[value].alias("first"), F.max(has)[value].alias("last"))
-    by = Window.partitionBy(*keys).orderBy("part")
-    carried = edge.select(*keys, "part", F.last("last", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("from_low"), F.first("first", True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("from_high"))
+    by = Window.partitionBy(*keys)
+    carried = edge.select(*keys, "part", F.last("last", True).over(before(by.orderBy("part"))).alias("from_low"), F.last("first", True).over(before(by.orderBy(F.desc("part")))).alias("from_high"))
     out = out.join(carried, [*keys, "part"], "left")
     return out.withColumn("prev", F.coalesce("prev", "from_low")).withColumn("next", F.coalesce("next", "from_high")).drop("from_low", "from_high")
 

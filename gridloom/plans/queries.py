@@ -506,6 +506,18 @@ def cg_coupled(spark, d):
     return L.conjugate_gradient(*_coupled(spark, d)).select("m_id", "i", r(F.col("v") + OFF_TIE, 5).alias("v"))
 
 
+@query("SELECT graph_id AS m_id, node_id AS i, x::DOUBLE AS v FROM nodes")
+def cg_laplacian(spark, d):
+    """Graph Laplacians plus the identity, all side by side by rounds over tables; the right sides are made from known solutions."""
+    e, n = _graph(spark, d)
+    both = G.both_ways(G.sanitised(e, n))
+    off = both.groupBy(F.col("graph_id").alias("m_id"), F.col("src").alias("i"), F.col("dst").alias("j")).agg((-F.count("*")).cast("double").alias("v"))
+    ones = n.select(F.col("graph_id").alias("m_id"), F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(1.0).alias("v"))
+    a = ones.unionByName(off).unionByName(off.select("m_id", "i", F.col("i").alias("j"), (-F.col("v")).alias("v"))).groupBy("m_id", "i", "j").agg(F.sum("v").alias("v"))
+    x = n.select(F.col("graph_id").alias("m_id"), F.col("node_id").alias("i"), F.col("x").alias("v"))
+    return L.conjugate_gradient(a, L.times_vector(a, x), tolerance=1e-8, small=0).select("m_id", "i", r("v", 5).alias("v"))
+
+
 @query(_COUPLED + f", y AS (SELECT m_id, x0, x1, p0, p1, greatest(0, 1 - (x1 - x0)) / (p1 - p0) AS k FROM x) SELECT m_id, 0::BIGINT AS i, round(x0 + k * p0 + {OFF_TIE}, 5) + 0.0 AS v FROM y UNION ALL SELECT m_id, 1, round(x1 + k * p1 + {OFF_TIE}, 5) + 0.0 FROM y")
 def gp_coupled(spark, d):
     """Coupled variables, the second at least 1 beyond the first."""
@@ -567,6 +579,12 @@ def qp_chain_projection(spark, d):
     return Q.project(*_chain(spark, d)).select("problem_id", "var_id", r("position", 5).alias("position"), "unsatisfied")
 
 
+@query(_CHAIN + " SELECT problem_id, var_id, round(position, 5) + 0.0 AS position FROM px")
+def qp_chain_runs(spark, d):
+    """Chains in segments of four, whose pools are dealt anew until they ascend."""
+    return Q.chain_projection(T.order_chains(spark, d), 2.0, segment=4).select("problem_id", "var_id", r("position", 5).alias("position"))
+
+
 @query(_CHAIN + " SELECT problem_id, var_id, round(position, 5) + 0.0 AS position FROM px")
 def qp_chain_windows(spark, d):
     return Q.chain_projection(T.order_chains(spark, d), 2.0).select("problem_id", "var_id", r("position", 5).alias("position"))
@@ -1048,8 +1066,8 @@ def cluster_bounds_fixed(spark, d):
 
 @query(_TREE + ", corner AS (SELECT c_nationkey + 100 AS set_id, c_custkey * 4 + k AS id, (c_custkey * 37) % 101 + CASE WHEN k < 2 THEN 12 ELSE 0 END AS x, (c_custkey * 91) % 103 + CASE WHEN k IN (1, 2) THEN 8 ELSE 0 END AS y FROM customer, (VALUES (0), (1), (2), (3)) t(k)), edge AS (SELECT set_id, x, min(y) AS lo, max(y) AS hi FROM corner GROUP BY ALL), pt AS (SELECT CAST(set_id AS BIGINT) AS set_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(min(id) AS BIGINT) AS id FROM corner JOIN edge USING (set_id, x) WHERE y = lo OR y = hi GROUP BY ALL)" + _HULL)
 def cluster_convex_hulls(spark, d):
-    """Hulls of hulls: a cluster's points are dealt out first."""
-    return G.convex_hulls(C.corner_points(_tree(spark, d)[1]), parts=8)
+    """Hulls of hulls: a cluster's points are dealt to small parts first."""
+    return G.convex_hulls(C.corner_points(_tree(spark, d)[1]), part_points=50)
 
 
 @query(", lcg AS (SELECT CAST(c_custkey AS BIGINT) AS node_id, 1 AS k, (c_custkey::BIGINT * 214013 + 2531011) % 2147483648 AS s FROM customer UNION ALL SELECT node_id, k + 1, (s * 214013 + 2531011) % 2147483648 FROM lcg WHERE k < 5) SELECT node_id, k AS pos, round((s >> 16) / 32767.0, 8) AS u FROM lcg")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import rectangles as R
 from gridloom.operators import clusters as C
+from gridloom.operators import graph as G
+from gridloom.operators import linalg as L
 from gridloom.operators import overlap as O
+from gridloom.operators import placement as P
 from gridloom.operators import projection as Q
 from gridloom.operators.forest import forest_set
 from gridloom.plans.cut import dealt, neighbours
@@ -178,3 +181,60 @@ def test_boxes_of_any_scale_meet(spark):
         df = spark.createDataFrame(rows, "group_id long, id long, lo_x double, hi_x double, lo_y double, hi_y double")
         got = sorted((x.a_id, x.b_id) for x in R.meeting_boxes(df, df).collect())
         assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[2] <= b[3] and b[2] <= a[3] and a[4] <= b[5] and b[4] <= a[5])
+
+
+def chain(spark, desired):
+    rows = [(1, i, float(v), 1.0) for i, v in enumerate(desired)]
+    return spark.createDataFrame(rows, "problem_id long, var_id long, desired double, weight double")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pools_over_many_segments(spark, seed):
+    r = random.Random(seed)
+    desired = [r.random() * 50 for _ in range(200)] if seed else [200.0 - i for i in range(200)]
+    got = {x.var_id: x.position for x in Q.chain_projection(chain(spark, desired), 1.0, segment=16).collect()}
+    mean, count = Q.pooled(np.array(desired) - np.arange(200), np.ones(200))
+    assert np.allclose([got[i] for i in range(200)], np.repeat(mean, count) + np.arange(200))
+
+
+def test_a_chain_in_order_keeps_its_pools(spark):
+    """A million variables, none of which moves: no task gathers them."""
+    n = 1_000_000
+    v = spark.range(n).select(F.lit(1).cast("long").alias("problem_id"), F.col("id").alias("var_id"), (F.col("id") * 3.0).alias("desired"), F.lit(1.0).alias("weight"))
+    got = Q.chain_projection(v, 2.0)
+    assert got.agg(F.count("*"), F.max(F.abs(F.col("position") - 3.0 * F.col("var_id")))).first()[:] == (n, 0.0)
+
+
+def test_conjugate_gradients_of_a_large_system(spark):
+    """The Laplacian of a path of 100,000 nodes plus the identity, and a small system that stops earlier."""
+    n = 100_000
+    i = spark.range(n).select(F.lit(1).cast("long").alias("m_id"), F.col("id").alias("i"))
+    diag = i.select("m_id", "i", F.col("i").alias("j"), F.when((F.col("i") == 0) | (F.col("i") == n - 1), 2.0).otherwise(3.0).alias("v"))
+    side = i.filter(F.col("i") < n - 1)
+    up = side.select("m_id", "i", (F.col("i") + 1).alias("j"), F.lit(-1.0).alias("v"))
+    down = side.select("m_id", (F.col("i") + 1).alias("i"), F.col("i").alias("j"), F.lit(-1.0).alias("v"))
+    two = spark.createDataFrame([(2, 0, 0, 4.0), (2, 1, 1, 5.0)], "m_id long, i long, j long, v double")
+    a = diag.unionByName(up).unionByName(down).unionByName(two)
+    x = i.select("m_id", "i", (F.col("i") % 17).cast("double").alias("v")).unionByName(spark.createDataFrame([(2, 0, 8.0), (2, 1, -5.0)], "m_id long, i long, v double"))
+    got = L.conjugate_gradient(a, L.times_vector(a, x), tolerance=1e-3, small=1)
+    both = got.join(x.withColumnRenamed("v", "w"), ["m_id", "i"])
+    assert both.count() == n + 2 and both.agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-3
+
+
+def test_hulls_of_many_points(spark):
+    """Most points of a disc go by expressions; points on a circle, on a line and in one place stay."""
+    r = random.Random(8)
+    rows = [(1, i, q * math.cos(t), q * math.sin(t)) for i in range(4000) for q, t in [(math.sqrt(r.random()), r.random() * 7)]]
+    rows += [(2, i, math.cos(i), math.sin(i)) for i in range(300)] + [(3, i, float(i % 40), 2.0 * (i % 40)) for i in range(120)] + [(4, i, 1.0, 1.0) for i in range(90)] + [(5, 7, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "set_id long, idx long, x double, y double")
+    assert G.outside_extremes(df).filter("set_id = 1").count() < 400
+    dealt = sorted(map(tuple, G.convex_hulls(df, part_points=30).collect()))
+    assert dealt == sorted(map(tuple, df.groupBy("set_id").applyInArrow(G._hull, G.HULL).collect()))
+    assert G.convex_hulls(df.limit(0)).count() == 0
+
+
+def test_fixed_relative_among_mixed_kinds(spark):
+    members = spark.createDataFrame([(1, 5, 2.0, 3.0), (1, 2, 0.0, 1.0)], "problem_id long, node long, x double, y double")
+    pairs = spark.createDataFrame([(1, 0, 4, 5, 2.0, False)], "problem_id long, dim int, left long, right long, gap double, equality boolean")
+    got = sorted(map(tuple, P.rules_of({"fixed_relative": members, "separation": pairs}).collect()))
+    assert got == [(1, 0, 2, 5, 2.0, True, "fixed_relative"), (1, 0, 4, 5, 2.0, False, "separation"), (1, 1, 2, 5, 2.0, True, "fixed_relative")]
