@@ -328,8 +328,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     label = components(links)
     # Second round: members of one node in different components. Large nodes are cut into blocks, every two of which meet in a task; only links that join components leave it.
     placed = crowded.filter("n > 2").select("node", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("members")).filter("lo < hi")
-    mixed = mixed.groupBy("members").agg(F.min("node").alias("node")).select("node")  # trees often have the same members in a node
+    # Trees often have the same members in a node: those of equal number, ends and sums of two full hashes, exact as decimals, are compared once.
+    sums = [F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    mixed = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.min("rep").alias("least"), F.max("rep").alias("most"), *sums).filter("lo < hi")
+    mixed = mixed.groupBy("many", "least", "most", "sum1", "sum2").agg(F.min("node").alias("node")).select("node")
     open_ = written(placed.join(mixed, "node"), "open-nodes")
     if not open_.isEmpty():
         blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
