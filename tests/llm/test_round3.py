@@ -7,8 +7,10 @@ import re
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from gridloom.llm import collocations as L
+from gridloom.llm import packing
 from gridloom.llm import piece_codec as P
 from gridloom.llm import source_audit as A
 from gridloom.llm.queries import tokenizer
@@ -174,3 +176,29 @@ def test_split_files_give_the_same_rows(spark, docs, tmp_path):
     again = spark.read.parquet(path)
     for run in (A.source_audit, lambda d: L.collocations(d, least=20), lambda d: P.piece_round_trip(d, tokenizer("piece_bpe_32k.model"))):
         assert sorted(map(str, run(docs).collect())) == sorted(map(str, run(again).collect()))
+
+
+def test_packing_of_many_equal_rows(spark):
+    """Equal rows are made in bounded runs, each has a seat of its own, and no row made on the way holds them all."""
+    many = 300_007
+    rows = spark.range(many).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(1, "a"), (1, "a"), (9, "b c d e f"), (None, None)], "doc_id long, text string"))
+    got = packing.packing(rows, buckets=3, budget=400)
+    assert got.groupBy("doc_id").count().sort("doc_id").collect() == [(None, 1), (1, 2), (7, many), (9, 1)]
+    assert got.select("bucket", "batch", "slot").distinct().count() == many + 4
+    full = got.filter("doc_id = 7").groupBy("bucket", "batch").count().filter("count <> 100").count()
+    assert full <= 2
+    work = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert work < many / 2
+
+
+def test_packing_with_every_length_exact(spark):
+    """With exact at the longest length, buckets are the optimum where bins of lengths would miss it."""
+    from itertools import combinations
+
+    lengths = [3, 3, 1001, 1002, 1002, 1003, 1040, 1041, 1041, 1044]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long").withColumn("text", F.lit("x"))
+    got = packing.packing(rows, n_tokens=F.col("n"), buckets=4, exact=2000)
+    padding = got.agg(F.sum("padding")).first()[0]
+    cost = lambda tops: sum(min(t for t in tops if t >= n) - n for n in lengths)
+    assert padding == min(cost([*c, 1044]) for c in combinations(sorted(set(lengths))[:-1], 3))
