@@ -18,6 +18,7 @@ from ..operators import placement as P
 from ..operators import projection as Q
 from ..operators import quadratic as D
 from ..operators import stress as S
+from ..operators import tiles as K
 from ..operators.layout import LayoutSpec, layout
 from ..sources import tables as T
 from .table_functions import register
@@ -190,6 +191,12 @@ def apsp_frontier(spark, d):
     return G.all_pairs_by_frontier(*_graph(spark, d))
 
 
+@query("SELECT graph_id, u, v, d FROM apsp")
+def apsp_tiles(spark, d):
+    """Tiles of 8 nodes, so that every graph has several."""
+    return K.all_pairs_by_tiles(*_graph(spark, d), side=8)
+
+
 @query("SELECT graph_id, u AS source, v AS node_id, d FROM apsp WHERE u = 1")
 def sssp_frontier(spark, d):
     e, n = _graph(spark, d)

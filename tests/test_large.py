@@ -14,6 +14,7 @@ from gridloom.operators import linalg as L
 from gridloom.operators import overlap as O
 from gridloom.operators import placement as P
 from gridloom.operators import projection as Q
+from gridloom.operators import tiles as K
 from gridloom.operators.forest import forest_set
 from gridloom.plans.cut import dealt, neighbours
 
@@ -238,3 +239,35 @@ def test_fixed_relative_among_mixed_kinds(spark):
     pairs = spark.createDataFrame([(1, 0, 4, 5, 2.0, False)], "problem_id long, dim int, left long, right long, gap double, equality boolean")
     got = sorted(map(tuple, P.rules_of({"fixed_relative": members, "separation": pairs}).collect()))
     assert got == [(1, 0, 2, 5, 2.0, True, "fixed_relative"), (1, 0, 4, 5, 2.0, False, "separation"), (1, 1, 2, 5, 2.0, True, "fixed_relative")]
+
+
+def test_distances_by_tiles_equal_other_ways(spark):
+    """Graphs of one, two and many tiles, one with a lone node, parallel edges, loops, a missing length and two parts."""
+    r = random.Random(8)
+    nodes = [(g, 3 * v) for g, n in ((0, 1), (1, 5), (2, 16), (3, 41)) for v in range(n)]
+    edges = []
+    for g, n in ((1, 5), (2, 16), (3, 40)):
+        for e in range(2 * n):
+            u, v = r.randrange(n), r.randrange(n)
+            if g == 2 and (u < 8) != (v < 8):
+                v = u
+            edges.append((g, e, 3 * u, 3 * v, r.choice([None, 0.5, 1.0, 2.25, 7.0])))
+    edges.append((1, 99, 0, 1000, 1.0))
+    n = spark.createDataFrame(nodes + nodes[:3], "graph_id long, node_id long")
+    e = spark.createDataFrame(edges, "graph_id long, edge_idx long, src long, dst long, length double")
+    want = sorted(map(tuple, G.all_pairs(e, n.distinct()).collect()))
+    assert sorted(map(tuple, K.all_pairs_by_tiles(e, n, side=8).collect())) == want
+    assert sorted(map(tuple, K.all_pairs_by_tiles(e, n).collect())) == want
+    assert K.all_pairs_by_tiles(e.limit(0), n.limit(0)).count() == 0
+
+
+def test_distances_by_tiles_of_one_large_graph(spark):
+    """A ring of 900 nodes with chords, in 16 tiles."""
+    n = 900
+    ring = spark.range(n).select(F.lit(4).cast("long").alias("graph_id"), F.col("id").alias("edge_idx"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("length"))
+    chords = spark.range(n).filter("id % 10 = 0").select(F.lit(4).cast("long").alias("graph_id"), (F.col("id") + n).alias("edge_idx"), F.col("id").alias("src"), (F.col("id") * 7 % n).alias("dst"), F.lit(3.0).alias("length"))
+    e, nodes = ring.unionByName(chords), spark.range(n).select(F.lit(4).cast("long").alias("graph_id"), F.col("id").alias("node_id"))
+    got = K.all_pairs_by_tiles(e, nodes, side=256)
+    want = G.all_pairs(e, nodes)
+    both = got.withColumnRenamed("d", "got").join(want, ["graph_id", "u", "v"], "full")
+    assert both.count() == n * n and both.filter("got IS DISTINCT FROM d").count() == 0
