@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import counts_before, dealt, written
+from ..plans.cut import counts_before, dealt, forget, written
 from .graph import PAIRS, both_ways, sanitised
 
 #: Nodes on a side of a tile, bytes of tiles in a partition (about).
@@ -128,6 +128,8 @@ def all_pairs_by_tiles(edges: DataFrame, nodes: DataFrame, side: int = SIDE) ->
         rest = meeting(live.filter(at == 0), k).join(way, PLACE, "full").select(*PLACE, *[F.coalesce(c, f"way_{c}").alias(c) for c in FACTS[3:]], "d", "left", "right")
         rest = rest.mapInArrow(_made(_elsewhere), TILE)
         now = written(pivot.unionByName(lines).unionByName(rest), "tiles", instead_of=None if k in sizes else now)
+        forget(pivot)
+        forget(lines)
         if k + 1 in sizes:
             done.append(now.filter(F.col("tiles") == k + 1))
     out = now if not done else done[0]

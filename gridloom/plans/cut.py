@@ -26,11 +26,17 @@ def written(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> Dat
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     if instead_of is not None:
-        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.written_to)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        forget(instead_of)
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a result of written that nothing needs from now on."""
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def dealt(df: DataFrame, *order: str, rows: int = PART_ROWS) -> DataFrame:
     """df as a written table in ranges of the order columns, with part, the number of a row's range; about rows to a range."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows)
