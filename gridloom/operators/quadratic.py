@@ -1,8 +1,9 @@
-"""Quadratic programmes: minimise x'Qx - 2b'x subject to separations, many small problems at once.
+"""Quadratic programmes: minimise x'Qx - 2b'x subject to separations, many problems at once.
 
-A problem goes to a task as a group. Its quadratic form is majorised by a diagonal one, so each
-round is a separation projection of a gradient step in that metric; momentum, restarted
-where it points uphill, speeds the rounds up. The limit is the exact optimum, at any scale of Q.
+The quadratic form is majorised by a diagonal one, so each round is a separation projection of a
+gradient step in that metric; momentum, restarted where it points uphill, speeds the rounds up. The
+limit is the exact optimum, at any scale of Q. Problems of few variables go to a task each, with
+the entries of Q as they are stored; larger ones go side by side in rounds over tables.
 """
 
 from __future__ import annotations
@@ -12,28 +13,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .projection import solve_separation
+from ..plans.cut import forget, written
+from .linalg import SMALL, times_vector
+from .projection import constraint_components, solve_separation
 
 #: Fixed value: weight of a variable that stays where it is.
 FIXED_WEIGHT = 1e8
-PARTS = "m_id long, part string, i long, j long, v double, equality boolean"
 
 
-def minimise(q: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray, fixed: np.ndarray, tolerance: float = 1e-18, max_iterations: int = 2000) -> tuple[np.ndarray, int]:
-    """The optimum for a positive semidefinite q, and the rounds taken. fixed: positions, NaN for free variables. A round whose squared move is at most tolerance is the last; raises if none is within max_iterations."""
-    metric = np.abs(q).sum(1)  # dominates q: every row of metric - q is diagonally dominant
+def minimise(i: np.ndarray, j: np.ndarray, q: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray, equal: np.ndarray, fixed: np.ndarray, tolerance: float = 1e-18, max_iterations: int = 2000) -> tuple[np.ndarray, int]:
+    """The optimum for positive semidefinite entries q at (i, j), each cell once, and the rounds taken. fixed: positions, NaN for free variables. A round whose squared move is at most tolerance is the last; raises if none is within max_iterations."""
+    n = len(b)
+    metric = np.bincount(i, np.abs(q), n)  # dominates q: every row of metric - q is diagonally dominant
     metric[metric == 0] = 1.0
     held = np.isfinite(fixed)
     weight = np.where(held, FIXED_WEIGHT * metric, metric)
 
     def project(goal: np.ndarray) -> np.ndarray:
         goal = np.where(held, fixed, goal)
-        return solve_separation(goal, weight, np.ones(len(goal)), left, right, gap, equal)[0] if len(gap) else goal
+        return solve_separation(goal, weight, np.ones(n), left, right, gap, equal)[0] if len(gap) else goal
 
-    x = project(np.zeros(len(b)))
+    x = project(np.zeros(n))
     ahead, t = x, 1.0
     for k in range(1, max_iterations + 1):
-        new = project(ahead - (q @ ahead - b) / metric)
+        new = project(ahead - (np.bincount(i, q * ahead[j], n) - b) / metric)
         move = new - x
         if move @ move <= tolerance * max(1.0, float(new @ new)):
             return new, k
@@ -46,7 +49,7 @@ def minimise(q: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray,
     raise ArithmeticError("the quadratic programme was not solved within its rounds")
 
 
-def _solve(t: pa.Table) -> pa.Table:
+def _solve(t: pa.Table, tolerance: float, max_iterations: int) -> pa.Table:
     part = np.asarray(t.column("part").to_pylist())
     i, v = t.column("i").to_numpy(), t.column("v").to_numpy()
     j = t.column("j").fill_null(-1).to_numpy()
@@ -55,21 +58,102 @@ def _solve(t: pa.Table) -> pa.Table:
     known = np.isin(i, ids) & ((part == "b") | (part == "fixed") | np.isin(j, ids))
     of = lambda name: np.nonzero((part == name) & known)[0]
     at = lambda x: np.searchsorted(ids, x)
-    q, b, fixed = np.zeros((len(ids), len(ids))), np.zeros(len(ids)), np.full(len(ids), np.nan)
-    np.add.at(q, (at(i[of("q")]), at(j[of("q")])), v[of("q")])
+    n = len(ids)
+    b, fixed = np.zeros(n), np.full(n, np.nan)
+    cell, inverse = np.unique(at(i[of("q")]) * n + at(j[of("q")]), return_inverse=True)
+    q = np.bincount(inverse, v[of("q")], len(cell))
     b[at(i[of("b")])], fixed[at(i[of("fixed")])] = v[of("b")], v[of("fixed")]
     rules = of("rule")
     rules = rules[np.lexsort((v[rules], j[rules], i[rules]))]
-    x, rounds = minimise(q, b, at(i[rules]), at(j[rules]), v[rules], equality[rules], fixed)
-    return pa.table({"m_id": pa.array([t.column("m_id")[0].as_py()] * len(ids), pa.int64()), "i": pa.array(ids, pa.int64()), "v": x, "rounds": pa.array([rounds] * len(ids), pa.int64())})
+    x, rounds = minimise(cell // n, cell % n, q, b, at(i[rules]), at(j[rules]), v[rules], equality[rules], fixed, tolerance, max_iterations)
+    return pa.table({"m_id": pa.array([t.column("m_id")[0].as_py()] * n, pa.int64()), "i": pa.array(ids, pa.int64()), "v": x, "rounds": pa.array([rounds] * n, pa.int64())})
 
 
-def gradient_projection(matrix: DataFrame, b: DataFrame, constraints: DataFrame | None = None, fixed: DataFrame | None = None, sparse: DataFrame | None = None) -> DataFrame:
+STATE = "m_id long, part long, i long, b double, metric double, weight double, fixed double, x double, ahead double, goal double, new double"
+
+
+def _project_part(variables: pa.Table, rules: pa.Table) -> pa.Table:
+    if not variables.num_rows:  # the problem has stopped
+        return variables.append_column("new", pa.array([], pa.float64()))
+    variables = variables.sort_by("i")
+    rules = rules.sort_by([("left", "ascending"), ("right", "ascending"), ("gap", "ascending")])
+    col = lambda c: variables.column(c).to_numpy()
+    at = lambda c: np.searchsorted(col("i"), rules.column(c).to_numpy())
+    new = solve_separation(col("goal"), col("weight"), np.ones(variables.num_rows), at("left"), at("right"), rules.column("gap").to_numpy(), np.asarray(rules.column("equality").to_pylist(), bool))[0]
+    return variables.append_column("new", pa.array(new))
+
+
+def projected(goals: DataFrame, rules: DataFrame) -> DataFrame:
+    """goals (STATE without new) with new, the projection of goal onto the rules (m_id, part, left, right, gap, equality). A part is a group of its own; variables without part are under no rule and keep their goal."""
+    alone = goals.filter("part IS NULL").withColumn("new", F.col("goal"))
+    together = goals.filter("part IS NOT NULL").groupBy("m_id", "part").cogroup(rules.groupBy("m_id", "part"))
+    return alone.unionByName(together.applyInArrow(_project_part, STATE))
+
+
+def programme_rounds(matrix: DataFrame, b: DataFrame, rules: DataFrame, fixed: DataFrame, tolerance: float = 1e-18, max_iterations: int = 2000) -> DataFrame:
+    """m_id, i, v, rounds: the optimum of each problem, all side by side.
+
+    A round is one product of the matrices with the points of the problems that go on, a projection
+    for each part that rules connect, and three sums for each problem, each of which stops by
+    itself. So a problem is as many tasks as it has rows and parts; one connected part is one task.
+    """
+    spark = b.sparkSession
+    known = b.select("m_id", "i")
+    end = lambda name: known.withColumnRenamed("i", name)
+    a = matrix.join(known, ["m_id", "i"], "left_semi").join(end("j"), ["m_id", "j"], "left_semi")
+    a = written(a.groupBy("m_id", "i", "j").agg(F.sum("v").alias("v")), "matrix")
+    rules = written(rules.join(end("left"), ["m_id", "left"], "left_semi").join(end("right"), ["m_id", "right"], "left_semi"), "rules")
+    block = constraint_components(known.select(F.col("m_id").alias("problem_id"), F.col("i").alias("var_id")), rules.select(F.col("m_id").alias("problem_id"), F.lit(0).alias("c_id"), "left", "right"))
+    under = rules.select("m_id", F.explode(F.array("left", "right")).alias("i")).distinct()
+    block = written(block.select(F.col("problem_id").alias("m_id"), F.col("var_id").alias("i"), F.col("block").alias("part")).join(under, ["m_id", "i"], "left_semi"), "parts")
+    rules = written(rules.join(block.withColumnRenamed("i", "left"), ["m_id", "left"]), "rules", instead_of=rules)
+    # The metric dominates the matrix: every row of their difference is diagonally dominant.
+    size = a.groupBy("m_id", "i").agg(F.sum(F.abs("v")).alias("metric"))
+    v = b.select("m_id", "i", F.col("v").alias("b")).join(size, ["m_id", "i"], "left").join(block, ["m_id", "i"], "left").join(fixed.select("m_id", "i", F.col("v").alias("fixed")), ["m_id", "i"], "left")
+    v = v.withColumn("metric", F.when(F.col("metric") > 0, F.col("metric")).otherwise(1.0))
+    v = v.withColumn("weight", F.when(F.col("fixed").isNull(), F.col("metric")).otherwise(FIXED_WEIGHT * F.col("metric")))
+    order = [c.split()[0] for c in STATE.split(", ")][:-1]
+    none = F.lit(0.0)
+    goals = v.withColumn("x", none).withColumn("ahead", none).withColumn("goal", F.coalesce("fixed", none))
+    moved = written(projected(goals.select(order), rules), "points")
+    turn = written(known.select("m_id").distinct().withColumn("t", F.lit(1.0)).withColumn("pace", none), "turns")
+    solved: list[DataFrame] = []
+    for k in range(1, max_iterations + 1):
+        # The points of the last round and how far beyond them each problem goes; the first point goes nowhere.
+        step = F.col("pace") * (F.col("new") - F.col("x"))
+        state = moved.join(turn, "m_id").withColumn("ahead", F.col("new") + step).withColumn("x", F.col("new")).drop("goal", "new", "t", "pace")
+        slope = times_vector(a, state.select("m_id", "i", F.col("ahead").alias("v"))).withColumnRenamed("v", "slope")
+        goals = state.join(slope, ["m_id", "i"]).withColumn("goal", F.coalesce("fixed", F.col("ahead") - (F.col("slope") - F.col("b")) / F.col("metric")))
+        moved = written(projected(goals.select(order), rules), "points", instead_of=moved)
+        move = F.col("new") - F.col("x")
+        sums = moved.groupBy("m_id").agg(F.sum(move * move).alias("moved"), F.sum(F.col("new") * F.col("new")).alias("size"), F.sum((F.col("ahead") - F.col("new")) * move).alias("uphill"))
+        more = F.when(F.col("uphill") > 0, F.lit(1.0)).otherwise((1 + F.sqrt(1 + 4 * F.col("t") * F.col("t"))) / 2)
+        pace = F.when(F.col("uphill") > 0, F.lit(0.0)).otherwise((F.col("t") - 1) / more)
+        all_ = written(sums.join(turn, "m_id").select("m_id", more.alias("t"), pace.alias("pace"), (F.col("moved") <= tolerance * F.greatest(F.lit(1.0), "size")).alias("done")), "turns", instead_of=turn)
+        turn = all_.filter("NOT done").drop("done")
+        turn.written_to = all_.written_to
+        done = all_.filter("done").select("m_id")
+        if not done.isEmpty():
+            solved.append(written(moved.join(done, "m_id", "left_semi").select("m_id", "i", F.col("new").alias("v"), F.lit(k).cast("long").alias("rounds")), "solved"))
+            if turn.isEmpty():
+                break
+    else:
+        if not turn.isEmpty():
+            raise ArithmeticError("a quadratic programme was not solved within its rounds")
+    for spent in (moved, turn, a, rules, block):
+        forget(spent)
+    schema = "m_id long, i long, v double, rounds long"
+    return spark.read.schema(schema).parquet(*[s.written_to for s in solved]) if solved else spark.createDataFrame([], schema)
+
+
+def gradient_projection(matrix: DataFrame, b: DataFrame, constraints: DataFrame | None = None, fixed: DataFrame | None = None, sparse: DataFrame | None = None, tolerance: float = 1e-18, max_iterations: int = 2000, small: int = SMALL) -> DataFrame:
     """m_id, i, v, rounds: the optimum of each problem.
 
     matrix, sparse: m_id, i, j, v (symmetric; cells given twice and both tables are added); b and
     fixed (variables that stay at v): m_id, i, v; constraints: m_id, left, right, gap, equality.
-    The variables are the rows of b; cells and constraints on others are left out.
+    The variables are the rows of b; cells and constraints on others are left out. Problems of at
+    most small variables are solved whole, each in a task; larger ones by programme_rounds. A
+    problem stops when its squared move is at most tolerance times its squared size (or 1).
     """
     null = lambda t: F.lit(None).cast(t)
     row = lambda df, part, i, j, v, equality: df.select(F.col("m_id").cast("long").alias("m_id"), F.lit(part).alias("part"), F.col(i).cast("long").alias("i"), (null("long") if j is None else F.col(j).cast("long")).alias("j"), F.col(v).cast("double").alias("v"), (null("boolean") if equality is None else F.col(equality).cast("boolean")).alias("equality"))
@@ -81,4 +165,13 @@ def gradient_projection(matrix: DataFrame, b: DataFrame, constraints: DataFrame
         rows = rows.unionByName(row(fixed, "fixed", "i", None, "v", None))
     if constraints is not None:
         rows = rows.unionByName(row(constraints, "rule", "left", "right", "gap", "equality"))
-    return rows.groupBy("m_id").applyInArrow(_solve, "m_id long, i long, v double, rounds long")
+    solve = lambda df: df.groupBy("m_id").applyInArrow(lambda t: _solve(t, tolerance, max_iterations), "m_id long, i long, v double, rounds long")
+    many = written(b.select(F.col("m_id").cast("long").alias("m_id")).groupBy("m_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("m_id"), "large")
+    if many.isEmpty():
+        return solve(rows)
+    large = written(rows.join(many, "m_id", "left_semi"), "problems")
+    of = lambda part: large.filter(F.col("part") == part)
+    rules = of("rule").select("m_id", F.col("i").alias("left"), F.col("j").alias("right"), F.col("v").alias("gap"), "equality")
+    got = programme_rounds(of("q").select("m_id", "i", "j", "v"), of("b").select("m_id", "i", "v"), rules, of("fixed").select("m_id", "i", "v"), tolerance, max_iterations)
+    forget(large)
+    return got if small == 0 else got.unionByName(solve(rows.join(many, "m_id", "left_anti")))

@@ -545,6 +545,30 @@ def gp_fixed(spark, d):
     return D.gradient_projection(m, b, fixed=b.filter("i = 1").withColumn("v", F.lit(4.0))).select("m_id", "i", F.when(F.col("i") == 1, F.round("v", 4)).otherwise(r(F.col("v") + OFF_TIE, 5)).alias("v"))
 
 
+@query("SELECT graph_id AS m_id, node_id AS i, x::DOUBLE AS v FROM nodes")
+def gp_laplacian(spark, d):
+    """Graph Laplacians plus four times the identity under separations along the edges, all side by side by rounds over tables.
+
+    Every fourth edge is an equality, every third leaves room, the others are tight; node 0 is
+    held. The right sides are made from known positions and the edges' multipliers.
+    """
+    e, n = _graph(spark, d)
+    clean = G.sanitised(e, n)
+    off = G.both_ways(clean).groupBy(F.col("graph_id").alias("m_id"), F.col("src").alias("i"), F.col("dst").alias("j")).agg((-F.count("*")).cast("double").alias("v"))
+    ones = n.select(F.col("graph_id").alias("m_id"), F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(4.0).alias("v"))
+    a = ones.unionByName(off).unionByName(off.select("m_id", "i", F.col("i").alias("j"), (-F.col("v")).alias("v")))
+    x = n.select(F.col("graph_id").alias("m_id"), F.col("node_id").alias("i"), F.col("x").alias("v"))
+    at = lambda end: x.select(F.col("m_id").alias("graph_id"), F.col("i").alias(end), F.col("v").alias(f"x_{end}"))
+    up, k = F.col("x_src") <= F.col("x_dst"), F.col("edge_idx")
+    rules = clean.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).select(
+        F.col("graph_id").alias("m_id"), F.when(up, F.col("src")).otherwise(F.col("dst")).alias("left"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("right"),
+        (F.abs(F.col("x_src") - F.col("x_dst")) - F.when((k % 4 != 1) & (k % 3 == 0), 5.0).otherwise(0.0)).alias("gap"), (k % 4 == 1).alias("equality"), F.when(k % 4 == 1, -3.0).when(k % 3 == 0, 0.0).otherwise((k % 5).cast("double")).alias("force"))
+    pull = rules.select("m_id", F.col("right").alias("i"), (-F.col("force") / 2).alias("v")).unionByName(rules.select("m_id", F.col("left").alias("i"), (F.col("force") / 2).alias("v")))
+    b = L.times_vector(a, x).unionByName(pull).groupBy("m_id", "i").agg(F.sum("v").alias("v"))
+    b = b.withColumn("v", F.when(F.col("i") == 0, 0.0).otherwise(F.col("v")))
+    return D.gradient_projection(a, b, rules, fixed=x.filter("i = 0"), tolerance=1e-17, small=0).select("m_id", "i", r("v", 4).alias("v"))
+
+
 @query("SELECT w.m_id, w.i, w.j, coalesce(v, 0) AS v FROM (SELECT m_id, i, (i * 5 + 1) % 32 AS j FROM vec) w LEFT JOIN mat USING (m_id, i, j)")
 def matrix_cells(spark, d):
     m, x = _matrix(spark, d)

@@ -76,7 +76,7 @@ def test_quadratic_optimum(seed):
     q, b = half @ half.T + np.diag(10.0 ** g.integers(-1, 3, n)), g.normal(size=n) * 5
     rules = [(i, i + 1, float(g.integers(0, 4)), bool(g.random() < 0.3)) for i in range(n - 1)]
     left, right, gap, equal = (np.array(c) for c in zip(*rules))
-    x, _ = minimise(q, b, left, right, gap, equal, np.full(n, np.nan))
+    x, _ = minimise(*(c.ravel() for c in np.indices((n, n))), q.ravel(), b, left, right, gap, equal, np.full(n, np.nan))
     best = np.inf, None
     for on in product((False, True), repeat=len(rules)):
         on = np.array(on) | equal
@@ -98,3 +98,5 @@ def test_quadratic_holds_fixed_variables(spark):
     assert at(gradient_projection(q, b)) == [1.0, 0.0]
     assert at(gradient_projection(q, b, sparse=more)) == [round(2 / 3, 5), 0.0]
     assert at(gradient_projection(q, b, rule, held)) == [5.0, 9.0]
+    assert at(gradient_projection(q, b, rule, held, more, small=0)) == [5.0, 9.0]
+    assert at(gradient_projection(q, b.limit(0), small=0)) == []

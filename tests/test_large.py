@@ -14,6 +14,7 @@ from gridloom.operators import linalg as L
 from gridloom.operators import overlap as O
 from gridloom.operators import placement as P
 from gridloom.operators import projection as Q
+from gridloom.operators import quadratic as D
 from gridloom.operators import tiles as K
 from gridloom.operators.forest import forest_set
 from gridloom.plans.cut import dealt, neighbours
@@ -222,6 +223,44 @@ def test_conjugate_gradients_of_a_large_system(spark):
     assert both.count() == n + 2 and both.agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-3
 
 
+def some_programmes(sizes, seed):
+    """Chains of springs of the given sizes: entries, right sides, rules on runs of seven variables (some equal, two that contradict each other), held variables."""
+    r = random.Random(seed)
+    cells, b, rules, held = [], [], [], []
+    for m, n in enumerate(sizes):
+        cells += [(m, i, i, 8.0 + (0 < i) + (i < n - 1)) for i in range(n)] + [(m, i + a, i + 1 - a, -1.0) for i in range(n - 1) for a in (0, 1)]
+        b += [(m, i, float(r.randrange(-200, 200))) for i in range(n)]
+        rules += [(m, i, i + 1, float(r.randrange(5)), r.random() < 0.2) for i in range(n - 1) if i % 7 != 6]
+        rules += [(m, i, i + 3, 4.0, False) for i in range(0, n - 3, 7)] + [(m, 9, 8, 50.0, False), (m, 3, n + 5, 1.0, True)]
+        held += [(m, i, 3.0) for i in range(12, n, 70)]
+    return cells, b, rules, held
+
+
+def programme_tables(spark, rows):
+    return [spark.createDataFrame(x, s) for x, s in zip(rows, ("m_id long, i long, j long, v double", "m_id long, i long, v double", "m_id long, left long, right long, gap double, equality boolean", "m_id long, i long, v double"))]
+
+
+def test_programmes_by_rounds_equal_those_in_a_task(spark):
+    q, b, rules, held = programme_tables(spark, some_programmes((40, 11, 25), 5))
+    ways = [{(x.m_id, x.i): x.v for x in D.gradient_projection(q, b, rules, held, tolerance=1e-12, small=n).collect()} for n in (1000, 30)]
+    assert ways[0].keys() == ways[1].keys() and len(ways[0]) == 76
+    assert all(abs(ways[0][k] - ways[1][k]) < 1e-6 for k in ways[0])
+
+
+def test_a_programme_of_many_parts_is_that_in_a_task(spark):
+    n = 1500
+    rows = some_programmes((n,), 8)
+    q, b, rules, held = programme_tables(spark, rows)
+    got = D.gradient_projection(q, b, rules, held, tolerance=1e-12, small=500)
+    x = np.array([v.v for v in got.orderBy("i").collect()])
+    i, j, v = (np.array(c) for c in zip(*[c[1:] for c in rows[0]]))
+    left, right, gap, equal = (np.array(c) for c in zip(*[c[1:] for c in rows[2] if c[2] < n]))
+    fixed = np.full(n, np.nan)
+    fixed[[c[1] for c in rows[3]]] = 3.0
+    alone, _ = D.minimise(i, j, v, np.array([c[2] for c in rows[1]]), left, right, gap, equal, fixed, tolerance=1e-12)
+    assert len(x) == n and np.allclose(x, alone, atol=1e-6)
+
+
 def test_hulls_of_many_points(spark):
     """Most points of a disc go by expressions; points on a circle, on a line and in one place stay."""
     r = random.Random(8)
