@@ -695,8 +695,8 @@ def qp_pulls(spark, d):
 def sql_separated_chain(spark, d):
     """The chain projection as a table function of SQL."""
     register(spark)
-    T.order_chains(spark, d).withColumn("gap", F.lit(2.0)).createOrReplaceTempView("gridloom_chains")
-    out = spark.sql("SELECT * FROM separated_chain(TABLE(SELECT problem_id, var_id, desired, weight, gap FROM gridloom_chains) PARTITION BY problem_id ORDER BY var_id)")
+    chains = T.order_chains(spark, d).withColumn("gap", F.lit(2.0))
+    out = spark.sql("SELECT * FROM separated_chain(TABLE(SELECT problem_id, var_id, desired, weight, gap FROM {chains}) PARTITION BY problem_id ORDER BY var_id)", chains=chains)
     return out.select("problem_id", "var_id", r("position", 5).alias("position"))
 
 
@@ -1017,8 +1017,7 @@ def convex_hull_vertices(spark, d):
 def sql_convex_hull(spark, d):
     """The hull as a table function of SQL."""
     register(spark)
-    T.customer_nodes(spark, d).createOrReplaceTempView("gridloom_points")
-    return spark.sql("SELECT * FROM convex_hull(TABLE(SELECT graph_id AS set_id, node_id AS idx, x, y FROM gridloom_points) PARTITION BY set_id)")
+    return spark.sql("SELECT * FROM convex_hull(TABLE(SELECT graph_id AS set_id, node_id AS idx, x, y FROM {points}) PARTITION BY set_id)", points=T.customer_nodes(spark, d))
 
 
 def _tree(spark, d):

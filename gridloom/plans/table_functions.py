@@ -10,44 +10,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import arrow_udtf
 
 from ..operators.graph import _hull
 from ..operators.projection import pooled
 
 
-@udtf(returnType="problem_id bigint, var_id bigint, position double")
-class SeparatedChain:
-    """Positions of a chain whose next variable is at least gap beyond each."""
+class Gathered:
+    """The batches of a partition, which stay in Arrow."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
+        self.batches: list[pa.RecordBatch] = []
 
-    def eval(self, row: Row) -> None:
-        self.rows.append((row["problem_id"], row["var_id"], row["desired"], row["weight"], row["gap"]))
+    def eval(self, table: pa.RecordBatch) -> Iterator[pa.Table]:
+        self.batches.append(table)
+        return iter(())
 
-    def terminate(self) -> Iterator[tuple]:
-        if self.rows:
-            problem, var, desired, weight, gap = zip(*self.rows)
-            offset = np.r_[0.0, np.cumsum(np.array(gap[:-1], float))]
-            mean, count = pooled(np.array(desired, float) - offset, np.array(weight, float))
-            yield from zip(problem, var, (np.repeat(mean, count) + offset).tolist())
+    def whole(self) -> pa.Table | None:
+        return pa.Table.from_batches(self.batches) if sum(b.num_rows for b in self.batches) else None
 
 
-@udtf(returnType="set_id bigint, ord bigint, idx bigint, x double, y double")
-class ConvexHull:
-    """The hull of a set of points, counter-clockwise from the lowest, then leftmost one."""
+@arrow_udtf(returnType="problem_id bigint, var_id bigint, position double")
+class SeparatedChain(Gathered):
+    """Positions of a chain whose next variable is at least gap beyond each."""
+
+    def terminate(self) -> Iterator[pa.Table]:
+        t = self.whole()
+        if t is not None:
+            desired, weight, gap = (t.column(c).cast(pa.float64()).to_numpy() for c in ("desired", "weight", "gap"))
+            offset = np.r_[0.0, np.cumsum(gap[:-1])]
+            mean, count = pooled(desired - offset, weight)
+            yield t.select(["problem_id", "var_id"]).append_column("position", pa.array(np.repeat(mean, count) + offset))
 
-    def __init__(self):
-        self.rows: list[dict] = []
 
-    def eval(self, row: Row) -> None:
-        self.rows.append({c: row[c] for c in ("set_id", "idx", "x", "y")})
+@arrow_udtf(returnType="set_id bigint, ord bigint, idx bigint, x double, y double")
+class ConvexHull(Gathered):
+    """The hull of a set of points, counter-clockwise from the lowest, then leftmost one."""
 
-    def terminate(self) -> Iterator[tuple]:
-        if self.rows:
-            yield from (tuple(r.values()) for r in _hull(pa.Table.from_pylist(self.rows)).to_pylist())
+    def terminate(self) -> Iterator[pa.Table]:
+        t = self.whole()
+        if t is not None:
+            yield _hull(t.select(["set_id", "idx", "x", "y"]))
 
 
 def register(spark: SparkSession) -> None:
