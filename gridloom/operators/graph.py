@@ -139,13 +139,13 @@ def edge_crossings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _hull(t: pa.Table) -> pa.Table:
     x, y, i = (t.column(c).to_numpy() for c in ("x", "y", "idx"))
     order = np.lexsort((i, y, x))
-    pts = [(x[k], y[k], k) for k in order]
+    # Of equal points the least idx, for both halves.
+    first = np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]
+    pts = [(x[k], y[k], k) for k in order[first]]
 
     def half(points) -> list:
         out: list = []
         for p in points:
-            if out and out[-1][:2] == p[:2]:
-                continue
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
@@ -190,6 +190,8 @@ def convex_hulls(points: DataFrame, part_points: int = 100_000) -> DataFrame:
     so only hull points of parts meet in one task.
     """
     p = points.select(F.col("set_id").cast("long").alias("set_id"), F.col("idx").cast("long").alias("idx"), "x", "y")
+    # Equal points go to parts by their idx, so one counts before they are dealt.
+    p = p.groupBy("set_id", "x", "y").agg(F.min("idx").alias("idx")).select("set_id", "idx", "x", "y")
     p = written(outside_extremes(p), "outside")
     parts = p.groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", F.ceil(F.col("n") / part_points).alias("parts"))
     dealt = p.join(parts, "set_id").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))

@@ -273,6 +273,13 @@ def test_hulls_of_many_points(spark):
     assert G.convex_hulls(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_points", [2, 100])
+def test_of_equal_points_the_least_counts_on_both_sides_of_a_hull(spark, part_points):
+    corners = [(0.0, 0.0), (4.0, 0.0), (5.0, 2.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(1, 100 - 5 * copy - k, x, y) for copy in range(6) for k, (x, y) in enumerate(corners)], "set_id long, idx long, x double, y double")
+    assert sorted(map(tuple, G.convex_hulls(df, part_points=part_points).collect())) == [(1, k, 75 - k, *corners[k]) for k in range(5)]
+
+
 def test_fixed_relative_among_mixed_kinds(spark):
     members = spark.createDataFrame([(1, 5, 2.0, 3.0), (1, 2, 0.0, 1.0)], "problem_id long, node long, x double, y double")
     pairs = spark.createDataFrame([(1, 0, 4, 5, 2.0, False)], "problem_id long, dim int, left long, right long, gap double, equality boolean")
