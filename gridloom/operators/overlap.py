@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rectangles import X, Y, centre, extent, high, low, meeting_boxes
-from ..plans.cut import counts_before, dealt, neighbours, written
-from .projection import project_parts, solve_separation
+from ..plans.cut import counts_before, dealt, neighbours, sums_before, written
+from .projection import chain_projection, project_parts, solve_forward
 
 #: Extra gap, and weights of fixed and other rectangles.
 EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
@@ -180,7 +180,7 @@ def separated(box: np.ndarray, weight: np.ndarray, extra: float = EXTRA_GAP, thi
     mid = lambda b, axis: (b[:, 2 * axis] + b[:, 2 * axis + 1]) / 2
 
     def along(axis: int, desired: np.ndarray, rules: tuple) -> None:
-        x, _, _ = solve_separation(desired, weight, np.ones(len(weight)), *rules, np.zeros(len(rules[2]), bool))
+        x = solve_forward(desired, weight, *rules)
         half = (start[:, 2 * axis + 1] - start[:, 2 * axis]) / 2
         box[:, 2 * axis], box[:, 2 * axis + 1] = x - half, x + half
 
@@ -192,14 +192,50 @@ def separated(box: np.ndarray, weight: np.ndarray, extra: float = EXTRA_GAP, thi
     return box
 
 
-def along_axis(rects: DataFrame, start: DataFrame, rules: DataFrame, dim: int) -> DataFrame:
-    """rects with their positions on an axis as near to those of start as the rules (group_id, left, right, gap) allow. Each set of rectangles that rules connect is a problem of its own; memory is linear in the largest."""
-    lo, hi = ("min_x", "max_x") if dim == X else ("min_y", "max_y")
-    rules = written(rules, "rules")
-    bound = rules.select("group_id", F.explode(F.array("left", "right")).alias("rect_id")).distinct()
-    v = start.join(bound, ["group_id", "rect_id"], "left_semi").select(F.col("group_id").alias("problem_id"), F.col("rect_id").alias("var_id"), ((F.col(lo) + F.col(hi)) / 2).alias("desired"), "weight", F.lit(1.0).alias("scale"))
-    c = rules.select(F.col("group_id").alias("problem_id"), F.xxhash64("left", "right", "gap").alias("c_id"), "left", "right", "gap", F.lit(False).alias("equality"))
-    at = project_parts(v, c).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("rect_id"), "position")
+def _sides(dim: int) -> tuple[str, str]:
+    return ("min_x", "max_x") if dim == X else ("min_y", "max_y")
+
+
+def in_line(rects: DataFrame, dim: int, near: bool) -> DataFrame:
+    """group_id of the groups all of whose rectangles cross one line along the axis. near: a band as broad as the largest of them is long, so that no two overlap more on the axis than across it."""
+    lo, hi = _sides(Y if dim == X else X)
+    band = rects.groupBy("group_id").agg(F.min(hi).alias("top"), F.max(lo).alias("low"), F.max(extent(dim)).alias("long"))
+    return written(band.filter((F.col("top") - F.col("low") > F.col("long") * (1 + 1e-9)) if near else (F.col("top") >= F.col("low"))).select("group_id"), "lines")
+
+
+def side_by_side(rects: DataFrame, start: DataFrame, dim: int) -> DataFrame:
+    """group_id, rect_id, position on the axis of rectangles of groups in line, where each is kept apart from the next one only: between others the gaps in between are as large as theirs. start has the positions to be near to."""
+    lo, hi = _sides(dim)
+    wish = start.select("group_id", "rect_id", ((F.col(lo) + F.col(hi)) / 2).alias("wish"), "weight")
+    # Without borders, whose rounding would part equal centres.
+    r = rects.select("group_id", "rect_id", ((F.col(lo) + F.col(hi)) / 2).alias("c"), extent(dim).alias("size")).join(wish, ["group_id", "rect_id"])
+    keys, order = ["group_id"], ["c", "rect_id"]
+    ranges = dealt(r, "group_id", *order)
+    r = counts_before(ranges, keys, order, F.lit(1)).withColumnRenamed("before", "place")
+    r = written(sums_before(r, keys, order, F.col("size")).withColumn("offset", F.col("before") + F.col("size") / 2), "places")
+    v = r.select(F.col("group_id").alias("problem_id"), F.col("place").alias("var_id"), (F.col("wish") - F.col("offset")).alias("desired"), "weight")
+    at = chain_projection(v, 0.0).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("place"), "position")
+    return r.join(at, ["group_id", "place"]).select("group_id", "rect_id", (F.col("position") + F.col("offset")).alias("position"))
+
+
+def along_axis(rects: DataFrame, start: DataFrame, dim: int, extra: float, near: bool) -> DataFrame:
+    """rects with their positions on an axis as near to those of start as neighbour_constraints (near) or sweep_constraints allow, for rectangles grown by extra on the axis. Each set of rectangles that constraints connect is a problem of its own; memory is linear in the largest. Groups in line are chains."""
+    lo, hi = _sides(dim)
+    wide = rects.withColumns({"x_border": F.lit(extra / 2 if dim == X else 0.0), "y_border": F.lit(extra / 2 if dim == Y else 0.0)})
+    lines = in_line(wide, dim, near)
+    chained = None if lines.isEmpty() else side_by_side(wide.join(lines, "group_id", "left_semi"), start, dim)
+    rest = wide.join(lines, "group_id", "left_anti")
+    if rest.isEmpty():
+        at = chained
+    else:
+        rules = written(neighbour_constraints(rest) if near else sweep_constraints(rest, dim), "rules")
+        bound = rules.select("group_id", F.explode(F.array("left", "right")).alias("rect_id")).distinct()
+        v = start.join(bound, ["group_id", "rect_id"], "left_semi").select(F.col("group_id").alias("problem_id"), F.col("rect_id").alias("var_id"), ((F.col(lo) + F.col(hi)) / 2).alias("desired"), "weight", F.lit(1.0).alias("scale"))
+        c = rules.select(F.col("group_id").alias("problem_id"), F.xxhash64("left", "right", "gap").alias("c_id"), "left", "right", "gap", F.lit(False).alias("equality"))
+        at = project_parts(v, c, forward=True).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("rect_id"), "position")
+        at = at if chained is None else at.unionByName(chained)
+    if at is None:  # no rectangles
+        return rects
     here = start.select("group_id", "rect_id", ((F.col(lo) + F.col(hi)) / 2).alias("wish"), ((F.col(hi) - F.col(lo)) / 2).alias("half")).join(at, ["group_id", "rect_id"], "left")
     here = here.select("group_id", "rect_id", F.coalesce("position", "wish").alias("x"), "half")
     return written(rects.join(here, ["group_id", "rect_id"]).withColumns({lo: F.col("x") - F.col("half"), hi: F.col("x") + F.col("half")}).select(*rects.columns), "moved")
@@ -208,14 +244,9 @@ def along_axis(rects: DataFrame, start: DataFrame, rules: DataFrame, dim: int) -
 def separated_by_passes(rects: DataFrame, extra: float = EXTRA_GAP, third_pass: bool = True) -> DataFrame:
     """The rows of rects (group_id, rect_id, min_x, max_x, min_y, max_y, weight) moved as separated moves them, for groups of any size: a pass is a sweep, the components of its constraints and a projection of each."""
     start = written(rects, "rects")
-
-    def wide(df: DataFrame, dim: int) -> DataFrame:
-        border = [F.lit(extra / 2 if dim == d else 0.0) for d in (X, Y)]
-        return df.withColumns({"x_border": border[0], "y_border": border[1]})
-
-    box = along_axis(start, start, neighbour_constraints(wide(start, X)), X)
-    box = along_axis(box, start, sweep_constraints(wide(box, Y), Y), Y)
-    return along_axis(box, start, sweep_constraints(wide(box, X), X), X) if third_pass else box
+    box = along_axis(start, start, X, extra, near=True)
+    box = along_axis(box, start, Y, extra, near=False)
+    return along_axis(box, start, X, extra, near=False) if third_pass else box
 
 
 def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass: bool = True, small: int = SMALL) -> DataFrame:

@@ -45,11 +45,16 @@ def dealt(df: DataFrame, *order: str, rows: int = PART_ROWS) -> DataFrame:
 
 def counts_before(ranges: DataFrame, keys: list[str], order: list[str], counted: Column) -> DataFrame:
     """ranges (of dealt, in the order of keys, then order) with before: how many rows of the same keys that are counted come earlier."""
-    ones = F.sum(counted.cast("long"))
-    inside = F.coalesce(ones.over(Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums_before(ranges, keys, order, counted.cast("long"))
+
+
+def sums_before(ranges: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """As counts_before, with before the sum of a value."""
+    ones, none = F.sum(value), F.lit(0)
+    inside = F.coalesce(ones.over(Window.partitionBy("part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), none)
     # A row for each range of a key.
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_rows = ranges.groupBy(*keys, "part").agg(ones.alias("n")).select(*keys, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before_part"))
+    earlier_rows = ranges.groupBy(*keys, "part").agg(ones.alias("n")).select(*keys, "part", F.coalesce(F.sum("n").over(earlier), none).alias("rows_before_part"))
     return ranges.withColumn("before", inside).join(earlier_rows, [*keys, "part"]).withColumn("before", F.col("before") + F.col("rows_before_part")).drop("rows_before_part")
 
 

@@ -94,6 +94,48 @@ def test_overlap_removal_by_passes_is_that_in_memory(spark):
     assert O.remove_overlaps(df.limit(0), small=0).count() == 0
 
 
+def test_groups_in_line_are_chains(spark, monkeypatch):
+    """A group whose rectangles all cross a line gets no pairs that overlap, only next ones; another beside it is unchanged."""
+    r = random.Random(5)
+    rows = [(1, i, x, x + r.choice([0.0, 1.0, 4.0]), -20.0 - i % 3, 30.0 + i % 4, 0.0, 0.0) for i in range(60) for x in [float(r.randrange(40))]]
+    df = spark.createDataFrame(rows, RECT)
+    show = lambda d: {(x.group_id, x.rect_id): x[2:6] for x in d.select("group_id", "rect_id", "min_x", "max_x", "min_y", "max_y").collect()}
+    more = df.unionByName(spark.createDataFrame([(2, *x[1:4], x[2] / 7, x[2] / 7 + 3, 0.0, 0.0) for x in rows], RECT))
+    want, got = show(O.remove_overlaps(more)), show(O.remove_overlaps(more, small=0))
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-6) for k in want)
+    monkeypatch.setattr(O, "neighbour_constraints", None)
+    assert show(O.remove_overlaps(df, small=0)).keys() == {k for k in want if k[0] == 1}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_constraints_that_come_in_when_violated_have_the_optimum_of_all(seed):
+    r = np.random.default_rng(seed)
+    n, m = int(r.integers(2, 25)), int(r.integers(1, 60))
+    left = r.integers(0, n - 1, m)
+    right = np.minimum(n - 1, left + r.integers(1, n, m))
+    desired, weight, gap = r.random(n) * 9, r.random(n) + 0.5, r.integers(0, 5, m).astype(float)
+    assert np.allclose(Q.solve_forward(desired, weight, left, right, gap), forest_set(desired, weight, np.ones(n), left, right, gap, np.zeros(m, bool))[0], atol=1e-7)
+    few = Q._needed(n, left, right, gap)
+    assert not len({(left[k], right[k]) for k in few}) < len(few)
+
+
+def test_problems_are_solved_many_at_a_time(spark, monkeypatch):
+    """Paths, a star, a circle and a contradiction with the same variable ids, in one batch as one by one."""
+    rules = [[(0, 1, 2.0, False), (1, 2, 2.0, False)], [(0, 1, 3.0, False), (0, 2, 3.0, False)], [(0, 1, 1.0, True), (1, 2, 1.0, True), (2, 0, 0.0, False)], [(0, 9, 1.0, False)], []]
+    v = [(10 * p, i, float(i * p % 3), 1.0, 1.0) for p in range(5) for i in range(3)]
+    c = [(10 * p, k, *rule) for p, own in enumerate(rules) for k, rule in enumerate(own)] + [(77, 0, 0, 1, 1.0, False)]
+    vs, cs = "problem_id long, var_id long, desired double, weight double, scale double", "problem_id long, c_id long, left long, right long, gap double, equality boolean"
+    v, c = spark.createDataFrame(v, vs), spark.createDataFrame(c, cs)
+    whole = sorted(map(tuple, Q.project(v, c).collect()))
+    single = sorted(tuple(x) for p in range(5) for x in Q.project(v.filter(f"problem_id = {10 * p}"), c.filter(f"problem_id = {10 * p}")).collect())
+    assert len(whole) == 15 and np.allclose(whole, single) and {x[0] for x in whole if x[3]} == {20}
+    calls = spark.sparkContext.accumulator(0)
+    solve = Q._project
+    monkeypatch.setattr(Q, "_project", lambda *a: (calls.add(1), solve(*a))[1])
+    many = spark.range(300).select(F.col("id").alias("problem_id"), F.lit(0).cast("long").alias("var_id"), F.lit(0.0).alias("desired"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("scale"))
+    assert Q.project(many, c.limit(0)).collect() and calls.value <= 8
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_the_forest_finds_what_the_matrix_finds(seed):
     r = np.random.default_rng(seed)
