@@ -15,6 +15,9 @@ from .projection import chain_projection, project_parts, solve_forward
 EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
 #: Rectangles of a group that is solved whole in a task, in arrays of their square.
 SMALL = 1000
+#: Rectangles of small groups that a task solves at once, about.
+BATCH = 5000
+SIDES = ("min_x", "max_x", "min_y", "max_y")
 
 
 def on_ranks(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -256,12 +259,18 @@ def remove_overlaps(rects: DataFrame, fixed: DataFrame | None = None, third_pass
     r = r.select(F.col("group_id").cast("long").alias("group_id"), F.col("rect_id").cast("long").alias("rect_id"), low(X).alias("min_x"), high(X).alias("max_x"), low(Y).alias("min_y"), high(Y).alias("max_y"), F.when(f, FIXED_WEIGHT).otherwise(1.0).alias("weight"))
 
     def apart(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rect_id")
-        box = separated(np.stack([t.column(c).to_numpy() for c in ("min_x", "max_x", "min_y", "max_y")], 1), t.column("weight").to_numpy(), third_pass=third_pass)
-        return pa.table({"group_id": t.column("group_id"), "rect_id": t.column("rect_id"), **{c: box[:, i] for i, c in enumerate(("min_x", "max_x", "min_y", "max_y"))}})
+        t = t.sort_by([("group_id", "ascending"), ("rect_id", "ascending")])
+        box, weight = np.stack([t.column(c).to_numpy() for c in SIDES], 1), t.column("weight").to_numpy()
+        ends = [*np.flatnonzero(np.diff(t.column("group_id").to_numpy())) + 1, t.num_rows]
+        for i, j in zip([0, *ends], ends):
+            if j - i > 1:
+                box[i:j] = separated(box[i:j], weight[i:j], third_pass=third_pass)
+        return pa.table({"group_id": t.column("group_id"), "rect_id": t.column("rect_id"), **{c: box[:, i] for i, c in enumerate(SIDES)}})
 
     many = written(r.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("group_id"), "large")
-    whole = r.join(many, "group_id", "left_anti").groupBy("group_id").applyInArrow(apart, "group_id long, rect_id long, min_x double, max_x double, min_y double, max_y double")
+    # Many small groups at a time.
+    batches = max(8, r.count() // BATCH)
+    whole = r.join(many, "group_id", "left_anti").groupBy(F.pmod(F.xxhash64("group_id"), F.lit(batches)).alias("batch")).applyInArrow(apart, "group_id long, rect_id long, min_x double, max_x double, min_y double, max_y double")
     if many.isEmpty():
         return whole
     return whole.unionByName(separated_by_passes(r.join(many, "group_id", "left_semi"), third_pass=third_pass).drop("weight"))
