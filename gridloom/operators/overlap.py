@@ -17,6 +17,8 @@ EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
 SMALL = 1000
 #: Rectangles of small groups that a task solves at once, about.
 BATCH = 5000
+#: Rectangles of a large group that a task holds against as many before and after them.
+CHUNK = 2000
 SIDES = ("min_x", "max_x", "min_y", "max_y")
 
 
@@ -88,37 +90,100 @@ def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
     return side("under", F.col("under.o"), F.col("id")).unionByName(side("over", F.col("id"), F.col("over.o")))
 
 
-def neighbour_constraints(rects: DataFrame) -> DataFrame:
+def neighbour_constraints(rects: DataFrame, small: int = SMALL) -> DataFrame:
     """group_id, left, right, gap along x from neighbour lists: of the rectangles that share a part of the y axis with one, the nearest on either side that does not overlap it in x, and before that those whose overlap in x is at most that in y.
 
+    Groups of at most small rectangles are listed in arrays, many to a task; larger ones by _listed_by_tables.
+    """
+    r = rects.select(F.col("group_id").cast("long").alias("group_id"), F.col("rect_id").cast("long").alias("rect_id"), low(X).alias("min_x"), high(X).alias("max_x"), low(Y).alias("min_y"), high(Y).alias("max_y"))
+
+    def lists(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("group_id", "ascending"), ("rect_id", "ascending")])
+        box, ids, of = np.stack([t.column(c).to_numpy() for c in SIDES], 1), t.column("rect_id").to_numpy(), t.column("group_id").to_numpy()
+        size = box[:, 1] - box[:, 0]
+        c = box[:, 0] + size / 2
+        ends = [*np.flatnonzero(np.diff(of)) + 1, t.num_rows]
+        got = [(i, *listed(box[i:j], c[i:j], size[i:j], box[i:j, 2] + box[i:j, 3], True)) for i, j in zip([0, *ends], ends)]
+        left, right = (np.concatenate([g[k] + g[0] for g in got]) for k in (1, 2))
+        return pa.table({"group_id": of[left], "left": ids[left], "right": ids[right], "gap": np.concatenate([g[3] for g in got])})
+
+    sizes = written(r.groupBy("group_id").agg(F.count("*").alias("n")), "sizes")
+    many = sizes.filter(F.col("n") > small).select("group_id")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    spark = r.sparkSession
+    batches = max(8, total // BATCH)
+    # As many partitions as there are tasks to run, each of many batches.
+    n = min(batches, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    part = r.join(many, "group_id", "left_anti").withColumn("batch", F.pmod(F.xxhash64("group_id"), F.lit(batches))).repartition(n, "batch")
+    few = part.groupBy("batch").applyInArrow(lists, "group_id long, left long, right long, gap double")
+    if many.isEmpty():
+        return few
+    large = _listed_by_tables(rects.join(many, "group_id", "left_semi")).select([F.col(c).cast(t).alias(c) for c, t in few.dtypes])
+    return large if sizes.filter(F.col("n") <= small).isEmpty() else few.unionByName(large)
+
+
+def _next_apart(r: DataFrame) -> DataFrame:
+    """group_id, id, stop, back, ahead, behind: of the rectangles that share a part of the y axis with one, the nearest that lies apart from it in x on either side, as far as it is among the next or the last CHUNK rectangles by their centres; ahead, behind: it may be farther away."""
+    ranges = counts_before(dealt(r, "group_id", "c", "id"), ["group_id"], ["c", "id"], F.lit(1))
+    ranges = ranges.join(r.groupBy("group_id").agg(F.count("*").alias("n")), "group_id").withColumn("chunk", F.floor(F.col("before") / CHUNK))
+    rows = ranges.select("group_id", "id", "lo", "hi", "x0", "x1", "before", "n", "chunk", F.explode(F.sequence(F.col("chunk") - 1, F.col("chunk") + 1)).alias("at"))
+
+    def seek(t: pa.Table) -> pa.Table:
+        t = t.sort_by("before")
+        lo, hi, x0, x1, ids, before = (t.column(c).to_numpy() for c in ("lo", "hi", "x0", "x1", "id", "before"))
+        own = np.flatnonzero(t.column("chunk").to_numpy() == t.column("at").to_numpy())
+        place, m = np.arange(len(ids))[None, :], len(ids)
+        line = (lo[own, None] <= hi[None, :]) & (lo[None, :] <= hi[own, None])
+        right = line & (place > own[:, None]) & (x1[own, None] <= x0[None, :])
+        left = (line & (place < own[:, None]) & (x1[None, :] <= x0[own, None]))[:, ::-1]
+        on, off = right.any(1), left.any(1)
+        end, begin = m > 0 and before[-1] == t.column("n")[0].as_py() - 1, m > 0 and before[0] == 0
+        stop, back = right.argmax(1), m - 1 - left.argmax(1)
+        return pa.table({"group_id": t.column("group_id").take(own), "id": ids[own], "stop": pa.array(ids[stop], pa.int64(), mask=~on), "back": pa.array(ids[back], pa.int64(), mask=~off), "ahead": ~on & (not end), "behind": ~off & (not begin)})
+
+    return written(rows.groupBy("group_id", "at").applyInArrow(seek, "group_id long, id long, stop long, back long, ahead boolean, behind boolean"), "stops")
+
+
+def _listed_by_tables(rects: DataFrame) -> DataFrame:
+    """neighbour_constraints for groups of any size.
+
     Rectangles are sized in powers of two. Within reach, the sum of a rectangle's half width and
     that of a size, rectangles of that size meet it on a grid; beyond it all are apart, and the
-    nearest is found as in a sweep. So the pairs that meet are those that overlap, or nearly do.
+    nearest is found as in a sweep. So the pairs that meet are those that overlap, or nearly do. All
+    this is asked only for those whose nearest is not among the next CHUNK rectangles.
     """
     r = rects.select("group_id", F.col("rect_id").alias("id"), low(Y).alias("lo"), high(Y).alias("hi"), centre(X).alias("c"), extent(X).alias("size"), low(X).alias("x0"), high(X).alias("x1"))
     r = r.withColumn("class", F.when(F.col("size") > 0, F.ceil(F.log2("size"))).otherwise(F.lit(-1074)).cast("int"))
     r = written(on_ranks(r, ["group_id"]), "lines")
     classes = r.select("group_id", F.col("class").alias("of")).distinct()
-    asks = r.join(classes, "group_id").withColumn("reach", (F.col("size") + F.pow(F.lit(2.0), F.col("of"))) / 2)
+    stops = _next_apart(r.select("group_id", "id", "lo", "hi", "c", "x0", "x1"))
+    found = stops.select("group_id", F.col("id").alias("left"), F.col("stop").alias("right")).unionByName(stops.select("group_id", F.col("back").alias("left"), F.col("id").alias("right"))).filter("left IS NOT NULL AND right IS NOT NULL")
+    open_ = stops.filter("ahead OR behind").select("group_id", "id", "ahead", "behind")
+    asks = r.join(open_, ["group_id", "id"]).join(classes, "group_id").withColumn("reach", (F.col("size") + F.pow(F.lit(2.0), F.col("of"))) / 2)
     # Beyond reach: those whose line holds a rectangle's low end, and those whose low end its line holds.
-    far = None
+    far = found
     keys = ["group_id", "of"]
+    asks = written(asks, "asks")
     value = F.struct("c", F.col("id").alias("o"))
-    for sign in (1, -1):
+    for sign in () if asks.isEmpty() else (1, -1):
+        asked = asks.filter("ahead" if sign > 0 else "behind")
         place = (F.col("c") + sign * F.col("reach")).alias("c")
         # Without a reach, equal centres go by their ids.
         o = F.when(F.col("reach") > 0, F.lit(-(2**63) if sign > 0 else 2**63 - 1)).otherwise(F.col("id")).alias("o")
-        held = nearest_stabbed(r.select("group_id", F.col("class").alias("of"), (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), "c", F.col("id").alias("o"), value.alias("value")), asks.select(*keys, "id", F.col("t0").alias("at"), place, o), keys)
-        holds = nearest_within(r.select("group_id", F.col("class").alias("of"), F.col("t0").alias("at"), "c", F.col("id").alias("o"), value.alias("value")), asks.select(*keys, "id", (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), place, o), keys)
+        held = nearest_stabbed(r.select("group_id", F.col("class").alias("of"), (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), "c", F.col("id").alias("o"), value.alias("value")), asked.select(*keys, "id", F.col("t0").alias("at"), place, o), keys)
+        holds = nearest_within(r.select("group_id", F.col("class").alias("of"), F.col("t0").alias("at"), "c", F.col("id").alias("o"), value.alias("value")), asked.select(*keys, "id", (F.col("t0") + 1).alias("first"), (F.col("t1") + 1).alias("end"), place, o), keys)
         both = held.unionByName(holds).groupBy("group_id", "id").agg((F.min("over") if sign > 0 else F.max("under")).alias("stop")).filter("stop IS NOT NULL")
         one = both.select("group_id", *([F.col("id").alias("left"), F.col("stop.o").alias("right")] if sign > 0 else [F.col("stop.o").alias("left"), F.col("id").alias("right")]))
-        far = one if far is None else far.unionByName(one)
-    # Within reach: boxes from the centre as far as the reach, against centres.
+        far = far.unionByName(one)
+    # Those that overlap, and within reach: boxes from the centre as far as the reach, against centres.
+    boxes = r.select("group_id", "id", F.col("x0").alias("lo_x"), F.col("x1").alias("hi_x"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "c")
+    over = meeting_boxes(boxes, boxes, ("c",)).filter("a_id <> b_id")
     mine = asks.select(F.struct("group_id", "of").alias("group_id"), "id", (F.col("c") - F.col("reach")).alias("lo_x"), (F.col("c") + F.col("reach")).alias("hi_x"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "c")
     theirs = r.select(F.struct("group_id", F.col("class").alias("of")).alias("group_id"), "id", F.col("c").alias("lo_x"), F.col("c").alias("hi_x"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), "c")
     met = meeting_boxes(mine, theirs, ("c",)).filter("a_id <> b_id")
     ahead = F.expr("a_c < b_c OR (a_c = b_c AND a_id < b_id)")
-    near = met.select("group_id.group_id", F.when(ahead, F.col("a_id")).otherwise(F.col("b_id")).alias("left"), F.when(ahead, F.col("b_id")).otherwise(F.col("a_id")).alias("right"))
+    met = over.unionByName(met.withColumn("group_id", F.col("group_id.group_id")))
+    near = met.select("group_id", F.when(ahead, F.col("a_id")).otherwise(F.col("b_id")).alias("left"), F.when(ahead, F.col("b_id")).otherwise(F.col("a_id")).alias("right"))
     own = lambda end: r.select("group_id", F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("c", "size", "x0", "x1", "lo", "hi")])
     pairs = far.unionByName(near).distinct().join(own("left"), ["group_id", "left"]).join(own("right"), ["group_id", "right"])
     ox = F.greatest(F.lit(0.0), F.col("left_x1") - F.col("right_x0"))
@@ -160,16 +225,20 @@ def sweep(lo: np.ndarray, hi: np.ndarray, c: np.ndarray, size: np.ndarray) -> tu
     return left, right, (size[left] + size[right]) / 2
 
 
-def listed(box: np.ndarray, c: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The constraints of neighbour_constraints for one group in memory; other: centres on the y axis."""
+def listed(box: np.ndarray, c: np.ndarray, size: np.ndarray, other: np.ndarray, borders: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The constraints of neighbour_constraints for one group in memory; other: centres on the y axis. borders: overlaps are told by the borders in box, else by c, size and other."""
     n = len(c)
     rank = np.empty(n, int)
     rank[np.lexsort((np.arange(n), c))] = np.arange(n)
     open_ = (box[:, None, 2] <= box[None, :, 3]) & (box[None, :, 2] <= box[:, None, 3])
     ahead = open_ & (rank[:, None] < rank[None, :])
-    half, high_y = size / 2, (box[:, 3] - box[:, 2]) / 2
-    ox = np.maximum(0.0, half[:, None] + half[None, :] - (c[None, :] - c[:, None]))
-    oy = np.maximum(0.0, high_y[:, None] + high_y[None, :] - np.abs(other[None, :] - other[:, None]))
+    if borders:
+        ox = np.maximum(0.0, box[:, None, 1] - box[None, :, 0])
+        oy = np.maximum(0.0, np.where(other[:, None] <= other[None, :], box[:, None, 3] - box[None, :, 2], box[None, :, 3] - box[:, None, 2]))
+    else:
+        half, high_y = size / 2, (box[:, 3] - box[:, 2]) / 2
+        ox = np.maximum(0.0, half[:, None] + half[None, :] - (c[None, :] - c[:, None]))
+        oy = np.maximum(0.0, high_y[:, None] + high_y[None, :] - np.abs(other[None, :] - other[:, None]))
     apart = ahead & (ox <= 0)
     stop = np.where(apart, rank[None, :], n).min(1)
     stop_back = np.where(apart, rank[:, None], -1).max(0)
