@@ -80,7 +80,8 @@ def different_terms(texts: DataFrame) -> int:
 def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
     """(vectors, vocabulary) of term_texts. vectors: g, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term."""
     spark = texts.sparkSession
-    rows = texts.filter("terms IS NOT NULL").select("g", F.split("terms", " ").alias("terms"))
+    # No array is null, as the model may be evaluated ahead of the filter.
+    rows = texts.filter("terms IS NOT NULL").select("g", F.split(F.coalesce("terms", F.lit("")), " ").alias("terms"))
     models = 1 + int(1.2 * different_terms(texts)) // model_terms
     # A term that every vocabulary has, so that none is empty.
     base = spark.range(min_docs).select(F.lit(0).cast("long").alias("g"), F.array(F.lit(END)).alias("terms"))
