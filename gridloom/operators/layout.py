@@ -2,8 +2,9 @@
 
 One iteration moves each axis down the gradient with the exact step of the quadratic model,
 projects onto the separations (and non-overlap constraints) and shortens the move where the
-projection bends it; Runge-Kutta combines four such positions. Graphs are independent, so
-many run at once; a graph's square of distances must fit a task.
+projection bends it; Runge-Kutta combines four such positions. Graphs are independent: many go to
+a task, and there those of as many nodes are arrays side by side; a graph's square of distances
+must fit a task.
 """
 
 from __future__ import annotations
@@ -12,14 +13,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import written
 from .graph import both_ways, sanitised
 from .overlap import EXTRA_GAP, sweep
 from .projection import solve_separation
 from .stress import DESIRED_FACTOR, LOCK_WEIGHT
 
+#: Rows of nodes and edges that a task takes at once, pairs of nodes in arrays side by side (about).
+BATCH, CELLS = 8_000, 1 << 15
+
 
 @dataclass(frozen=True)
 class LayoutSpec:
@@ -37,94 +43,114 @@ class LayoutSpec:
     separations: tuple[tuple, ...] = field(default_factory=tuple)
 
 
-class _Graph:
-    """One graph's arrays and one iteration over them."""
+class _Graphs:
+    """Graphs of as many nodes each, side by side, and one iteration over them. pos: graph, node, axis; src, dst: nodes of the graphs that of names."""
+
+    #: What each graph has of its own.
+    OWN = ("size", "lock", "wish", "wish_weight", "d", "near", "linked", "safe", "square", "least")
 
-    def __init__(self, spec: LayoutSpec, pos: np.ndarray, size: np.ndarray, src: np.ndarray, dst: np.ndarray, length: np.ndarray, lock: np.ndarray, wish: np.ndarray, wish_weight: np.ndarray):
-        n = len(pos)
+    def __init__(self, spec: LayoutSpec, pos: np.ndarray, size: np.ndarray, of: np.ndarray, src: np.ndarray, dst: np.ndarray, length: np.ndarray, lock: np.ndarray, wish: np.ndarray, wish_weight: np.ndarray):
+        m, n = pos.shape[:2]
         self.spec, self.size, self.lock, self.wish, self.wish_weight = spec, size, lock, wish, wish_weight
-        d = np.full((n, n), np.inf)
-        np.minimum.at(d, (src, dst), length)
-        np.minimum.at(d, (dst, src), length)
-        np.fill_diagonal(d, 0.0)
+        d, self.near = np.full((m, n, n), np.inf), np.zeros((m, n, n), bool)
+        for u, v in ((src, dst), (dst, src)):
+            np.minimum.at(d.reshape(-1), (of * n + u) * n + v, length)
+            self.near[of, u, v] = True
+        d[:, range(n), range(n)] = 0.0
         for k in range(n):
-            np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
+            np.minimum(d, d[:, :, k, None] + d[:, k, None, :], out=d)
         self.d = d * spec.ideal_length
-        self.near = np.zeros((n, n), bool)
-        self.near[src, dst] = self.near[dst, src] = True
         self.linked = np.isfinite(d) & ~np.eye(n, dtype=bool)
         if spec.neighbours_only:
             self.linked &= self.near
         self.safe = np.where(self.linked, self.d, 1.0)
+        self.square = self.safe**2
         self.rules = [s for s in spec.separations if s[1] < n and s[2] < n]
-        positive = self.d[self.linked]
-        self.least = float(positive.min()) if len(positive) else 1.0
+        least = np.where(self.linked, self.d, np.inf).min((1, 2), initial=np.inf)
+        self.least = np.where(np.isfinite(least), least, 1.0)
+
+    def keep(self, go: np.ndarray) -> None:
+        """Graphs that have stopped leave the arrays."""
+        for name in self.OWN:
+            setattr(self, name, getattr(self, name)[go])
 
     def apart(self, pos: np.ndarray) -> np.ndarray:
         """Nodes on one spot are moved a little, in directions that depend on their number only."""
         out = pos.copy()
-        _, first = np.unique(np.round(pos, 2), axis=0, return_index=True)
-        for i in np.setdiff1d(np.arange(len(pos)), first):
-            turn = 2.399963 * (i + 1)
-            way = np.array([np.cos(turn), np.sin(turn), np.cos(1.3 * turn)])[: pos.shape[1]]
-            out[i] += 0.1 * self.least * way / np.linalg.norm(way)
+        m, n, dims = pos.shape
+        spot = np.round(pos, 2).reshape(m * n, dims)
+        of = np.repeat(np.arange(m), n)
+        order = np.lexsort((*spot.T, of))
+        same = (spot[order[1:]] == spot[order[:-1]]).all(1) & (of[order[1:]] == of[order[:-1]])
+        g, i = np.divmod(order[1:][same], n)
+        turn = 2.399963 * (i + 1)
+        way = np.stack([np.cos(turn), np.sin(turn), np.cos(1.3 * turn)], 1)[:, :dims]
+        out[g, i] += 0.1 * self.least[g, None] * way / np.linalg.norm(way, axis=1, keepdims=True)
         return out
 
-    def pairs(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        diff = pos[:, None, :] - pos[None, :, :]
-        l = np.sqrt((diff**2).sum(-1))
+    def pairs(self, pos: np.ndarray, axis: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How far nodes are from each other on the axis and in all, and which pairs count."""
+        diff = [pos[:, :, None, a] - pos[:, None, :, a] for a in range(pos.shape[2])]
+        l = np.sqrt(sum(d * d for d in diff))
         on = self.linked & ~((l > self.d) & ~self.near) if self.spec.skip_distant else self.linked
-        return diff, l, on
+        return diff[axis], l, on
 
-    def stress(self, pos: np.ndarray) -> float:
+    def stress(self, pos: np.ndarray) -> np.ndarray:
         _, l, on = self.pairs(pos)
-        s = np.where(on, (self.safe - l) ** 2 / self.safe**2, 0.0).sum() / 2
-        s += LOCK_WEIGHT * np.nansum((pos - self.lock) ** 2)
-        return float(s + DESIRED_FACTOR * np.nansum(self.wish_weight[:, None] * (pos - self.wish) ** 2))
+        s = np.where(on, (self.safe - l) ** 2 / self.square, 0.0).reshape(len(pos), -1).sum(1) / 2
+        s += LOCK_WEIGHT * np.nansum((pos - self.lock) ** 2, (1, 2))
+        return s + DESIRED_FACTOR * np.nansum(self.wish_weight[:, :, None] * (pos - self.wish) ** 2, (1, 2))
 
     def project(self, goal: np.ndarray, pos: np.ndarray, axis: int) -> np.ndarray:
-        n = len(goal)
-        weight = np.ones(n)
-        locked = np.isfinite(self.lock[:, axis])
-        goal = np.where(locked, self.lock[:, axis], goal)
-        weight[locked] = LOCK_WEIGHT
-        left, right, gap = [np.array(c) for c in zip(*[(r[1], r[2], r[3]) for r in self.rules if r[0] == axis], strict=True)] or [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
-        equal = np.array([bool(r[4]) for r in self.rules if r[0] == axis], bool)
+        m, n = goal.shape
+        locked = np.isfinite(self.lock[:, :, axis])
+        goal = np.where(locked, self.lock[:, :, axis], goal)
+        # The variables of all graphs in one row.
+        base = n * np.arange(m)[:, None]
+        rules = [r for r in self.rules if r[0] == axis]
+        left, right = ((base + np.array([r[k] for r in rules], int)).ravel() for k in (1, 2))
+        gap, equal = (np.tile(np.array([r[k] for r in rules], t), m) for k, t in ((3, float), (4, bool)))
         if self.spec.avoid_overlaps and axis < 2:
             o = 1 - axis
-            half = self.size[:, o] / 2
-            a, b, g = sweep(pos[:, o] - half, pos[:, o] + half, pos[:, axis], self.size[:, axis] + EXTRA_GAP)
+            half = self.size[:, :, o] / 2
+            swept = [sweep(p[:, o] - h, p[:, o] + h, p[:, axis], s[:, axis] + EXTRA_GAP) for p, h, s in zip(pos, half, self.size)]
+            a, b, g = (np.concatenate([x[k] + n * i * (k < 2) for i, x in enumerate(swept)]) for k in range(3))
             left, right, gap, equal = np.r_[left, a].astype(int), np.r_[right, b].astype(int), np.r_[gap, g], np.r_[equal, np.zeros(len(a), bool)]
-        if not len(gap) and not locked.any():
+        if not len(gap):
             return goal
-        return solve_separation(goal, weight, np.ones(n), left.astype(int), right.astype(int), gap.astype(float), equal)[0]
+        # What is under no rule keeps its goal.
+        v = np.unique(np.r_[left, right])
+        x = goal.ravel()
+        x[v] = solve_separation(x[v], np.where(locked.ravel()[v], LOCK_WEIGHT, 1.0), np.ones(len(v)), np.searchsorted(v, left), np.searchsorted(v, right), gap, equal)[0]
+        return x.reshape(m, n)
 
     def descend(self, pos: np.ndarray) -> np.ndarray:
         pos = pos.copy()
+        n = pos.shape[1]
+        diagonal = np.arange(n)
+        along = lambda h, u, v: (np.matmul(u[:, None, :], h)[:, 0] * v).sum(1)
+        over = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=np.abs(b) > 1e-30)
         for axis in self.spec.move_axes[: self.spec.dims]:
-            diff, l, on = self.pairs(pos)
+            a, l, on = self.pairs(pos, axis)
             l = np.where(l > 0, l, 1.0)
-            a = diff[:, :, axis]
-            grad = np.where(on, a * (l - self.safe) / (self.safe**2 * l), 0.0).sum(1)
-            h = np.where(on, (self.safe * (l * l - a * a) / l**3 - 1) / self.safe**2, 0.0)
-            h[np.diag_indices_from(h)] = -h.sum(1)
-            wished = np.isfinite(self.wish[:, axis])
-            grad[wished] -= (self.wish_weight * (self.wish[:, axis] - pos[:, axis]))[wished]
-            h[np.diag_indices_from(h)] += np.where(wished, self.wish_weight, 0.0)
-            den = grad @ h @ grad
-            step = grad @ grad / den if abs(den) > 1e-30 else 0.0
-            most = np.abs(grad).max() if len(grad) else 0.0
-            limit = self.spec.ideal_length * len(grad)
-            if most * abs(step) > limit:
-                step = np.sign(step) * limit / most
-            x = pos[:, axis]
-            goal = self.project(x - step * grad, pos, axis)
+            grad = np.where(on, a * (l - self.safe) / (self.square * l), 0.0).sum(2)
+            ll = l * l
+            h = np.where(on, (self.safe * (ll - a * a) / (ll * l) - 1) / self.square, 0.0)
+            h[:, diagonal, diagonal] = -h.sum(2)
+            x = pos[:, :, axis]
+            wished = np.isfinite(self.wish[:, :, axis])
+            grad -= np.where(wished, self.wish_weight * (self.wish[:, :, axis] - x), 0.0)
+            h[:, diagonal, diagonal] += np.where(wished, self.wish_weight, 0.0)
+            step = over((grad * grad).sum(1), along(h, grad, grad))
+            most = np.abs(grad).max(1, initial=0.0)
+            limit = self.spec.ideal_length * n
+            step = np.where(most * np.abs(step) > limit, np.sign(step) * limit / np.where(most > 0, most, 1.0), step)
+            goal = self.project(x - step[:, None] * grad, pos, axis)
             move = x - goal
-            den = move @ h @ move
-            beta = min(1.0, max(0.0, grad @ move / den)) if abs(den) > 1e-30 else 0.0
+            beta = np.clip(over((grad * move).sum(1), along(h, move, move)), 0.0, 1.0)
             # A move the constraints ask for is made in full.
-            bound = any(r[0] == axis for r in self.rules) or self.spec.avoid_overlaps or np.isfinite(self.lock[:, axis]).any()
-            pos[:, axis] = goal if bound else x - beta * move
+            bound = any(r[0] == axis for r in self.rules) or self.spec.avoid_overlaps or np.isfinite(self.lock[:, :, axis]).any(1, keepdims=True)
+            pos[:, :, axis] = np.where(bound, goal, x - beta[:, None] * move)
         return pos
 
     def iterate(self, pos: np.ndarray) -> np.ndarray:
@@ -138,24 +164,31 @@ class _Graph:
         else:
             pos = self.descend(start)
         for axis in self.spec.move_axes[: self.spec.dims]:
-            pos[:, axis] = self.project(pos[:, axis], pos, axis)
+            pos[:, :, axis] = self.project(pos[:, :, axis], pos, axis)
         return pos
 
-    def run(self, pos: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        trace, k = [self.stress(pos)], 0
+    def run(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Positions, the stress there, iterations, and for each iteration (from 0) the graphs that had it and their stress. Each graph stops by itself."""
+        at, now = np.arange(len(pos)), self.stress(pos)
+        out, after, iterations, said, k = pos.copy(), now.copy(), np.zeros(len(pos), np.int64), [(at, now)], 0
         # Without constraints the least stress on the way is the result; with them the start may break them.
-        free = not (self.rules or self.spec.avoid_overlaps or np.isfinite(self.lock).any())
-        best = trace[0], pos
-        while True:
+        free = ~(np.isfinite(self.lock).any((1, 2)) | bool(self.rules) | self.spec.avoid_overlaps)
+        best, best_pos = now, pos
+        while len(at):
             k += 1
             pos = self.iterate(pos)
-            trace.append(self.stress(pos))
-            old, new = trace[-2], trace[-1]
+            old, now = now, self.stress(pos)
+            said.append((at, now))
+            better = now < best
+            best, best_pos = np.where(better, now, best), np.where(better[:, None, None], pos, best_pos)
             used = k >= self.spec.max_iterations if k == 1 else k > self.spec.max_iterations
-            if new < best[0]:
-                best = new, pos
-            if used or (k > 1 and (old - new) / (new + 1e-30) < self.spec.tolerance):
-                return (best[1] if free else pos), trace
+            stop = ((old - now) / (now + 1e-30) < self.spec.tolerance) & (k > 1) | used
+            if stop.any():
+                done, go = at[stop], ~stop
+                out[done], after[done], iterations[done] = np.where(free[:, None, None], best_pos, pos)[stop], np.where(free, best, now)[stop], k
+                self.keep(go)
+                at, pos, now, best, best_pos, free = (a[go] for a in (at, pos, now, best, best_pos, free))
+        return out, after, iterations, said
 
 
 def layout(nodes: DataFrame, edges: DataFrame, spec: LayoutSpec = LayoutSpec(), locks: DataFrame | None = None, desired: DataFrame | None = None, trace: bool = False) -> DataFrame:
@@ -175,23 +208,53 @@ def layout(nodes: DataFrame, edges: DataFrame, spec: LayoutSpec = LayoutSpec(),
     dims = spec.dims
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = left.sort_by("node_id")
-        ids = t.column("node_id").to_numpy()
+        t = left.sort_by([("graph_id", "ascending"), ("node_id", "ascending")])
+        graphs = t.column("graph_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        of, ids = graphs.indices.to_numpy(), t.column("node_id").to_numpy()
+        own, nodes_of = pc.index_in(right.column("graph_id").combine_chunks(), graphs.dictionary).to_numpy(zero_copy_only=False), np.bincount(of)
+        # Graphs of as many nodes stand side by side.
+        turn = np.argsort(nodes_of, kind="stable")
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
+        order = np.argsort(rank[own], kind="stable")
+        own = own[order]
+        names = np.unique(ids)
+        first = np.r_[0, np.cumsum(nodes_of)]
+        key = of * np.int64(len(names) + 1) + np.searchsorted(names, ids)
+        place = lambda c: np.searchsorted(key, own * np.int64(len(names) + 1) + np.searchsorted(names, right.column(c).to_numpy()[order])) - first[own]
+        src, dst, length = place("src"), place("dst"), right.column("length").to_numpy()[order]
         m = lambda p: np.stack([np.asarray(t.column(p + a).to_pandas(), float) for a in axes[:dims]], 1)
-        at = lambda c: np.searchsorted(ids, right.column(c).to_numpy())
+        pos, lock, wish = m(""), m("lock_"), m("wish_")
         size = np.stack([t.column("w").to_numpy(), t.column("h").to_numpy()], 1)
         weight = np.nan_to_num(np.asarray(t.column("wish_weight").to_pandas(), float))
-        g = _Graph(spec, m(""), size, at("src"), at("dst"), right.column("length").to_numpy(), m("lock_"), m("wish_"), weight)
-        pos, said = g.run(m(""))
-        graph = t.column("graph_id")[0].as_py()
+        before, after, iterations, traced = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), []
+        at = 0
+        while at < len(turn):
+            n = int(nodes_of[turn[at]])
+            to = min(at + max(1, CELLS // (n * n)), int(np.searchsorted(nodes_of[turn], n, "right")))
+            v = first[turn[at:to], None] + np.arange(n)
+            e = slice(*np.searchsorted(rank[own], (at, to)))
+            g = _Graphs(spec, pos[v], size[v], rank[own[e]] - at, src[e], dst[e], length[e], lock[v], wish[v], weight[v])
+            pos[v], stress, used, said = g.run(pos[v])
+            before[v], after[v], iterations[v] = said[0][1][:, None], stress[:, None], used[:, None]
+            traced += [(turn[at + which], np.full(len(which), k), s) for k, (which, s) in enumerate(said)]
+            at = to
+        graph = t.column("graph_id").cast(pa.int64())
         if trace:
-            return pa.table({"graph_id": pa.array([graph] * len(said), pa.int64()), "iteration": pa.array(range(len(said)), pa.int64()), "stress": said})
+            which, k, s = (np.concatenate(c) for c in zip(*traced))
+            return pa.table({"graph_id": graph.take(pa.array(first[which])), "iteration": pa.array(k, pa.int64()), "stress": s})
         out = {a: pos[:, i] if i < dims else t.column(a) for i, a in enumerate(axes)}
-        k = len(ids)
-        return pa.table({"graph_id": pa.array([graph] * k, pa.int64()), "node_id": t.column("node_id"), **out, "w": t.column("w"), "h": t.column("h"), "stress_before": [said[0]] * k, "stress_after": [g.stress(pos)] * k, "iterations": pa.array([len(said) - 1] * k, pa.int64())})
+        return pa.table({"graph_id": graph, "node_id": t.column("node_id"), **out, "w": t.column("w"), "h": t.column("h"), "stress_before": before, "stress_after": after, "iterations": pa.array(iterations, pa.int64())})
 
     schema = "graph_id long, iteration long, stress double" if trace else "graph_id long, node_id long, x double, y double, z double, w double, h double, stress_before double, stress_after double, iterations long"
-    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInArrow(solve, schema)
+    n, e = written(n, "nodes"), written(e, "edges")
+    batches = max(8, (n.count() + e.count()) // BATCH)
+    spark = nodes.sparkSession
+    # As many partitions as there are tasks to run, as rows are small and a graph takes long.
+    parts = min(batches, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    many = lambda df: df.withColumn("batch", F.pmod(F.xxhash64("graph_id"), F.lit(batches))).repartition(parts, "batch").groupBy("batch")
+    # Edges lie between nodes, so no batch has edges alone.
+    return many(n).cogroup(many(e)).applyInArrow(solve, schema)
 
 
 class LayoutSession:
