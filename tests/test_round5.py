@@ -1,10 +1,12 @@
 """What goes side by side or in one task gives what one at a time gives."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import layout as Y
+from gridloom.operators import tiles as K
 
 NODE, EDGE = "graph_id long, node_id long, x double, y double, w double, h double", "graph_id long, edge_idx long, src long, dst long, length double"
 
@@ -46,3 +48,30 @@ def test_layouts_of_many_graphs_are_those_alone(spark):
     last = trace.groupBy("graph_id").agg(F.max("iteration").alias("iterations"))
     assert last.join(together, ["graph_id", "iterations"], "left_semi").count() == 300
     assert Y.layout(n.limit(0), e, spec).count() == 0
+
+
+def test_tiles_of_the_same_sides_are_one_stack():
+    """Tiles of two shapes, known or not and with or without a way, in one record batch (before: a record batch of pairs for each tile)."""
+    r = np.random.default_rng(1)
+    tile = lambda *s: np.where(r.random(s) < 0.3, np.inf, r.integers(1, 9, s).astype(float))
+    rows, want = [], []
+    for g in range(40):
+        h, w, t = (2, 3, 4) if g % 3 else (3, 3, 2)
+        d, left, right = tile(h, w), tile(h, t), tile(t, w)
+        known, way = g % 4 != 1, g % 5 != 2 or g % 4 == 1
+        rows.append((g, 1, 2, h, w, 3, d.tobytes() if known else None, left.tobytes() if way else None, right.tobytes() if way else None))
+        both = (left[:, :, None] + right[None]).min(1) if way else np.inf
+        want.append(np.minimum(d if known else np.inf, both))
+    types = [pa.int64(), *[pa.int32()] * 5, *[pa.binary()] * 3]
+    b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*K.FACTS, "d", "left", "right"])
+    got = pa.Table.from_batches(K._made(K._elsewhere, K._ways)(iter([b])))
+    assert {x["graph_id"]: x["d"] for x in got.to_pylist()} == {g: d.tobytes() for g, d in enumerate(want)}
+    ids = [got.column(s).combine_chunks().to_pylist() for s in ("high", "wide")]
+    pairs = got.append_column("from_ids", pa.array([[7 * i for i in range(h)] for h in ids[0]])).append_column("to_ids", pa.array([[9 * i for i in range(w)] for w in ids[1]]))
+    out = list(K._pairs(iter(pairs.combine_chunks().to_batches())))
+    assert len(out) == 2
+    assert sorted(map(tuple, pd_rows(out))) == sorted((g, 7 * i, 9 * j, d[i, j]) for g, d in enumerate(want) for i, j in zip(*np.nonzero(np.isfinite(d))))
+
+
+def pd_rows(batches):
+    return (x.values() for x in pa.Table.from_batches(batches).to_pylist())
