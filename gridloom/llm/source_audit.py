@@ -1,19 +1,22 @@
 """Source divergence audit: how the sources of a language differ in their words.
 
-CountVectorizer builds each document's exact sparse vector of term counts. One model has the
+CountVectorizer builds each document's exact sparse vectors: one for the terms that it has once, one
+for those that it has twice, and so on, so a term is looked up once for each document. One model has the
 vocabularies of all languages, as its terms carry their language; it keeps the terms of at least
-MIN_DOCS documents and has no other limit. Vectors are summed by language and source as entries,
-never as dense vectors, and pairs of sources are evaluated on the terms that either of them has:
+MIN_DOCS documents and has no other limit. Vectors are summed by language and source as entries, in
+Arrow batches first, never as dense vectors, and pairs of sources are evaluated on the terms that either of them has:
 all terms that neither has give the same value.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +35,8 @@ MIN_DOCS, TOP_TERMS, UNIT = 10, 10, 1_000_000_000
 MAX_VOCAB = 2**31 - 1
 #: Different terms, kept or not, that one model may meet (about), and the smallest hashes that estimate how many there are. More terms are dealt to several models by their hashes, so that no vocabulary outgrows a task or the driver.
 MODEL_TERMS, SMALLEST = 1 << 23, 1024
+#: Entries of vectors that a task sums at once.
+ENTRIES = 1 << 20
 #: Between a language and a term; no term has it.
 END = "\0"
 #: Bytes of a language that its terms carry as %XX.
@@ -50,23 +55,30 @@ def probability(count: str, total: str, terms: str) -> Column:
 
 
 def term_texts(docs: DataFrame) -> DataFrame:
-    """The terms of docs (g, lang, text) as texts: g, terms (each with its language, joined by spaces), least (the smallest hashes of the terms of some rows, null for most)."""
-    fields = pa.schema([("g", pa.int64()), ("terms", pa.string()), ("least", pa.list_(pa.int64()))])
+    """The terms of docs (g, lang, text) as texts: g, times, terms (those that a document has so many times, each once with its language, joined by spaces), least (the smallest hashes of the terms of some rows, null for most). Documents without terms have no row."""
+    fields = pa.schema([("g", pa.int64()), ("times", pa.int64()), ("terms", pa.string()), ("least", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, lang, texts = batch.column(0), batch.column(1).to_pylist(), binary_list(batch.column(2))
+            g, lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_list(batch.column(2))
             for at in range(0, len(texts), 500):
                 out, seen = [], {}
-                for own, text in zip(lang[at : at + 500], texts[at : at + 500]):
+                for group, own, text in zip(g[at : at + 500], lang[at : at + 500], texts[at : at + 500]):
                     tag = ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], own.encode()) + END.encode()
-                    words = text.translate(TO_TERMS).split()
-                    seen.setdefault(tag, set()).update(words)
-                    out.append(tag + (b" " + tag).join(words) if words else None)
-                few = np.sort(np.array([xxhash.xxh3_64_intdigest(tag + w) for tag, words in seen.items() for w in words], np.uint64))[:SMALLEST].view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([g.slice(at, 500), pa.array(out, pa.binary()).cast(pa.string()), pa.array([few, *[None] * (len(out) - 1)], fields.field(2).type)], schema=fields)
-
-    return docs.select("g", "lang", "text").mapInArrow(run, "g long, terms string, least array<long>")
+                    counts, by_times = Counter(text.translate(TO_TERMS).split()), {}
+                    seen.setdefault(tag, set()).update(counts)
+                    for word, n in counts.items():
+                        if n in by_times:
+                            by_times[n].append(word)
+                        else:
+                            by_times[n] = [word]
+                    out += [(group, n, tag + (b" " + tag).join(words)) for n, words in by_times.items()]
+                if out:
+                    few = np.sort(np.array([xxhash.xxh3_64_intdigest(tag + w) for tag, words in seen.items() for w in words], np.uint64))[:SMALLEST].view(np.int64).tolist()
+                    group, n, terms = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([few, *[None] * (len(out) - 1)], fields.field(3).type)], schema=fields)
+
+    return docs.select("g", "lang", "text").mapInArrow(run, "g long, times long, terms string, least array<long>")
 
 
 def different_terms(texts: DataFrame) -> int:
@@ -78,13 +90,13 @@ def different_terms(texts: DataFrame) -> int:
 
 
 def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary) of term_texts. vectors: g, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term."""
+    """(vectors, vocabulary) of term_texts. vectors: g, times, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term."""
     spark = texts.sparkSession
     # No array is null, as the model may be evaluated ahead of the filter.
-    rows = texts.filter("terms IS NOT NULL").select("g", F.split(F.coalesce("terms", F.lit("")), " ").alias("terms"))
+    rows = texts.filter("terms IS NOT NULL").select("g", "times", F.split(F.coalesce("terms", F.lit("")), " ").alias("terms"))
     models = 1 + int(1.2 * different_terms(texts)) // model_terms
     # A term that every vocabulary has, so that none is empty.
-    base = spark.range(min_docs).select(F.lit(0).cast("long").alias("g"), F.array(F.lit(END)).alias("terms"))
+    base = spark.range(min_docs).select(F.lit(0).cast("long").alias("g"), F.lit(1).cast("long").alias("times"), F.array(F.lit(END)).alias("terms"))
     vectors, vocabulary = None, None
     for k in range(models):
         part = rows if models == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
@@ -93,16 +105,47 @@ def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int =
         model.save(path)
         key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(F.col("key") != END)
         words = key.select(F.lit(k).alias("model"), "i", F.url_decode(F.substring_index("key", END, 1)).alias("lang"), F.substring_index("key", END, -1).alias("term"))
-        vecs = model.transform(part).select("g", F.lit(k).alias("model"), "counts")
+        vecs = model.transform(part).select("g", "times", F.lit(k).alias("model"), "counts")
         vectors = vecs if vectors is None else vectors.unionByName(vecs)
         vocabulary = words if vocabulary is None else vocabulary.unionByName(words)
     return vectors, vocabulary
 
 
+def summed_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, model, i, n of rows g, times, model, indices, values: their sums over about ENTRIES entries at a time."""
+    held, many = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        g, model, size, i, n = (np.concatenate(c) for c in zip(*held))
+        groups, of = np.unique(g, return_inverse=True)
+        models, own = np.unique(model, return_inverse=True)
+        key = np.repeat((of * len(models) + own) << 32, size) | i
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n, key = np.add.reduceat(n[order], at), key[at]
+        of, own = np.divmod(key >> 32, len(models))
+        whole = pa.RecordBatch.from_arrays([pa.array(groups[of]), pa.array(models[own]), pa.array((key & (2**32 - 1)).astype(np.int32)), pa.array(n)], ["g", "model", "i", "n"])
+        yield from (whole.slice(at, 50_000) for at in range(0, len(n), 50_000))
+
+    for b in batches:
+        size = pc.fill_null(pc.list_value_length(b.column("indices")), 0).to_numpy()
+        i, value = (b.column(c).flatten().to_numpy() for c in ("indices", "values"))
+        if not len(i):
+            continue
+        held.append((b.column("g").to_numpy(), b.column("model").to_numpy(), size, i.astype(np.int64), value.astype(np.int64) * np.repeat(b.column("times").to_numpy(), size)))
+        many += len(i)
+        if many >= ENTRIES:
+            yield from flush()
+            held, many = [], 0
+    if held:
+        yield from flush()
+
+
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """g, model, i, n: the sums of sparse vectors by group, of the entries that they have."""
-    v = vectors.select("g", "model", F.unwrap_udt("counts").alias("v")).select("g", "model", F.col("v.values").alias("values"), F.posexplode("v.indices").alias("at", "i"))
-    return v.select("g", "model", "i", F.expr("CAST(values[at] AS LONG)").alias("n")).groupBy("g", "model", "i").agg(F.sum("n").alias("n"))
+    """g, model, i, n: the sums of sparse vectors, each as often as its times, by group, of the entries that they have."""
+    v = vectors.select("g", "times", "model", F.unwrap_udt("counts").alias("v")).select("g", "times", "model", F.col("v.indices").alias("indices"), F.col("v.values").alias("values"))
+    return v.mapInArrow(summed_entries, "g long, model int, i int, n long").groupBy("g", "model", "i").agg(F.sum("n").alias("n"))
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:

@@ -1,0 +1,33 @@
+"""Sums of sparse vectors in Arrow batches."""
+
+import numpy as np
+import pyarrow as pa
+
+from gridloom.llm import source_audit as A
+
+
+def test_terms_reach_the_model_once_for_each_document(spark):
+    """A term that a document has several times is in one row, with its times (before: as often as it occurs)."""
+    docs = spark.createDataFrame([(1, "en", "b a b, c B a"), (2, "de", None), (1, "en", "a"), (3, "", "x")], "g long, lang string, text string")
+    got = sorted((r.g, r.times, sorted(r.terms.split(" "))) for r in A.term_texts(docs).collect())
+    assert got == [(1, 1, ["en\0a"]), (1, 1, ["en\0c"]), (1, 2, ["en\0a"]), (1, 3, ["en\0b"]), (3, 1, ["\0x"])]
+
+
+def test_sums_in_batches_are_those_by_entry(monkeypatch):
+    """Groups of any number (negative ones too), several models, rows without entries, and more entries than are summed at once."""
+    monkeypatch.setattr(A, "ENTRIES", 40)
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for _ in range(300):
+        g, times, model, k = int(r.choice([-(2**63), -5, 0, 2**62])), int(r.integers(1, 2**33)), int(r.integers(0, 2)), int(r.integers(0, 6))
+        i, v = sorted(r.choice([0, 1, 2, 7, 2**31 - 1], min(k, 5), replace=False).tolist()), r.integers(1, 4, min(k, 5)).astype(float).tolist()
+        rows.append((g, times, model, i, v))
+        for j, x in zip(i, v):
+            want[g, model, j] = want.get((g, model, j), 0) + times * int(x)
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    t = pa.Table.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=["g", "times", "model", "indices", "values"])
+    got: dict = {}
+    for b in A.summed_entries(iter(t.to_batches(max_chunksize=10))):
+        for x in b.to_pylist():
+            got[x["g"], x["model"], x["i"]] = got.get((x["g"], x["model"], x["i"]), 0) + x["n"]
+    assert got == want and list(A.summed_entries(iter(t.slice(0, 0).to_batches()))) == []
