@@ -1,7 +1,7 @@
 """Source divergence audit: how the sources of a language differ in their words.
 
-CountVectorizer builds each document's exact sparse vectors: one for the terms that it has once, one
-for those that it has twice, and so on, so a term is looked up once for each document. One model has the
+CountVectorizer builds exact sparse vectors of documents of a group: one for the terms that they have once, one
+for those that they have twice, and so on, so a term is looked up once for many documents. One model has the
 vocabularies of all languages, as its terms carry their language; it keeps the terms of at least
 MIN_DOCS documents and has no other limit. Vectors are summed by language and source as entries, in
 Arrow batches first, never as dense vectors, and pairs of sources are evaluated on the terms that either of them has:
@@ -11,8 +11,9 @@ all terms that neither has give the same value.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MAX_VOCAB = 2**31 - 1
 MODEL_TERMS, SMALLEST = 1 << 23, 1024
 #: Entries of vectors that a task sums at once.
 ENTRIES = 1 << 20
+#: Terms of documents that a task counts together, and terms of a row.
+HELD, ROW_TERMS = 1 << 20, 10_000
 #: Between a language and a term; no term has it.
 END = "\0"
 #: Bytes of a language that its terms carry as %XX.
@@ -54,38 +57,88 @@ def probability(count: str, total: str, terms: str) -> Column:
     return F.when(F.expr(f"{terms} > 0"), 1 + F.expr(f"CAST({UNIT} AS DECIMAL(10, 0)) * ({wide(count)} + 2) div nullif({wide(total)} + 2 * {wide(terms)}, 0)"))
 
 
-def term_texts(docs: DataFrame) -> DataFrame:
-    """The terms of docs (g, lang, text) as texts: g, times, terms (those that a document has so many times, each once with its language, joined by spaces), least (the smallest hashes of the terms of some rows, null for most). Documents without terms have no row."""
-    fields = pa.schema([("g", pa.int64()), ("times", pa.int64()), ("terms", pa.string()), ("least", pa.list_(pa.int64()))])
+class Numbers(dict):
+    """term -> its number, in the order of first sight."""
+
+    def __missing__(self, term: bytes) -> int:
+        value = self[term] = len(self)
+        return value
+
+
+def rows_by_count(tag: bytes, names: list[bytes], of: np.ndarray, i: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(of, n, the names of number i that have both, tagged and joined by spaces), at most ROW_TERMS to a row."""
+    order = np.lexsort((n, of))
+    of, i, n = of[order], i[order].tolist(), n[order]
+    edges = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (n[1:] != n[:-1])) + 1).tolist(), len(i)]
+    for begin, end in pairwise(edges):
+        for k in range(begin, end, ROW_TERMS):
+            yield int(of[k]), int(n[k]), tag + (b" " + tag).join([names[j] for j in i[k : min(k + ROW_TERMS, end)]])
+
+
+def term_texts(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = 0) -> DataFrame:
+    """The terms of docs (g, lang, text) as texts: g, times, terms (those that documents of g have so many times together, each once with its language, joined by spaces), docs, found (terms, each once, that so many of the documents have; min_docs stands for more), least (the smallest hashes of the terms of some rows, null for most).
+
+    Documents that follow each other are counted together, up to about held terms of documents; with 0 each document is counted by
+    itself. terms or found is null where there are more of the other; documents without terms have no row.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    fields = pa.schema([("g", pa.int64()), ("times", pa.int64()), ("terms", pa.string()), ("docs", pa.int64()), ("found", pa.string()), ("least", pa.list_(pa.int64()))])
+
+    def flush(numbers: dict[bytes, Numbers], entries: dict[bytes, list]) -> pa.RecordBatch:
+        terms, found, hashes = [], [], []
+        for tag, own in numbers.items():
+            g, i, n = zip(*entries[tag])
+            names, (groups, at) = list(own), np.unique(np.array(g, np.int64), return_inverse=True)
+            of, i, n = np.repeat(at, [len(x) for x in i]), np.concatenate(i), np.concatenate(n)
+            key = of << 32 | i
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, sums = key[at], np.add.reduceat(n[order], at)
+            terms += [(int(groups[k]), *row) for k, *row in rows_by_count(tag, names, key >> 32, key & (2**32 - 1), sums)]
+            df = np.minimum(np.bincount(i, minlength=len(own)), min_docs)
+            found += [row for _, *row in rows_by_count(tag, names, np.zeros(len(own), np.int64), np.arange(len(own)), df)]
+            hashes += [xxhash.xxh3_64_intdigest(tag + w) for w in names]
+        few = np.sort(np.array(hashes, np.uint64))[:SMALLEST].view(np.int64).tolist()
+        both = [(*(t or (None,) * 3), *(f or (None,) * 2)) for t, f in zip_longest(terms, found)]
+        columns = [pa.array(c, kind).cast(f.type) for c, kind, f in zip(zip(*both), kinds, fields)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([few, *[None] * (len(both) - 1)], fields.field("least").type)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, entries, many = defaultdict(Numbers), defaultdict(list), 0
         for batch in batches:
-            g, lang, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_list(batch.column(2))
-            for at in range(0, len(texts), 500):
-                out, seen = [], {}
-                for group, own, text in zip(g[at : at + 500], lang[at : at + 500], texts[at : at + 500]):
-                    tag = ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], own.encode()) + END.encode()
-                    counts, by_times = Counter(text.translate(TO_TERMS).split()), {}
-                    seen.setdefault(tag, set()).update(counts)
-                    for word, n in counts.items():
-                        if n in by_times:
-                            by_times[n].append(word)
-                        else:
-                            by_times[n] = [word]
-                    out += [(group, n, tag + (b" " + tag).join(words)) for n, words in by_times.items()]
-                if out:
-                    few = np.sort(np.array([xxhash.xxh3_64_intdigest(tag + w) for tag, words in seen.items() for w in words], np.uint64))[:SMALLEST].view(np.int64).tolist()
-                    group, n, terms = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([few, *[None] * (len(out) - 1)], fields.field(3).type)], schema=fields)
-
-    return docs.select("g", "lang", "text").mapInArrow(run, "g long, times long, terms string, least array<long>")
+            for g, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_list(batch.column(2))):
+                counts = Counter(text.translate(TO_TERMS).split())
+                if not counts:
+                    continue
+                tag = ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], lang.encode()) + END.encode()
+                i = np.fromiter(map(numbers[tag].__getitem__, counts), np.int64, len(counts))
+                entries[tag].append((g, i, np.fromiter(counts.values(), np.int64, len(counts))))
+                many += len(counts)
+                if many > held:
+                    yield flush(numbers, entries)
+                    numbers.clear()
+                    entries.clear()
+                    many = 0
+        if many:
+            yield flush(numbers, entries)
+
+    return docs.select("g", "lang", "text").mapInArrow(run, "g long, times long, terms string, docs long, found string, least array<long>")
+
+
+def smallest_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h: the smallest of all hashes (rows of lists), in unsigned order."""
+    few = np.zeros(0, np.uint64)
+    for b in batches:
+        few = np.unique(np.r_[few, b.column(0).flatten().to_numpy().view(np.uint64)])[:SMALLEST]
+    yield pa.RecordBatch.from_arrays([pa.array(few.view(np.int64))], ["h"])
 
 
 def different_terms(texts: DataFrame) -> int:
     """About how many different terms the languages have together, from the smallest of their hashes."""
-    # Unsigned order; at most SMALLEST rows reach the driver.
+    # Unsigned order; at most SMALLEST rows leave a task or reach the driver.
     h = F.col("h").bitwiseXOR(F.lit(-(2**63)))
-    few = [r.h for r in texts.select(F.explode("least").alias("h")).distinct().orderBy(h).limit(SMALLEST).collect()]
+    few = [r.h for r in texts.select("least").filter("least IS NOT NULL").mapInArrow(smallest_hashes, "h long").distinct().orderBy(h).limit(SMALLEST).collect()]
     return len(few) if len(few) < SMALLEST else int((SMALLEST - 1) * 2**64 / (few[-1] % 2**64 + 1))
 
 
@@ -93,14 +146,17 @@ def term_vectors(texts: DataFrame, min_docs: int = MIN_DOCS, model_terms: int =
     """(vectors, vocabulary) of term_texts. vectors: g, times, model, counts (a sparse vector, one for each row and model); vocabulary: model, i, lang, term of every kept term."""
     spark = texts.sparkSession
     # No array is null, as the model may be evaluated ahead of the filter.
-    rows = texts.filter("terms IS NOT NULL").select("g", "times", F.split(F.coalesce("terms", F.lit("")), " ").alias("terms"))
+    cut = lambda c: F.split(F.coalesce(c, F.lit("")), " ").alias("terms")
+    rows = texts.filter("terms IS NOT NULL").select("g", "times", cut("terms"))
+    # A row stands for as many documents as have its terms, so the model meets each term in as many rows; more than min_docs change nothing.
+    found = texts.filter("found IS NOT NULL").select("found", F.explode(F.sequence(F.lit(1).cast("long"), "docs"))).select(cut("found"))
     models = 1 + int(1.2 * different_terms(texts)) // model_terms
     # A term that every vocabulary has, so that none is empty.
-    base = spark.range(min_docs).select(F.lit(0).cast("long").alias("g"), F.lit(1).cast("long").alias("times"), F.array(F.lit(END)).alias("terms"))
+    base = spark.range(min_docs).select(F.array(F.lit(END)).alias("terms"))
     vectors, vocabulary = None, None
     for k in range(models):
-        part = rows if models == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
-        model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=MAX_VOCAB).fit(part.unionByName(base))
+        part, seen = (d if models == 1 else d.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k)) for d in (rows, found))
+        model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_docs), vocabSize=MAX_VOCAB).fit(seen.unionByName(base))
         path = scratch_path(spark, "vocabulary")
         model.save(path)
         key = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "key")).filter(F.col("key") != END)
@@ -170,7 +226,8 @@ def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     docs = docs.select(blank("lang"), blank("source"), "text")
     named = numbered_groups(written(docs.select("lang", "source").distinct(), "groups"))
-    texts = written(term_texts(docs.join(named, ["lang", "source"])), "terms")
+    # Documents of a group come together, as they share more of their terms; a large group has many tasks.
+    texts = written(term_texts(docs.join(named, ["lang", "source"]).hint("rebalance", "g"), min_docs, HELD), "terms")
     vectors, vocabulary = term_vectors(texts, min_docs, model_terms)
     vocabulary = written(vocabulary, "vocabulary")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
