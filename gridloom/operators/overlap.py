@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rectangles import X, Y, centre, extent, high, low, meeting_boxes
+from ..functions.rectangles import X, Y, extent, high, low, meeting_boxes
 from ..plans.cut import counts_before, dealt, neighbours, sums_before, written
-from .projection import chain_projection, project_parts, solve_forward
+from .projection import chain_projection, project_forward, solve_forward
 
 #: Extra gap, and weights of fixed and other rectangles.
 EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
@@ -17,11 +19,23 @@ EXTRA_GAP, FIXED_WEIGHT = 1e-3, 10_000.0
 SMALL = 1000
 #: Rectangles of small groups that a task solves at once, about.
 BATCH = 5000
-#: Rectangles of a large group that a task holds against as many before and after them.
-CHUNK = 2000
+#: Rectangles of a large group in the order of centres that one is held against on either side (in _next_apart, a chunk of them at once), and such chunks of a task.
+CHUNK, RUN = 1000, 16
+#: Rectangles without a neighbour among these that are held against their whole groups; more ask trees.
+FEW = 1000
+#: Rectangles that a task sweeps, and that it projects at first.
+SWEPT, PLACED = 20_000, 10_000
+#: A group goes through trees if its sweep would keep each rectangle open for more ranges than this, on average.
+CROWDED = 8
 SIDES = ("min_x", "max_x", "min_y", "max_y")
 
 
+def _middle(dim: int) -> Column:
+    """The centre without borders, whose rounding would part equal centres."""
+    lo, hi = _sides(dim)
+    return (F.col(lo) + F.col(hi)) / 2
+
+
 def on_ranks(spans: DataFrame, keys: list[str]) -> DataFrame:
     """spans (keys, id, lo, hi) with t0 and t1, the ranks of their ends among all ends of the same keys. Of equal values those of low ends come first, so spans that touch share a rank in between; then smaller ids."""
     end = F.explode(F.array(F.struct(F.col("lo").alias("v"), F.lit(0).alias("kind")), F.struct(F.col("hi").alias("v"), F.lit(1).alias("kind")))).alias("e")
@@ -78,9 +92,72 @@ def _nearest(into: DataFrame, ask: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweep_constraints(rects: DataFrame, dim: int) -> DataFrame:
-    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together. A group may be of any size (see nearest_stabbed)."""
+    """group_id, left, right, gap: for each rectangle, its nearest neighbours on the axis among those open when its sweep over the other axis closes. Touching rectangles are open together. A group may be of any size.
+
+    Rectangles are dealt in ranges of their closing; a task sweeps a range, with those of later ranges that are open in it.
+    Groups in which these are too many go through trees (_swept_by_trees).
+    """
     other = Y if dim == X else X
-    r = rects.select("group_id", F.col("rect_id").alias("id"), low(other).alias("lo"), high(other).alias("hi"), centre(dim).alias("c"), extent(dim).alias("size"))
+    r = rects.select(F.col("group_id").cast("long").alias("group_id"), F.col("rect_id").cast("long").alias("id"), low(other).alias("lo"), high(other).alias("hi"), _middle(dim).alias("c"), extent(dim).alias("size"))
+    r = dealt(r, "group_id", "hi", "id", rows=SWEPT)
+    # A row for each range of a group; only groups of several ranges have any that are open elsewhere.
+    ends = written(r.groupBy("group_id", "part").agg(F.max("hi").alias("high"), F.count("*").alias("n")), "ends")
+    split = ends.groupBy("group_id").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
+    ends = ends.join(split.select("group_id"), "group_id", "left_semi").select("group_id", F.col("part").alias("at"), "high")
+    open_ = r.join(F.broadcast(ends), "group_id").filter((F.col("at") < F.col("part")) & (F.col("lo") <= F.col("high")) & (F.col("lo") <= F.col("hi"))).drop("high")
+    crowded = written(open_.groupBy("group_id").agg(F.count("*").alias("open")).join(split, "group_id").filter(F.col("open") > CROWDED * F.col("n")).select("group_id"), "crowded")
+    rows = r.withColumn("at", F.col("part")).unionByName(open_)
+
+    def swept(t: pa.Table) -> pa.Table:
+        t = t.sort_by("group_id")
+        of, own = t.column("group_id").to_numpy(), t.column("part").to_numpy() == t.column("at").to_numpy()
+        lo, hi, c, size, ids = (t.column(k).to_numpy() for k in ("lo", "hi", "c", "size", "id"))
+        ends = [*np.flatnonzero(np.diff(of)) + 1, t.num_rows]
+        got = [(i, *closed(lo[i:j], hi[i:j], c[i:j], ids[i:j], np.flatnonzero(own[i:j]))) for i, j in zip([0, *ends], ends)]
+        left, right = (np.concatenate([g[k] + g[0] for g in got]) for k in (1, 2))
+        return pa.table({"group_id": of[left], "left": ids[left], "right": ids[right], "gap": (size[left] + size[right]) / 2})
+
+    spark = r.sparkSession
+    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sweep_all = lambda df: df.repartition(n, "at").groupBy("at").applyInArrow(swept, "group_id long, left long, right long, gap double")
+    if crowded.isEmpty():
+        return sweep_all(rows)
+    large = _swept_by_trees(r.drop("part").join(crowded, "group_id", "left_semi"))
+    return sweep_all(rows.join(crowded, "group_id", "left_anti")).unionByName(large)
+
+
+def closed(lo: np.ndarray, hi: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some rectangles of one group, in the order in which they close, the neighbours on either side in the order of (c, id) that are open then: places of left and right ends. The others stay open until the last has closed."""
+    order = np.lexsort((ids, c))
+    place = np.empty(len(c), int)
+    place[order] = np.arange(len(c))
+    opens = np.argsort(lo, kind="stable")
+    opens = opens[lo[opens] <= hi[opens]]
+    closes = own[np.lexsort((ids[own], hi[own]))]
+    opening, begun, line = place[opens].tolist(), 0, []
+    left, right = [], []
+    for v, to in zip(place[closes].tolist(), np.searchsorted(lo[opens], hi[closes], "right").tolist()):
+        if to - begun > 64:
+            line += opening[begun:to]
+            line.sort()
+        else:
+            for p in opening[begun:to]:
+                insort(line, p)
+        begun = to
+        at = bisect_left(line, v)
+        after = at + 1 if at < len(line) and line[at] == v else at
+        if at:
+            left.append(line[at - 1])
+            right.append(v)
+        if after < len(line):
+            left.append(v)
+            right.append(line[after])
+        del line[at:after]
+    return order[np.array(left, int)], order[np.array(right, int)]
+
+
+def _swept_by_trees(r: DataFrame) -> DataFrame:
+    """sweep_constraints for groups of any overlap (see nearest_stabbed); r: group_id, id, lo, hi, c, size."""
     r = written(on_ranks(r, ["group_id"]), "open")
     # Open from the low end on, without its own closing.
     spans = r.select("group_id", F.col("t0").alias("first"), F.col("t1").alias("end"), "c", F.col("id").alias("o"), F.struct("c", F.col("id").alias("o"), "size").alias("value"))
@@ -147,12 +224,118 @@ def _next_apart(r: DataFrame) -> DataFrame:
 def _listed_by_tables(rects: DataFrame) -> DataFrame:
     """neighbour_constraints for groups of any size.
 
+    In the order of centres each is held against the next CHUNK. Who finds its nearest there has all its
+    neighbours there. In a pair farther apart both are without a nearest on that side; if such
+    are few, they are held against their whole groups.
+    """
+    r = rects.select(F.col("group_id").cast("long").alias("group_id"), F.col("rect_id").cast("long").alias("id"), low(Y).alias("lo"), high(Y).alias("hi"), _middle(X).alias("c"), extent(X).alias("size"), low(X).alias("x0"), high(X).alias("x1"))
+    ranges = counts_before(dealt(r, "group_id", "c", "id"), ["group_id"], ["c", "id"], F.lit(1))
+    ranges = ranges.join(r.groupBy("group_id").agg(F.count("*").alias("n")), "group_id")
+    chunk, run = CHUNK, CHUNK * RUN
+    at, halo = F.floor(F.col("before") / run), (F.col("before") % run < chunk) & (F.col("before") >= run)
+    rows = ranges.withColumn("own", at).withColumn("at", F.explode(F.when(halo, F.array(at, at - 1)).otherwise(F.array(at))))
+
+    def lists(t: pa.Table) -> pa.Table:
+        t = t.sort_by("before")
+        lo, hi, x0, x1, size, ids, before = (t.column(c).to_numpy() for c in ("lo", "hi", "x0", "x1", "size", "id", "before"))
+        own = int((t.column("own").to_numpy() == t.column("at").to_numpy()).sum())
+        left, right, stop, back = nearest_apart(lo, hi, x0, x1, own, chunk)
+        # Without one in sight, though there are more.
+        ahead = np.flatnonzero((stop[:own] == len(ids)) & (before[:own] + chunk < t.column("n")[0].as_py() - 1))
+        behind = np.flatnonzero((back < 0) & (before > chunk) & (np.arange(len(ids)) >= chunk))
+        n, one, other = len(left), len(ahead), len(behind)
+        at = lambda have, none_first, none_last: pa.array(np.r_[np.zeros(none_first, int), ids[have], np.zeros(none_last, int)], pa.int64(), mask=np.r_[np.ones(none_first, bool), np.zeros(len(have), bool), np.ones(none_last, bool)])
+        return pa.table({"group_id": t.column("group_id").take(pa.array(np.zeros(n + one + other, int))), "left": at(np.r_[left, ahead], 0, other), "right": pa.concat_arrays([at(right, 0, one), at(behind, 0, 0)]), "gap": np.r_[(size[left] + size[right]) / 2, np.zeros(one + other)]})
+
+    spark = r.sparkSession
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    got = written(rows.repartition(tasks, "group_id", "at").groupBy("group_id", "at").applyInArrow(lists, "group_id long, left long, right long, gap double"), "lists")
+    rules = got.filter("left IS NOT NULL AND right IS NOT NULL")
+    asks = got.filter("left IS NULL OR right IS NULL")
+    few = asks.count()
+    if not few:
+        return rules
+    if few > FEW:
+        groups = written(asks.select("group_id").distinct(), "asking")
+        return rules.join(groups, "group_id", "left_anti").unionByName(_listed_by_trees(rects.join(groups, "group_id", "left_semi")))
+    place = ranges.select("group_id", "id", "before", "n", "lo", "hi", "c", "size", "x0", "x1")
+    names = [c for c in place.columns if c != "group_id"]
+    side = lambda p, end, none: written(place.join(F.broadcast(asks.filter(f"{none} IS NULL").select("group_id", F.col(end).alias("id"))), ["group_id", "id"]).select("group_id", *[F.col(c).alias(f"{p}_{c}") for c in names]), "asks")
+    a, b = side("a", "left", "right"), side("b", "right", "left")
+    line = lambda p, q: (F.col(f"{p}lo") <= F.col(f"{q}hi")) & (F.col(f"{q}lo") <= F.col(f"{p}hi"))
+    # The nearest that lies apart, by its rank.
+    a = place.join(F.broadcast(a), "group_id").filter(line("a_", "") & (F.col("a_before") < F.col("before")) & (F.col("a_x1") <= F.col("x0"))).groupBy("group_id", "a_id").agg(F.min("before").alias("stop")).join(a, ["group_id", "a_id"], "right")
+    b = place.join(F.broadcast(b), "group_id").filter(line("b_", "") & (F.col("before") < F.col("b_before")) & (F.col("x1") <= F.col("b_x0"))).groupBy("group_id", "b_id").agg(F.max("before").alias("back")).join(b, ["group_id", "b_id"], "right")
+    met = a.join(b, "group_id").filter(line("a_", "b_") & (F.col("b_before") > F.col("a_before") + chunk) & (F.col("b_before") <= F.coalesce("stop", "a_n")) & (F.col("a_before") >= F.coalesce("back", F.lit(-1))))
+    ox = F.greatest(F.lit(0.0), F.col("a_x1") - F.col("b_x0"))
+    oy = F.greatest(F.lit(0.0), F.when(F.col("a_lo") + F.col("a_hi") <= F.col("b_lo") + F.col("b_hi"), F.col("a_hi") - F.col("b_lo")).otherwise(F.col("b_hi") - F.col("a_lo")))
+    met = met.filter((ox <= 0) | (ox <= oy)).select("group_id", F.col("a_id").alias("left"), F.col("b_id").alias("right"), ((F.col("a_size") + F.col("b_size")) / 2).alias("gap"))
+    return rules.unionByName(met)
+
+
+def nearest_apart(lo: np.ndarray, hi: np.ndarray, x0: np.ndarray, x1: np.ndarray, own: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rectangles of one group in the order of their centres, the pairs (places of left and right ends) of neighbour_constraints whose left end is among the first own; and of each the next that shares a part of the y axis and lies apart in x (their number if none does), and the last before it (-1). Only those at most reach places away are seen. Most find theirs nearby, so the others are looked at again by themselves."""
+    m, step, wide = len(lo), 128, min(192, reach)
+    stop, back, at = np.full(m, m), np.full(m, -1), np.arange(m)
+    left, right = [], []
+
+    def seen(rows: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places to (a row of them for each of rows, or one for all; m and more: none) share a part of the y axis with rows, and which of those lie apart after them."""
+        known = (to > rows[:, None]) & (to <= rows[:, None] + reach) & (to < m)
+        t = np.minimum(to, m - 1)
+        line = known & (lo[rows, None] <= hi[t]) & (lo[t] <= hi[rows, None])
+        return line, line & (x1[rows, None] <= x0[t])
+
+    def decide(rows: np.ndarray, to: np.ndarray, line: np.ndarray, apart: np.ndarray) -> None:
+        first = apart.argmax(1)
+        end = np.where(apart.any(1), to[first] if to.ndim == 1 else to[np.arange(len(rows)), first], m)
+        stop[rows] = end
+        i, k = np.nonzero(line & ~apart)
+        b = to[k] if to.ndim == 1 else to[i, k]
+        keep = b < end[i]
+        left.append(rows[i[keep]])
+        right.append(b[keep])
+
+    for i in range(0, m, step):
+        rows, to = at[i : i + step], at[i : i + step + wide]
+        line, apart = seen(rows, to)
+        has = apart.any(0)
+        back[to[has]] = rows[-1] - apart[::-1].argmax(0)[has]
+        found = apart.any(1)
+        if not found.all():
+            rows, line, apart = rows[found], line[found], apart[found]
+        if len(rows):
+            decide(rows, to, line, apart)
+    far = np.arange(1, reach + 1)
+    rest = np.flatnonzero(stop[:own] == m)
+    for i in range(0, len(rest), step):
+        rows = rest[i : i + step]
+        to = rows[:, None] + far
+        decide(rows, to, *seen(rows, to))
+    rest = np.flatnonzero(back < 0)
+    for i in range(0, len(rest), step):
+        rows = rest[i : i + step]
+        to = rows[:, None] - far
+        t = np.maximum(to, 0)
+        apart = (to >= 0) & (lo[rows, None] <= hi[t]) & (lo[t] <= hi[rows, None]) & (x1[t] <= x0[rows, None])
+        back[rows] = np.where(apart.any(1), rows - 1 - apart.argmax(1), -1)
+    a, b = (np.concatenate(p) if p else np.zeros(0, int) for p in (left, right))
+    oy = np.where(lo[a] + hi[a] <= lo[b] + hi[b], hi[a] - lo[b], hi[b] - lo[a])
+    near = (a < own) & (a >= back[b]) & (x1[a] - x0[b] <= np.maximum(0.0, oy))
+    one = np.flatnonzero(stop[:own] < m)
+    one = one[back[stop[one]] == one]
+    return np.r_[a[near], one], np.r_[b[near], stop[one]], stop, back
+
+
+def _listed_by_trees(rects: DataFrame) -> DataFrame:
+    """neighbour_constraints for groups of any size and overlap.
+
     Rectangles are sized in powers of two. Within reach, the sum of a rectangle's half width and
     that of a size, rectangles of that size meet it on a grid; beyond it all are apart, and the
     nearest is found as in a sweep. So the pairs that meet are those that overlap, or nearly do. All
     this is asked only for those whose nearest is not among the next CHUNK rectangles.
     """
-    r = rects.select("group_id", F.col("rect_id").alias("id"), low(Y).alias("lo"), high(Y).alias("hi"), centre(X).alias("c"), extent(X).alias("size"), low(X).alias("x0"), high(X).alias("x1"))
+    r = rects.select("group_id", F.col("rect_id").alias("id"), low(Y).alias("lo"), high(Y).alias("hi"), _middle(X).alias("c"), extent(X).alias("size"), low(X).alias("x0"), high(X).alias("x1"))
     r = r.withColumn("class", F.when(F.col("size") > 0, F.ceil(F.log2("size"))).otherwise(F.lit(-1074)).cast("int"))
     r = written(on_ranks(r, ["group_id"]), "lines")
     classes = r.select("group_id", F.col("class").alias("of")).distinct()
@@ -291,7 +474,7 @@ def side_by_side(rects: DataFrame, start: DataFrame, dim: int) -> DataFrame:
 
 
 def along_axis(rects: DataFrame, start: DataFrame, dim: int, extra: float, near: bool) -> DataFrame:
-    """rects with their positions on an axis as near to those of start as neighbour_constraints (near) or sweep_constraints allow, for rectangles grown by extra on the axis. Each set of rectangles that constraints connect is a problem of its own; memory is linear in the largest. Groups in line are chains."""
+    """rects with their positions on an axis as near to those of start as neighbour_constraints (near) or sweep_constraints allow, for rectangles grown by extra on the axis. Those of a part (a column of start) are solved together first, then those that push each other (project_forward). Groups in line are chains."""
     lo, hi = _sides(dim)
     wide = rects.withColumns({"x_border": F.lit(extra / 2 if dim == X else 0.0), "y_border": F.lit(extra / 2 if dim == Y else 0.0)})
     lines = in_line(wide, dim, near)
@@ -300,11 +483,9 @@ def along_axis(rects: DataFrame, start: DataFrame, dim: int, extra: float, near:
     if rest.isEmpty():
         at = chained
     else:
-        rules = written(neighbour_constraints(rest) if near else sweep_constraints(rest, dim), "rules")
-        bound = rules.select("group_id", F.explode(F.array("left", "right")).alias("rect_id")).distinct()
-        v = start.join(bound, ["group_id", "rect_id"], "left_semi").select(F.col("group_id").alias("problem_id"), F.col("rect_id").alias("var_id"), ((F.col(lo) + F.col(hi)) / 2).alias("desired"), "weight", F.lit(1.0).alias("scale"))
-        c = rules.select(F.col("group_id").alias("problem_id"), F.xxhash64("left", "right", "gap").alias("c_id"), "left", "right", "gap", F.lit(False).alias("equality"))
-        at = project_parts(v, c, forward=True).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("rect_id"), "position")
+        rules = neighbour_constraints(rest) if near else sweep_constraints(rest, dim)
+        v = start.join(lines, "group_id", "left_anti").select(F.col("group_id").alias("problem_id"), F.col("rect_id").alias("var_id"), ((F.col(lo) + F.col(hi)) / 2).alias("desired"), "weight", "part")
+        at = project_forward(v, rules.withColumnRenamed("group_id", "problem_id")).select(F.col("problem_id").alias("group_id"), F.col("var_id").alias("rect_id"), "position")
         at = at if chained is None else at.unionByName(chained)
     if at is None:  # no rectangles
         return rects
@@ -313,10 +494,28 @@ def along_axis(rects: DataFrame, start: DataFrame, dim: int, extra: float, near:
     return written(rects.join(here, ["group_id", "rect_id"]).withColumns({lo: F.col("x") - F.col("half"), hi: F.col("x") + F.col("half")}).select(*rects.columns), "moved")
 
 
+def in_parts(rects: DataFrame) -> DataFrame:
+    """rects as a written table with part, a number that about PLACED rectangles near each other share: they are dealt in the order of cells, four to a part, as many mean widths wide as they are mean heights high."""
+    span = lambda lo, hi: F.max(hi) - F.min(lo)
+    mean = lambda lo, hi: F.greatest(F.avg(F.col(hi) - F.col(lo)), span(lo, hi) / 1e9, F.lit(1e-300))
+    g = rects.groupBy("group_id").agg(F.count("*").alias("n"), F.min("min_x").alias("x"), F.min("min_y").alias("y"), mean("min_x", "max_x").alias("w"), mean("min_y", "max_y").alias("h"), span("min_x", "max_x").alias("sx"), span("min_y", "max_y").alias("sy"))
+    # In mean widths and heights; a strip has no cells across.
+    g = g.select("group_id", "n", "x", "y", "w", "h", F.greatest(F.lit(1.0), F.col("sx") / F.col("w")).alias("u"), F.greatest(F.lit(1.0), F.col("sy") / F.col("h")).alias("v"))
+    cell = F.col("u") * F.col("v") * (PLACED / 4) / F.col("n")
+    side = F.sqrt(cell)
+    tall = F.when(F.col("v") <= 4 * side, 2 * F.col("v")).when(F.col("u") <= 4 * side, cell / F.col("u")).otherwise(side)
+    wide = F.when(F.col("v") <= 4 * side, cell / F.col("v")).when(F.col("u") <= 4 * side, 2 * F.col("u")).otherwise(side)
+    g = g.select("group_id", "x", "y", (F.col("v") <= 4 * side).alias("flat"), (F.col("w") * wide).alias("wide"), (F.col("h") * tall).alias("tall"))
+    placed = rects.join(g, "group_id").withColumns({"cell_x": F.floor((F.col("min_x") - F.col("x")) / F.col("wide")), "cell_y": F.floor((F.col("min_y") - F.col("y")) / F.col("tall"))})
+    placed = placed.withColumn("across", F.when(F.col("flat"), F.col("min_x")).otherwise(F.col("min_y")))
+    return dealt(placed.select(*rects.columns, "cell_x", "cell_y", "across"), "group_id", "cell_x", "cell_y", "across", "rect_id", rows=PLACED).select(*rects.columns, F.col("part").cast("long").alias("part"))
+
+
 def separated_by_passes(rects: DataFrame, extra: float = EXTRA_GAP, third_pass: bool = True) -> DataFrame:
-    """The rows of rects (group_id, rect_id, min_x, max_x, min_y, max_y, weight) moved as separated moves them, for groups of any size: a pass is a sweep, the components of its constraints and a projection of each."""
-    start = written(rects, "rects")
-    box = along_axis(start, start, X, extra, near=True)
+    """The rows of rects (group_id, rect_id, min_x, max_x, min_y, max_y, weight) moved as separated moves them, for groups of any size: a pass is a sweep and a projection of its constraints, in parts of about PLACED rectangles that lie near each other."""
+    start = in_parts(rects)
+    rects = start.drop("part")
+    box = along_axis(rects, start, X, extra, near=True)
     box = along_axis(box, start, Y, extra, near=False)
     return along_axis(box, start, X, extra, near=False) if third_pass else box
 
