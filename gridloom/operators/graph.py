@@ -101,12 +101,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     near = both_ways(sanitised(edges, nodes)).select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to")).distinct()
     near = written(near, "near")
+    # Files of labels are much smaller than their rows, so the planner would broadcast them.
+    merged = lambda df: df.hint("merge")
     label = nodes.select("graph_id", "node_id", F.col("node_id").alias("component_id")).distinct()
     while True:
-        told = near.join(label.select("graph_id", F.col("node_id").alias("to"), "component_id"), ["graph_id", "to"]).groupBy("graph_id", "node_id").agg(F.min("component_id").alias("near"))
-        step = label.join(told, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.col("component_id").alias("was"), F.least("component_id", "near").alias("component_id"))
+        told = near.join(merged(label.select("graph_id", F.col("node_id").alias("to"), "component_id")), ["graph_id", "to"]).groupBy("graph_id", "node_id").agg(F.min("component_id").alias("near"))
+        step = label.join(merged(told), ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.col("component_id").alias("was"), F.least("component_id", "near").alias("component_id"))
         jump = label.select("graph_id", F.col("node_id").alias("component_id"), F.col("component_id").alias("next"))
-        new = written(step.join(jump, ["graph_id", "component_id"]).select("graph_id", "node_id", "was", F.least("component_id", "next").alias("component_id")), "labels")
+        new = written(step.join(merged(jump), ["graph_id", "component_id"]).select("graph_id", "node_id", "was", F.least("component_id", "next").alias("component_id")), "labels")
         label = new.drop("was")
         if new.filter("was <> component_id").isEmpty():
             break
